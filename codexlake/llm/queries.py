@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codexlake.llm import chat, line_dedup, packing, simhash, token_files
+from codexlake.llm import chat, line_dedup, packing, simhash, substring_dedup, token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -39,6 +39,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), WORD_BPE, end_id=1)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), window=35, with_text=False)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -47,6 +51,7 @@ QUERIES = {
         op3_chat_formatting,
         op6_token_files,
         op7_packing,
+        op9_substring_dedup,
     )
 }
 
