@@ -211,18 +211,19 @@ def _apply(with_text: bool):
     return run
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, with_text: bool = True) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256 (and kept_text) of every row of ``docs``.
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to carry, n_lines, n_dropped, kept_sha256 (and kept_text) of every row of ``docs``.
 
     The bitmaps go to the documents by a shuffled hash join on (doc_id, th),
     null-safe; the build side is the bitmaps alone.
     """
-    d, b = with_text_key(docs).alias("d"), bitmaps.hint("shuffle_hash").alias("b")
+    d, b = with_text_key(docs, *carry).alias("d"), bitmaps.hint("shuffle_hash").alias("b")
     joined = d.join(b, F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("d.th") == F.col("b.th")), "left")
-    joined = joined.select("d.doc_id", "d.text", "b.keep")
-    return joined.mapInArrow(_apply(with_text), "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", kept_text string" * with_text)
+    joined = joined.select("d.doc_id", *[f"d.{c}" for c in carry], "d.text", "b.keep")
+    carried = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
+    return joined.mapInArrow(_apply(with_text), f"doc_id long, {carried}n_lines long, n_dropped long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, with_text: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """line_keep_bitmaps() applied: one row per row of ``docs``; see there for nulls and repeated rows."""
-    return apply_bitmaps(docs, line_keep_bitmaps(docs, min_chars, min_docs), with_text)
+    return apply_bitmaps(docs, line_keep_bitmaps(docs, min_chars, min_docs), with_text, carry)

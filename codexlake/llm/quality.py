@@ -16,7 +16,7 @@ from codexlake.sources.scratch import written
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: metric: (least spread, both sides). The limits are the quartiles widened by SPREADS spreads.
-METRICS = {"symbol_share": (0.02, False), "dup_line_share": (0.1, False), "repeat_share": (0.08, False), "word_length": (0.75, True)}
+METRICS = {"symbol_share": (0.01, False), "dup_line_share": (0.1, False), "repeat_share": (0.08, False), "word_length": (0.75, True)}
 SPREADS, MIN_DOCS, ACCURACY = 6, 200, 10_000
 
 
