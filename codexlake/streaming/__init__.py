@@ -1,0 +1 @@
+"""Incremental processing: watched folders, append logs, stage state."""
