@@ -87,15 +87,14 @@ def limits(found: DataFrame) -> DataFrame:
     levels = found.where(~F.col("base_failed")).groupingSets([["lang", "source"], ["lang"], []], "lang", "source")
     levels = written(levels.agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *sketches), "sketches")
 
-    def level(number: int, tag: str) -> DataFrame:
-        own = F.struct(*METRICS)
-        return levels.where(F.col("level") == number).select(F.col("lang").alias(f"lang_{tag}"), F.lit(1).alias(f"one_{tag}"), F.when(F.col("n") >= MIN_DOCS, own).alias(tag), own.alias(f"any_{tag}"))
-
-    keys = found.select("lang", "source").distinct().withColumn("one", F.lit(1))
+    by_lang = levels.where(F.col("level") == 1).select(F.col("lang").alias("lang_l"), F.when(F.col("n") >= MIN_DOCS, F.struct(*METRICS)).alias("l"))
+    overall = levels.where(F.col("level") == 3).select(*METRICS).first()  # one row
+    pair = lambda m: F.array(*[F.lit(x).cast("double") for x in (overall[m] if overall and overall[m] else (None, None))]).alias(m)
+    keys = found.select("lang", "source").distinct()
     by_source = levels.where(F.col("level") == 0).select(F.col("lang").alias("lang_s"), F.col("source").alias("source_s"), F.when(F.col("n") >= MIN_DOCS, F.struct(*METRICS)).alias("s"))
     t = keys.join(by_source, F.col("lang").eqNullSafe(F.col("lang_s")) & F.col("source").eqNullSafe(F.col("source_s")), "left")
-    t = t.join(level(1, "l"), F.col("lang").eqNullSafe(F.col("lang_l")), "left").join(level(3, "a"), F.col("one") == F.col("one_a"), "left")
-    t = t.select("lang", "source", F.coalesce("s", "l", "any_a").alias("q"))
+    t = t.join(by_lang, F.col("lang").eqNullSafe(F.col("lang_l")), "left")
+    t = t.select("lang", "source", F.coalesce("s", "l", F.struct(*map(pair, METRICS))).alias("q"))
     columns = []
     for m, (least, both) in METRICS.items():
         low, high = F.col(f"q.{m}")[0], F.col(f"q.{m}")[1]
