@@ -22,9 +22,10 @@ def term_rows(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataF
 
 def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row: doc_count, total_words, total_unique_words, total_chars. Documents are counted one by one, without separators between them."""
-    totals = docs.agg(F.count("*").alias("doc_count"), F.sum(F.size(T.tokens(F.col(text))).cast("long")).alias("total_words"), F.sum(F.length(text).cast("long")).alias("total_chars"))
-    unique = term_rows(docs.withColumn("doc", F.lit(0)), "doc", text).groupBy("term").agg(F.lit(1).alias("one")).agg(F.count("*").alias("total_unique_words"))
-    return totals.withColumn("k", F.lit(1)).join(unique.withColumn("k", F.lit(1)), "k").drop("k")
+    sums = docs.agg(F.count("*").alias("doc_count"), F.sum(F.size(T.tokens(F.col(text))).cast("long")).alias("total_words"), F.sum(F.length(text).cast("long")).alias("total_chars"))
+    unique = docs.select(F.explode(T.terms(F.col(text))).alias("term")).groupBy("term").agg(F.lit(1).alias("one")).agg(F.count("*").alias("total_unique_words"))
+    both = sums.unionByName(unique, allowMissingColumns=True)  # two rows, filled from each other
+    return both.agg(*[F.max(c).alias(c) for c in ("doc_count", "total_words", "total_unique_words", "total_chars")])
 
 
 def top_terms(docs: DataFrame, n: int = 30, stopwords=STOPWORDS, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -42,8 +43,8 @@ def explode_chunks(docs: DataFrame, size: int, overlap: int, doc: str = "doc_id"
 
 def merge_chunk_results(results: DataFrame, key: str, nth: str, items: str, fields: str) -> DataFrame:
     """Per key the items of all chunks in order, and a map in which the last chunk wins."""
-    ordered = F.array_sort(F.collect_list(F.struct(nth, items, fields)))
-    entries = F.flatten(F.transform("all", lambda x: F.map_entries(x[fields])))
+    ordered = F.array_sort(F.collect_list(F.struct(nth, items, F.map_entries(fields).alias(fields))))
+    entries = F.flatten(F.transform("all", lambda x: x[fields]))
     last = F.aggregate(entries, F.expr("map_from_arrays(cast(array() as array<string>), cast(array() as array<string>))"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: k != e["key"]), F.map_from_entries(F.array(e))))
     return results.groupBy(key).agg(ordered.alias("all")).select(key, F.flatten(F.transform("all", lambda x: x[items])).alias(items), last.alias(fields))
 

@@ -47,7 +47,7 @@ def pipeline_files(spark: SparkSession, path: str) -> DataFrame:
 
 def catalogue_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per file, malformed ones with a null record, so that no document is missing from the catalogue."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "pipeline.json").text(path)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "pipeline.json").text(path, wholetext=True)
     return raw.select(F.regexp_extract("_metadata.file_path", r"([^/]+)/pipeline\.json$", 1).alias("doc_id"), F.try_parse_json("value").alias("record"))
 
 
@@ -55,7 +55,7 @@ def transcriptions(spark: SparkSession, path: str, ids: DataFrame | None = None)
     """doc_id, text of *.txt files without their # header; ids that have no file are simply absent."""
     from codexlake.functions.text import strip_header
 
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path)
+    df = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     df = df.select(_stem().alias("doc_id"), strip_header(F.col("value")).alias("text"))
     return df.join(ids.select("doc_id").distinct(), "doc_id", "left_semi") if ids is not None else df
 
@@ -93,7 +93,7 @@ def run_states(spark: SparkSession, path: str) -> DataFrame:
 def authority_dump(spark: SparkSession, path: str) -> DataFrame:
     """id, name, variants, type from a flat list or an object of persons and places; rows without id are dropped."""
     item = "struct<hls_id:string,name:string,variants:array<string>,type:string>"
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     flat = F.from_json("value", f"array<{item}>")
     both = F.from_json("value", f"struct<persons:array<{item}>,places:array<{item}>>")
     typed = lambda a, kind: F.transform(F.coalesce(a, F.array().cast(f"array<{item}>")), lambda x: x.withField("type", F.coalesce(x["type"], F.lit(kind))))
