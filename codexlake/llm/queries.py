@@ -77,6 +77,46 @@ QUERIES = {
     )
 }
 
+#: ASCII white space in DuckDB, where regular expressions know no vertical tab in \\s.
+_WS = r"[\x20\x09-\x0D]+"
+_WORDS = f"list_filter(string_split_regex(coalesce(text, ''), '{_WS}'), lambda w: w <> '')"
+
+
+def _assigned(kind: str, regex: str, group: int, least: int) -> str:
+    """Spans of one rule: matches lie between the pieces of a split, so their places are running sums of lengths."""
+    return f"""
+        SELECT doc_id, '{kind}' AS kind, fin - n AS start, fin, value FROM (
+            SELECT doc_id, n, value, sum(gap + n) OVER (PARTITION BY doc_id ORDER BY i) AS fin FROM (
+                SELECT doc_id, i, length(pieces[i]) AS gap, length(whole[i]) AS n, length(val[i]) AS value FROM (
+                    SELECT doc_id, pieces, whole, val, unnest(range(1, len(whole) + 1)) AS i FROM (
+                        SELECT doc_id, string_split_regex(text, '{regex}') AS pieces, regexp_extract_all(text, '{regex}', 0) AS whole,
+                               regexp_extract_all(text, '{regex}', {group}) AS val FROM documents WHERE text IS NOT NULL)))) WHERE value >= {least}"""
+
+
+_ANY_CASE = {k: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in k) for k in ("password", "passwd", "secret", "token")}
+_KEYWORD = "|".join([*_ANY_CASE.values(), "[Aa][Pp][Ii]_?[Kk][Ee][Yy]"])
+_SECRET_SPANS = " UNION ALL ".join(
+    _assigned(*rule)
+    for rule in (
+        ("assign", rf"""({_KEYWORD})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+        ("access", "AKIA[A-Z0-9]+", 0, 20),
+        ("hex", "[0-9a-f]+", 0, 24),
+        ("private_key", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0),
+        ("github", "gh[opsru]_[A-Za-z0-9]{36,}", 0, 0),
+        ("google", "AIza[A-Za-z0-9_-]{35,}", 0, 0),
+        ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+        ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+    )
+)
+_KINDS = "['assign', 'access', 'hex', 'private_key', 'github', 'google', 'slack', 'jwt']"
+
+_METRICS = {"symbol_share": (0.01, False), "dup_line_share": (0.1, False), "repeat_share": (0.08, False), "word_length": (0.75, True)}
+_QUARTILES = ", ".join(f"[quantile_disc({m}, 0.25), quantile_disc({m}, 0.75)] AS {m}" for m in _METRICS)
+_CHOSEN = ", ".join(f"CASE WHEN s.n >= 200 THEN s.{m} WHEN l.n >= 200 THEN l.{m} ELSE a.{m} END AS {m}" for m in _METRICS)
+_INSIDE = " AND ".join(
+    f"f.{m} <= q.{m}[2] + 6 * greatest(q.{m}[2] - q.{m}[1], {least})" + (f" AND f.{m} >= q.{m}[1] - 6 * greatest(q.{m}[2] - q.{m}[1], {least})" if both else "") for m, (least, both) in _METRICS.items()
+)
+
 ORACLE_SQL = {
     "op1_line_dedup": r"""
         WITH lines AS (
@@ -95,4 +135,44 @@ ORACLE_SQL = {
         SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE dropped) AS BIGINT) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
+    "op3_chat_formatting": r"""
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) t(i)),
+        escaped AS (SELECT *, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS etext, regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g') AS erole FROM rows)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length(etext) + length(erole) + 32) AS BIGINT) AS formatted_chars
+        FROM escaped GROUP BY conv_id""",
+    "op9_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+        windows AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) AS h FROM starts),
+        twice AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM windows SEMI JOIN twice USING (h)),
+        words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS text FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
+    "op10_secret_scan": f"""
+        WITH spans AS ({_SECRET_SPANS}),
+        ordered AS (SELECT *, list_position({_KINDS}, kind) AS o, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(fin AS BIGINT) AS t FROM spans)
+        SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+               sha256(coalesce(string_agg(t, ',' ORDER BY start, o) FILTER (WHERE o <= 3), '')) AS base_sha256, coalesce(string_agg(t, ',' ORDER BY start, o), '') AS spans
+        FROM documents d LEFT JOIN ordered o ON o.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op5_quality_rules": f"""
+        WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
+        grams AS (SELECT doc_id, i, array_to_string(w[i : i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+        twice AS (SELECT doc_id, g FROM grams GROUP BY 1, 2 HAVING count(*) > 1),
+        covered AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM grams SEMI JOIN twice USING (doc_id, g)) GROUP BY 1),
+        c AS (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                     CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines, coalesce(covered.n, 0) AS n_repeat_words
+              FROM d LEFT JOIN covered USING (doc_id)),
+        f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(n_symbols / nullif(word_chars, 0), 0) AS symbol_share, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_share,
+                     coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeat_share, coalesce(word_chars / nullif(n_words, 0), 0) AS word_length FROM c),
+        good AS (SELECT * FROM f WHERE NOT base_failed),
+        s AS (SELECT lang, source, count(*) AS n, {_QUARTILES} FROM good GROUP BY 1, 2), l AS (SELECT lang, count(*) AS n, {_QUARTILES} FROM good GROUP BY 1), a AS (SELECT {_QUARTILES} FROM good),
+        q AS (SELECT k.lang, k.source, {_CHOSEN} FROM (SELECT DISTINCT lang, source FROM f) k LEFT JOIN s ON s.lang = k.lang AND s.source = k.source LEFT JOIN l ON l.lang = k.lang CROSS JOIN a)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_INSIDE} AS kept FROM f JOIN q ON q.lang = f.lang AND q.source = f.source""",
 }
