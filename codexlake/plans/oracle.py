@@ -206,6 +206,6 @@ SQL: dict[str, str] = {
         hits AS (SELECT doc_id, stage, bool_or(mark = 'dirty') AS d, bool_or(mark = 'stale') AS t, max(ord) AS o FROM inputs JOIN matrix USING (field) GROUP BY 1, 2)
         SELECT doc_id, CAST(nth AS INTEGER) AS nth, stage, CASE WHEN d THEN 'dirty' ELSE 'pending' END AS status, coalesce(t, false) AS stale, coalesce(o, 0) AS version FROM docs CROSS JOIN stages LEFT JOIN hits USING (doc_id, stage)""",
     "pinned_criteria": f"WITH {_INPUTS} SELECT doc_id, field, arg_max(value, ord) AS value, max(ord) AS ord FROM inputs WHERE field IN ('century', 'lang', 'script', 'document_type') GROUP BY 1, 2",
-    "new_orders": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "new_orders": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 0)",
     "streaming_replay": f"WITH {_LATEST} SELECT * FROM latest",
 }

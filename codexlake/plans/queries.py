@@ -397,7 +397,7 @@ def pinned_criteria(spark, d):
 
 
 def new_orders(spark, d):
-    o = table(spark, d, "orders")
+    o = table(spark, d, "orders").where("o_orderkey % 10 = 0")
     return state.new_orders(table(spark, d, "customer").select("c_custkey"), o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
