@@ -88,38 +88,39 @@ def terms(text: Column) -> Column:
     return F.filter(cleaned, lambda t: (F.length(t) > 2) & ~t.rlike(r"^\d+$"))
 
 
-def _longest_run(items: Column) -> Column:
-    """How often the most frequent item occurs."""
-    start = F.struct(F.lit(0).alias("best"), F.lit(0).alias("run"), F.lit(None).cast("string").alias("last"))
-
-    def step(acc, x):
-        run = F.when(x == acc["last"], acc["run"] + 1).otherwise(1)
-        return F.struct(F.greatest(acc["best"], run).alias("best"), run.alias("run"), x.alias("last"))
-
-    return F.aggregate(F.sort_array(items), start, step, lambda acc: acc["best"])
+def _let(value: Column, body) -> Column:
+    """body(value), with ``value`` evaluated once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def is_degenerate(text: Column) -> Column:
     """Signs of repetition collapse: one character dominates, few distinct ones, one-character lines, few distinct words. Null and blank: false."""
     text = F.coalesce(text, F.lit(""))
-    chars = F.regexp_extract_all(text, F.lit(r"(?U)(\S)"), F.lit(1))
+    solid = F.regexp_replace(text, r"(?U)\s+", "")
     lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x: collapse(x)), lambda x: x != "")
-    same = F.filter(lines, lambda x: x.rlike(r"^(.)\1*$"))
-    words = tokens(text)
-    found = (
-        (_longest_run(chars) > DOMINANT * F.size(chars))
-        | (F.size(F.array_distinct(chars)) < MIN_ALPHABET)
-        | (F.size(same) > SINGLE_CHAR_LINES * F.size(lines))
-        | ((F.length(text) >= MIN_LENGTH) & (F.size(F.array_distinct(words)) < MIN_DISTINCT_WORDS * F.size(words)))
-    )
-    return F.when(F.size(chars) == 0, F.lit(False)).otherwise(found)
-
-
-def quality_score(text: Column, with_degenerate: bool = True) -> Column:
-    """0 blank, 0.2 hardly any letters, 0.3 under 20 characters, 0.1 degenerate, else 0.8."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
-    score = F.when(t == "", 0.0).when(F.regexp_count(t, F.lit(r"\p{L}")) < 0.1 * F.length(t), 0.2).when(F.length(t) < 20, 0.3)
-    return (score.when(is_degenerate(t), 0.1) if with_degenerate else score).otherwise(0.8)
+    same = lambda x: x.rlike(r"^(.)\1*$")
+
+    def by_chars(t: Column) -> Column:
+        """Each distinct character is counted by what its removal takes away."""
+        alphabet = F.array_distinct(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)))
+        most = lambda a: F.array_max(F.transform(a, lambda c: F.length(t) - F.length(F.replace(t, c, F.lit("")))))
+        return _let(alphabet, lambda a: F.when(F.size(a) < MIN_ALPHABET, True).otherwise(most(a) > DOMINANT * F.length(t)))
+
+    by_lines = _let(lines, lambda x: F.size(F.filter(x, same)) > SINGLE_CHAR_LINES * F.size(x))
+    by_words = _let(tokens(text), lambda w: F.size(F.array_distinct(w)) < MIN_DISTINCT_WORDS * F.size(w))
+    return _let(solid, lambda t: F.when(t == "", False).otherwise(by_chars(t) | by_lines | (F.length(text) >= MIN_LENGTH) & by_words))
+
+
+def quality_score(text: Column, with_degenerate: bool = True, degenerate: Column | None = None) -> Column:
+    """0 blank, 0.2 hardly any letters, 0.3 under 20 characters, 0.1 degenerate, else 0.8. The flag can be given if it is known."""
+
+    def score(t: Column) -> Column:
+        out = F.when(t == "", 0.0).when(F.regexp_count(t, F.lit(r"\p{L}")) < 0.1 * F.length(t), 0.2).when(F.length(t) < 20, 0.3)
+        if with_degenerate:
+            out = out.when(is_degenerate(t) if degenerate is None else degenerate, 0.1)
+        return out.otherwise(0.8)
+
+    return _let(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", ""), score)
 
 
 def chunks(text: Column, size: int, overlap: int) -> Column:

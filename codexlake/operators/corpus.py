@@ -50,7 +50,9 @@ def merge_chunk_results(results: DataFrame, key: str, nth: str, items: str, fiel
 
 
 def quality_flags(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(doc, T.is_degenerate(F.col(text)).alias("degenerate"), T.quality_score(F.col(text)).alias("quality"))
+    """doc, degenerate, quality; the flag is worked out once, on the text as it is."""
+    flagged = docs.select(doc, text, T.is_degenerate(F.col(text)).alias("degenerate"))
+    return flagged.select(doc, "degenerate", T.quality_score(F.col(text), degenerate=F.col("degenerate")).alias("quality"))
 
 
 def storage_overview(files: DataFrame, group: Column, size: Column) -> DataFrame:

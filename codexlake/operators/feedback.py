@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codexlake.functions import rules as R
+from codexlake.sources.scratch import written
 
 
 def latest(log: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -70,15 +71,26 @@ def coverage(events: DataFrame, sets: dict[str, list[str]], chosen: str = "chose
     return grouped_rates(events.where(accepted | F.col(rejected)), accepted, sets, "decided", "accepted")
 
 
-def regret(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Distribution of the distances: measured, unmeasurable (null), median, p90 by nearest rank, max.
+def ranks(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """``rows`` with r, the rank from 0 of the value in its group, and n, the group's size.
 
-    The ordered values of a group are reached by their rank, not gathered: a
-    row number over (group, value) and the group's count pick three rows.
+    The rows are range-partitioned by group, value and a row number, so that a
+    large group, even one of equal values, spreads over many tasks; a rank is
+    the rows of the group in earlier partitions plus the rank in the own one.
     """
-    measured = rows.where(F.col(value).isNotNull())
-    n = measured.groupBy(*by).agg(F.count("*").alias("n"))
-    numbered = measured.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1).join(n, by)
+    tie = rows.withColumn("_tie", F.monotonically_increasing_id())
+    placed = written(tie.repartitionByRange(*by, value, "_tie").withColumn("_part", F.spark_partition_id()), "ranks")
+    counts = placed.groupBy(*by, "_part").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*by).orderBy("_part")  # as many rows as partitions hold the group
+    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = before.withColumn("n", F.sum("_c").over(Window.partitionBy(*by))).drop("_c")
+    inside = placed.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(value, "_tie")) - 1)
+    return inside.join(before, [*by, "_part"]).withColumn("r", F.col("_before") + F.col("_r")).drop("_part", "_before", "_r", "_tie")
+
+
+def regret(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Distribution of the distances: measured, unmeasurable (null), median, p90 by nearest rank, max."""
+    numbered = ranks(rows.where(F.col(value).isNotNull()).select(*by, value), value, by)
     p90 = F.least(F.col("n") - 1, F.bround(0.9 * (F.col("n") - 1)).cast("long"))
     lo, hi = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
     at = lambda k: F.max(F.when(F.col("r") == k, F.col(value)))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codexlake.operators import metrics as M
+from codexlake.sources.parallel import spread
 
 
 def _columns(readings: list[tuple[str, str]], with_inserts: bool) -> tuple[list[str], list[dict[str, str]]]:
@@ -61,7 +62,7 @@ def align(readings: DataFrame, page: list[str], label: str, order: str, text: st
 
     A page's few readings are gathered in order and aligned in one Arrow call.
     """
-    r = M.usable(readings, text)
+    r = spread(M.usable(readings, text).select(*page, label, order, text), *page)
     grouped = r.groupBy(*page).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(label).cast("string").alias("label"), F.col(text).alias("text")))), lambda x: F.struct(x["label"].alias("label"), x["text"].alias("text"))).alias("r"))
     return grouped.select(*page, F.explode(F.pandas_udf(_align, _PLACES)("r", F.lit(with_inserts))).alias("c")).select(*page, "c.*")
 

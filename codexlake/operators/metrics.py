@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 from codexlake.functions import text as T
+from codexlake.sources.parallel import spread
 
 
 def prepare(text: Column, ignore_case: bool = True, ignore_whitespace: bool = True, ignore_punctuation: bool = True, fold_abbreviations: bool = False) -> Column:
@@ -58,9 +59,10 @@ def pairwise_cer(readings: DataFrame, page: list[str], order: str, text: str = "
     """CER of each pair of a page's usable readings, the earlier one as reference: page, a, b, cer.
 
     A page has few readings; pages are the join key, so the pairs of a page
-    stay together and pages spread.
+    stay together. Readings are few bytes but long work, so the pages are dealt
+    to all slots first; both sides of the join use that partitioning.
     """
-    r = usable(readings, text)
+    r = spread(usable(readings, text).select(*page, order, text), *page)
     left = r.select(*page, F.col(order).alias("a"), F.col(text).alias("ta"))
     right = r.select(*page, F.col(order).alias("b"), F.col(text).alias("tb"))
     return left.join(right, page).where("a < b").select(*page, "a", "b", cer(F.col("ta"), F.col("tb"), **(options or RAW)).alias("cer"))
@@ -72,7 +74,7 @@ def max_cer(pairs: DataFrame, page: list[str]) -> DataFrame:
 
 def max_cer_symmetric(readings: DataFrame, page: list[str], order: str, text: str = "text") -> DataFrame:
     """The largest normalised CER in either direction."""
-    r = usable(readings, text)
+    r = spread(usable(readings, text).select(*page, order, text), *page)
     left, right = r.select(*page, F.col(order).alias("a"), F.col(text).alias("ta")), r.select(*page, F.col(order).alias("b"), F.col(text).alias("tb"))
     both = left.join(right, page).where("a <> b").select(*page, cer(F.col("ta"), F.col("tb")).alias("cer"))
     return both.groupBy(*page).agg(F.max("cer").alias("max_cer"))
