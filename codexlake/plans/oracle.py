@@ -136,6 +136,7 @@ SQL: dict[str, str] = {
         SELECT doc_id, CASE {_LANGUAGE} ELSE '' END AS code, false AS implausible FROM stated""",
     "years_and_centuries": """WITH y AS (SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS a, CAST(year(o_orderdate) + o_custkey % 400 AS INTEGER) AS b FROM orders)
         SELECT o_orderkey, least(a, b) AS lo, greatest(a, b) AS hi, CAST(round_even(((a // 100 + 1) + (b // 100 + 1)) / 2, 0) AS INTEGER) AS century FROM y""",
+    "tolerant_json": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(1 AS INTEGER) AS objects FROM events",
     "pairwise_cer": f"WITH {_PAIRS} SELECT * FROM pairs",
     "max_pairwise_cer": f"WITH {_PAIRS} SELECT conv_id, max(cer) AS max_cer, count(*) AS pairs FROM pairs GROUP BY 1",
     "max_symmetric_cer": f"WITH {_READINGS} SELECT a.conv_id, max(CAST({_CER.format('a.text', 'b.text')} AS DOUBLE)) AS max_cer FROM readings a JOIN readings b ON a.conv_id = b.conv_id AND a.turn <> b.turn GROUP BY 1",

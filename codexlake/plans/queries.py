@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from codexlake.functions import rules as R, text as T
+from codexlake.functions import json_text as J, rules as R, text as T
 from codexlake.operators import corpus, entities, feedback, fusion, graph, metrics, resolve, selection, strengths, vectors
 from codexlake.operators.components import connected_components
 from codexlake.sources.parallel import spread_small
@@ -82,6 +82,14 @@ def years_and_centuries(spark, d):
     return o.select("o_orderkey", R.parse_years(F.col("span"))["lo"].alias("lo"), R.parse_years(F.col("span"))["hi"].alias("hi"), R.parse_century(F.col("span")).cast("int").alias("century"))
 
 
+def tolerant_json(spark, d):
+    """Event properties as a model would write them: fenced, in prose, with a trailing comma."""
+    e = table(spark, d, "events")
+    open_ = F.regexp_replace("props", r"\\}$", ",}")
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), open_, F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("Here it is: "), open_, F.lit(" as asked"))).otherwise(F.col("props"))
+    return e.select("event_id", F.try_variant_get(J.tolerant(text), "$.k", "bigint").alias("k"), F.size(J.salvage(text)).alias("objects"))
+
+
 # metrics
 
 
@@ -416,7 +424,7 @@ def streaming_replay(spark, d):
 
 def _all() -> dict:
     names = """corpus_term_stats corpus_top_terms doc_quality_flags doc_chunks search_index catalogue_search storage_overview run_totals text_functions language_scripts
-    years_and_centuries pairwise_cer max_pairwise_cer max_symmetric_cer gate_blocked cer_best_engine cer_engine_means page_quality token_offsets votes_latest votes_tally votes_winner
+    years_and_centuries tolerant_json pairwise_cer max_pairwise_cer max_symmetric_cer gate_blocked cer_best_engine cer_engine_means page_quality token_offsets votes_latest votes_tally votes_winner
     override_rates selection_agreement coverage_rollup regret_percentiles routing_prior model_winrates path_preferences preference_pairs bradley_terry strength_priors pseudonymise
     model_topk routing_gate ranked_candidates entity_index entity_register entity_lookup review_list vocabulary_match link_cascade resolve_edges resolve_components resolve_merged
     cosine_topk kmeans_labels fuse_votes disagreement_spans reconciled_pairs triples triple_counts provenance_bgp publication_scope stage_states pinned_criteria new_orders streaming_replay"""

@@ -62,3 +62,18 @@ def test_error_rates(spark):
     assert values(spark, lambda a, b: M.cer(a, b, **M.RAW), "gebürt", "geburt") == pytest.approx(1 / 6)
     assert values(spark, M.cer, "", "") == 0.0 and values(spark, M.cer, "", "x") == 1.0
     assert values(spark, M.wer, "a b c", "a x c d") == pytest.approx(2 / 3)
+
+
+def test_model_answers(spark):
+    from codexlake.functions import json_text as J
+
+    rows = [('```json\n{"a": 1,}\n```',), ('Sure: {"a": 1} done',), ('[{"a": 1}, {"a": 2}, {"a"',), ("nothing",), (None,)]
+    df = spark.createDataFrame(rows, "t string")
+    got = df.select(F.try_variant_get(J.tolerant(F.col("t")), "$.a", "int").alias("a"), F.size(J.salvage(F.col("t"))).alias("n")).collect()
+    assert [r.a for r in got] == [1, 1, 1, None, None] and [r.n for r in got[:4]] == [1, 1, 2, 0]
+    d = spark.createDataFrame([('{"Schrift": {"wert": "Gotische Textura"}, "Sprache": "Latein (unsicher)", "Datierung": {"value": "1350"}, "Dokumenttyp": ""}',)], "j string")
+    r = d.select(J.criteria(F.parse_json("j")).alias("c"), J.marked_uncertain(F.parse_json("j")).alias("u"), J.missing_elements(F.parse_json("j"), ["Schrift", "Dokumenttyp", "Ort"]).alias("m")).first()
+    assert tuple(r.c) == ("textura", "la", 14, None) and r.u and r.m == ["Dokumenttyp", "Ort"]
+    assert values(spark, lambda t: J.choice(t, "pick", ["a", "b"]), '{"pick": "B"}') == "b" and values(spark, lambda t: J.choice(t, "pick", ["a"]), '{"pick": "x"}') is None
+    assert tuple(values(spark, lambda t: J.coordinates(F.parse_json(t)), "[46.9, 7.4]")) == (46.9, 7.4) and values(spark, lambda t: J.coordinates(F.parse_json(t)), "[1]") is None
+    assert values(spark, lambda t: J.source_url("http://x/", t), "a b") == "http://x/a+b"
