@@ -20,8 +20,12 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Unicode white space, as the tokenizers' patterns understand \s.
 _SPACE = "\t-\r \x85\xa0  -     　"
 _LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
-#: Units kept per worker; at the limit the store is emptied.
-MAX_UNITS = 300_000
+#: Units kept per worker, about 200 bytes each; at the limit the store is emptied.
+MAX_UNITS = 1_000_000
+#: A unit of letters only is one piece of the pre-tokenizer, whose byte-level step writes each byte as a printable character.
+_WORD = re.compile(rf" ?[{_LETTERS}]+").fullmatch
+_PRINTED = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+_BYTES = _PRINTED | {b: chr(256 + n) for n, b in enumerate(x for x in range(256) if x not in _PRINTED)}
 
 
 class Encoder(dict):
@@ -42,8 +46,12 @@ class Encoder(dict):
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= MAX_UNITS:
             self.clear()
-        text = self.normalizer.normalize_str(unit) if self.normalizer else unit
-        found = [t.id for piece, _ in self.cut.pre_tokenize_str(text) for t in self.model.tokenize(piece)]
+        if _WORD(unit):
+            word = unit.lower() if self.normalizer else unit
+            found = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTES))]
+        else:
+            text = self.normalizer.normalize_str(unit) if self.normalizer else unit
+            found = [t.id for piece, _ in self.cut.pre_tokenize_str(text) for t in self.model.tokenize(piece)]
         self[unit] = packed = np.array(found, dtype="<u4").tobytes()
         return packed
 
