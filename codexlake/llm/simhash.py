@@ -33,7 +33,7 @@ HAMMING = 15
 #: Rows of an anchor beyond which it is cut into cells, and the number of such anchors that may be broadcast.
 CELL_ROWS, MAX_HOT = 16_384, 200_000
 #: Pairs compared at once.
-STEP = 2_000_000
+STEP = 300_000
 #: Classes without any doc_id are numbered from here on.
 NO_DOC = 1 << 62
 
