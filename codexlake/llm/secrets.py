@@ -127,23 +127,13 @@ def candidates(docs: DataFrame, rules=RULES) -> DataFrame:
     return lists.select("doc_id", "th", kinds.alias("kinds")).where(F.size("kinds") > 0)
 
 
-def _matches(rows: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, th, kind, start, end of the rule's leftmost non-overlapping matches that are long enough."""
+def _matches(text: Column, rule: Rule) -> Column:
+    """Array of (gap, n, value): of each leftmost non-overlapping match the text before it, its length and that of the group that counts."""
     pattern = F.lit(rule.regex)
-    found = rows.where(F.col("text").rlike(_probe(rule))).select(
-        "doc_id",
-        "th",
-        F.monotonically_increasing_id().alias("row"),
-        F.transform(F.split("text", rule.regex, -1), lambda x: F.length(x)).alias("between"),
-        F.regexp_extract_all("text", pattern, F.lit(0)).alias("whole"),
-        F.transform(F.regexp_extract_all("text", pattern, F.lit(rule.group)), lambda x: F.length(x)).alias("value"),
-    )
-    zipped = F.arrays_zip(F.slice("between", F.lit(1), F.size("whole")).alias("gap"), F.transform("whole", lambda x: F.length(x)).alias("n"), F.col("value").alias("value"))
-    each = found.select("doc_id", "th", "row", F.posexplode(zipped).alias("nth", "m")).select("doc_id", "th", "row", "nth", "m.*")
-    ahead = Window.partitionBy("row").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(F.col("gap") + F.col("n")).over(ahead)
-    spans = each.withColumn("end", end).where(F.col("value") >= rule.least)
-    return spans.select("doc_id", "th", F.lit(rule.kind).alias("kind"), (F.col("end") - F.col("n")).cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    lengths = lambda x: F.transform(x, lambda v: F.length(v))
+    between = lengths(F.split(text, rule.regex, -1))
+    whole, value = (lengths(F.regexp_extract_all(text, pattern, F.lit(g))) for g in (0, rule.group))
+    return let(whole, lambda w: F.arrays_zip(F.slice(between, F.lit(1), F.size(w)).alias("gap"), w.alias("n"), value.alias("value")))
 
 
 def _probe(rule: Rule) -> str:
@@ -152,18 +142,28 @@ def _probe(rule: Rule) -> str:
 
 
 def secret_spans(docs: DataFrame, rules=RULES) -> DataFrame:
-    """doc_id, th, kind, start, end (code points, end exclusive) of all secrets, once for rows that agree in doc_id and text."""
+    """doc_id, th, kind, start, end (code points, end exclusive) of all secrets, once for rows that agree in doc_id and text.
+
+    The candidates join the documents once; a rule with a trigram query looks
+    only at the texts that are candidates for it.
+    """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), text_key(F.col("text").cast("string")).alias("th"))
     asked = queries(rules)
-    c = candidates(docs, rules).alias("c").hint("shuffle_hash")
-    d = slim.alias("d")
-    verified = d.join(c, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.th") == F.col("c.th"))).select("d.*", "c.kinds")
-    out = None
-    for rule in rules:
-        rows = verified.where(F.array_contains("kinds", rule.kind)) if rule.kind in asked else slim
-        spans = _matches(rows, rule)
-        out = spans if out is None else out.unionByName(spans)
-    return out.distinct()
+    c, d = candidates(docs, rules).alias("c").hint("shuffle_hash"), slim.alias("d")
+    joined = d.join(c, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.th") == F.col("c.th")), "left").select("d.*", "c.kinds")
+    found = []
+    for order, rule in enumerate(rules):
+        hit = F.col("text").rlike(_probe(rule))
+        if rule.kind in asked:  # reads both sides of the join, so no text is searched before it
+            hit = F.when(F.array_contains("kinds", rule.kind), hit)
+        found.append(F.when(hit, F.struct(F.lit(order).alias("rule"), _matches(F.col("text"), rule).alias("m"))))
+    each = joined.select("doc_id", "th", F.monotonically_increasing_id().alias("row"), F.explode(F.array_compact(F.array(*found))).alias("x"))
+    each = each.select("doc_id", "th", "row", "x.rule", F.posexplode("x.m").alias("nth", "m")).select("doc_id", "th", "row", "rule", "nth", "m.*")
+    ahead = Window.partitionBy("row", "rule").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    least = F.element_at(F.array(*[F.lit(r.least) for r in rules]), F.col("rule") + 1)
+    kind = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("rule") + 1)
+    spans = each.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(ahead)).where(F.col("value") >= least)
+    return spans.select("doc_id", "th", kind.alias("kind"), (F.col("end") - F.col("n")).cast("long").alias("start"), F.col("end").cast("long").alias("end")).distinct()
 
 
 def scan(docs: DataFrame, rules=RULES) -> DataFrame:
