@@ -34,22 +34,32 @@ HAMMING = 15
 CELL_ROWS, MAX_HOT = 16_384, 200_000
 #: Pairs compared at once.
 STEP = 300_000
+#: A shingle is ordered last if more than HOT_SETS of one in SAMPLE sets hold it; so many at most.
+SAMPLE, HOT_SETS, MAX_COMMON = 16, 4, 200_000
+#: Sets to verify whose numbers may be broadcast.
+MAX_NEEDED = 500_000
 #: Classes without any doc_id are numbered from here on.
 NO_DOC = 1 << 62
 
 
-def _fingerprint(text: bytes, shingle: int, n_words: int) -> np.ndarray:
-    """n_words uint64 values. The first is the plain 64-bit SimHash; the others use remixed shingle hashes."""
+def _shingles(text: bytes, shingle: int) -> np.ndarray:
+    """Hashes of the shingles in their order, repeated ones too."""
     words = text.lower().split()
     if not words:
-        return np.zeros(n_words, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
     k = min(shingle, len(words))
     hash_ = xxhash.xxh64_intdigest
-    h = np.array([hash_(joined[s:e], 42) for s, e in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], dtype=np.uint64)
-    out = np.empty(n_words, dtype=np.uint64)
+    return np.array([hash_(joined[s:e], 42) for s, e in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], dtype=np.uint64)
+
+
+def _bits(h: np.ndarray, n_words: int) -> np.ndarray:
+    """n_words uint64 values. The first is the plain 64-bit SimHash; the others use remixed shingle hashes."""
+    out = np.zeros(n_words, dtype=np.uint64)
+    if not len(h):
+        return out
     for w in range(n_words):
         if w:
             h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x9E3779B97F4A7C15)
@@ -62,6 +72,10 @@ def _fingerprint(text: bytes, shingle: int, n_words: int) -> np.ndarray:
     return out
 
 
+def _fingerprint(text: bytes, shingle: int, n_words: int) -> np.ndarray:
+    return _bits(_shingles(text, shingle), n_words)
+
+
 def _fingerprints(shingle: int, n_words: int):
     def run(batches):
         for batch in batches:
@@ -292,18 +306,125 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, n_words: int = 1, widths:
     return prints.join(labelled, names).select("doc_id", "th", *names, "component_id")
 
 
+def _shingle_sets(shingle: int, n_words: int):
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sets = [np.unique(_shingles(x, shingle)) for x in raw_texts(batch.column("text"))]
+            prints = np.array([_bits(h, n_words) for h in sets], dtype=np.uint64).reshape(-1, n_words)
+            classes = np.array([xxhash.xxh64_intdigest(h.tobytes(), 7) for h in sets], dtype=np.uint64)
+            values = pa.array(np.concatenate(sets).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(h) for h in sets])].astype(np.int32)), values)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("th"), pa.array(classes.view(np.int64)), *[pa.array(np.ascontiguousarray(prints[:, w]).view(np.int64)) for w in range(n_words)], lists],
+                names=["doc_id", "th", "node", *[f"f{w}" for w in range(n_words)], "shingles"],
+            )
+
+    return run
+
+
+def _prefixes(hot: np.ndarray):
+    """Of each set the first n - ceil(0.8 n) + 1 shingles and their places, those in ``hot`` (sorted) last."""
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for node, h in zip(batch.column("node").to_pylist(), batch.column("shingles")):
+                h = h.values.to_numpy(zero_copy_only=False)
+                n = len(h)
+                if not n:
+                    continue
+                if len(hot):
+                    late = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+                    h = np.r_[h[~late], h[late]]
+                h = h[: n - (4 * n + 4) // 5 + 1]
+                found.append((h, np.full(len(h), node), np.full(len(h), n, dtype=np.int32), np.arange(len(h), dtype=np.int32)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["h", "node", "n", "i"])
+
+    return run
+
+
+def _shared(batches):
+    """Of rows sorted by h and node one of each, where another node has the same h."""
+    last, joined = None, False
+
+    def pack(columns):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "node", "n", "i"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy() for c in batch.columns]
+        if last is not None:
+            columns = [np.concatenate(x) for x in zip(last, columns)]
+        h, node = columns[:2]
+        new = np.r_[True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])]
+        columns = [c[new] for c in columns]
+        same = columns[0][1:] == columns[0][:-1]
+        after = np.r_[joined, same]
+        met = np.flatnonzero(after[:-1] | same)
+        if len(met):
+            yield pack([c[met] for c in columns])
+        last, joined = [c[-1:] for c in columns], bool(after[-1])
+    if joined:
+        yield pack(last)
+
+
+def _prefix_rows(sets: DataFrame) -> DataFrame:
+    """h, node, n, i: two sets of Jaccard similarity 0.8 or more share an h; those of one set only are left out.
+
+    That holds for any order of the shingles that all sets follow. They are
+    sorted by hash, those common in a sample of the sets after all others.
+    """
+    sample = sets.where(F.pmod("node", F.lit(SAMPLE)) == 0).select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("c"))
+    common = sample.where(F.col("c") > HOT_SETS).orderBy(F.desc("c"), "h").limit(MAX_COMMON).collect()
+    hot = np.array(sorted(r["h"] for r in common), dtype=np.int64)
+    schema = "h long, node long, n int, i int"
+    rows = sets.select("node", "shingles").mapInArrow(_prefixes(hot), schema)
+    return rows.repartition("h").sortWithinPartitions("h", "node").mapInArrow(_shared, schema)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets have Jaccard similarity 0.8 or more, by exact counts."""
+    pairs = written(pairs.select("a", "b").distinct(), "pairs")
+    need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    need = F.broadcast(need) if need.count() <= MAX_NEEDED else need
+    used = written(sets.select("node", "shingles").join(need, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("s")), "used")
+    both = pairs.join(used.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(used.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    return written(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "similar")
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, n_words: int = 3, widths: tuple[int, ...] = (16, 16, 16, 16), t: int = 1, threshold: int = 32) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of their near-duplicate group, all columns as they are.
 
-    By default 192 bits over 5-word shingles. Two texts with Jaccard similarity
-    0.8 differ in 15 % of the bits on average (the angle of two sets of cosine
-    0.89), 29 bits with a standard deviation of 5; the limit of 32 leans to
-    finding them. Pairs within 23 bits always meet at an anchor; of pairs at 30
-    bits about two in a hundred don't. Rows that agree in doc_id and text stay
-    or go together.
+    Groups are the components of all pairs whose sets of 5-word shingles have
+    Jaccard similarity 0.8 or more. Fingerprints (192 bits of the set by
+    default) propose links, which are verified by exact counts and contract
+    the large groups. What they miss, or link by one failing pair, is found by
+    prefixes of the sets: sets that similar share a shingle of their prefixes.
+    All such pairs that lie in different groups are verified as well. Rows that
+    agree in doc_id and text stay or go together.
     """
-    found = near_duplicates(docs, shingle, n_words, widths, t, threshold).where(F.col("component_id").eqNullSafe(F.col("doc_id")))
-    kept = found.select(F.col("doc_id").alias("doc_id_k"), F.col("th").alias("th_k")).distinct()
+    names = [f"f{w}" for w in range(n_words)]
+    schema = "doc_id long, th int, node long, " + ", ".join(f"{n} long" for n in names) + ", shingles array<long>"
+    sets = written(with_text_key(docs).mapInArrow(_shingle_sets(shingle, n_words), schema), "sets")
+    classes = written(sets.select("node", *names).distinct(), "classes")
+    sure = _similar(near_links(classes, n_words, widths, t, threshold), sets)
+    labels = connected_components(sure)
+    rows = written(_prefix_rows(sets).join(labels, "node", "left").select("h", "node", "n", "i", F.coalesce("component", "node").alias("c")), "prefixes")
+    shared = rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
+    rows = written(rows.join(shared, "h", "left_semi"), "shared")
+    x, y = rows.toDF("h", "a", "n", "i", "c"), rows.toDF("h", "b", "m", "j", "d")
+    pairs = x.join(y, "h").where("a < b AND c <> d AND 5 * n >= 4 * m AND 5 * m >= 4 * n").groupBy("a", "b", "n", "m")
+    # behind the last shared place of the prefixes no more can be shared than what is left of the shorter rest
+    pairs = pairs.agg(F.count("*").alias("k"), F.max("i").alias("i"), F.max("j").alias("j")).where("9 * (k + least(n - 1 - i, m - 1 - j)) >= 4 * (n + m)")
+    found = connected_components(sure.union(_similar(pairs, sets)))
+    members = sets.select("doc_id", "th", "node").join(found, "node", "left").select("doc_id", "th", F.coalesce("component", "node").alias("c"))
+    members = written(members, "members")
+    least = members.groupBy("c").agg(F.min("doc_id").alias("least"))
+    kept = members.join(least, "c").where(F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("doc_id_k"), F.col("th").alias("th_k")).distinct()
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("doc_id_k")) & (text_key(F.col("text").cast("string")) == F.col("th_k"))
     return docs.join(kept.hint("shuffle_hash"), same, "left_semi")
 

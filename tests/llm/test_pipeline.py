@@ -89,3 +89,19 @@ def test_192_bits_follow_the_shingles(spark):
         alike.add(3 * d + 1)
     kept = {r.doc_id for r in simhash.drop_near_duplicates(docs_frame(spark, rows)).collect()}
     assert {d for d, *_ in rows} - kept == alike
+
+
+def test_groups_are_components_of_exact_similarity(spark):
+    """Pairs on both sides of 0.8: the 192 bits alone lose some and link others."""
+    rng = random.Random(8)
+    rows = []
+    for d in range(150):
+        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        near = list(base)
+        for at in rng.sample(range(300), rng.randrange(4, 14)):
+            near[at] = "changed"
+        rows += [(2 * d, " ".join(base), "en", "a"), (2 * d + 1, " ".join(near), "en", "a")]
+    gone = {d for d in range(1, 300, 2) if jaccard(rows[d - 1][1], rows[d][1]) >= 0.8}
+    assert 20 < len(gone) < 130
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs_frame(spark, rows)).collect()}
+    assert set(range(300)) - kept == gone
