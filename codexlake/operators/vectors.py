@@ -24,29 +24,30 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 5, key: str = "vec_
     return vectors.select(key, cosine(F.col(vector), q).alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
 
 
-def kmeans(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", seed: int = 0, iterations: int = 20) -> DataFrame:
+def kmeans(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", seed: int = 0, iterations: int = 100) -> DataFrame:
     """key, cluster by Lloyd's iteration.
 
     Starts from k rows drawn by a seeded hash of the key. A round assigns each
     row to the nearest centroid (the first of equals) and averages per cluster
     and dimension with map-side sums; only the k centroids go to the driver.
-    An empty cluster keeps its centroid. Stops when no centroid moves.
+    An empty cluster keeps its centroid. Stops when no row changes its cluster.
     """
     start = vectors.orderBy(F.xxhash64(F.lit(seed), key), key).limit(k).select(vector).collect()
     centroids = [[float(x) for x in r[0]] for r in start]
-    assigned = vectors.select(key, F.lit(0).alias("cluster"))
+    assigned, before = vectors.select(key, F.lit(0).alias("cluster")), F.lit(-1)
     for _ in range(iterations):
         c = F.array(*[F.array(*map(F.lit, x)) for x in centroids])
         apart = F.transform(c, lambda m: F.aggregate(F.zip_with(m, F.col(vector), lambda x, y: (x - y.cast("double")) * (x - y.cast("double"))), F.lit(0.0), lambda a, x: a + x))
-        assigned = vectors.select(key, vector, (F.array_position(apart, F.array_min(apart)) - 1).cast("int").alias("cluster"))
-        sums = assigned.select("cluster", F.posexplode(vector).alias("d", "x")).groupBy("cluster", "d").agg(F.avg("x").alias("m")).collect()
+        label = (F.array_position(apart, F.array_min(apart)) - 1).cast("int")
+        assigned = vectors.select(key, vector, label.alias("cluster"), before.alias("before"))
+        means = assigned.select("cluster", "before", F.posexplode(vector).alias("d", "x")).groupBy("cluster", "d")
+        sums = means.agg(F.avg("x").alias("m"), F.count_if(F.col("cluster") != F.col("before")).alias("changed")).collect()
+        if not any(r["changed"] for r in sums):
+            break
         new = [list(x) for x in centroids]
         for r in sums:
             new[r["cluster"]][r["d"]] = r["m"]
-        moved = max((abs(a - b) for x, y in zip(new, centroids) for a, b in zip(x, y)), default=0.0)
-        centroids = new
-        if moved < 1e-12:
-            break
+        centroids, before = new, label
     return assigned.select(key, "cluster")
 
 

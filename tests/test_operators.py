@@ -1,6 +1,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +160,24 @@ def test_kmeans_and_search(spark):
     assert [r.vec_id for r in vectors.nearest(df, [0.0, 1.0], 2).collect()] == [0, 1]
 
 
+def test_kmeans_runs_until_labels_are_stable(spark):
+    """The border between two centroids that start at one end creeps along the line for more than 20 rounds."""
+    points = np.random.default_rng(1).random(600)
+    x = np.sort(points**3).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v)]) for i, v in enumerate(x)], "vec_id int, embedding array<float>")
+    start = [r.vec_id for r in df.orderBy(F.xxhash64(F.lit(0), "vec_id"), "vec_id").limit(8).collect()]
+    data, centroids, labels, rounds = x.astype(float), x[start].astype(float), None, 0
+    while True:
+        new = np.argmin((data[:, None] - centroids[None]) ** 2, axis=1)
+        if labels is not None and (new == labels).all():
+            break
+        labels, rounds = new, rounds + 1
+        centroids = np.array([data[labels == c].mean() if (labels == c).any() else centroids[c] for c in range(8)])
+    assert 22 < rounds < 100
+    got = {r.vec_id: r.cluster for r in vectors.kmeans(df, 8).collect()}
+    assert [got[i] for i in range(len(x))] == labels.tolist()
+
+
 def test_gates(spark):
     df = spark.createDataFrame([("2024-01-01T00:00:00",), ("bad",), ("2024-01-01T00:30:01+00:00",)], "ts string")
     got = [r.x for r in df.select(selection.expired(F.col("ts"), F.lit("2024-01-01T00:30:01Z").cast("timestamp")).alias("x")).collect()]
