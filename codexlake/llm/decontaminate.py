@@ -16,11 +16,13 @@ from codexlake.llm.common import text_key
 from codexlake.llm.quality import let
 from codexlake.sources.scratch import written
 
-#: Equal spans, different words left out.
-MASKS = ("110110111", "111011011")
+#: Equal spans, different words left out. A stretch without a hit of either scores 4 at most, less than any item asks for.
+MASKS = ("11111", "11101")
 SPAN = len(MASKS[0])
 #: Words compared on either side of a hit, and the score that counts as a leak (less for items of few words).
-REACH, MIN_SCORE, MIN_SHARE = 24, 10, 0.6
+REACH, MIN_SCORE, MIN_SHARE = 26, 10, 0.6
+#: Items of fewer words are found as a whole, all words equal.
+SHORT = 9
 #: Benchmark seeds broadcast at once; a larger benchmark is searched block by block.
 BLOCK_SEEDS = 1_000_000
 
@@ -41,10 +43,19 @@ def seeds(words: Column) -> Column:
     return F.when(F.size(words) < SPAN, F.array().cast("array<bigint>")).otherwise(F.concat(*map(of, MASKS)))
 
 
-def _seeded(df: DataFrame, words: str) -> DataFrame:
-    """A row per seed: its hash ``seed`` and place ``at`` beside the other columns."""
+def _windows(words: Column, n: int) -> Column:
+    """Hashes of all stretches of n words."""
+    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda p: F.xxhash64(F.lit(n), *[F.get(words, p + i) for i in range(n)]))
+    return F.when(F.size(words) < n, F.array().cast("array<bigint>")).otherwise(hashes)
+
+
+def _seeded(df: DataFrame, words: str, lengths: list[int]) -> DataFrame:
+    """A row per seed, and per stretch of the ``lengths``: its hash ``seed`` and place ``at`` beside the other columns."""
     out = df.select("*", F.posexplode(let(F.col(words), seeds)).alias("nth", "seed"))
-    return out.withColumn("at", F.col("nth") % (F.size(words) - SPAN + 1)).drop("nth")
+    out = out.withColumn("at", F.col("nth") % (F.size(words) - SPAN + 1)).drop("nth")
+    for n in lengths:
+        out = out.unionByName(df.select("*", F.posexplode(_windows(F.col(words), n)).alias("at", "seed")))
+    return out
 
 
 def _score(doc: Column, at: Column, item: Column, item_at: Column) -> Column:
@@ -64,25 +75,31 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, th, item_id, score, first_word, n_hits: one row per document and benchmark item that it overlaps.
 
     A hit counts if its score reaches MIN_SCORE, or MIN_SHARE of the words of
-    an item too short for that. Null and empty texts, and items or documents of
-    fewer words than a mask, overlap nothing. Rows of the benchmark without
-    item_id are one item, null. Rows that agree in doc_id and text are reported
+    an item too short for that; an item of fewer than SHORT words counts where all
+    its words are found in a row. Null and empty texts, and texts without letters
+    and digits, overlap nothing. Rows of the benchmark without item_id are one item, null. Rows that agree in doc_id and text are reported
     once. An empty table on either side gives an empty result.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("item")).distinct()
     items = written(items.withColumn("item_key", F.xxhash64("item_id", "item")), "items")
-    index = written(_seeded(items, "item").select("seed", "item_key", F.col("at").alias("item_at")), "seeds")
+    short = items.where((F.size("item") > 0) & (F.size("item") < SHORT))
+    lengths = sorted(r["n"] for r in short.select(F.size("item").alias("n")).distinct().collect())
+    index = _seeded(items.where(F.size("item") >= SHORT), "item", [])
+    for n in lengths:
+        index = index.unionByName(short.where(F.size("item") == n).select("*", _windows(F.col("item"), n)[0].alias("seed"), F.lit(0).alias("at")))
+    index = written(index.select("seed", "item_key", F.col("at").alias("item_at")), "seeds")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text").cast("string")).alias("th"), word_hashes(F.col("text")).alias("words"))
     blocks = max(1, -(-index.count() // BLOCK_SEEDS))
     found = None
     for block in range(blocks):
         part = index if blocks == 1 else index.where(F.pmod(F.xxhash64("item_key", "seed"), F.lit(blocks)) == block)
-        hits = _seeded(slim, "words").join(F.broadcast(part), "seed")
+        hits = _seeded(slim, "words", lengths).join(F.broadcast(part), "seed")
         left = F.greatest(F.col("at") - REACH, F.lit(0))  # only the words near the hit go on
         hits = hits.select("doc_id", "th", "item_key", "item_at", F.slice("words", left + 1, F.lit(SPAN + 2 * REACH)).alias("words"), (F.col("at") - left).alias("at"), left.alias("left"))
         hits = hits.join(items, "item_key")
         hits = hits.withColumn("score", _score(F.col("words"), F.col("at"), F.col("item"), F.col("item_at")))
-        hits = hits.where(F.col("score") >= F.least(F.lit(MIN_SCORE), F.floor(MIN_SHARE * F.size("item"))))
+        least = F.when(F.size("item") < SHORT, F.size("item")).otherwise(F.least(F.lit(MIN_SCORE), F.floor(MIN_SHARE * F.size("item"))))
+        hits = hits.where(F.col("score") >= least)
         hits = hits.select("doc_id", "th", "item_id", "score", F.greatest(F.lit(0), F.col("left") + F.col("at") - F.col("item_at")).alias("first_word"))
         found = hits if found is None else found.unionByName(hits)
     return found.groupBy("doc_id", "th", "item_id").agg(F.max("score").alias("score"), F.min("first_word").alias("first_word"), F.count("*").alias("n_hits"))
