@@ -1,9 +1,12 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
 One pass computes a few numbers per document. Mergeable quantile sketches of
-them per language and source (and per language, and overall, for sources with
-few documents) give the limits in place of fixed cutoffs, and a join on
-language and source applies them.
+them per language and source, per language, and overall give the limits in
+place of fixed cutoffs: a tail quantile, widened by its distance from the
+median. The limits of a source are drawn towards those of its language, and
+these towards the overall ones, the more the fewer documents there are; so
+groups of all sizes are treated alike. A join on language and source applies
+them.
 """
 
 from __future__ import annotations
@@ -15,9 +18,11 @@ from codexlake.sources.scratch import written
 
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
-#: metric: (least spread, both sides). The limits are the quartiles widened by SPREADS spreads.
-METRICS = {"symbol_share": (0.01, False), "dup_line_share": (0.1, False), "repeat_share": (0.08, False), "word_length": (0.75, True)}
-SPREADS, MIN_DOCS, ACCURACY = 6, 200, 10_000
+#: metric: (tail quantile, what the distance from the median is raised by, both sides). The tail lies inside the share of
+#: junk that a metric tells from good texts, and far out where it is the same in both.
+METRICS = {"symbol_share": (0.9, 0.01, False), "dup_line_share": (0.99, 0.03, False), "repeat_share": (0.99, 0.02, False), "word_length": (0.9, 0.1, True)}
+#: Distances beyond the tail that a limit lies, documents that the limits of the next larger group count for, and the sketches' accuracy.
+SPREADS, PRIOR_DOCS, ACCURACY = 2, 200, 10_000
 
 
 def let(value: Column, body) -> Column:
@@ -76,34 +81,37 @@ def features(docs: DataFrame) -> DataFrame:
     )
 
 
-def limits(found: DataFrame) -> DataFrame:
-    """lang, source and the lowest and highest value each metric may have there.
+def _own_limits(metric: str, sketch: Column, spreads: float) -> list[Column]:
+    """Highest (and lowest) value by a group's own quantiles: lower tail, median, upper tail."""
+    _, guard, both = METRICS[metric]
+    low, middle, high = (sketch[i] for i in range(3))
+    out = [(high + spreads * (high - middle + guard)).alias(f"{metric}_max")]
+    return out + [(low - spreads * (middle - low + guard)).alias(f"{metric}_min")] * both
 
-    From the sketches of the documents that pass the base rule. A source with
-    fewer than MIN_DOCS of them takes its language's limits, a language with
-    fewer the overall ones.
+
+def limits(found: DataFrame, spreads: float = SPREADS, prior_docs: int = PRIOR_DOCS) -> DataFrame:
+    """lang, source and the highest (``_max``) and lowest (``_min``) value each metric may have there.
+
+    From the sketches of the documents that pass the base rule. With n of them
+    a group's limits are (n * own + prior_docs * parent) / (n + prior_docs);
+    the parent of a source is its language, of a language all documents.
     """
-    sketches = [F.percentile_approx(m, [0.25, 0.75], ACCURACY).alias(m) for m in METRICS]
+    sketches = [F.percentile_approx(m, [1 - tail, 0.5, tail], ACCURACY).alias(m) for m, (tail, _, _) in METRICS.items()]
     levels = found.where(~F.col("base_failed")).groupingSets([["lang", "source"], ["lang"], []], "lang", "source")
     levels = written(levels.agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *sketches), "sketches")
-
-    by_lang = levels.where(F.col("level") == 1).select(F.col("lang").alias("lang_l"), F.when(F.col("n") >= MIN_DOCS, F.struct(*METRICS)).alias("l"))
-    overall = levels.where(F.col("level") == 3).select(*METRICS).first()  # one row
-    pair = lambda m: F.array(*[F.lit(x).cast("double") for x in (overall[m] if overall and overall[m] else (None, None))]).alias(m)
-    keys = found.select("lang", "source").distinct()
-    by_source = levels.where(F.col("level") == 0).select(F.col("lang").alias("lang_s"), F.col("source").alias("source_s"), F.when(F.col("n") >= MIN_DOCS, F.struct(*METRICS)).alias("s"))
-    t = keys.join(by_source, F.col("lang").eqNullSafe(F.col("lang_s")) & F.col("source").eqNullSafe(F.col("source_s")), "left")
-    t = t.join(by_lang, F.col("lang").eqNullSafe(F.col("lang_l")), "left")
-    t = t.select("lang", "source", F.coalesce("s", "l", F.struct(*map(pair, METRICS))).alias("q"))
-    columns = []
-    for m, (least, both) in METRICS.items():
-        low, high = F.col(f"q.{m}")[0], F.col(f"q.{m}")[1]
-        room = SPREADS * F.greatest(high - low, F.lit(least))
-        columns += [(high + room).alias(f"{m}_max"), ((low - room) if both else F.lit(None).cast("double")).alias(f"{m}_min")]
-    return t.select("lang", "source", *columns)
-
-
-def judge(docs: DataFrame) -> DataFrame:
+    own = levels.select("level", "lang", "source", "n", *[c for m in METRICS for c in _own_limits(m, F.col(m), spreads)])
+    names = own.columns[4:]
+    group = lambda level, *keys: own.where(F.col("level") == level).select(*[F.col(k).alias(f"{k}_{level}") for k in keys], *[F.col(c).alias(f"{c}_{level}") for c in ("n", *names)])
+    drawn = lambda c, level, parent: F.coalesce((F.col(f"n_{level}") * F.col(f"{c}_{level}") + prior_docs * parent) / (F.col(f"n_{level}") + prior_docs), parent)
+    overall = own.where(F.col("level") == 3).select(*names).first()  # one row
+    top = {c: F.lit(overall[c] if overall else None).cast("double") for c in names}
+    t = found.select("lang", "source").distinct()
+    t = t.join(group(1, "lang"), F.col("lang").eqNullSafe(F.col("lang_1")), "left")
+    t = t.join(group(0, "lang", "source"), F.col("lang").eqNullSafe(F.col("lang_0")) & F.col("source").eqNullSafe(F.col("source_0")), "left")
+    return t.select("lang", "source", *[drawn(c, 0, drawn(c, 1, top[c])).alias(c) for c in names])
+
+
+def judge(docs: DataFrame, spreads: float = SPREADS, prior_docs: int = PRIOR_DOCS) -> DataFrame:
     """features() of each row and ``kept``: false if the base rule fails or a metric lies outside its limits.
 
     A null text reads as empty and fails the base rule. Null lang or source is
@@ -112,9 +120,9 @@ def judge(docs: DataFrame) -> DataFrame:
     empty table gives an empty result; other columns are ignored.
     """
     found = written(features(docs), "features")
-    t = limits(found).withColumnsRenamed({"lang": "lang_t", "source": "source_t"})
+    t = limits(found, spreads, prior_docs).withColumnsRenamed({"lang": "lang_t", "source": "source_t"})
     inside = F.lit(True)
-    for m, (_, both) in METRICS.items():
+    for m, (_, _, both) in METRICS.items():
         inside = inside & F.coalesce(F.col(m) <= F.col(f"{m}_max"), F.lit(True))
         if both:
             inside = inside & F.coalesce(F.col(m) >= F.col(f"{m}_min"), F.lit(True))
@@ -122,9 +130,9 @@ def judge(docs: DataFrame) -> DataFrame:
     return joined.select(*found.columns, (~F.col("base_failed") & inside).alias("kept"))
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that judge() keeps, all columns as they are."""
-    kept = judge(docs).where("kept").select(F.col("doc_id").alias("doc_id_k"), F.col("th").alias("th_k"), F.col("lang").alias("lang_k"), F.col("source").alias("source_k")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("doc_id_k")) & (text_key(F.col("text").cast("string")) == F.col("th_k"))
-    same = same & F.col("lang").cast("string").eqNullSafe(F.col("lang_k")) & F.col("source").cast("string").eqNullSafe(F.col("source_k"))
-    return docs.join(kept.hint("shuffle_hash"), same, "left_semi")
+    kept = judge(docs, **how).where("kept").select("doc_id", "th", "lang", "source").distinct().hint("shuffle_hash")
+    same = docs["doc_id"].cast("long").eqNullSafe(kept["doc_id"]) & (text_key(docs["text"].cast("string")) == kept["th"])
+    same = same & docs["lang"].cast("string").eqNullSafe(kept["lang"]) & docs["source"].cast("string").eqNullSafe(kept["source"])
+    return docs.join(kept, same, "left_semi")

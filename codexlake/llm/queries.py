@@ -110,12 +110,16 @@ _SECRET_SPANS = " UNION ALL ".join(
 )
 _KINDS = "['assign', 'access', 'hex', 'private_key', 'github', 'google', 'slack', 'jwt']"
 
-_METRICS = {"symbol_share": (0.01, False), "dup_line_share": (0.1, False), "repeat_share": (0.08, False), "word_length": (0.75, True)}
-_QUARTILES = ", ".join(f"[quantile_disc({m}, 0.25), quantile_disc({m}, 0.75)] AS {m}" for m in _METRICS)
-_CHOSEN = ", ".join(f"CASE WHEN s.n >= 200 THEN s.{m} WHEN l.n >= 200 THEN l.{m} ELSE a.{m} END AS {m}" for m in _METRICS)
-_INSIDE = " AND ".join(
-    f"f.{m} <= q.{m}[2] + 6 * greatest(q.{m}[2] - q.{m}[1], {least})" + (f" AND f.{m} >= q.{m}[1] - 6 * greatest(q.{m}[2] - q.{m}[1], {least})" if both else "") for m, (least, both) in _METRICS.items()
+#: metric: tail quantile, guard, and the columns of its limits.
+_METRICS = {"symbol_share": (0.9, 0.01, "max"), "dup_line_share": (0.99, 0.03, "max"), "repeat_share": (0.99, 0.02, "max"), "word_length": (0.9, 0.1, "max min")}
+_SIDE = {"max": ("{0}[3] + 2 * ({0}[3] - {0}[2] + {1})", "<="), "min": ("{0}[1] - 2 * ({0}[2] - {0}[1] + {1})", ">=")}
+_LIMITS = [(m, side, guard) for m, (_, guard, sides) in _METRICS.items() for side in sides.split()]
+_QUANTILES = ", ".join(f"[quantile_disc({m}, {1 - tail}), quantile_disc({m}, 0.5), quantile_disc({m}, {tail})] AS {m}" for m, (tail, _, _) in _METRICS.items())
+_OWN = ", ".join(f"{_SIDE[side][0].format(m, guard)} AS {m}_{side}" for m, side, guard in _LIMITS)
+_DRAWN = ", ".join(
+    "coalesce((s.n * s.{0} + 200 * p.{0}) / (s.n + 200), p.{0}) AS {0}".replace("p.{0}", "coalesce((l.n * l.{0} + 200 * a.{0}) / (l.n + 200), a.{0})").format(f"{m}_{side}") for m, side, _ in _LIMITS
 )
+_INSIDE = " AND ".join(f"f.{m} {_SIDE[side][1]} q.{m}_{side}" for m, side, _ in _LIMITS)
 
 ORACLE_SQL = {
     "op1_line_dedup": r"""
@@ -172,7 +176,9 @@ ORACLE_SQL = {
         f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(n_symbols / nullif(word_chars, 0), 0) AS symbol_share, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_share,
                      coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeat_share, coalesce(word_chars / nullif(n_words, 0), 0) AS word_length FROM c),
         good AS (SELECT * FROM f WHERE NOT base_failed),
-        s AS (SELECT lang, source, count(*) AS n, {_QUARTILES} FROM good GROUP BY 1, 2), l AS (SELECT lang, count(*) AS n, {_QUARTILES} FROM good GROUP BY 1), a AS (SELECT {_QUARTILES} FROM good),
-        q AS (SELECT k.lang, k.source, {_CHOSEN} FROM (SELECT DISTINCT lang, source FROM f) k LEFT JOIN s ON s.lang = k.lang AND s.source = k.source LEFT JOIN l ON l.lang = k.lang CROSS JOIN a)
-        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_INSIDE} AS kept FROM f JOIN q ON q.lang = f.lang AND q.source = f.source""",
+        g AS (SELECT lang, source, grouping(lang, source) AS level, count(*) AS n, {_QUANTILES} FROM good GROUP BY GROUPING SETS ((lang, source), (lang), ())),
+        o AS (SELECT lang, source, level, n, {_OWN} FROM g),
+        q AS (SELECT k.lang, k.source, {_DRAWN} FROM (SELECT DISTINCT lang, source FROM f) k LEFT JOIN (FROM o WHERE level = 0) s ON s.lang IS NOT DISTINCT FROM k.lang AND s.source IS NOT DISTINCT FROM k.source
+              LEFT JOIN (FROM o WHERE level = 1) l ON l.lang IS NOT DISTINCT FROM k.lang CROSS JOIN (FROM o WHERE level = 3) a)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_INSIDE} AS kept FROM f JOIN q ON q.lang IS NOT DISTINCT FROM f.lang AND q.source IS NOT DISTINCT FROM f.source""",
 }
