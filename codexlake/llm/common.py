@@ -13,7 +13,7 @@ NO_ID = np.iinfo(np.int64).min
 
 
 def with_text_key(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, text and ``th``, 31 bits of the text's hash.
+    """doc_id, text and ``th``, the text's 64-bit hash.
 
     (doc_id, th) names a row when a doc_id occurs on several rows; rows that
     agree in both hold the same text and so get the same result.
@@ -22,7 +22,7 @@ def with_text_key(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def text_key(text: Column) -> Column:
-    return F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    return F.xxhash64(text)
 
 
 def ids(column: pa.Array) -> np.ndarray:

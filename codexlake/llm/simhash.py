@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, n_words: int = 1) -> DataFra
     empty text has fingerprint zero; a text of fewer words than a shingle is
     one shingle. Other columns are ignored; repeated rows repeat.
     """
-    schema = "doc_id long, th int, " + ", ".join(f"f{w} long" for w in range(n_words))
+    schema = "doc_id long, th long, " + ", ".join(f"f{w} long" for w in range(n_words))
     return with_text_key(docs).mapInArrow(_fingerprints(shingle, n_words), schema)
 
 

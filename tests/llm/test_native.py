@@ -1,6 +1,7 @@
 """Quality rules, decontamination and secret scans."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -53,6 +54,38 @@ def test_quality(spark):
     assert not any(r.kept for r in quality.judge(docs_frame(spark)).collect() if r.n_words < 50)
 
 
+def test_limits_follow_their_group(spark):
+    """Two sources of one language with different spreads get different limits; small groups lean on their language; null groups are groups."""
+    rng = random.Random(4)
+    rows, d = [], 0
+    for source, n, spread in (("narrow", 800, 0), ("wide", 800, 4), ("small", 5, 0), (None, 30, 2)):
+        for _ in range(n):
+            text = " ".join("x" * rng.randrange(4, 7 + rng.randrange(spread + 1)) + str(rng.randrange(10**4)) for _ in range(60))
+            rows.append((d, text, "en" if source else None, source))
+            d += 1
+    found = quality.features(docs_frame(spark, rows))
+    limits = {(r.lang, r.source): r for r in quality.limits(found).collect()}
+    assert len(limits) == 4
+    assert limits["en", "wide"].word_length_max > limits["en", "narrow"].word_length_max + 0.5
+    assert limits["en", "narrow"].word_length_max < limits["en", "small"].word_length_max
+    feats = found.collect()
+
+    def own(metric, keep):
+        tail, guard, both = quality.METRICS[metric]
+        v = sorted(r[metric] for r in feats if not r.base_failed and keep(r))
+        at = lambda p: v[max(0, math.ceil(p * len(v) - 1e-9) - 1)]
+        low, mid, high = at(1 - tail), at(0.5), at(tail)
+        return len(v), (high + 2 * (high - mid + guard), low - 2 * (mid - low + guard))
+
+    drawn = lambda n, own_, parent: tuple((n * a + 200 * b) / (n + 200) for a, b in zip(own_, parent))
+    for (lang, source), r in limits.items():
+        for m, (_, _, both) in quality.METRICS.items():
+            _, top = own(m, lambda x: True)
+            by_lang = drawn(*own(m, lambda x: x.lang == lang), top)
+            high, low = drawn(*own(m, lambda x: (x.lang, x.source) == (lang, source)), by_lang)
+            assert abs(r[f"{m}_max"] - high) < 1e-9 and (not both or abs(r[f"{m}_min"] - low) < 1e-9)
+
+
 def test_leaks(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7)))
@@ -77,12 +110,94 @@ def test_leaks(spark):
     assert decontaminate.overlaps(docs_frame(spark, []), bench).collect() == [] == decontaminate.overlaps(docs, bench.limit(0)).collect()
 
 
-def test_leaks_block_by_block(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_SEEDS", 20)
+def test_leaks_with_a_large_benchmark(spark, monkeypatch):
+    """More seeds than may be broadcast are shuffled."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 20)
     text = " ".join(f"w{i}" for i in range(30))
     bench = spark.createDataFrame([(1, text), (2, text + " more")], "item_id long, text string")
     found = decontaminate.overlaps(docs_frame(spark, [(7, "x " + text, "en", "a")]), bench).collect()
-    assert sorted((r.doc_id, r.item_id, r.score) for r in found) == [(7, 1, 30), (7, 2, 30)]
+    assert sorted((r.doc_id, r.item_id, r.score, r.first_word) for r in found) == [(7, 1, 30, 1), (7, 2, 30, 1)]
+
+
+def diagonal_scores(doc, item, longest):
+    """The best score of any stretch on any diagonal, and that of stretches of up to ``longest`` words."""
+    whole = short = 0
+    for diagonal in range(1 - len(item), len(doc)):
+        points = [1 if doc[diagonal + k] == item[k] else -2 for k in range(max(0, -diagonal), min(len(item), len(doc) - diagonal))]
+        for i in range(len(points)):
+            total = 0
+            for j in range(i, len(points)):
+                total += points[j]
+                if total <= 0:
+                    break
+                whole = max(whole, total)
+                short = max(short, total if j - i < longest else 0)
+    return whole, short
+
+
+def test_leaks_against_all_pairs(spark):
+    """Few different words, so stretches of all scores occur; the longest texts and items span several pieces."""
+    rng = random.Random(9)
+    word = lambda: rng.choice("abcdefghijklmnopqrst")
+    items = [[word() for _ in range(rng.choice([3, 8, 9, 14, 30, 70, 330]))] for _ in range(14)]
+    docs = []
+    for d in range(40):
+        text = [word() for _ in range(rng.choice([5, 40, 300, 900]))]
+        source = rng.choice(items)
+        at, n = rng.randrange(len(source)), rng.randrange(4, 60)
+        piece = [w if rng.random() < 0.85 else word() for w in source[at : at + n]]
+        where = rng.randrange(len(text))
+        text[where:where] = piece
+        docs.append(text)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs_frame(spark, [(d, " ".join(x), "en", "a") for d, x in enumerate(docs)]), bench).collect()}
+    n_sure = 0
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            if len(item) < decontaminate.SHORT:
+                assert ((d, i) in found) == any(doc[k : k + len(item)] == item for k in range(len(doc)))
+                continue
+            least = min(decontaminate.MIN_SCORE, int(decontaminate.MIN_SHARE * len(item)))
+            whole, short = diagonal_scores(doc, item, decontaminate.REACH)
+            n_sure += short >= least
+            assert (d, i) in found or short < least
+            assert (d, i) not in found or whole >= least
+    assert n_sure >= 15
+
+
+def test_no_stretch_escapes_the_masks():
+    """All patterns of equal and other words, followed by their best score without a hit of a mask."""
+    used = [[i for i, x in enumerate(m) if x == "1"] for m in decontaminate.MASKS]
+    states = {(0,) * (decontaminate.SPAN - 1): 0}
+    best = 0
+    for _ in range(2 * decontaminate.REACH):
+        after = {}
+        for last, score in states.items():
+            for equal in (0, 1):
+                window = (*last, equal)
+                if not any(all(window[i] for i in m) for m in used):
+                    value = max(0, score + (1 if equal else -2))
+                    after[window[1:]] = max(after.get(window[1:], 0), value)
+        states = after
+        best = max(best, *states.values())
+    assert best < int(decontaminate.MIN_SHARE * decontaminate.SHORT)
+
+
+def test_one_very_long_text(spark):
+    rng = random.Random(1)
+    text = [f"w{rng.randrange(50_000)}" for _ in range(200_000)]
+    bench = spark.createDataFrame([(1, " ".join(text[150_000:150_040])), (2, " ".join(f"v{i}" for i in range(40)))], "item_id long, text string")
+    found = decontaminate.overlaps(docs_frame(spark, [(7, " ".join(text), "en", "a")]), bench).collect()
+    assert [(r.doc_id, r.item_id, r.score, r.first_word) for r in found] == [(7, 1, 40, 150_000)]
+
+
+def test_clashing_helper_names(spark):
+    docs = docs_frame(spark, [*DOCS, (50, " ".join(f"w{i}" for i in range(60)), "en", "a")])
+    for c in ("th_k", "doc_id_k", "lang_k", "source_k", "th_l", "doc_id_l", "doc_id_h", "words", "n_0", "leaked", "d", "p"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    bench = spark.createDataFrame([(1, "no such words anywhere")], "item_id long, text string")
+    assert quality.keep_good(docs).columns == docs.columns == decontaminate.remove_leaks(docs, bench).columns
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} >= {50} and decontaminate.remove_leaks(docs, bench).count() == docs.count()
 
 
 def test_leaks_with_many_changed_words_and_short_items(spark):
