@@ -1,19 +1,22 @@
 """Main-text extraction with a site style tree.
 
-The DOMs of a host's pages are merged along their element paths (tag and class
-names from the body down). Each path of the merged tree has the styles seen
+The DOMs of a host's pages are merged along their element paths (tags and class
+names from the top down). Each path of the merged tree has the styles seen
 there (the sequence of child elements) and the contents (the text of the
 branch). The entropy of each over the pages that have the path, to the base of
-their number, is the node's presentation and content importance: navigation
-that is the same on all pages has an entropy near 0, articles near 1. Branches
-of low importance are cut from each page. Elements and class names that name
-their purpose (menus, footers, adverts, forms, comments ...) are cut as well,
-and decide alone on hosts with few pages. An element that is marked as the
-article is never cut by importance, as copies of a page would make it look like
-a template.
-
-The tree of a host is never built in one task: pages yield (host, path, style,
-content) rows, and two levels of counting give the entropies.
+their number, is the node's presentation and content importance: a menu that is
+the same on all pages has an entropy near 0, an article's text one near 1.
+Importance is drawn towards 1 where few pages have the path, and lowered by a
+prior for elements and names that tell their purpose (menus, footers, adverts,
+forms, comments ...), which may differ from page to page, and for what lies
+beside the article where a page marks one. Branches of low importance are cut
+from each page. Inside the article a branch must be all but constant over many
+pages to go, as articles that were copied with small changes share headings.
+
+The tree of a host is never built in one task: pages yield (path, style,
+content) rows, and two levels of counting give the entropies. A page is parsed
+without recursion into flat lists; hashes stand for paths and texts, and those
+of branches are differences of prefix sums, so depth costs nothing.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 import re
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -45,30 +49,27 @@ CLOSES_P = BLOCKS - {"body", "html", "head", "td", "th", "tr", "tbody", "thead",
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 FENCES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|[^<]+|<", re.DOTALL)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(>|\Z)|[^<]++|<", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
-#: Pages a path needs before its importance counts, the importance below which a branch goes, and the weight of content.
-MIN_PAGES, LEAST_IMPORTANCE, CONTENT_WEIGHT = 4, 0.3, 0.9
+#: Importance below which a branch goes, outside and inside marked articles; the weight of content; the pages that the
+#: start value 1 counts for; what is left of the importance of named branches.
+LEAST, LEAST_IN_ARTICLE, CONTENT_WEIGHT, PRIOR_PAGES, NAMED = 0.3, 0.05, 0.9, 2, 0.2
+#: Unimportant branches that every task may hold, eight bytes each.
+MAX_HELD = 500_000
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+MASK = (1 << 64) - 1
 
 
-class Element:
-    __slots__ = ("tag", "path", "cut", "article", "names", "children", "parts")
-
-    def __init__(self, tag: str, path: str, cut: bool, article: bool, names: list[str]):
-        self.tag, self.path, self.cut, self.article, self.names = tag, path, cut, article, names
-        self.children: list[str] = []
-        self.parts: list = []  # texts, Elements, and None where a line breaks
-
-
-def _named(attributes: dict[str, str]) -> list[str]:
+def _names(attributes: dict[str, str]) -> list[str]:
     return [p.lower() for key in ("class", "id") for p in NAME_PARTS.findall(attributes.get(key, ""))]
 
 
-def _is_cut(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+def _is_named(tag: str, attributes: dict[str, str], names: list[str], in_article: bool) -> bool:
+    """Whether the element tells that it is not the article."""
     if tag in CUT_TAGS or attributes.get("role", "").lower() in CUT_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
-    names = _named(attributes)
     if tag in ("html", "body", "main"):
         return False
     if tag == "article":
@@ -76,150 +77,209 @@ def _is_cut(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     return (tag == "header" and not in_article) or any(p in CUT_NAMES and not (in_article and p == "header") for p in names)
 
 
-def parse(html: str) -> Element:
-    """The page as a tree. Missing end tags are implied as browsers do it for paragraphs, list items and tables."""
-    root = Element("#page", "", False, False, [])
-    open_ = [root]
+class Page:
+    """A parsed page: nodes in document order, parents before children, and segments of text in document order."""
+
+    def __init__(self):
+        self.tag, self.parent, self.path = ["#page"], [0], [0]
+        self.named, self.marked, self.in_article = [False], [False], [False]
+        self.beside: list[bool] = []  # not in the article but above it: text straight below such a node is not shown
+        self.style, self.first, self.end = [0], [0], [0]
+        self.owner: list[int] = []  # of each segment its node
+        self.text: list[str | None] = []  # None where a line breaks
+
+    def say(self, node: int, text: str | None) -> None:
+        self.owner.append(node)
+        self.text.append(text)
+
+
+def parse(html: str) -> Page:
+    """The page. Missing end tags are implied as browsers do it for paragraphs, list items and tables."""
+    page = Page()
+    open_, places, blocks = [0], {"#page": [0]}, [0]  # open nodes, and at which depths a tag or a block is open
+    soft: list[int] = []  # open nodes whose names count only if no article lies inside
+
+    def depth(*tags: str) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+    def close(to: int) -> None:
+        while len(open_) > to:
+            node = open_.pop()
+            tag = page.tag[node]
+            places[tag].pop()
+            if tag in BLOCKS:
+                blocks.pop()
+            if tag in BLOCKS or page.marked[node]:
+                page.say(node, None)
+            if soft and soft[-1] == node:
+                soft.pop()
+            page.end[node] = len(page.text)
+
     at, n = 0, len(html)
     while at < n:
         m = TOKEN.match(html, at)
         at = m.end()
-        name = m[2]
-        if name is None:
-            if html.startswith(("<!", "<?"), m.start()):
-                continue
-            open_[-1].parts.append(m[0])
+        if m[2] is None:
+            if not html.startswith(("<!", "<?"), m.start()):
+                page.say(open_[-1], m[0])
             continue
         if not m[4]:
             break  # cut off inside a tag
-        tag = name.lower()
+        tag = m[2].lower()
         if m[1]:
-            if tag == "br" or tag in VOID:
-                continue
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == tag:
-                    del open_[i:]
-                    break
-                if tag not in BLOCKS and open_[i].tag in BLOCKS:
-                    break  # a stray end tag of an inline element
+            place = depth(tag)
+            if tag not in VOID and place > 0 and (tag in BLOCKS or place > blocks[-1]):  # else a stray end tag
+                close(place)
             continue
-        if tag in CLOSES_P and any(e.tag == "p" for e in open_):
-            last = max(i for i, e in enumerate(open_) if e.tag == "p")
-            if not any(e.tag in ("td", "th", "button", "object") for e in open_[last:]):
-                del open_[last:]
-        if tag in SIBLINGS:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag in FENCES[tag]:
-                    break
-                if open_[i].tag in SIBLINGS[tag]:
-                    del open_[i:]
-                    break
+        if tag in CLOSES_P and (p := depth("p")) > depth("td", "th", "button", "object"):
+            close(p)
+        if tag in SIBLINGS and (p := depth(*SIBLINGS[tag])) > depth(*FENCES[tag]):
+            close(p)
         above = open_[-1]
         if tag in VOID:
-            above.parts.append(" ")
+            page.say(above, " ")
             if tag == "hr":
-                above.parts.append(None)
+                page.say(above, None)
             continue
         found = {k.lower(): unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(m[3])}
         label = ".".join([tag, *sorted(found.get("class", "").split())])
-        article = tag in ("article", "main") or found.get("role", "").lower() in ("main", "article")
-        element = Element(tag, f"{above.path}/{label}", _is_cut(tag, found, above.article), article or above.article, _named(found))
-        if element.article and not above.article and not element.cut:  # layout wrappers with telling names, as in "has-sidebar"
-            for e in open_[1:]:
-                e.cut = e.cut and (e.tag in CUT_TAGS or any(p in OTHER_ARTICLES for p in e.names))
-        above.children.append(label)
-        above.parts.append(element)
         if tag in RAW:
+            page.style[above] = (page.style[above] * BASE + xxhash.xxh64_intdigest(label)) & MASK
             end = re.compile(rf"</{tag}[\s/>]", re.IGNORECASE).search(html, at)
             at = html.find(">", end.start()) + 1 if end else n
             if at == 0:
                 break
-        elif not m[3].endswith("/") or tag in BLOCKS:
-            open_.append(element)
-    return root
-
-
-def _blocks(element: Element, low: frozenset[str], out: list[list[str]]) -> None:
-    block = element.tag in BLOCKS
-    if block:
-        out.append([])
-    for part in element.parts:
-        if isinstance(part, str):
-            out[-1].append(part)
-        elif part is None:
+            continue
+        names, in_article = _names(found), page.in_article[above]
+        named = _is_named(tag, found, names, in_article)
+        marked = not named and (tag in ("article", "main") or found.get("role", "").lower() in ("main", "article"))
+        if marked and not in_article:  # layout wrappers with telling names, as in "has-sidebar"
+            for node in soft:
+                page.named[node] = False
+            soft.clear()
+        label += "!" * named + "*" * marked
+        node = len(page.tag)
+        page.style[above] = (page.style[above] * BASE + xxhash.xxh64_intdigest(label)) & MASK
+        page.tag.append(tag)
+        page.parent.append(above)
+        page.path.append(xxhash.xxh64_intdigest(label, page.path[above]))
+        page.named.append(named)
+        page.marked.append(marked)
+        page.in_article.append(marked or in_article)
+        page.style.append(0)
+        page.first.append(len(page.text))
+        page.end.append(len(page.text))
+        if tag in BLOCKS or marked:
+            page.say(node, None)
+        if not m[3].endswith("/") or tag in BLOCKS:
+            if tag in BLOCKS:
+                blocks.append(len(open_))
+            places.setdefault(tag, []).append(len(open_))
+            open_.append(node)
+            if named and tag not in CUT_TAGS and not any(p in OTHER_ARTICLES for p in names):
+                soft.append(node)
+    close(0)
+    _find_article(page)
+    return page
+
+
+def _find_article(page: Page) -> None:
+    """Marked articles with text become the article, those inside a main element before it. What lies beside them counts as named."""
+    n = len(page.tag)
+    cut, root, inner = page.named.copy(), [-1] * n, [False] * n
+    for i in range(1, n):
+        above = page.parent[i]
+        cut[i] = cut[i] or cut[above]
+        if not cut[i]:
+            root[i] = root[above] if root[above] >= 0 else i if page.marked[i] else -1
+            inner[i] = root[i] >= 0 and page.tag[root[i]] != "article" and (page.tag[i] == "article" or inner[above])
+    page.in_article, page.beside = [False] * n, [False] * n
+    for shown in (inner, [r >= 0 for r in root]):
+        if not any(shown[i] and not cut[i] and t and not t.isspace() for i, t in zip(page.owner, page.text)):
+            continue
+        page.in_article, above_it = shown, [False] * n
+        for i in range(n - 1, 0, -1):
+            above_it[page.parent[i]] = above_it[page.parent[i]] or above_it[i] or shown[i]
+        page.beside = [a and not s for a, s in zip(above_it, shown)]
+        for i in range(1, n):
+            page.named[i] = page.named[i] or not (shown[i] or above_it[i])
+        return
+
+
+def branch_keys(page: Page, host: str) -> np.ndarray:
+    """int64: of each node its path's key in the merged tree of the host; 0 where a node is never cut by itself."""
+    name = host.encode()
+    fixed = [tag in ("#page", "html", "body") or marked and not named for tag, marked, named in zip(page.tag, page.marked, page.named)]
+    keys = [0 if f else xxhash.xxh64_intdigest(name, path ^ named) for path, named, f in zip(page.path, page.named, fixed)]
+    return np.array(keys, dtype=np.uint64).view(np.int64)
+
+
+def _is_in(keys: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which keys are in ``held``, which is sorted."""
+    return held[np.minimum(np.searchsorted(held, keys), len(held) - 1)] == keys if len(held) else np.zeros(len(keys), dtype=bool)
+
+
+def _text(page: Page, low: np.ndarray) -> str:
+    """The blocks outside the branches of ``low`` nodes, joined by line feeds."""
+    cut = low.tolist()
+    for i in range(1, len(cut)):
+        cut[i] = cut[i] or cut[page.parent[i]]
+    out: list[list[str]] = [[]]
+    for node, text in zip(page.owner, page.text):
+        if text is None and not cut[node]:
             out.append([])
-        elif not part.cut and (part.article or part.path not in low):
-            _blocks(part, low, out)
-    if block:
-        out.append([])
+        elif text and not cut[node] and not page.beside[node]:
+            out[-1].append(text)
+    lines = [" ".join(unescape("".join(b)).split()) for b in out]
+    return "\n".join(x for x in lines if x)
 
 
-def _articles(element: Element) -> list[Element]:
-    """The outermost elements marked as article or main that are not cut."""
-    if element.cut:
-        return []
-    if element.article:
-        return [element]
-    return [a for part in element.parts if isinstance(part, Element) for a in _articles(part)]
+def extract(html: str) -> str:
+    """The main text of a page without its site: named branches are cut."""
+    page = parse(html)
+    return _text(page, np.array(page.named))
 
 
-def extract(html: str, low: frozenset[str] = frozenset()) -> str:
-    """The main text: blocks joined by one line feed. ``low`` has the paths of unimportant branches."""
-    page = parse(html)
-    roots = _articles(page) or [page]
-    inner = [x for r in roots if r.tag != "article" for x in _only_articles(r)]
-    for roots_ in ([inner] if inner else []) + [roots]:
-        out: list[list[str]] = [[]]
-        for root in roots_:
-            _blocks(root, low, out)
-            out.append([])
-        lines = [" ".join(unescape("".join(b)).split()) for b in out]
-        if text := "\n".join(x for x in lines if x):
-            return text
-    if low:  # everything was unimportant: the template rules alone decide
-        return extract(html)
-    return ""
-
-
-def _only_articles(element: Element) -> list[Element]:
-    """Articles inside a main element, outermost first."""
-    if element.tag == "article":
-        return [element]
-    return [a for part in element.parts if isinstance(part, Element) and not part.cut for a in _only_articles(part)]
-
-
-def _nodes(element: Element, out: dict[str, tuple[list[str], list[str]]]) -> list[str]:
-    """Collects for each path the child sequences and texts of a page; returns the texts of the branch."""
-    texts: list[str] = []
-    for part in element.parts:
-        if isinstance(part, str):
-            texts.append(part)
-        elif part is not None and not part.cut:
-            texts += _nodes(part, out)
-    if element.path and not element.article and element.tag not in ("html", "body"):
-        styles, contents = out.setdefault(element.path, ([], []))
-        styles += element.children
-        contents += texts
-    return texts
+def _sums(page: Page, wanted: list[bool]) -> tuple[np.ndarray, int]:
+    """Of each node a hash of the wanted segments' words inside its branch, in order, and that of the whole page."""
+    hashes = [xxhash.xxh64_intdigest(" ".join(t.split())) if w and t and not t.isspace() else 0 for t, w in zip(page.text, wanted)]
+    h = np.array(hashes, dtype=np.uint64)
+    count = np.r_[0, np.cumsum(h != 0)]
+    up, down = (np.cumprod(np.r_[np.uint64(1), np.full(int(count[-1]), base, dtype=np.uint64)]) for base in (BASE, INVERSE))
+    total = np.r_[np.uint64(0), np.cumsum(h * up[count[:-1]])]
+    first, end = np.array(page.first), np.array(page.end)
+    return (total[end] - total[first]) * down[count[first]], int(total[-1])
 
 
 def _style_rows(batches):
+    names = ("key", "page", "style", "content", "named", "in_article")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
+
+    def pack(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 6, kinds)], names=names)
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
     for batch in batches:
-        host, path, page, style, content = [], [], [], [], []
-        for h, html in zip(batch.column("host"), batch.column("html")):
-            text = html.as_py() or ""
-            found: dict[str, tuple[list[str], list[str]]] = {}
-            _nodes(parse(text), found)
-            whole = xxhash.xxh64_intdigest(text) - (1 << 63)
-            for p, (styles, contents) in found.items():
-                host.append(h.as_py())
-                path.append(p)
-                page.append(whole)
-                style.append(xxhash.xxh64_intdigest("\0".join(styles)) - (1 << 63))
-                content.append(xxhash.xxh64_intdigest(" ".join(unescape("".join(contents)).split())) - (1 << 63))
-        yield pa.RecordBatch.from_pydict(
-            {"host": pa.array(host, pa.string()), "path": pa.array(path, pa.string()), "page": pa.array(page, pa.int64()), "style": pa.array(style, pa.int64()), "content": pa.array(content, pa.int64())}
-        )
+        rows: list[tuple] = []
+        for host, html in zip(batch.column("host"), batch.column("html")):
+            page = parse(html.as_py() or "")
+            keys = branch_keys(page, host.as_py())
+            under = page.named.copy()
+            for i in range(1, len(under)):
+                under[i] = under[i] or under[page.parent[i]]
+            everything, _ = _sums(page, [True] * len(page.text))
+            unnamed, whole = _sums(page, [not under[i] for i in page.owner])
+            content = np.where(under, everything, unnamed)
+            found: dict[int, list] = {}
+            for i in np.flatnonzero(keys).tolist():
+                row = found.setdefault(int(keys[i]), [0, 0, page.named[i], page.in_article[i]])
+                row[0] = (row[0] * BASE + page.style[i]) & MASK
+                row[1] = (row[1] * BASE + int(content[i])) & MASK
+            rows += [(k, signed(whole), signed(s), signed(c), named, in_article) for k, (s, c, named, in_article) in found.items()]
+            if len(rows) > 50_000:
+                yield pack(rows)
+                rows = []
+        yield pack(rows)
 
 
 def _slim(pages: DataFrame) -> DataFrame:
@@ -228,28 +288,79 @@ def _slim(pages: DataFrame) -> DataFrame:
 
 
 def node_importance(pages: DataFrame) -> DataFrame:
-    """host, path, n_pages, presentation, content, importance of the merged trees, for paths outside articles.
+    """key, n_pages, presentation, content, named, in_article, importance of the paths of all hosts' merged trees.
 
-    Copies of a page count once. ``importance`` weighs content by
-    CONTENT_WEIGHT; a path on one page only has importance 1.
+    ``key`` is that of branch_keys(); a path that is named on some pages only
+    has two. Pages whose text outside named branches is the same count once.
+    Marked articles, html and body have no row, as they are never cut.
     """
-    rows = _slim(pages).select("host", "html").mapInArrow(_style_rows, "host string, path string, page long, style long, content long").distinct()
+    schema = "key long, page long, style long, content long, named boolean, in_article boolean"
+    rows = _slim(pages).select("host", "html").mapInArrow(_style_rows, schema).distinct()
+    by_style = F.grouping("content") == 1
+    counts = rows.groupingSets([["key", "style"], ["key", "content"]], "key", "style", "content")
+    counts = counts.agg(by_style.alias("by_style"), F.count("*").alias("n"), F.bool_or("named").alias("named"), F.bool_or("in_article").alias("in_article"))
+    w = F.col("n") * F.log("n")
+    sums = counts.groupBy("key").agg(
+        F.sum(F.when(F.col("by_style"), F.col("n"))).alias("n_pages"),
+        F.bool_or("named").alias("named"),
+        F.bool_or("in_article").alias("in_article"),
+        F.sum(F.when(F.col("by_style"), w)).alias("style"),
+        F.sum(F.when(~F.col("by_style"), w)).alias("content"),
+    )
+    n = F.col("n_pages")
+    entropy = lambda w: F.when(n > 1, (F.log(n) - F.col(w) / n) / F.log(n)).otherwise(1.0)
+    own = (1 - CONTENT_WEIGHT) * F.col("presentation") + CONTENT_WEIGHT * F.col("content")
+    t = sums.select("key", "n_pages", entropy("style").alias("presentation"), entropy("content").alias("content"), "named", "in_article")
+    return t.withColumn("importance", F.when(F.col("named"), NAMED).otherwise(1.0) * (n * own + PRIOR_PAGES) / (n + PRIOR_PAGES))
+
+
+def low_branches(importance: DataFrame) -> DataFrame:
+    """key: the branches to cut."""
+    return importance.where(F.col("importance") < F.when(F.col("in_article") & ~F.col("named"), LEAST_IN_ARTICLE).otherwise(LEAST)).select("key")
+
+
+def _page_keys(batches):
+    for batch in batches:
+        keys = [np.unique(branch_keys(parse(h.as_py() or ""), host.as_py())) for host, h in zip(batch.column("host"), batch.column("html"))]
+        n = [len(k) for k in keys]
+        rows = pa.array(np.repeat(np.arange(len(n)), n), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("page_id").take(rows), batch.column("page").take(rows), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *keys]))], names=["page_id", "page", "key"])
 
-    def entropy(value: str) -> DataFrame:
-        counts = rows.groupBy("host", "path", value).agg(F.count("*").alias("n"))
-        total = counts.groupBy("host", "path").agg(F.sum("n").alias("n_pages"), F.sum(F.col("n") * F.log("n")).alias("w"))
-        bits = F.log("n_pages") - F.col("w") / F.col("n_pages")
-        return total.select("host", "path", "n_pages", F.when(F.col("n_pages") > 1, bits / F.log("n_pages")).otherwise(1.0).alias(value))
 
-    both = entropy("style").join(entropy("content").drop("n_pages"), ["host", "path"])
-    importance = (1 - CONTENT_WEIGHT) * F.col("style") + CONTENT_WEIGHT * F.col("content")
-    return both.select("host", "path", "n_pages", F.col("style").alias("presentation"), "content", importance.alias("importance"))
+def _extract(held: np.ndarray | None):
+    """``held``: all low branches, or None if each row brings those of its page."""
 
+    def run(batches):
+        for batch in batches:
+            text = []
+            own = batch.column("low") if held is None else [None] * batch.num_rows
+            for html, host, low in zip(batch.column("html"), batch.column("host"), own):
+                page = parse(html.as_py() or "")
+                low = held if held is not None else np.sort(np.array(low.as_py() or (), dtype=np.int64))
+                text.append(_text(page, _is_in(branch_keys(page, host.as_py()), low)))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-def _extract(batches):
-    for batch in batches:
-        text = [extract(h.as_py() or "", frozenset(low.as_py() or ())) for h, low in zip(batch.column("html"), batch.column("low"))]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+    return run
+
+
+def cut_branches(pages: DataFrame, low: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars: the pages without the branches ``low`` (key).
+
+    Up to MAX_HELD keys are held by every task. More are joined with the
+    distinct paths of each page, and a page meets its own ones only.
+    """
+    low = written(low.select("key").distinct(), "branches")
+    schema = "page_id long, url string, text string, n_chars long"
+    slim = _slim(pages)
+    if low.count() <= MAX_HELD:
+        held = np.array(sorted(r["key"] for r in low.collect()), dtype=np.int64)
+        return slim.mapInArrow(_extract(held), schema)
+    keyed = slim.withColumn("page", F.xxhash64("url", "html"))
+    found = keyed.select("page_id", "page", "host", "html").mapInArrow(_page_keys, "page_id long, page long, key long").join(low, "key")
+    found = found.groupBy("page_id", "page").agg(F.collect_set("key").alias("low")).alias("f")
+    k = keyed.alias("k")
+    joined = k.join(found, F.col("k.page_id").eqNullSafe(F.col("f.page_id")) & (F.col("k.page") == F.col("f.page")), "left")
+    return joined.select("k.page_id", "k.url", "k.html", "k.host", "f.low").mapInArrow(_extract(None), schema)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -257,10 +368,7 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     A null or empty page has an empty text. Pages whose url is null or names
     no host share the empty host. Truncated and unbalanced markup is read as
-    far as it goes. Repeated rows repeat; an empty table gives an empty result;
-    other columns are ignored.
+    far as it goes, at any depth. Repeated rows repeat; an empty table gives an
+    empty result; other columns are ignored.
     """
-    low = node_importance(pages).where((F.col("n_pages") >= MIN_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
-    low = written(low.groupBy("host").agg(F.collect_set("path").alias("low")), "branches")
-    joined = _slim(pages).join(low, "host", "left").select("page_id", "url", "html", "low")
-    return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return cut_branches(pages, low_branches(node_importance(pages)))
