@@ -48,8 +48,8 @@ def _line_rows(min_chars: int):
             pair = np.frombuffer(b"".join(hashes), dtype=np.int64).reshape(-1, 2)
             rows, places = np.array(rows, dtype=np.int64), np.array(places, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(pair[:, 0]), pa.array(pair[:, 1]), nullable(doc[rows]), pa.array((th[rows].astype(np.int64) << 32) | places)],
-                names=["h1", "h2", "doc_id", "place"],
+                [pa.array(pair[:, 0]), pa.array(pair[:, 1]), nullable(doc[rows]), pa.array(th[rows]), pa.array(places)],
+                names=["h1", "h2", "doc_id", "th", "place"],
             )
 
     return run
@@ -67,7 +67,7 @@ class _Stream:
 
     def tops(self) -> np.ndarray:
         """The largest documents of the open group, as many as a verdict needs."""
-        return np.array([[TOP, *self.key, d, 0] for d in self.seen[: self.min_docs]], dtype=np.int64).reshape(-1, 5)
+        return np.array([[TOP, *self.key, d, 0, 0] for d in self.seen[: self.min_docs]], dtype=np.int64).reshape(-1, 6)
 
     def close(self, last: bool) -> list[np.ndarray]:
         out = [self.tops()] if self.key is not None and (self.first or last) else []
@@ -77,7 +77,7 @@ class _Stream:
         return out
 
     def extend(self, rows: np.ndarray) -> list[np.ndarray]:
-        """More rows (h1, h2, doc, place) of the open group."""
+        """More rows (h1, h2, doc, th, place) of the open group."""
         docs = rows[:, 2]
         new = docs[np.r_[True, docs[1:] != docs[:-1]]]
         if self.seen and new[0] == self.seen[-1]:
@@ -101,16 +101,16 @@ def _stream(min_docs: int):
         state = _Stream(min_docs)
 
         def packed(parts):
-            rows = np.concatenate(parts) if parts else np.empty((0, 5), dtype=np.int64)
+            rows = np.concatenate(parts) if parts else np.empty((0, 6), dtype=np.int64)
             return pa.RecordBatch.from_arrays(
-                [pa.array(rows[:, 0].astype(np.int32)), pa.array(rows[:, 1]), pa.array(rows[:, 2]), nullable(rows[:, 3]), pa.array(rows[:, 4])],
-                names=["kind", "h1", "h2", "doc_id", "place"],
+                [pa.array(rows[:, 0].astype(np.int32)), pa.array(rows[:, 1]), pa.array(rows[:, 2]), nullable(rows[:, 3]), pa.array(rows[:, 4]), pa.array(rows[:, 5])],
+                names=["kind", "h1", "h2", "doc_id", "th", "place"],
             )
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.column_stack([batch.column(0).to_numpy(), batch.column(1).to_numpy(), ids(batch.column(2)), batch.column(3).to_numpy()])
+            rows = np.column_stack([batch.column(0).to_numpy(), batch.column(1).to_numpy(), ids(batch.column(2)), batch.column(3).to_numpy(), batch.column(4).to_numpy()])
             starts = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
             out, n = [], len(rows)
             bounds = np.r_[starts, n]
@@ -170,19 +170,19 @@ def line_keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -
     Ties cannot arise: all lines of the winning document stay. An empty table
     gives an empty result; columns other than doc_id and text are ignored.
     """
-    lines = with_text_key(docs).mapInArrow(_line_rows(min_chars), "h1 long, h2 long, doc_id long, place long")
+    lines = with_text_key(docs).mapInArrow(_line_rows(min_chars), "h1 long, h2 long, doc_id long, th long, place long")
+    lines = written(lines, "hashes")  # read twice: for the range bounds and for the sort
     order = ["h1", "h2", F.desc_nulls_last("doc_id"), "place"]
     streamed = lines.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = written(streamed.mapInArrow(_stream(min_docs), "kind int, h1 long, h2 long, doc_id long, place long"), "lines")
+    found = written(streamed.mapInArrow(_stream(min_docs), "kind int, h1 long, h2 long, doc_id long, th long, place long"), "lines")
     # At most 2 x min_docs rows from each partition of the stream, so this side is small by construction.
     verdict = found.where(F.col("kind") == TOP).select("h1", "h2", F.coalesce("doc_id", F.lit(int(NO_ID))).alias("d")).groupBy("h1", "h2")
     verdict = verdict.agg(F.count_distinct("d").alias("n"), F.max("d").alias("winner")).where(F.col("n") >= min_docs)
     edge = found.where(F.col("kind") == EDGE).join(F.broadcast(verdict), ["h1", "h2"])
     edge = edge.where(F.coalesce("doc_id", F.lit(int(NO_ID))) != F.col("winner"))
-    drops = found.where(F.col("kind") == DROP).select("doc_id", "place").unionByName(edge.select("doc_id", "place"))
-    drops = drops.select("doc_id", F.shiftright("place", 32).cast("int").alias("th"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"))
-    places = drops.groupBy("doc_id", "th").agg(F.collect_list("pos").alias("places"))
-    return places.mapInArrow(_bitmaps, "doc_id long, th int, keep binary")
+    drops = found.where(F.col("kind") == DROP).select("doc_id", "th", "place").unionByName(edge.select("doc_id", "th", "place"))
+    places = drops.groupBy("doc_id", "th").agg(F.collect_list("place").alias("places"))
+    return places.mapInArrow(_bitmaps, "doc_id long, th long, keep binary")
 
 
 def _apply(with_text: bool):
