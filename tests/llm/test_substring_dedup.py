@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from brute import DOCS, docs_frame, rows_of, words
 
@@ -59,3 +60,50 @@ def test_factors_point_at_equal_words(spark):
             assert text[r.doc_id][r.start : r.start + r.n_words] == text[r.ref_doc_id][r.ref_start : r.ref_start + r.n_words]
             assert (r.doc_id, r.start) != (r.ref_doc_id, r.ref_start) and r.n_words >= 35
     assert n
+
+
+def test_longest_matches():
+    """Against all pairs of places of a block."""
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        n = rng.integers(1, 9, size=rng.integers(1, 25))
+        block = np.repeat(np.sort(rng.integers(0, 3, size=len(n))), n)
+        h = rng.integers(0, 4, size=n.sum()).astype(np.uint64)
+        owner = np.repeat(np.arange(len(n)), n)
+        left = np.concatenate([np.arange(k, 0, -1) for k in n])
+        match, ref = op._longest_matches(h, block, left, int(n.max()))
+
+        def common(p, q):
+            k = 0
+            while k < min(left[p], left[q]) and h[p + k] == h[q + k]:
+                k += 1
+            return k
+
+        for p in range(len(h)):
+            best = max((common(p, q) for q in range(len(h)) if q != p and block[q] == block[p]), default=0)
+            assert match[p] == best and (not best or common(p, ref[p]) == best and ref[p] != p)
+        base = np.cumsum(n) - n
+        covered = np.zeros(len(h), dtype=bool)
+        for p in op._parse(match, base, n):
+            assert not covered[p] and owner[p + match[p] - 1] == owner[p]
+            covered[p : p + match[p]] = True
+        assert (covered == (match > 0)).all()
+
+
+def test_hot_anchors_are_split(spark, monkeypatch):
+    """An eight-word phrase in varied contexts, and passages around it that some documents share."""
+    rng = random.Random(8)
+    phrase = "the one phrase that all of them hold".split()
+    rows = []
+    for d in range(400):
+        side = [[f"{x}{rng.randrange(3) if rng.random() < 0.7 else rng.randrange(10**6)}" for x in "abcdefghijklmnopqrstuvwxyzABCDEF"] for _ in range(2)]
+        same = d % 5 == 0
+        rows.append((d, " ".join([*(side[0] if not same else [f"s{i}" for i in range(40)]), *phrase, *(side[1] if d % 7 else [f"t{i}" for i in range(40)])]), "en", "a"))
+    docs = docs_frame(spark, rows).repartition(5)
+    want = expected(rows, 35)
+    assert rows_of(op.remove_repeats(docs), *COLS) == want
+    monkeypatch.setattr(op, "SAMPLE", 1)
+    monkeypatch.setattr(op, "HOT", 3)
+    assert len(op.hot_anchors(docs)) > 0
+    assert rows_of(op.remove_repeats(docs), *COLS) == want
+    assert rows_of(op.remove_repeats(docs_frame(spark)), *COLS) == expected(DOCS, 35)
