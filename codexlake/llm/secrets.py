@@ -3,9 +3,10 @@
 From each rule's regex a Boolean trigram query is derived: every match must
 contain, for each stretch of the regex with a finite set of literal readings,
 all trigrams of one of them. The postings of the trigrams that the queries use
-are intersected per document, and only the documents that satisfy a rule's
-query are searched with its regex. Rules without mandatory trigrams are run on
-every document.
+are intersected by merge counting: a document is in the intersection of k lists
+if it occurs k times among their entries. Only the documents that satisfy a
+rule's query are searched with its regex. Rules without mandatory trigrams are
+run on every document.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from itertools import product
 from re import _constants as sre, _parser as sre_parse
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from codexlake.llm.common import text_key
 from codexlake.llm.quality import let
@@ -108,37 +109,52 @@ def trigram_postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
 def candidates(docs: DataFrame, rules=RULES) -> DataFrame:
     """doc_id, th, kinds: the rules whose trigram query the document's postings satisfy."""
     asked = queries(rules)
-    trigrams = sorted({g for q in asked.values() for clause in q for s in clause for g in s})
-    lists = trigram_postings(docs, trigrams).groupBy("doc_id", "th").agg(F.collect_set("trigram").alias("held"))
+    lists = [(g, kind, c, s, len(grams)) for kind, q in asked.items() for c, clause in enumerate(q) for s, grams in enumerate(clause) for g in sorted(grams)]
+    spark = docs.sparkSession
+    wanted = F.broadcast(spark.createDataFrame(lists, "trigram string, kind string, clause int, alternative int, need int"))  # as many rows as the rules have trigrams
+    clauses = F.create_map(*[F.lit(x) for kind, q in asked.items() for x in (kind, len(q))])
+    postings = trigram_postings(docs, sorted({x[0] for x in lists}))
+    met = postings.dropDuplicates(["trigram", "doc_id", "th"]).join(wanted, "trigram").groupBy("doc_id", "th", "kind", "clause", "alternative", "need").agg(F.count("*").alias("n"))
+    met = met.where(F.col("n") == F.col("need")).groupBy("doc_id", "th", "kind").agg(F.count_distinct("clause").alias("n"))
+    return met.where(F.col("n") == clauses[F.col("kind")]).groupBy("doc_id", "th").agg(F.collect_set("kind").alias("kinds"))
 
-    def holds(grams: frozenset[str]) -> Column:
-        return F.size(F.array_except(F.array(*map(F.lit, sorted(grams))), "held")) == 0
 
-    def satisfied(query) -> Column:
-        out = F.lit(True)
-        for clause in query:
-            either = F.lit(False)
-            for grams in clause:
-                either = either | holds(grams)
-            out = out & either
-        return out
+#: Sums are taken within runs of this many entries, and over the runs.
+RUN = 256
 
-    kinds = F.array_compact(F.array(*[F.when(satisfied(q), F.lit(k)) for k, q in asked.items()]))
-    return lists.select("doc_id", "th", kinds.alias("kinds")).where(F.size("kinds") > 0)
+
+def prefix_sums(numbers: Column) -> Column:
+    """The running sums of an array of integers, each entry included.
+
+    An accumulator that grows by an entry each step is copied each step, so
+    sums are taken in runs: n entries cost n * RUN + (n / RUN) ** 2 steps at most.
+    """
+    empty = F.array().cast("array<bigint>")
+    grown = lambda values, first: F.aggregate(values, F.struct(first.cast("bigint").alias("sum"), empty.alias("all")), lambda acc, x: let(acc["sum"] + x, lambda v: F.struct(v.alias("sum"), F.concat(acc["all"], F.array(v)).alias("all"))), lambda acc: acc["all"])
+    runs = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / RUN).cast("int")), lambda c: F.slice(a, c * RUN + 1, F.lit(RUN)))
+    sums = lambda r: F.concat(F.array(F.lit(0).cast("bigint")), grown(F.transform(r, lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda acc, v: acc + v)), F.lit(0)))
+    whole = let(runs(numbers), lambda r: let(sums(r), lambda before: F.flatten(F.transform(r, lambda x, i: grown(x, F.get(before, i))))))
+    return F.when(F.size(numbers) > 0, whole).otherwise(empty)
+
+
+def _search_regex(rule: Rule) -> str:
+    """For single-class rules a regex that only long enough matches satisfy: those are whole runs of the class in either case."""
+    return f"{rule.regex[:-1]}{{{rule.least},}}" if re.fullmatch(r"\[[^]]*\]\+", rule.regex) and rule.least else rule.regex
 
 
 def _matches(text: Column, rule: Rule) -> Column:
-    """Array of (gap, n, value): of each leftmost non-overlapping match the text before it, its length and that of the group that counts."""
-    pattern = F.lit(rule.regex)
-    lengths = lambda x: F.transform(x, lambda v: F.length(v))
-    between = lengths(F.split(text, rule.regex, -1))
-    whole, value = (lengths(F.regexp_extract_all(text, pattern, F.lit(g))) for g in (0, rule.group))
-    return let(whole, lambda w: F.arrays_zip(F.slice(between, F.lit(1), F.size(w)).alias("gap"), w.alias("n"), value.alias("value")))
+    """Array of (start, end): the leftmost non-overlapping matches that count, placed by the lengths of matches and of the texts between."""
+    regex = _search_regex(rule)
+    lengths = lambda x: F.transform(x, lambda v: F.length(v).cast("bigint"))
+    between = lengths(F.split(text, regex, -1))
+    whole, value = (lengths(F.regexp_extract_all(text, F.lit(regex), F.lit(g))) for g in (0, rule.group))
 
+    def placed(w: Column) -> Column:
+        ends = prefix_sums(F.zip_with(F.slice(between, F.lit(1), F.size(w)), w, lambda gap, n: gap + n))
+        all_ = F.arrays_zip(ends.alias("end"), w.alias("n"), value.alias("value"))
+        return F.transform(F.filter(all_, lambda m: m["value"] >= rule.least), lambda m: F.struct((m["end"] - m["n"]).alias("start"), m["end"].alias("end")))
 
-def _probe(rule: Rule) -> str:
-    """For single-class rules a regex that only long enough matches satisfy, so most documents go no further."""
-    return f"{rule.regex[:-1]}{{{rule.least},}}" if re.fullmatch(r"\[[^]]*\]\+", rule.regex) else rule.regex
+    return let(whole, placed)
 
 
 def secret_spans(docs: DataFrame, rules=RULES) -> DataFrame:
@@ -152,18 +168,13 @@ def secret_spans(docs: DataFrame, rules=RULES) -> DataFrame:
     c, d = candidates(docs, rules).alias("c").hint("shuffle_hash"), slim.alias("d")
     joined = d.join(c, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.th") == F.col("c.th")), "left").select("d.*", "c.kinds")
     found = []
-    for order, rule in enumerate(rules):
-        hit = F.col("text").rlike(_probe(rule))
+    for rule in rules:
+        hit = F.col("text").rlike(_search_regex(rule))
         if rule.kind in asked:  # reads both sides of the join, so no text is searched before it
             hit = F.when(F.array_contains("kinds", rule.kind), hit)
-        found.append(F.when(hit, F.struct(F.lit(order).alias("rule"), _matches(F.col("text"), rule).alias("m"))))
-    each = joined.select("doc_id", "th", F.monotonically_increasing_id().alias("row"), F.explode(F.array_compact(F.array(*found))).alias("x"))
-    each = each.select("doc_id", "th", "row", "x.rule", F.posexplode("x.m").alias("nth", "m")).select("doc_id", "th", "row", "rule", "nth", "m.*")
-    ahead = Window.partitionBy("row", "rule").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    least = F.element_at(F.array(*[F.lit(r.least) for r in rules]), F.col("rule") + 1)
-    kind = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("rule") + 1)
-    spans = each.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(ahead)).where(F.col("value") >= least)
-    return spans.select("doc_id", "th", kind.alias("kind"), (F.col("end") - F.col("n")).cast("long").alias("start"), F.col("end").cast("long").alias("end")).distinct()
+        found.append(F.when(hit, F.struct(F.lit(rule.kind).alias("kind"), _matches(F.col("text"), rule).alias("m"))))
+    each = joined.select("doc_id", "th", F.explode(F.array_compact(F.array(*found))).alias("x"))
+    return each.select("doc_id", "th", "x.kind", F.inline("x.m")).distinct()
 
 
 def scan(docs: DataFrame, rules=RULES) -> DataFrame:

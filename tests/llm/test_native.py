@@ -256,3 +256,17 @@ def test_trigram_queries():
             for m in re.finditer(rule.regex, text):
                 low = m[0].lower()
                 assert all(any(all(g in low for g in s) for s in clause) for clause in q.get(rule.kind, []))
+
+
+def test_prefix_sums(spark):
+    rng = random.Random(0)
+    rows = [(i, [rng.randrange(100) for _ in range(n)]) for i, n in enumerate([0, 1, 2, 255, 256, 257, 512, 513, 2000])]
+    got = spark.createDataFrame(rows, "i int, a array<bigint>").select("i", secrets.prefix_sums(F.col("a")).alias("s")).collect()
+    assert {r.i: r.s for r in got} == {i: [sum(a[: k + 1]) for k in range(len(a))] for i, a in rows}
+
+
+def test_many_secrets_in_one_text(spark):
+    text = "token=abcdef x=1 " * 3_000 + "password: short1 " + "beef" * 400
+    (row,) = secrets.scan(docs_frame(spark, [(1, text, "en", "a")])).collect()
+    assert (row.n_assign, row.n_hex, row.n_access) == (3_001, 1, 0)
+    assert row.spans == ",".join(f"{k}:{a}:{b}" for a, _, k, b in expected_spans(text))
