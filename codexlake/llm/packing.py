@@ -4,11 +4,14 @@ Each document is cut into full windows of the longest tier; what is left is
 routed to the smallest tier that holds it. Tiers are packed from the longest
 down: a piece opens a window of its tier, the gap is filled with whole pieces
 of shorter tiers, the last of them cut to fit. Windows of every tier come out
-full, so only the last one of a partition is padded. Full windows of a tier are
-gathered into step groups that all hold the same number of tokens.
+full, so only the last one of a partition is padded.
 
 A task packs the rows of its own input partition as they stream by; nothing is
-shuffled, and a task holds the leftovers of a bounded number of documents.
+shuffled, and a task holds the leftovers of a bounded number of documents. So
+which documents share a window depends on how the input is split. Windows of a
+context are then numbered over all partitions by prefix sums, and each
+STEP_TOKENS tokens of them in a row form a step group, whose windows may come
+from several partitions; only the last group of a context can be smaller.
 """
 
 from __future__ import annotations
@@ -17,26 +20,26 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from codexlake.llm.common import ids, nullable
 from codexlake.llm.tokens import encoder
+from codexlake.sources.scratch import written
 
 TIERS = (256, 512, 1024, 2048)
 #: Documents whose leftovers are packed together, and the tokens of one step group.
 ROUND_DOCS, STEP_TOKENS = 4_000, 65_536
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context int, step_group long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context int, part int, nth long"
 
 
 class Packer:
     """Packs pieces (document, start, ids, tokens of the document); ids are uint32 bytes."""
 
     def __init__(self, partition: int, tiers: tuple[int, ...] = TIERS):
-        self.tiers, self.base = sorted(tiers), partition << 40
+        self.tiers, self.partition, self.base = sorted(tiers), partition, partition << 40
         self.waiting: dict[int, list] = {t: [] for t in self.tiers}
         self.n_sequences = 0
-        self.tier_tokens = dict.fromkeys(self.tiers, 0)
-        self.groups: dict[tuple[int, int], int] = {}
+        self.n_windows = dict.fromkeys(self.tiers, 0)
         self.rows: list[tuple] = []
 
     def add(self, doc: int, data: bytes) -> None:
@@ -52,14 +55,13 @@ class Packer:
         self.waiting[next(t for t in self.tiers if t >= n)].append(piece)
 
     def emit(self, window: list[tuple], context: int) -> None:
-        group = (context, self.tier_tokens[context] // STEP_TOKENS)
-        step = self.groups.setdefault(group, len(self.groups))
-        self.tier_tokens[context] += context
+        nth = self.n_windows[context]
+        self.n_windows[context] += 1
         offset, sequence = 0, self.base + self.n_sequences
         self.n_sequences += 1
         for doc, start, data, total in window:
             n = len(data) // 4
-            self.rows.append((doc, start, n, zlib.crc32(data), total, sequence, offset, context, self.base + step, data))
+            self.rows.append((doc, start, n, zlib.crc32(data), total, sequence, offset, context, self.partition, nth, data))
             offset += n
 
     def _next_for(self, gap: int, tier: int):
@@ -94,12 +96,12 @@ class Packer:
 
     def take(self, with_ids: bool) -> pa.RecordBatch:
         rows, self.rows = self.rows, []
-        columns = list(zip(*rows)) or [()] * 10
-        kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
-        arrays = [nullable(np.array(columns[0], dtype=np.int64)), *[pa.array(c, k) for c, k in zip(columns[1:9], kinds[1:])]]
+        columns = list(zip(*rows)) or [()] * 11
+        kinds = [pa.int64()] * 7 + [pa.int32(), pa.int32(), pa.int64()]
+        arrays = [nullable(np.array(columns[0], dtype=np.int64)), *[pa.array(c, k) for c, k in zip(columns[1:10], kinds[1:])]]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         if with_ids:
-            arrays.append(pa.array([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in columns[9]], pa.list_(pa.int32())))
+            arrays.append(pa.array([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in columns[10]], pa.list_(pa.int32())))
             names.append("ids")
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
@@ -129,10 +131,18 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tupl
     A document is the ids of its text and ``end_id``; each id lies in exactly
     one piece. ``context`` is the padded length of the sequence: its tier, and
     the longest tier for the one sequence of a partition that may not be full.
-    ``step_group`` names sequences of one context that make up STEP_TOKENS
-    tokens. Tiers are powers of two. A null or empty text has only the end id.
-    Repeated rows and rows without doc_id are packed like any others; an empty
-    table gives an empty result.
+    ``step_group`` numbers groups of STEP_TOKENS tokens of sequences of one
+    context, the last one of a context excepted. Tiers are powers of two. A
+    null or empty text has only the end id. Repeated rows and rows without
+    doc_id are packed like any others; an empty table gives an empty result.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(_pack(tokenizer, end_id, tuple(tiers), with_ids), SCHEMA + ", ids array<int>" * with_ids)
+    pieces = written(slim.mapInArrow(_pack(tokenizer, end_id, tuple(tiers), with_ids), SCHEMA + ", ids array<int>" * with_ids), "pieces")
+    # One row per partition and context; the sums go over the partitions.
+    counts = pieces.groupBy("context", "part").agg((F.max("nth") + 1).alias("n"))
+    ahead = Window.partitionBy("context").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("context", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    number = F.floor((F.col("base") + F.col("nth")) * F.col("context") / F.greatest(F.lit(STEP_TOKENS), F.col("context"))).cast("long")
+    tier = F.array_position(F.array(*[F.lit(t) for t in sorted(tiers)]), F.col("context")) - 1
+    joined = pieces.join(bases, ["context", "part"]).withColumn("step_group", number * len(tiers) + tier)
+    return joined.select(*[x.split()[0] for x in SCHEMA.split(", ")[:8]], "step_group", *["ids"] * with_ids)
