@@ -4,7 +4,9 @@ Documents are range-partitioned and sorted by doc_id, so the parts follow each
 other in doc_id order. Each part is three flat little-endian files: ``.bin``
 (unsigned ids, 16 or 32 bits wide), ``.off`` (uint64, where each document
 starts in the part, plus the end) and ``.doc`` (int64 doc ids). The bases of
-the parts are prefix sums over the parts' token counts, one row per part.
+the parts are prefix sums over the parts' token counts, one row per part; with
+them the manifest is written beside the parts, so that any session can read the
+folder. Files that the manifest doesn't name were left by lost attempts.
 Files go through Arrow's file systems, so a part can be on shared disk, HDFS or
 an object store; on shared disk readers memory-map it.
 """
@@ -40,45 +42,53 @@ def _write(path: str, tokenizer: str, end_id: int, dtype: str):
         name = f"{part:06d}-{uuid.uuid4().hex}"  # another attempt writes other files; only reported ones are read
         fs, root = _open(path)
         encode, end = encoder(tokenizer).encode, np.array([end_id], dtype="<u4").tobytes()
-        starts, docs, n_tokens = [0], [], 0
-        out = None
+        n_docs = n_tokens = 0
+        out: dict = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            out = out or fs.open_output_stream(f"{root}/{name}.bin")
-            docs.append(ids(batch.column("doc_id")))
-            held: list[bytes] = []
-            size = 0
+            if not out:
+                out = {suffix: fs.open_output_stream(f"{root}/{name}.{suffix}") for suffix in ("bin", "off", "doc")}
+                out["off"].write(np.zeros(1, dtype="<u8").tobytes())
+            out["doc"].write(ids(batch.column("doc_id")).astype("<i8").tobytes())
+            held, size, ends = [], 0, []
+
+            def flush():
+                out["bin"].write(np.frombuffer(b"".join(held), dtype="<u4").astype(dtype).tobytes())
+                out["off"].write(np.array(ends, dtype="<u8").tobytes())
+
             for text in batch.column("text"):
                 data = encode(text.as_py() or "") + end
                 held.append(data)
+                n_docs += 1
                 n_tokens += len(data) // 4
                 size += len(data)
-                starts.append(n_tokens)
+                ends.append(n_tokens)
                 if size > 4 * FLUSH:
-                    out.write(np.frombuffer(b"".join(held), dtype="<u4").astype(dtype).tobytes())
-                    held, size = [], 0
-            out.write(np.frombuffer(b"".join(held), dtype="<u4").astype(dtype).tobytes())
-        if out is None:
+                    flush()
+                    held, size, ends = [], 0, []
+            flush()
+        if not out:
             return
-        out.close()
-        for suffix, values in (("off", np.array(starts, dtype="<u8")), ("doc", np.concatenate(docs).astype("<i8"))):
-            with fs.open_output_stream(f"{root}/{name}.{suffix}") as f:
-                f.write(values.tobytes())
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "n_docs": [len(starts) - 1], "n_tokens": [n_tokens]})
+        for stream in out.values():
+            stream.close()
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
     return run
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, dtype: str = "<u2") -> DataFrame:
-    """Write ``docs`` as token files below ``path``; return the manifest (part, file, n_docs, n_tokens, base).
+    """Write ``docs`` as token files below ``path``; return the manifest (part, file, n_docs, n_tokens, base), also written there.
 
-    ``dtype`` must hold the tokenizer's ids: ``<u2`` for vocabularies below
-    65,536. A null text has only the end id. Rows without doc_id come first;
+    ``dtype`` must hold the tokenizer's ids, else a ValueError is raised:
+    ``<u2`` for vocabularies below 65,536. A null text has only the end id. Rows without doc_id come first;
     equal doc_ids follow each other in the order of their texts' hash. An empty
     table gives an empty manifest. The manifest has one row per part, so the
     prefix sums that give the bases run on the driver.
     """
+    largest = max(encoder(tokenizer).whole.get_vocab(with_added_tokens=True).values(), default=0)
+    if max(largest, end_id) > np.iinfo(dtype).max or end_id < 0:
+        raise ValueError(f"ids up to {max(largest, end_id)} don't fit into {dtype}")
     spark = docs.sparkSession
     order = [F.asc_nulls_first("doc_id"), F.xxhash64("text")]
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -90,7 +100,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     for r in rows:
         manifest.append((*r, base))
         base += r["n_tokens"]
-    return spark.createDataFrame(manifest, f"{WRITTEN}, base long")
+    table = spark.createDataFrame(manifest, f"{WRITTEN}, base long")
+    table.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    return table
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest of a folder of token files."""
+    return spark.read.schema(f"{WRITTEN}, base long").parquet(f"{path}/manifest")
 
 
 class TokenFile:
@@ -133,8 +150,9 @@ def _read(path: str, dtype: str):
     return run
 
 
-def read_token_files(manifest: DataFrame, path: str, dtype: str = "<u2") -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 (of the ids as uint32) from the files."""
+def read_token_files(spark: SparkSession, path: str, dtype: str = "<u2") -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 (of the ids as uint32) from the files that the manifest names."""
+    manifest = read_manifest(spark, path)
     n = max(1, manifest.count())
     return manifest.repartition(n, "part").mapInArrow(_read(path, dtype), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
@@ -142,4 +160,5 @@ def read_token_files(manifest: DataFrame, path: str, dtype: str = "<u2") -> Data
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Write token files into the shared scratch area and describe them as read back."""
     path = new_path(docs.sparkSession, "tokens")
-    return read_token_files(write_token_files(docs, path, tokenizer, end_id), path)
+    write_token_files(docs, path, tokenizer, end_id)
+    return read_token_files(docs.sparkSession, path)
