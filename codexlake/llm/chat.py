@@ -7,8 +7,10 @@ each text begins and ends at a token border; inside texts and roles they are
 escaped: every ``<|`` gets a backslash between its characters, and one more
 where backslashes stand there already, which is undone by removing one.
 
-Long conversations are cut into segments by turn number. Control tokens stand
-at the cut, so the ids of the segments are those of the whole conversation.
+Long conversations are cut into segments by turn number, each a row. Control
+tokens stand at the cut, so the ids of the segments, one after the other, are
+those of the whole conversation; with_offsets() says where each segment begins
+in it.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window, functions as F
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 TURN = re.compile(re.escape(START) + "(.*?)" + re.escape(SEP) + "(.*?)" + re.escape(END), re.DOTALL).finditer
@@ -130,49 +133,75 @@ def format_conversations(conversations: DataFrame, path: str, segment_turns: int
     return c.select("conv_id", "segment", "role", "text").mapInArrow(_format(path), SCHEMA)
 
 
-def _digest(path: str):
-    def run(batches):
-        rows, conv, state = [], None, None
+def with_offsets(segments: DataFrame) -> DataFrame:
+    """The rows of format_conversations() with char_offset and token_offset: where a segment begins in its whole conversation."""
+    ahead = Window.partitionBy("conv_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda n: F.coalesce(F.sum(n).over(ahead), F.lit(0)).cast("long")
+    return segments.select("*", before(F.length("formatted")).alias("char_offset"), before(F.size("token_ids")).alias("token_offset"))
 
-        def pack():
-            names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(map(list, zip(*rows)), kinds)], names=list(names))
 
-        def close():
-            n, turns, loss_n, loss, chars = state
-            rows.append((conv, n, turns.hexdigest(), loss_n, loss.hexdigest(), chars))
+def _parts(path: str):
+    """Of each segment what a digest runs over: its turns read from the formatted text, its loss texts decoded from the ids."""
 
+    def run(batches):
         for batch in batches:
-            for key, formatted, token_ids, spans in zip(*[batch.column(x).to_pylist() for x in ("conv_id", "formatted", "token_ids", "loss_tokens")]):
-                if state is None or key != conv:
-                    if state is not None:
-                        close()
-                        if len(rows) >= 5_000:
-                            yield pack()
-                            rows = []
-                    conv, state = key, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, text in parse(formatted):
-                    state[0] += 1
-                    state[1].update(f"{role}\n{text}\n".encode())
-                for span in spans:
-                    text = unescape(tokenizer(path).decode(token_ids[span["first"] : span["stop"]], skip_special_tokens=False)) if span["stop"] > span["first"] else ""
-                    state[2] += len(text)
-                    state[3].update(text.encode())
-                state[4] += len(formatted)
-        if state is not None:
-            close()
-        if rows:
-            yield pack()
+            n_turns, turns, loss = [], [], []
+            for formatted, token_ids, spans in zip(batch.column("formatted"), batch.column("token_ids"), batch.column("loss_tokens")):
+                found = parse(formatted.as_py())
+                n_turns.append(len(found))
+                turns.append("".join(f"{role}\n{text}\n" for role, text in found))
+                token_ids = token_ids.values.to_numpy(zero_copy_only=False)
+                first, stop = (spans.values.field(x).to_numpy() for x in ("first", "stop"))
+                texts = tokenizer(path).decode_batch([token_ids[a:b].tolist() for a, b in zip(first, stop) if b > a], skip_special_tokens=False)
+                loss.append("".join(map(unescape, texts)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("conv_id"), batch.column("segment"), pa.array(n_turns, pa.int64()), pa.array(turns, pa.string()), pa.array(loss, pa.string()), pc.utf8_length(batch.column("formatted")).cast(pa.int64())],
+                names=["conv_id", "segment", "n_turns", "turns", "loss", "formatted_chars"],
+            )
 
     return run
 
 
+def _digest(batches):
+    rows, conv, state = [], None, None
+
+    def pack():
+        names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(map(list, zip(*rows)), kinds)], names=list(names))
+
+    def close():
+        n, turns, loss_n, loss, chars = state
+        rows.append((conv, n, turns.hexdigest(), loss_n, loss.hexdigest(), chars))
+
+    for batch in batches:
+        for key, n_turns, turns, loss, chars in zip(*[batch.column(x).to_pylist() for x in ("conv_id", "n_turns", "turns", "loss", "formatted_chars")]):
+            if state is None or key != conv:
+                if state is not None:
+                    close()
+                    if len(rows) >= 5_000:
+                        yield pack()
+                        rows = []
+                conv, state = key, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+            state[0] += n_turns
+            state[1].update(turns.encode())
+            state[2] += len(loss)
+            state[3].update(loss.encode())
+            state[4] += chars
+    if state is not None:
+        close()
+    if rows:
+        yield pack()
+
+
 def read_back(segments: DataFrame, path: str) -> DataFrame:
     """Digests of each conversation, read from the formatted texts, ids and masks.
 
-    A digest runs over the whole conversation in order, so its segments stream
-    through one task one by one; nothing but the running digest is held.
+    Segments are parsed and decoded where they are. Only the digest runs over
+    the whole conversation in order: its texts stream through one task, which
+    holds nothing but the running digest.
     """
-    s = segments.select("conv_id", "segment", "formatted", "token_ids", "loss_tokens").repartition("conv_id").sortWithinPartitions("conv_id", "segment")
-    return s.mapInArrow(_digest(path), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    parts = segments.select("conv_id", "segment", "formatted", "token_ids", "loss_tokens")
+    parts = parts.mapInArrow(_parts(path), "conv_id long, segment long, n_turns long, turns string, loss string, formatted_chars long")
+    parts = parts.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+    return parts.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -41,6 +41,9 @@ def test_segments_have_the_ids_of_the_whole(spark):
     assert len(parts) == 3
     whole = chat.tokenizer(PATH).encode("".join(p.formatted for p in parts), add_special_tokens=False).ids
     assert sum((p.token_ids for p in parts), []) == whole
+    text = "".join(p.formatted for p in parts)
+    for r in chat.with_offsets(chat.format_conversations(df, PATH)).collect():
+        assert text[r.char_offset :].startswith(r.formatted) and whole[r.token_offset : r.token_offset + len(r.token_ids)] == r.token_ids
 
 
 @given(st.lists(st.tuples(st.text(alphabet="a<|\\>\nim_starsep", max_size=12), st.text(alphabet="<|\\>im_end startsp", max_size=30)), max_size=5))

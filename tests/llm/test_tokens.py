@@ -1,4 +1,7 @@
+from collections import Counter
+
 import public_tokenizers
+import pytest
 from brute import DOCS, crc, docs_frame, rows_of
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -44,6 +47,9 @@ def test_empty(spark):
 def test_file_slices(spark, tmp_path):
     docs = docs_frame(spark)
     manifest = token_files.write_token_files(docs, str(tmp_path), PATHS["byte_bpe_50k.json"]).collect()
+    assert token_files.read_manifest(spark, str(tmp_path)).collect() == manifest
+    with pytest.raises(ValueError):
+        token_files.write_token_files(docs, str(tmp_path), PATHS["byte_bpe_50k.json"], dtype="<u1")
     n = 0
     for r in manifest:
         part = token_files.TokenFile(str(tmp_path), r.file)
@@ -52,7 +58,8 @@ def test_file_slices(spark, tmp_path):
     assert n == len(DOCS)
 
 
-def test_packing(spark):
+def test_packing(spark, monkeypatch):
+    monkeypatch.setattr(packing, "STEP_TOKENS", 4096)
     rows = DOCS + [(100 + i, "many words in here " * (i * 7 % 300), "en", "a") for i in range(200)]
     pieces = packing.pack_documents(docs_frame(spark, rows).repartition(3), PATHS["word_bpe_49k.json"], with_ids=True).collect()
     by_doc, by_sequence = {}, {}
@@ -73,6 +80,26 @@ def test_packing(spark):
             own = sorted(by_doc[d], key=lambda p: p.start)
             assert sum((p.ids for p in own), []) == ids and {p.doc_tokens for p in own} == {len(ids)}
     steps = {}
-    for s in by_sequence.values():
-        steps.setdefault((s[0].step_group, s[0].context), []).append(s[0].context)
-    assert max(sum(v) for v in steps.values()) <= packing.STEP_TOKENS
+    for own in by_sequence.values():
+        steps.setdefault(own[0].context, Counter())[own[0].step_group] += own[0].context
+    assert len({g for x in steps.values() for g in x}) == sum(map(len, steps.values())) and sum(map(len, steps.values())) > 8
+    for groups in steps.values():
+        *full, last = [groups[g] for g in sorted(groups)]
+        assert set(full) <= {4096} and 0 < last <= 4096
+
+
+def test_padding_is_small(spark):
+    """At most one window of each partition is padded, whatever the lengths; a plain next-fit packer pads far more."""
+    rows = [(i, "word " * (1 + i * i % 1_500), "en", "a") for i in range(1_000)]
+    pieces = packing.pack_documents(docs_frame(spark, rows).repartition(2), PATHS["word_bpe_49k.json"]).collect()
+    held = Counter()
+    for p in pieces:
+        held[p.sequence_id] += p.length
+    padded = [p for p in {(p.sequence_id, p.context) for p in pieces} if held[p[0]] < p[1]]
+    assert len(padded) <= 2
+    lengths, windows, room = [len(ids) for _, ids in encoded(rows, "word_bpe_49k.json", 1)], 0, 0
+    for n in lengths:
+        if n > room:
+            windows, room = windows + 1, 2048
+        room -= n
+    assert sum(c for _, c in {(p.sequence_id, p.context) for p in pieces}) < 0.9 * 2048 * windows
