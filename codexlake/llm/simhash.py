@@ -424,9 +424,9 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, n_words: int = 3, wi
     members = sets.select("doc_id", "th", "node").join(found, "node", "left").select("doc_id", "th", F.coalesce("component", "node").alias("c"))
     members = written(members, "members")
     least = members.groupBy("c").agg(F.min("doc_id").alias("least"))
-    kept = members.join(least, "c").where(F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("doc_id_k"), F.col("th").alias("th_k")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("doc_id_k")) & (text_key(F.col("text").cast("string")) == F.col("th_k"))
-    return docs.join(kept.hint("shuffle_hash"), same, "left_semi")
+    kept = members.join(least, "c").where(F.col("doc_id").eqNullSafe(F.col("least"))).select("doc_id", "th").distinct().hint("shuffle_hash")
+    same = docs["doc_id"].cast("long").eqNullSafe(kept["doc_id"]) & (text_key(docs["text"].cast("string")) == kept["th"])
+    return docs.join(kept, same, "left_semi")
 
 
 def fingerprint_hex(word: str = "f0"):
