@@ -408,7 +408,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, n_words: int = 3, wi
     agree in doc_id and text stay or go together.
     """
     names = [f"f{w}" for w in range(n_words)]
-    schema = "doc_id long, th int, node long, " + ", ".join(f"{n} long" for n in names) + ", shingles array<long>"
+    schema = "doc_id long, th long, node long, " + ", ".join(f"{n} long" for n in names) + ", shingles array<long>"
     sets = written(with_text_key(docs).mapInArrow(_shingle_sets(shingle, n_words), schema), "sets")
     classes = written(sets.select("node", *names).distinct(), "classes")
     sure = _similar(near_links(classes, n_words, widths, t, threshold), sets)
