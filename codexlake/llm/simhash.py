@@ -324,8 +324,8 @@ def _shingle_sets(shingle: int, n_words: int):
     return run
 
 
-def _prefixes(hot: np.ndarray):
-    """Of each set the first n - ceil(0.8 n) + 1 shingles and their places, those in ``hot`` (sorted) last."""
+def _prefixes(hot: np.ndarray, as_lists: bool):
+    """Of each set the first n - ceil(0.8 n) + 1 shingles, those in ``hot`` (sorted) last: as one list, or a row each with its place."""
 
     def run(batches):
         for batch in batches:
@@ -333,14 +333,14 @@ def _prefixes(hot: np.ndarray):
             for node, h in zip(batch.column("node").to_pylist(), batch.column("shingles")):
                 h = h.values.to_numpy(zero_copy_only=False)
                 n = len(h)
-                if not n:
-                    continue
-                if len(hot):
+                if len(hot) and n:
                     late = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
                     h = np.r_[h[~late], h[late]]
                 h = h[: n - (4 * n + 4) // 5 + 1]
-                found.append((h, np.full(len(h), node), np.full(len(h), n, dtype=np.int32), np.arange(len(h), dtype=np.int32)))
-            if found:
+                found.append((node, h) if as_lists else (h, np.full(len(h), node), np.full(len(h), n, dtype=np.int32), np.arange(len(h), dtype=np.int32)))
+            if found and as_lists:
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], names=["node", "prefix"])
+            elif found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["h", "node", "n", "i"])
 
     return run
@@ -372,27 +372,54 @@ def _shared(batches):
         yield pack(last)
 
 
-def _prefix_rows(sets: DataFrame) -> DataFrame:
+def _common_shingles(sets: DataFrame) -> np.ndarray:
+    """The most frequent shingles of a sample of the sets, sorted. They only put the prefixes into a better order; any order is right."""
+    sample = sets.where(F.pmod("node", F.lit(SAMPLE)) == 0).select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("c"))
+    common = sample.where(F.col("c") > HOT_SETS).orderBy(F.desc("c"), "h").limit(MAX_COMMON).collect()
+    return np.array(sorted(r["h"] for r in common), dtype=np.int64)
+
+
+def _prefix_rows(sets: DataFrame, hot: np.ndarray) -> DataFrame:
     """h, node, n, i: two sets of Jaccard similarity 0.8 or more share an h; those of one set only are left out.
 
     That holds for any order of the shingles that all sets follow. They are
-    sorted by hash, those common in a sample of the sets after all others.
+    sorted by hash, those in ``hot`` after all others.
     """
-    sample = sets.where(F.pmod("node", F.lit(SAMPLE)) == 0).select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("c"))
-    common = sample.where(F.col("c") > HOT_SETS).orderBy(F.desc("c"), "h").limit(MAX_COMMON).collect()
-    hot = np.array(sorted(r["h"] for r in common), dtype=np.int64)
-    schema = "h long, node long, n int, i int"
-    rows = sets.select("node", "shingles").mapInArrow(_prefixes(hot), schema)
-    return rows.repartition("h").sortWithinPartitions("h", "node").mapInArrow(_shared, schema)
+    rows = sets.select("node", "shingles").mapInArrow(_prefixes(hot, False), "h long, node long, n int, i int")
+    return rows.repartition("h").sortWithinPartitions("h", "node").mapInArrow(_shared, "h long, node long, n int, i int")
+
+
+def _of_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of ``sets`` (node, ...) that pairs (a, b) need, once each."""
+    need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    need = F.broadcast(need) if need.count() <= MAX_NEEDED else need
+    return sets.join(need, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _beside(pairs: DataFrame, used: DataFrame, column: str) -> DataFrame:
+    """The pairs with the lists of both as x and y."""
+    x, y = used.select(F.col("node").alias("a"), F.col(column).alias("x")), used.select(F.col("node").alias("b"), F.col(column).alias("y"))
+    return pairs.join(x, "a").join(y, "b")
+
+
+def _within_reach(pairs: DataFrame, sets: DataFrame, hot: np.ndarray) -> DataFrame:
+    """The pairs (a, b, n, m) that may still be similar by what their prefixes share.
+
+    Behind the last shared place of the prefixes no more can be shared than
+    what is left of the shorter rest.
+    """
+    lists = _of_pairs(pairs, sets.select("node", "shingles")).mapInArrow(_prefixes(hot, True), "node long, prefix array<long>")
+    both = _beside(pairs, written(lists, "lists"), "prefix").withColumn("s", F.array_intersect("x", "y"))
+    last = F.element_at("s", -1)
+    rest = F.least(F.col("n") - F.array_position("x", last), F.col("m") - F.array_position("y", last))
+    return both.where(9 * (F.size("s") + rest) >= 4 * (F.col("n") + F.col("m"))).select("a", "b")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets have Jaccard similarity 0.8 or more, by exact counts."""
     pairs = written(pairs.select("a", "b").distinct(), "pairs")
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    need = F.broadcast(need) if need.count() <= MAX_NEEDED else need
-    used = written(sets.select("node", "shingles").join(need, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("s")), "used")
-    both = pairs.join(used.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(used.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    used = written(_of_pairs(pairs, sets.select("node", "shingles")), "used")
+    both = _beside(pairs, used, "shingles")
     return written(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "similar")
 
 
@@ -413,13 +440,14 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, n_words: int = 3, wi
     classes = written(sets.select("node", *names).distinct(), "classes")
     sure = _similar(near_links(classes, n_words, widths, t, threshold), sets)
     labels = connected_components(sure)
-    rows = written(_prefix_rows(sets).join(labels, "node", "left").select("h", "node", "n", "i", F.coalesce("component", "node").alias("c")), "prefixes")
+    hot = _common_shingles(sets)
+    rows = written(_prefix_rows(sets, hot).join(labels, "node", "left").select("h", "node", "n", "i", F.coalesce("component", "node").alias("c")), "prefixes")
     shared = rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
     rows = written(rows.join(shared, "h", "left_semi"), "shared")
     x, y = rows.toDF("h", "a", "n", "i", "c"), rows.toDF("h", "b", "m", "j", "d")
-    pairs = x.join(y, "h").where("a < b AND c <> d AND 5 * n >= 4 * m AND 5 * m >= 4 * n").groupBy("a", "b", "n", "m")
-    # behind the last shared place of the prefixes no more can be shared than what is left of the shorter rest
-    pairs = pairs.agg(F.count("*").alias("k"), F.max("i").alias("i"), F.max("j").alias("j")).where("9 * (k + least(n - 1 - i, m - 1 - j)) >= 4 * (n + m)")
+    # what two sets share lies at or behind the first shared place of each, and must be 4 / 9 of their sizes
+    pairs = x.join(y, "h").where("a < b AND c <> d AND 9 * least(n - i, m - j) >= 4 * (n + m)").select("a", "b", "n", "m").distinct()
+    pairs = _within_reach(written(pairs, "candidates"), sets, hot)
     found = connected_components(sure.union(_similar(pairs, sets)))
     members = sets.select("doc_id", "th", "node").join(found, "node", "left").select("doc_id", "th", F.coalesce("component", "node").alias("c"))
     members = written(members, "members")
