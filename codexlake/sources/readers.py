@@ -61,9 +61,14 @@ def transcriptions(spark: SparkSession, path: str, ids: DataFrame | None = None)
 
 
 def log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON-lines log without its corrupt and blank lines. ``ord`` orders rows by file and place."""
+    """A JSON-lines log without its corrupt and blank lines. ``ord`` (a struct) orders rows by file name, then place.
+
+    Spark deals files out by size, so the running number orders the rows of
+    one block of a file only; name and start of the block come before it.
+    """
     df = _json(spark, path, schema, multi_line=False)
-    return df.withColumn("ord", F.monotonically_increasing_id()).drop("file")
+    place = F.struct("file", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
+    return df.withColumn("ord", place).drop("file")
 
 
 def votes(spark: SparkSession, path: str) -> DataFrame:

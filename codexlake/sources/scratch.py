@@ -16,12 +16,15 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of this application, below ``spark.checkpoint.dir``.
 
     Where the setting is absent (tests, notebooks on one machine) a temporary
-    folder is made once and registered as the checkpoint folder.
+    folder is made once and registered as the checkpoint folder. On a cluster
+    that would be out of the executors' reach, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isEmpty():
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-codexlake-"))
         root = jsc.getCheckpointDir().get()
     return f"{root.rstrip('/')}/codexlake-{spark.sparkContext.applicationId}"

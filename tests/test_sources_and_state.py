@@ -41,6 +41,19 @@ def test_logs_skip_bad_lines(spark, tmp_path):
     assert r.chosen == [] and r.combined is False
 
 
+def test_log_order_over_files_of_unequal_size(spark, tmp_path):
+    """Spark packs files by size; the last line of the last file by name must still be the latest."""
+    from codexlake.operators import feedback
+
+    for month, n in (("2023-12", 400), ("2024-01", 5), ("2024-02", 40)):
+        lines = [json.dumps({"doc_id": "d", "candidate": f"{month}-{i}", "voter": "u", "voter_name": "x" * 50}) for i in range(n)]
+        put(tmp_path / f"votes-{month}.jsonl", "\n".join(lines) + "\n")
+    votes = readers.votes(spark, str(tmp_path))
+    assert [r.candidate for r in feedback.latest(votes, ["doc_id", "voter"], "ord").collect()] == ["2024-02-39"]
+    got = [r.candidate for r in votes.orderBy("ord").collect()]
+    assert got == [f"{m}-{i}" for m, n in (("2023-12", 400), ("2024-01", 5), ("2024-02", 40)) for i in range(n)]
+
+
 def test_transcriptions_and_fixtures(spark, tmp_path):
     put(tmp_path / "t" / "d1.txt", "# a\n# b\n\nText hier")
     put(tmp_path / "t" / "d2.txt", "plain")
