@@ -11,60 +11,49 @@ from codexlake.operators import metrics as M
 from codexlake.sources.parallel import spread
 
 
-def _columns(readings: list[tuple[str, str]], with_inserts: bool) -> tuple[list[str], list[dict[str, str]]]:
-    """The pivot's tokens (longest reading, the first of equals), and per pivot place what each reading has there.
-
-    A replaced stretch goes to its first place and leaves the others empty, as
-    does a deletion. Words inserted after a place join the reading there; before
-    the first place they are dropped.
-    """
-    words = [(label, text.split()) for label, text in readings]
-    best = max(range(len(words)), key=lambda i: (len(words[i][1]), -i))
-    pivot = words[best][1]
-    places: list[dict[str, str]] = [{words[best][0]: w} for w in pivot]
-    for i, (label, own) in enumerate(words):
-        if i == best:
-            continue
-        for block in difflib.SequenceMatcher(None, pivot, own, autojunk=False).get_opcodes():
-            kind, lo, hi, at, to = block
-            if kind == "insert":
-                if with_inserts and lo:
-                    before = places[lo - 1].get(label, "")
-                    places[lo - 1][label] = f"{before} {' '.join(own[at:to])}".strip()
-                continue
-            filled = own[at:to] if kind == "equal" else [" ".join(own[at:to])] * (kind == "replace")
-            for nth, place in enumerate(range(lo, hi)):
-                places[place][label] = filled[nth] if nth < len(filled) else ""
-    return pivot, places
-
-
-_PLACES = "array<struct<idx:int,token:string,chars_start:int,readings:map<string,string>>>"
 _MERGED = "struct<merged:string,agreement:double,equal_lines:int>"
 
 
-def _align(readings: pd.Series, with_inserts: pd.Series) -> pd.Series:
+def _laid_beside(pivot: pd.Series, other: pd.Series, with_inserts: pd.Series) -> pd.Series:
+    """For each word of the pivot what the other reading has there.
+
+    Between two runs of equal words the other reading's words lie at the first
+    of the pivot's words there. If the pivot has none there, they join the place
+    before if ``with_inserts``; before the first word they are dropped.
+    """
     out = []
-    for rows, flag in zip(readings, with_inserts):
-        pairs = [(r["label"], r["text"]) for r in rows]
-        if not pairs:
-            out.append([])
-            continue
-        pivot, places = _columns(pairs, bool(flag))
-        starts = [0]
-        for w in pivot:
-            starts.append(starts[-1] + len(w) + 1)
-        out.append([{"idx": i, "token": w, "chars_start": starts[i], "readings": places[i]} for i, w in enumerate(pivot)])
+    for own, text, inserts in zip(pivot, other, with_inserts):
+        words, theirs = own.split(), text.split()
+        at: list[list[str]] = [[] for _ in words]
+        place = taken = 0
+        for run in difflib.SequenceMatcher(None, words, theirs, autojunk=False).get_matching_blocks():
+            target = place if run.a > place else place - 1 if inserts else -1
+            if target >= 0:
+                at[target] += theirs[taken : run.b]
+            for k in range(run.size):
+                at[run.a + k].append(theirs[run.b + k])
+            place, taken = run.a + run.size, run.b + run.size
+        out.append([" ".join(x) for x in at])
     return pd.Series(out)
 
 
 def align(readings: DataFrame, page: list[str], label: str, order: str, text: str = "text", with_inserts: bool = True) -> DataFrame:
-    """page, idx, token, chars_start, readings (label -> token) per place of the longest reading.
+    """page, idx, token, chars_start, readings (label -> token) per place of the longest reading (the first of equals).
 
-    A page's few readings are gathered in order and aligned in one Arrow call.
+    Each other reading is laid beside the longest one on its own; a place's
+    readings meet by grouping, the longest one's first, then in order. Of
+    several readings with one label the first counts.
     """
-    r = spread(M.usable(readings, text).select(*page, label, order, text), *page)
-    grouped = r.groupBy(*page).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(label).cast("string").alias("label"), F.col(text).alias("text")))), lambda x: F.struct(x["label"].alias("label"), x["text"].alias("text"))).alias("r"))
-    return grouped.select(*page, F.explode(F.pandas_udf(_align, _PLACES)("r", F.lit(with_inserts))).alias("c")).select(*page, "c.*")
+    r = spread(M.usable(readings, text).select(*page, F.col(label).cast("string").alias("_label"), F.col(order).alias("_order"), F.col(text).alias("_text")), *page)
+    r = r.groupBy(*page, "_label").agg(F.min("_order").alias("_order"), F.min_by("_text", "_order").alias("_text"))
+    n_words = F.size(F.filter(F.split("_text", r"(?U)\s+"), lambda w: w != ""))
+    longest = r.groupBy(*page).agg(F.min_by(F.struct("_label", "_order", "_text"), F.struct(-n_words, "_order")).alias("_p"))
+    both = r.join(longest, page).withColumn("_own", F.col("_order") == F.col("_p._order"))
+    beside = both.select(*page, "_label", "_order", "_own", F.pandas_udf(_laid_beside, "array<string>")("_p._text", "_text", F.lit(with_inserts)).alias("_t"))
+    places = beside.select(*page, "_label", "_order", "_own", F.posexplode("_t").alias("idx", "token"))
+    met = F.array_sort(F.collect_list(F.struct((~F.col("_own")).alias("later"), F.col("_order").alias("o"), F.col("_label").alias("l"), F.col("token").alias("t"))))
+    columns = places.groupBy(*page, "idx").agg(F.map_from_entries(F.transform(met, lambda x: F.struct(x["l"], x["t"]))).alias("readings"), F.max(F.when(F.col("_own"), F.col("token"))).alias("token"))
+    return M.char_offsets(columns, page, "idx", "token").select(*page, "idx", "token", "chars_start", "readings")
 
 
 def vote(columns: DataFrame) -> DataFrame:
