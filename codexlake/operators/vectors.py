@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codexlake.sources.scratch import written
@@ -24,6 +25,55 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 5, key: str = "vec_
     return vectors.select(key, cosine(F.col(vector), q).alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
 
 
+#: Query vectors that every task holds at once.
+QUERY_BLOCK = 4096
+
+
+def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", digits: int = 9) -> DataFrame:
+    """query, key, similarity, rank: the k rows most similar to each query vector (key, vector), itself included.
+
+    Similarities are rounded to ``digits`` and ties follow the key. Queries go
+    in blocks of QUERY_BLOCK against one scan of all rows each; a task keeps k
+    rows per query and batch, and what is left meets per query. A null or zero
+    vector has similarity 0; queries without a key are left out.
+    """
+    names = queries.select(F.col(key).alias("query"), F.col(vector).alias("q")).where("query IS NOT NULL")
+    n = max(1, -(-names.count() // QUERY_BLOCK))
+    kind = vectors.schema[key].dataType.simpleString()
+    found = None
+    for block in range(n):
+        rows = names.where(F.pmod(F.xxhash64("query"), F.lit(n)) == block).orderBy("query").collect()
+        if rows:
+            part = vectors.select(key, vector).mapInPandas(_scored(rows, k, key, vector, digits), f"query {kind}, {key} {kind}, similarity double")
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        return vectors.select(F.col(key).alias("query"), key, F.lit(0.0).alias("similarity"), F.lit(1).alias("rank")).limit(0)
+    best = found.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), F.col(key).alias("v")))), 1, k).alias("x"))
+    return best.select("query", F.posexplode("x").alias("rank", "x")).select("query", F.col("x.v").alias(key), (-F.col("x.s")).alias("similarity"), (F.col("rank") + 1).cast("int").alias("rank"))
+
+
+def _unit(vectors, width: int) -> np.ndarray:
+    m = np.array([np.zeros(width) if v is None else np.asarray(v, dtype=np.float64) for v in vectors]).reshape(-1, width)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def _scored(rows, k: int, key: str, vector: str, digits: int):
+    ids = np.array([r["query"] for r in rows])
+    width = max((len(r["q"]) for r in rows if r["q"] is not None), default=1)
+    q = _unit([r["q"] for r in rows], width)
+
+    def run(batches):
+        for b in batches:
+            own = b[key].to_numpy()
+            order = np.argsort(own, kind="stable")
+            similar = np.round(q @ _unit(b[vector].to_numpy()[order], width).T, digits)
+            best = np.argsort(-similar, axis=1, kind="stable")[:, :k]  # of equals the smallest key
+            yield pd.DataFrame({"query": np.repeat(ids, best.shape[1]), key: own[order][best].ravel(), "similarity": np.take_along_axis(similar, best, axis=1).ravel()})
+
+    return run
+
+
 def kmeans(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", seed: int = 0, iterations: int = 100) -> DataFrame:
     """key, cluster by Lloyd's iteration.
 
