@@ -67,18 +67,81 @@ def review_list(entities: DataFrame, doc: str, order: str, limit: int = 5) -> Da
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy(doc).orderBy(order))).where(F.col("nth") <= limit)
 
 
+def _grams(text: Column, lengths: list[int]) -> Column:
+    """The distinct stretches of the lengths given."""
+    of = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*map(of, lengths)))
+
+
+def contained(terms: DataFrame, entries: DataFrame, least: int = 4) -> DataFrame:
+    """t, low of all pairs where one holds the other and ``low`` has ``least`` letters or more, equal ones included.
+
+    ``terms`` (t) and ``entries`` (low) are distinct and not empty. Whatever
+    holds the other holds its first ``least`` letters, so pairs come from joins
+    on those; a shorter term is met whole.
+    """
+    head = lambda c: F.substring(F.col(c), 1, least)
+    long = entries.where(F.length("low") >= least)
+    inside = terms.select("t", F.explode(_grams(F.col("t"), [least])).alias("g")).join(long.select("low", head("low").alias("g")), "g")
+    around = terms.select("t", head("t").alias("g")).join(long.select("low", F.explode(_grams(F.col("low"), list(range(1, least + 1)))).alias("g")), "g")
+    both = inside.where(F.contains("t", F.col("low"))).select("t", "low").unionByName(around.where(F.contains("low", F.col("t"))).select("t", "low"))
+    return both.distinct()
+
+
 def match_vocabulary(mentions: DataFrame, vocabulary: DataFrame, term: str = "term", least: int = 4) -> DataFrame:
-    """term -> entry: an equal one, else the first of four letters or more inside the mention or around it.
+    """term -> entry: an equal one, else the first of ``least`` letters or more inside the mention or around it.
+
+    vocabulary (entry, ord); null and blank terms have no entry. Terms and
+    entries meet by joins on equal names and on short stretches.
+    """
+    v = vocabulary.select("entry", "ord", F.lower("entry").alias("low")).where("low <> ''")
+    t = mentions.select(F.col(term)).distinct().withColumn("t", F.lower(F.trim(F.col(term))))
+    own = t.select("t").where("t <> ''").distinct()
+    equal = own.join(v.select("low").distinct(), F.col("t") == F.col("low")).select("t", "low")
+    pairs = equal.union(contained(own, v.select("low").distinct(), least)).distinct()
+    best = pairs.join(v, "low").groupBy("t").agg(F.min_by("entry", F.struct(F.col("low") != F.col("t"), "ord")).alias("entry"))
+    return t.join(best, "t", "left").select(term, "entry")
+
 
-    vocabulary (entry, ord) is a controlled list; distinct terms meet it as one
-    array, so no row pairs are shuffled.
+def search_dump(queries: DataFrame, dump: DataFrame, kind: str, limit: int = 5, least: int = 4) -> DataFrame:
+    """query, nth, id, name: the first entries of an authority dump (id, name, variants, type, ord) by name or variant.
+
+    A name matches if it is equal or, with ``least`` letters or more, holds the
+    query or lies in it, ignoring case. Entries of another kind are left out,
+    those without a kind are not. A blank query finds nothing.
+    """
+    names = F.filter(F.concat(F.array("name"), F.coalesce("variants", F.array().cast("array<string>"))), lambda n: F.coalesce(n, F.lit("")) != "")
+    d = dump.where(F.coalesce("type", F.lit("")).isin("", kind)).select("id", "name", "ord", F.explode(F.array_distinct(F.transform(names, lambda n: F.lower(n)))).alias("low"))
+    q = queries.select("query").distinct().withColumn("t", F.lower(F.trim("query"))).where("t <> ''")
+    own, low = q.select("t").distinct(), d.select("low").distinct()
+    pairs = own.join(low, F.col("t") == F.col("low")).select("t", "low").union(contained(own, low, least)).distinct()
+    hits = q.join(pairs, "t").join(d, "low").select("query", "id", "name", "ord").distinct()
+    nth = F.row_number().over(Window.partitionBy("query").orderBy("ord", "id"))
+    return hits.withColumn("nth", nth).where(F.col("nth") <= limit).select("query", "nth", "id", "name")
+
+
+def review_items(entities: DataFrame, candidates: DataFrame, doc: str, order: str, limit: int = 5, k: int = 3) -> DataFrame:
+    """The review list with each entity's first candidates: doc, order, name, candidates (array of id, name), which may be empty.
+
+    ``candidates`` (query, nth, id, name) is what a search found for the names.
     """
-    entries = F.broadcast(vocabulary.agg(F.array_sort(F.collect_list(F.struct("ord", "entry", F.lower("entry").alias("low")))).alias("v")).withColumn("one", F.lit(1)))
-    t = mentions.select(F.col(term)).distinct().withColumn("one", F.lit(1)).join(entries, "one").withColumn("t", F.lower(F.trim(F.col(term))))
-    equal = F.filter("v", lambda x: x["low"] == F.col("t"))
-    near = F.filter("v", lambda x: (F.length(x["low"]) >= least) & (F.contains(F.col("t"), x["low"]) | F.contains(x["low"], F.col("t"))))
-    entry = F.coalesce(F.get(equal, F.lit(0))["entry"], F.get(near, F.lit(0))["entry"])
-    return t.select(term, F.when(F.col("t") != "", entry).alias("entry"))
+    found = candidates.where(F.col("nth") <= k).groupBy(F.col("query").alias("name"))
+    found = found.agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "id", F.col("name").alias("label")))), lambda x: F.struct(x["id"].alias("id"), x["label"].alias("name"))).alias("candidates"))
+    items = review_list(entities, doc, order, limit).select(doc, order, F.trim(F.coalesce("name", F.lit(""))).alias("name"))
+    none = F.array().cast("array<struct<id:string,name:string>>")
+    return items.join(found.withColumn("candidates", F.col("candidates").cast("array<struct<id:string,name:string>>")), "name", "left").select(doc, order, "name", F.coalesce("candidates", none).alias("candidates"))
+
+
+def by_gnd(index: DataFrame, ids: DataFrame) -> DataFrame:
+    """gnd, slug: the first entry of the index with each authority id; ids without one are left out."""
+    first = index.where("gnd <> ''").groupBy("gnd").agg(F.min_by("slug", "first_ord").alias("slug"))
+    return ids.select("gnd").distinct().join(first, "gnd")
+
+
+def by_name_type(index: DataFrame, names: DataFrame) -> DataFrame:
+    """name, type, slug: the first entry of the index with the normalised name and the type."""
+    first = index.select(T.index_name(F.col("name")).alias("norm"), "type", "slug", "first_ord").groupBy("norm", "type").agg(F.min_by("slug", "first_ord").alias("slug"))
+    return names.select("name", "type").distinct().withColumn("norm", T.index_name(F.col("name"))).join(first, ["norm", "type"]).select("name", "type", "slug")
 
 
 def name_matches(query: Column, names: Column) -> Column:

@@ -99,6 +99,27 @@ def regret(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     return missing.join(found, by, "left").select(*by, F.coalesce("measured", F.lit(0)).alias("measured"), "unmeasurable", "median_regret", "p90_regret", "max_regret")
 
 
+def text_regret(events: DataFrame, texts: DataFrame, key: list[str], kept: DataFrame | None = None) -> DataFrame:
+    """key, regret: distance of the automatic pick's text from the text that the person kept, null if either is gone.
+
+    ``events`` (key, auto_pick, chosen) are selections; those without a choice
+    or a pick, and those that chose the pick, have no regret. ``texts`` (key,
+    candidate, text) are the candidates, ``kept`` (key, text) confirmed texts;
+    without one the text of a single choice counts. Feeds regret().
+    """
+    from codexlake.operators.metrics import RAW, cer
+
+    differ = events.where((F.size("chosen") > 0) & F.col("auto_pick").isNotNull() & (F.col("auto_pick") != "") & ~F.array_contains("chosen", F.col("auto_pick")))
+    only = F.when(F.size("chosen") == 1, F.get("chosen", F.lit(0)))
+    text = lambda side, name: texts.select(*key, F.col("candidate").alias(side), F.col("text").alias(name))
+    j = differ.withColumn("_only", only).join(text("auto_pick", "_auto"), [*key, "auto_pick"], "left").join(text("_only", "_single"), [*key, "_only"], "left")
+    if kept is not None:
+        j = j.join(kept.select(*key, F.nullif(F.col("text"), F.lit("")).alias("_kept")), key, "left").withColumn("_single", F.coalesce("_kept", "_single"))
+    there = (F.trim(F.coalesce("_auto", F.lit(""))) != "") & (F.trim(F.coalesce("_single", F.lit(""))) != "")
+    rest = [c for c in events.columns if c not in (*key, "auto_pick", "chosen")]
+    return j.select(*key, *rest, F.when(there, cer(F.col("_auto"), F.col("_single"), **RAW)).alias("regret"))
+
+
 def routing_prior(log: DataFrame, bucket: list[str], model: str, least: int = 10, cap: float = 0.15) -> DataFrame:
     """Per bucket of ``least`` rows or more: models whose share exceeds one half, and their nudge."""
     rows = log.dropna(subset=[*bucket, model])

@@ -96,11 +96,18 @@ def best_engine(table: DataFrame, key: list[str]) -> DataFrame:
     return table.groupBy(*key).agg(F.min_by("engine", F.struct("cer", "ord")).alias("best_engine"), F.min("cer").alias("best_cer"))
 
 
-def engine_means(table: DataFrame, n_docs: int) -> DataFrame:
-    """Mean CER per engine over all documents; one without the engine counts as 0."""
+def engine_means(table: DataFrame, key: list[str]) -> DataFrame:
+    """Mean CER per engine over all documents of the table; one without the engine counts as 0."""
+    n_docs = table.select(*key).distinct().count()
     return table.groupBy("engine").agg((F.sum("cer") / F.lit(n_docs)).alias("mean_cer"))
 
 
+def fusion_gain(table: DataFrame, fused: DataFrame, key: list[str], text: str = "fused", reference: str = "reference", **options: bool) -> DataFrame:
+    """key, best_cer, fused_cer, fusion_beats_best: whether the fused text is nearer to the reference than any engine's; null without one."""
+    own = fused.select(*key, F.when(F.coalesce(F.col(text), F.lit("")) != "", cer(F.col(reference), F.col(text), **options)).alias("fused_cer"))
+    return best_engine(table, key).join(own, key, "left").select(*key, "best_cer", "fused_cer", (F.col("fused_cer") < F.col("best_cer")).alias("fusion_beats_best"))
+
+
 def page_quality(table: DataFrame, key: list[str]) -> DataFrame:
     """Mean of 1 - CER, clamped to 0..1."""
     return table.groupBy(*key).agg(F.avg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("cer")))).alias("qa_score"))

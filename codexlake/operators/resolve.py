@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from codexlake.functions import rules as R, text as T
 from codexlake.operators.components import connected_components
+from codexlake.sources.scratch import written
 
 IDS = ("gnd_id", "hls_id", "wikidata_id")
 
@@ -21,17 +24,22 @@ def prepare(persons: DataFrame) -> DataFrame:
 
 
 def match_edges(persons: DataFrame) -> DataFrame:
-    """a, b (a < b), confidence of all matching pairs, from equi-joins on blocking keys.
+    """a, b (a < b), confidence of all matching pairs, from one equi-join on blocking keys.
 
     A shared authority id matches with high confidence. Equal normalised names
     match with high confidence if the years meet, medium if they are unknown,
     and never if they don't meet. Equal surnames with equal forenames or a
     shared variant match with medium confidence if the years meet. A pair found
-    by several keys takes the first of these rules.
+    by several keys takes the first of these rules. The keys are the ids, the
+    name, and the surname with the forename or with each variant, so a common
+    surname is no block by itself.
     """
-    p = prepare(persons)
-    left = p.select(*[F.col(c).alias(f"a_{c}") for c in p.columns])
-    right = p.select(*[F.col(c).alias(f"b_{c}") for c in p.columns])
+    p = written(prepare(persons), "prepared")
+    key = lambda kind, *values: F.when(reduce(lambda x, v: x & (v.cast("string") != ""), values[1:], values[0].cast("string") != ""), F.concat_ws("\t", F.lit(kind), *values))
+    keys = [*[key(c, F.col(c)) for c in IDS], key("norm", F.col("norm")), key("fore", F.col("sur"), F.col("fore"))]
+    variants = F.when(F.col("sur") != "", F.transform("names", lambda n: F.concat_ws("\t", F.lit("variant"), F.col("sur"), n)))
+    all_keys = F.array_distinct(F.array_compact(F.concat(F.array(*keys), F.coalesce(variants, F.array().cast("array<string>")))))
+    side = lambda x: p.select(F.explode(all_keys).alias("key"), *[F.col(c).alias(f"{x}_{c}") for c in p.columns])
     overlap = R.years_overlap(F.col("a_years"), F.col("b_years"))
     shared = F.lit(False)
     for c in IDS:
@@ -40,12 +48,9 @@ def match_edges(persons: DataFrame) -> DataFrame:
     fore = ((F.col("a_fore") != "") & (F.col("a_fore") == F.col("b_fore"))) | F.arrays_overlap("a_names", "b_names")
     by_surname = F.when((F.col("a_sur") != "") & (F.col("a_sur") == F.col("b_sur")) & fore & F.coalesce(overlap, F.lit(False)), "medium")
     label = F.when(shared, "high").when((F.col("a_norm") != "") & (F.col("a_norm") == F.col("b_norm")), by_name).otherwise(by_surname)
-    found = None
-    for key in (*IDS, "norm", "sur"):
-        on = (F.col(f"a_{key}") == F.col(f"b_{key}")) & (F.col(f"a_{key}").cast("string") != "") & (F.col("a_pid") < F.col("b_pid"))
-        pairs = left.join(right, on).select(F.col("a_pid").alias("a"), F.col("b_pid").alias("b"), label.alias("confidence")).where("confidence IS NOT NULL")
-        found = pairs if found is None else found.unionByName(pairs)
-    return found.distinct()
+    pairs = side("a").join(side("b"), "key").where("a_pid < b_pid")
+    found = pairs.select(F.col("a_pid").alias("a"), F.col("b_pid").alias("b"), label.alias("confidence")).where("confidence IS NOT NULL")
+    return written(found.distinct(), "edges")
 
 
 def clusters(persons: DataFrame, edges: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ _COMPONENTS = f"""{_PERSONS}, links AS (SELECT a, b FROM edges UNION ALL SELECT
 
 _SCRIPT = "CASE {0} WHEN 'gotische textura' THEN 'textura' WHEN 'blackletter' THEN 'fraktur' WHEN 'deutsche kurrent' THEN 'kurrent' ELSE '' END"
 _RANKED = f"""models AS (SELECT 'm' || p_partkey AS model_id, p_partkey AS ordinal, ['textura','fraktur','kurrent','bastarda','kursive'][p_size % 5 + 1] AS m_script,
-        ['de','la','fr','mul'][p_partkey % 4 + 1] AS m_lang, p_size % 6 + 12 AS c1, p_size % 6 + 13 AS c2, CASE WHEN p_size > 25 THEN 'medieval register' ELSE 'modern' END AS notes FROM part WHERE p_partkey <= 40),
+        ['de','la','fr','mul'][p_partkey % 4 + 1] AS m_lang, p_size % 6 + 12 AS c1, p_size % 6 + 13 AS c2, CASE WHEN p_size > 25 THEN 'medieval register' ELSE 'modern' END AS notes FROM (SELECT min(p_partkey) AS p_partkey, max(p_size) AS p_size FROM part GROUP BY p_brand, p_type)),
     criteria AS (SELECT doc_id, {_SCRIPT.format("['gotische textura','blackletter','deutsche kurrent',''][doc_id % 4 + 1]")} AS script, lang, doc_id % 7 + 11 AS century, doc_id % 5 = 0 AS charter FROM documents),
     raw AS (SELECT c.doc_id, m.model_id, m.ordinal, m.notes,
         CASE WHEN c.script = '' THEN 0 WHEN c.script = m.m_script THEN 60 WHEN contains(c.script, m.m_script) OR contains(m.m_script, c.script) THEN 30 ELSE -35 END
@@ -87,7 +87,7 @@ _GRAPH = f"""{_JUDGED}, picked AS (SELECT * FROM judged WHERE quality = 1),
         UNION SELECT 'selection:' || doc_id, CASE WHEN toxic = 1 THEN 'prov:wasDerivedFrom' ELSE 'ex:endorses' END, 'reading:' || doc_id || '/' || source, 'iri' FROM picked)"""
 
 _FIELDS = ", ".join(f"'{f}'" for f in state.INVALIDATION)
-_INPUTS = f"inputs AS (SELECT user_id AS doc_id, [{_FIELDS}][event_id % {len(state.INVALIDATION)} + 1] AS field, event_type AS value, event_id AS ord FROM events WHERE event_id % 5 = 0)"
+_INPUTS = f"inputs AS (SELECT user_id AS doc_id, [{_FIELDS}][event_id % {len(state.INVALIDATION)} + 1] AS field, event_type AS value, event_id AS ord FROM events)"
 _MATRIX = ", ".join(f"('{f}', '{s}', '{m}')" for f, (dirty, stale) in state.INVALIDATION.items() for m, stages in (("dirty", dirty), ("stale", stale)) for s in stages)
 _STAGES = ", ".join(f"({i}, '{s}')" for i, s in enumerate(state.STAGES))
 _LANGUAGE = " ".join(f"WHEN contains(s, '{x}') THEN '{R.LANGUAGES and next(c for c, xs in R.LANGUAGES.items() if x in xs)}'" for x in sorted((x for xs in R.LANGUAGES.values() for x in xs), key=lambda x: (-len(x), x)))
@@ -108,6 +108,23 @@ _SELECTIONS = f"""{_OVERRIDES}, selections AS (SELECT inferred AS auto_pick, eve
     agreeing AS (SELECT *, auto_pick = event_type OR (value > 50 AND auto_pick = 'view') AS agreed FROM selections WHERE event_type <> 'error' AND auto_pick IS NOT NULL),
     decided AS (SELECT *, event_type <> 'error' AS accepted FROM selections)"""
 
+def _regret(by: str, rows: str) -> str:
+    """Percentiles of v per group of the table e that ``rows`` lays down."""
+    return f"""WITH {rows},
+        r AS (SELECT {by}, v, row_number() OVER (PARTITION BY {by} ORDER BY v) - 1 AS r, count(*) OVER (PARTITION BY {by}) AS n FROM e WHERE v IS NOT NULL)
+        SELECT e.{by}, coalesce(max(m.n), 0) AS measured, max(u.unmeasurable) AS unmeasurable, max(m.median_regret) AS median_regret, max(m.p90) AS p90_regret, max(m.top) AS max_regret
+        FROM (SELECT DISTINCT {by} FROM e) e
+        JOIN (SELECT {by}, count(*) FILTER (WHERE v IS NULL) AS unmeasurable FROM e GROUP BY 1) u USING ({by})
+        LEFT JOIN (SELECT {by}, max(n) AS n, median(v) AS median_regret, max(CASE WHEN r = least(n - 1, round_even(0.9 * (n - 1), 0)) THEN v END) AS p90, max(v) AS top FROM r GROUP BY 1) m USING ({by}) GROUP BY 1"""
+
+
+_REVIEW = """m AS (SELECT p_brand AS doc_id, p_partkey AS ord, trim(p_name) AS name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nth FROM part WHERE p_partkey % 2 = 0 AND (p_partkey % 3 = 0 OR p_partkey % 5 = 0))"""
+_DUMP = """dump AS (SELECT string_split(p_name, ' ')[1] AS name, p_type AS variant, CASE p_partkey % 3 WHEN 0 THEN 'place' WHEN 1 THEN 'person' END AS type, min(p_partkey) AS ord FROM part GROUP BY 1, 2, 3),
+    names AS (SELECT 'a' || ord AS id, name, ord, lower(unnest([name, variant])) AS low FROM dump WHERE coalesce(type, '') IN ('', 'person')),
+    q AS (SELECT DISTINCT p_name AS query, lower(trim(p_name)) AS t FROM part),
+    hits AS (SELECT DISTINCT query, id, name, ord FROM q JOIN names ON t = low OR (length(low) >= 4 AND (contains(t, low) OR contains(low, t)))),
+    found AS (SELECT query, id, name, row_number() OVER (PARTITION BY query ORDER BY ord, id) AS nth FROM hits)"""
+
 SQL: dict[str, str] = {
     "corpus_term_stats": f"""WITH {_TERMS} SELECT (SELECT count(*) FROM documents) AS doc_count, (SELECT count(*) FROM words) AS total_words,
         (SELECT count(DISTINCT term) FROM counted) AS total_unique_words, (SELECT CAST(sum(length(text)) AS BIGINT) FROM documents) AS total_chars""",
@@ -142,10 +159,10 @@ SQL: dict[str, str] = {
     "max_symmetric_cer": f"WITH {_READINGS} SELECT a.conv_id, max(CAST({_CER.format('a.text', 'b.text')} AS DOUBLE)) AS max_cer FROM readings a JOIN readings b ON a.conv_id = b.conv_id AND a.turn <> b.turn GROUP BY 1",
     "gate_blocked": f"WITH {_PAIRS} SELECT conv_id, max(cer) > 0.8 AS block FROM pairs GROUP BY 1",
     "cer_best_engine": f"WITH {_ENGINES} SELECT conv_id, arg_min(engine, (cer, ord)) AS best_engine, min(cer) AS best_cer FROM cers GROUP BY 1",
-    "cer_engine_means": f"WITH {_ENGINES} SELECT engine, round(sum(cer) / 100, 6) AS mean_cer FROM cers GROUP BY 1",
+    "cer_engine_means": f"WITH {_ENGINES} SELECT engine, round(sum(cer) / (SELECT count(DISTINCT conv_id) FROM cers), 6) AS mean_cer FROM cers GROUP BY 1",
     "page_quality": f"WITH {_ENGINES} SELECT conv_id, round(avg(greatest(0.0, least(1.0, 1 - cer))), 9) AS qa_score FROM cers GROUP BY 1",
-    "token_offsets": """WITH t AS (SELECT conv_id, unnest(list_filter(string_split_regex(text, '[ \\n]+'), lambda x: x <> '')) AS token, generate_subscripts(list_filter(string_split_regex(text, '[ \\n]+'), lambda x: x <> ''), 1) - 1 AS pos FROM conversations WHERE turn = 0)
-        SELECT conv_id, CAST(pos AS INTEGER) AS pos, token, CAST(coalesce(sum(length(token) + 1) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chars_start FROM t""",
+    "token_offsets": """WITH t AS (SELECT conv_id, turn, unnest(list_filter(string_split_regex(text, '[ \\n]+'), lambda x: x <> '')) AS token, generate_subscripts(list_filter(string_split_regex(text, '[ \\n]+'), lambda x: x <> ''), 1) - 1 AS pos FROM conversations)
+        SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, token, CAST(coalesce(sum(length(token) + 1) OVER (PARTITION BY conv_id, turn ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chars_start FROM t""",
     "votes_latest": f"WITH {_LATEST} SELECT * FROM latest",
     "votes_tally": f"WITH {_TALLY} SELECT * FROM tally",
     "votes_winner": f"""WITH {_TALLY}, lead AS (SELECT doc, CAST(sum(votes) AS BIGINT) AS cast_votes, max(votes) AS hi FROM tally GROUP BY 1),
@@ -155,12 +172,13 @@ SQL: dict[str, str] = {
         count(*) FILTER (WHERE event_type IS DISTINCT FROM inferred) / count(*) AS override_rate FROM overrides GROUP BY 1""",
     "selection_agreement": f"WITH {_SELECTIONS} " + " UNION ALL ".join(_sets(x, ["bucket", "engine"], "agreeing", "agreed", "decided", "agreed") for x in ("overall", "bucket", "engine")),
     "coverage_rollup": f"WITH {_SELECTIONS} " + " UNION ALL ".join(_sets(x, ["day", "engine"], "decided", "accepted", "decided", "accepted") for x in ("overall", "day", "engine")),
-    "regret_percentiles": """WITH e AS (SELECT event_type, CASE WHEN event_id % 10 > 0 THEN value END AS v FROM events),
-        r AS (SELECT event_type, v, row_number() OVER (PARTITION BY event_type ORDER BY v) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM e WHERE v IS NOT NULL)
-        SELECT e.event_type, coalesce(max(m.n), 0) AS measured, max(u.unmeasurable) AS unmeasurable, max(m.median_regret) AS median_regret, max(m.p90) AS p90_regret, max(m.top) AS max_regret
-        FROM (SELECT DISTINCT event_type FROM e) e
-        JOIN (SELECT event_type, count(*) FILTER (WHERE v IS NULL) AS unmeasurable FROM e GROUP BY 1) u USING (event_type)
-        LEFT JOIN (SELECT event_type, max(n) AS n, median(v) AS median_regret, max(CASE WHEN r = least(n - 1, round_even(0.9 * (n - 1), 0)) THEN v END) AS p90, max(v) AS top FROM r GROUP BY 1) m USING (event_type) GROUP BY 1""",
+    "regret_percentiles": _regret("event_type", "e AS (SELECT event_type, CASE WHEN event_id % 10 > 0 THEN value END AS v FROM events)"),
+    "text_regret": _regret("bucket", f"""{_ALL_READINGS}, best AS (SELECT conv_id, arg_max(turn, length(coalesce(text, '')) * 1000 - turn) AS best FROM conversations GROUP BY 1),
+        e AS (SELECT b.conv_id % 3 AS bucket, CASE WHEN a.text <> '' AND h.text <> '' THEN CAST({_CER.format('a.text', 'h.text')} AS DOUBLE) END AS v
+              FROM best b LEFT JOIN readings a ON a.conv_id = b.conv_id AND a.turn = 0 LEFT JOIN readings h ON h.conv_id = b.conv_id AND h.turn = b.best WHERE b.best <> 0)"""),
+    "fusion_gain": f"""WITH {_ENGINES}, b AS (SELECT conv_id, min(cer) AS best_cer FROM cers GROUP BY 1), l AS (SELECT conv_id, arg_max(text, turn) AS fused FROM readings GROUP BY 1),
+        f AS (SELECT l.conv_id, CASE WHEN l.fused <> '' THEN CAST({_CER.format('r.text', 'l.fused')} AS DOUBLE) END AS fused_cer FROM l JOIN readings r ON r.conv_id = l.conv_id AND r.turn = 0)
+        SELECT conv_id, round(best_cer, 9) AS best_cer, round(fused_cer, 9) AS fused_cer, fused_cer < best_cer AS fusion_beats_best FROM b LEFT JOIN f USING (conv_id)""",
     "routing_prior": f"""WITH {_JUDGED}, c AS (SELECT lang, 'q' || quality AS model, count(*) AS wins, sum(count(*)) OVER (PARTITION BY lang) AS total FROM judged GROUP BY 1, 2)
         SELECT lang, model, wins, CAST(total AS BIGINT) AS total, round(least(wins / total - 0.5, 0.15), 4) AS prior_score FROM c WHERE total >= 10 AND wins / total > 0.5""",
     "model_winrates": f"""WITH {_JUDGED} SELECT lang, 'm' || quality AS model, count(*) FILTER (WHERE doc_id % 3 = 0 OR toxic = quality) AS wins, count(*) AS total,
@@ -177,8 +195,13 @@ SQL: dict[str, str] = {
     "entity_register": f"WITH {_INDEX} SELECT upper(name[1]) AS initial, count(*) AS entries, CAST(sum(n_mentions) AS BIGINT) AS mentions FROM idx GROUP BY 1",
     "entity_lookup": f"""WITH {_INDEX}, q AS (SELECT DISTINCT upper(p_name) AS query FROM part)
         SELECT query, arg_min(slug, (-n_mentions, first_ord)) AS slug FROM q JOIN idx ON {_norm('query')} = {_norm('name')} GROUP BY 1""",
-    "review_list": """WITH m AS (SELECT p_brand AS doc_id, p_partkey AS ord, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nth FROM part WHERE p_partkey % 2 = 0 AND (p_partkey % 3 = 0 OR p_partkey % 5 = 0))
-        SELECT doc_id, ord, CAST(nth AS INTEGER) AS nth FROM m WHERE nth <= 5""",
+    "entity_by_gnd": f"WITH {_INDEX} SELECT gnd, arg_min(slug, first_ord) AS slug FROM idx WHERE gnd <> '' GROUP BY 1",
+    "entity_by_name_type": f"""WITH {_INDEX}, q AS (SELECT DISTINCT upper(p_name) AS name, p_type AS type FROM part)
+        SELECT q.name, q.type, arg_min(slug, first_ord) AS slug FROM q JOIN idx ON {_norm('q.name')} = {_norm('idx.name')} AND idx.type = q.type GROUP BY 1, 2""",
+    "dump_search": f"WITH {_DUMP} SELECT query, CAST(nth AS INTEGER) AS nth, id, name FROM found WHERE nth <= 5",
+    "review_list": f"WITH {_REVIEW} SELECT doc_id, ord, CAST(nth AS INTEGER) AS nth FROM m WHERE nth <= 5",
+    "review_items": f"""WITH {_REVIEW}, {_DUMP} SELECT m.doc_id, m.ord, m.name, coalesce(string_agg(found.id, ',' ORDER BY found.nth) FILTER (WHERE found.nth <= 3), '') AS candidates
+        FROM m LEFT JOIN found ON found.query = m.name WHERE m.nth <= 5 GROUP BY 1, 2, 3""",
     "vocabulary_match": """WITH v AS (SELECT string_split(p_name, ' ')[1] AS entry, min(p_partkey) AS ord FROM part GROUP BY 1), t AS (SELECT DISTINCT p_name AS term FROM part),
         hits AS (SELECT term, entry, ord, lower(term) = lower(entry) AS equal FROM t LEFT JOIN v ON lower(term) = lower(entry) OR (length(entry) >= 4 AND (contains(lower(term), lower(entry)) OR contains(lower(entry), lower(term)))))
         SELECT term, arg_min(entry, (NOT equal, ord)) AS entry FROM hits GROUP BY 1""",
@@ -196,8 +219,8 @@ SQL: dict[str, str] = {
             arg_min(life_dates, pid) FILTER (WHERE life_dates IS NOT NULL) AS life_dates, count(*) AS n_members FROM placed GROUP BY 1)
         SELECT m.cluster, name, sources, CASE WHEN r IS NULL OR r = 3 THEN 'high' ELSE 'medium' END AS confidence, gnd_id, life_dates, CAST(names.n AS INTEGER) AS n_variants, n_members,
         coalesce(r = 2, false) AND n_members > 1 AS needs_review FROM m JOIN names USING (cluster) LEFT JOIN strong ON strong.component = m.cluster""",
-    "cosine_topk": """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS sim FROM embeddings CROSS JOIN q)
-        SELECT vec_id, CAST(row_number() OVER (ORDER BY sim DESC, vec_id) AS INTEGER) AS rank FROM s ORDER BY sim DESC, vec_id LIMIT 10""",
+    "cosine_topk": """WITH s AS (SELECT q.vec_id AS query, v.vec_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS sim FROM embeddings v JOIN embeddings q ON q.vec_id % 50 = 0)
+        SELECT query, vec_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
     "triples": f"WITH {_GRAPH} SELECT * FROM graph",
     "triple_counts": f"WITH {_GRAPH} SELECT p, CASE WHEN p = 'rdf:type' THEN o ELSE '' END AS what, count(*) AS triples, count(DISTINCT s) AS subjects FROM graph GROUP BY 1, 2",
     "provenance_bgp": f"""WITH {_GRAPH} SELECT a.s AS doc, a.o AS reading, b.o AS run, c.o AS model, d.o AS selection FROM graph a JOIN graph b ON b.s = a.o AND b.p = 'prov:wasGeneratedBy'
@@ -207,6 +230,6 @@ SQL: dict[str, str] = {
         hits AS (SELECT doc_id, stage, bool_or(mark = 'dirty') AS d, bool_or(mark = 'stale') AS t, max(ord) AS o FROM inputs JOIN matrix USING (field) GROUP BY 1, 2)
         SELECT doc_id, CAST(nth AS INTEGER) AS nth, stage, CASE WHEN d THEN 'dirty' ELSE 'pending' END AS status, coalesce(t, false) AS stale, coalesce(o, 0) AS version FROM docs CROSS JOIN stages LEFT JOIN hits USING (doc_id, stage)""",
     "pinned_criteria": f"WITH {_INPUTS} SELECT doc_id, field, arg_max(value, ord) AS value, max(ord) AS ord FROM inputs WHERE field IN ('century', 'lang', 'script', 'document_type') GROUP BY 1, 2",
-    "new_orders": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 0)",
+    "new_orders": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')",
     "streaming_replay": f"WITH {_LATEST} SELECT * FROM latest",
 }

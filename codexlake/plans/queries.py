@@ -124,7 +124,7 @@ def cer_best_engine(spark, d):
 
 
 def cer_engine_means(spark, d):
-    return metrics.engine_means(_cer_rows(spark, d), 100).select("engine", F.round("mean_cer", 6).alias("mean_cer"))
+    return metrics.engine_means(_cer_rows(spark, d), ["conv_id"]).select("engine", F.round("mean_cer", 6).alias("mean_cer"))
 
 
 def page_quality(spark, d):
@@ -132,8 +132,8 @@ def page_quality(spark, d):
 
 
 def token_offsets(spark, d):
-    tokens = table(spark, d, "conversations").where("turn = 0").select("conv_id", F.posexplode(F.filter(F.split("text", "[ \\n]+"), lambda x: x != "")).alias("pos", "token"))
-    return metrics.char_offsets(tokens, ["conv_id"], "pos", "token")
+    tokens = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.filter(F.split("text", "[ \\n]+"), lambda x: x != "")).alias("pos", "token"))
+    return metrics.char_offsets(tokens, ["conv_id", "turn"], "pos", "token")
 
 
 # feedback
@@ -184,6 +184,23 @@ def regret_percentiles(spark, d):
     return feedback.regret(e, "value", ["event_type"])
 
 
+def text_regret(spark, d):
+    """The automatic pick is the first turn, the person's the longest text."""
+    c = table(spark, d, "conversations")
+    best = c.groupBy("conv_id").agg(F.max_by("turn", F.struct(F.length(F.coalesce("text", F.lit(""))), -F.col("turn"))).alias("best"))
+    events = best.select("conv_id", (F.col("conv_id") % 3).alias("bucket"), F.lit("turn/0").alias("auto_pick"), F.array(F.concat(F.lit("turn/"), "best")).alias("chosen"))
+    texts = _readings(spark, d).select("conv_id", F.concat(F.lit("turn/"), "turn").alias("candidate"), "text")
+    return feedback.regret(feedback.text_regret(events, texts, ["conv_id"]), "regret", ["bucket"])
+
+
+def fusion_gain(spark, d):
+    """The fused text is the last turn's."""
+    r = _readings(spark, d)
+    last = r.groupBy("conv_id").agg(F.max_by("text", "turn").alias("fused"))
+    fused = last.join(r.where("turn = 0").select("conv_id", F.col("text").alias("reference")), "conv_id")
+    return metrics.fusion_gain(_cer_rows(spark, d), fused, ["conv_id"]).select("conv_id", F.round("best_cer", 9).alias("best_cer"), F.round("fused_cer", 9).alias("fused_cer"), "fusion_beats_best")
+
+
 def _judged(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang", "source").join(table(spark, d, "labels").select("doc_id", "quality", "toxic"), "doc_id")
 
@@ -230,7 +247,8 @@ def pseudonymise(spark, d):
 
 
 def _models(spark, d):
-    p = table(spark, d, "part").where("p_partkey <= 40")
+    """A model for each kind of part."""
+    p = table(spark, d, "part").groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("p_partkey"), F.max("p_size").alias("p_size"))
     script = F.element_at(F.array(*map(F.lit, ("textura", "fraktur", "kurrent", "bastarda", "kursive"))), (F.col("p_size") % 5 + 1).cast("int"))
     lang = F.element_at(F.array(*map(F.lit, ("de", "la", "fr", "mul"))), (F.col("p_partkey") % 4 + 1).cast("int"))
     centuries = F.array((F.col("p_size") % 6 + 12).cast("int"), (F.col("p_size") % 6 + 13).cast("int"))
@@ -281,9 +299,36 @@ def entity_lookup(spark, d):
     return entities.lookup(entity_index(spark, d), names)
 
 
+def entity_by_gnd(spark, d):
+    return entities.by_gnd(entity_index(spark, d), _mentions(spark, d).where("gnd <> ''"))
+
+
+def entity_by_name_type(spark, d):
+    names = table(spark, d, "part").select(F.upper("p_name").alias("name"), F.col("p_type").alias("type"))
+    return entities.by_name_type(entity_index(spark, d), names)
+
+
+def _dump(spark, d):
+    p = table(spark, d, "part")
+    kind = F.when(F.col("p_partkey") % 3 == 0, "place").when(F.col("p_partkey") % 3 == 1, "person")
+    return p.groupBy(F.element_at(F.split("p_name", " "), 1).alias("name"), F.col("p_type").alias("variant"), kind.alias("type")).agg(F.min("p_partkey").alias("ord")).select(F.concat(F.lit("a"), "ord").alias("id"), "name", F.array("variant").alias("variants"), "type", "ord")
+
+
+def dump_search(spark, d):
+    return entities.search_dump(table(spark, d, "part").select(F.col("p_name").alias("query")), _dump(spark, d), "person")
+
+
+def _for_review(spark, d):
+    return _mentions(spark, d).select("doc_id", "ord", "name", F.when(F.col("ord") % 2 == 0, "PERSON").otherwise("ORG").alias("type"), F.when(F.col("ord") % 3 == 0, "none").otherwise("hub").alias("link_method"), F.when(F.col("ord") % 5 == 0, "low").otherwise("high").alias("confidence"))
+
+
 def review_list(spark, d):
-    m = _mentions(spark, d).select("doc_id", "ord", F.when(F.col("ord") % 2 == 0, "PERSON").otherwise("ORG").alias("type"), F.when(F.col("ord") % 3 == 0, "none").otherwise("hub").alias("link_method"), F.when(F.col("ord") % 5 == 0, "low").otherwise("high").alias("confidence"))
-    return entities.review_list(m, "doc_id", "ord").select("doc_id", "ord", "nth")
+    return entities.review_list(_for_review(spark, d), "doc_id", "ord").select("doc_id", "ord", "nth")
+
+
+def review_items(spark, d):
+    found = entities.review_items(_for_review(spark, d), dump_search(spark, d), "doc_id", "ord")
+    return found.select("doc_id", "ord", "name", F.array_join(F.transform("candidates", lambda x: x["id"]), ",").alias("candidates"))
 
 
 def vocabulary_match(spark, d):
@@ -328,10 +373,9 @@ def resolve_merged(spark, d):
 
 
 def cosine_topk(spark, d):
+    """Every fiftieth vector against all."""
     v = table(spark, d, "embeddings")
-    query = [float(x) for x in v.where("vec_id = 0").select("embedding").first()[0]]
-    found = vectors.nearest(v, query, 10)
-    return found.select("vec_id", F.row_number().over(Window.orderBy(F.desc("similarity"), "vec_id")).alias("rank"))  # ten rows
+    return vectors.nearest_of_each(v, v.where("vec_id % 50 = 0"), 10).select("query", "vec_id", "rank")
 
 
 def kmeans_labels(spark, d):
@@ -354,10 +398,11 @@ def disagreement_spans(spark, d):
 
 
 def reconciled_pairs(spark, d):
+    """Each turn with the next one."""
     c = table(spark, d, "conversations")
-    pairs = c.where("turn = 0").select("conv_id", F.col("text").alias("first")).join(c.where("turn = 1").select("conv_id", F.col("text").alias("second")), "conv_id")
+    pairs = c.select("conv_id", "turn", F.col("text").alias("first")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("second")), ["conv_id", "turn"])
     out = fusion.reconcile(pairs, "first", "second")
-    return out.select("conv_id", "method", F.length("reconciled").alias("n_chars"), "agreement")
+    return out.select("conv_id", "turn", "method", F.length("reconciled").alias("n_chars"), "agreement")
 
 
 # graph
@@ -394,7 +439,7 @@ def publication_scope(spark, d):
 
 def _inputs(spark, d):
     field = F.element_at(F.array(*map(F.lit, state.INVALIDATION)), (F.col("event_id") % len(state.INVALIDATION) + 1).cast("int"))
-    return table(spark, d, "events").select(F.col("user_id").alias("doc_id"), field.alias("field"), F.col("event_type").alias("value"), F.col("event_id").alias("ord")).where("ord % 5 = 0")
+    return table(spark, d, "events").select(F.col("user_id").alias("doc_id"), field.alias("field"), F.col("event_type").alias("value"), F.col("event_id").alias("ord"))
 
 
 def stage_states(spark, d):
@@ -407,7 +452,8 @@ def pinned_criteria(spark, d):
 
 
 def new_orders(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 10 = 0")
+    """The ledger holds the open orders."""
+    o = table(spark, d, "orders").where("o_orderstatus = 'O'")
     return state.new_orders(table(spark, d, "customer").select("c_custkey"), o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
@@ -425,8 +471,8 @@ def streaming_replay(spark, d):
 def _all() -> dict:
     names = """corpus_term_stats corpus_top_terms doc_quality_flags doc_chunks search_index catalogue_search storage_overview run_totals text_functions language_scripts
     years_and_centuries tolerant_json pairwise_cer max_pairwise_cer max_symmetric_cer gate_blocked cer_best_engine cer_engine_means page_quality token_offsets votes_latest votes_tally votes_winner
-    override_rates selection_agreement coverage_rollup regret_percentiles routing_prior model_winrates path_preferences preference_pairs bradley_terry strength_priors pseudonymise
-    model_topk routing_gate ranked_candidates entity_index entity_register entity_lookup review_list vocabulary_match link_cascade resolve_edges resolve_components resolve_merged
+    override_rates selection_agreement coverage_rollup regret_percentiles text_regret fusion_gain routing_prior model_winrates path_preferences preference_pairs bradley_terry strength_priors pseudonymise
+    model_topk routing_gate ranked_candidates entity_index entity_register entity_lookup entity_by_gnd entity_by_name_type dump_search review_list review_items vocabulary_match link_cascade resolve_edges resolve_components resolve_merged
     cosine_topk kmeans_labels fuse_votes disagreement_spans reconciled_pairs triples triple_counts provenance_bgp publication_scope stage_states pinned_criteria new_orders streaming_replay"""
     return reduce(lambda out, n: out | {n: globals()[n]}, names.split(), {})
 

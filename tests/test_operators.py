@@ -115,6 +115,62 @@ def test_lookup_and_upsert(spark):
     assert sorted(r.v for r in entities.upsert(table, rows, "id", "ord").collect()) == ["add", "new", "no id"]
 
 
+def test_vocabulary_and_dump(spark):
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abAB "), n))
+    entries = [(word(rng.integers(0, 7)), i) for i in range(60)] + [(None, 99)]
+    terms = [word(rng.integers(0, 10)) for _ in range(80)] + [None, "  "]
+    want = {}
+    for t in terms:
+        low = (t or "").strip(" ").lower()
+        hits = [(e.lower() != low, i, e) for e, i in entries if e and low and (e.lower() == low or len(e) >= 4 and (e.lower() in low or low in e.lower()))]
+        want[t] = min(hits)[2] if hits else None
+    v = spark.createDataFrame(entries, "entry string, ord int")
+    got = entities.match_vocabulary(spark.createDataFrame([(t,) for t in terms], "term string"), v)
+    assert {r.term: r.entry for r in got.collect()} == want
+    dump = spark.createDataFrame([("1", "Bern", ["Berne"], "place", 1), ("2", "Bernhard", None, "person", 2), ("3", "Berner", [""], None, 3), ("4", None, ["Abernathy"], "person", 4)], "id string, name string, variants array<string>, type string, ord int")
+    q = spark.createDataFrame([("bern",), (" ",), (None,), ("Anna Bernhard",)], "query string")
+    assert sorted((r["query"], r.nth, r.id) for r in entities.search_dump(q, dump, "person").collect()) == [("Anna Bernhard", 1, "2"), ("bern", 1, "2"), ("bern", 2, "3"), ("bern", 3, "4")]
+    people = spark.createDataFrame([("d", 1, "bern", "PERSON", "none", "high"), ("d", 2, "nobody", "PLACE", "none", "high")], "doc string, ord int, name string, type string, link_method string, confidence string")
+    items = {r.name: [c.id for c in r.candidates] for r in entities.review_items(people, entities.search_dump(q, dump, "person"), "doc", "ord", k=2).collect()}
+    assert items == {"bern": ["2", "3"], "nobody": []}
+
+
+def test_text_regret_and_fusion_gain(spark):
+    from codexlake.operators import metrics
+
+    events = spark.createDataFrame([("a", "x", ["y"]), ("b", "x", ["x"]), ("c", "x", ["gone"]), ("d", "x", ["y", "z"]), ("e", None, ["y"])], "doc string, auto_pick string, chosen array<string>")
+    texts = spark.createDataFrame([(d, c, t) for d in "abcde" for c, t in (("x", "abcd"), ("y", "abcf"))], "doc string, candidate string, text string")
+    assert {r.doc: r.regret for r in feedback.text_regret(events, texts, ["doc"]).collect()} == {"a": 0.25, "c": None, "d": None}
+    kept = spark.createDataFrame([("d", "abxx"), ("c", "")], "doc string, text string")
+    assert {r.doc: r.regret for r in feedback.text_regret(events, texts, ["doc"], kept).collect()} == {"a": 0.25, "c": None, "d": 0.5}
+    cers = spark.createDataFrame([("a", "e", 1, 0.5), ("b", "e", 1, 0.0)], "doc string, engine string, ord int, cer double")
+    fused = spark.createDataFrame([("a", "abcd", "abcd"), ("b", "abcd", "")], "doc string, reference string, fused string")
+    assert {r.doc: r.fusion_beats_best for r in metrics.fusion_gain(cers, fused, ["doc"]).collect()} == {"a": True, "b": None}
+
+
+def test_alignment_against_opcodes(spark):
+    """What lies beside each word of the longest reading, by the edit operations of two word lists."""
+    import difflib
+
+    rng = np.random.default_rng(7)
+    rows = [(p, o, f"e{o}", " ".join(rng.choice(list("abcde"), rng.integers(1, 9)))) for p in range(25) for o in range(2)]
+    df = spark.createDataFrame([(int(p), int(o), e, t) for p, o, e, t in rows], "page int, ord int, engine string, text string")
+    got = {(r.page, r.idx): dict(r.readings) for r in fusion.align(df, ["page"], "engine", "ord").collect()}
+    for p in range(25):
+        a, b = [t.split() for q, _, _, t in rows if q == p]
+        (own, other), (me, you) = ((a, b), ("e0", "e1")) if len(a) >= len(b) else ((b, a), ("e1", "e0"))
+        beside = [""] * len(own)
+        for op, i, i2, j, j2 in difflib.SequenceMatcher(None, own, other, autojunk=False).get_opcodes():
+            if op == "equal":
+                beside[i:i2] = other[j:j2]
+            elif op == "replace":
+                beside[i] = " ".join(other[j:j2])
+            elif op == "insert" and i:
+                beside[i - 1] = f"{beside[i - 1]} {' '.join(other[j:j2])}".strip()
+        assert [got[p, i] for i in range(len(own))] == [{me: w, you: x} for w, x in zip(own, beside)]
+
+
 def test_dedup_extracted(spark):
     rows = [("t", "P", 1, "first"), ("t", "P", 2, ""), ("u", "P", 3, ""), ("u", "P", 4, ""), ("v", "P", 5, "a"), ("v", "P", 6, "b")]
     df = spark.createDataFrame(rows, "text string, type string, ord int, context string")
@@ -160,6 +216,22 @@ def test_kmeans_and_search(spark):
     assert [r.vec_id for r in vectors.nearest(df, [0.0, 1.0], 2).collect()] == [0, 1]
 
 
+def test_nearest_of_each(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    m = rng.integers(-2, 3, size=(300, 4)).astype(np.float32)  # many equal directions, some zero vectors
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(300, None)], "vec_id int, embedding array<float>").repartition(5)
+    m = np.vstack([m, np.zeros(4)]).astype(float)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    unit = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+    similar = np.round(unit @ unit.T, 9)
+    want = {(q, r + 1, int(v)) for q in range(0, 301, 50) for r, v in enumerate(np.lexsort((np.arange(301), -similar[q]))[:7])}
+    for block in (4096, 2):
+        monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+        got = vectors.nearest_of_each(df, df.where("vec_id % 50 = 0"), 7).collect()
+        assert {(r["query"], r["rank"], r.vec_id) for r in got} == want
+    assert vectors.nearest_of_each(df.limit(0), df.where("vec_id = 0"), 3).collect() == [] == vectors.nearest_of_each(df, df.limit(0), 3).collect()
+
+
 def test_kmeans_runs_until_labels_are_stable(spark):
     """The border between two centroids that start at one end creeps along the line for more than 20 rounds."""
     points = np.random.default_rng(1).random(600)
