@@ -306,40 +306,81 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, n_words: int = 1, widths:
     return prints.join(labelled, names).select("doc_id", "th", *names, "component_id")
 
 
-def _shingle_sets(shingle: int, n_words: int):
+def _node(h: np.ndarray) -> int:
+    """Names a set of shingles, signed."""
+    return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 7)).view(np.int64))
+
+
+def _set_prints(shingle: int, n_words: int):
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
             sets = [np.unique(_shingles(x, shingle)) for x in raw_texts(batch.column("text"))]
             prints = np.array([_bits(h, n_words) for h in sets], dtype=np.uint64).reshape(-1, n_words)
-            classes = np.array([xxhash.xxh64_intdigest(h.tobytes(), 7) for h in sets], dtype=np.uint64)
-            values = pa.array(np.concatenate(sets).view(np.int64))
+            columns = [batch.column("doc_id"), batch.column("th"), pa.array(list(map(_node, sets)), pa.int64()), *[pa.array(np.ascontiguousarray(prints[:, w]).view(np.int64)) for w in range(n_words)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "node", *[f"f{w}" for w in range(n_words)]])
+
+    return run
+
+
+def _shingle_sets(shingle: int):
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(_shingles(x, shingle)) for x in raw_texts(batch.column("text"))]
+            values = pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *sets]).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(h) for h in sets])].astype(np.int32)), values)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("th"), pa.array(classes.view(np.int64)), *[pa.array(np.ascontiguousarray(prints[:, w]).view(np.int64)) for w in range(n_words)], lists],
-                names=["doc_id", "th", "node", *[f"f{w}" for w in range(n_words)], "shingles"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(_node, sets)), pa.int64()), lists], names=["node", "shingles"])
 
     return run
 
 
+class _Sets:
+    """The shingle sets of texts. Only their names and fingerprints are stored; sets are made anew where a step needs some."""
+
+    def __init__(self, docs: DataFrame, shingle: int, n_words: int):
+        self.texts, self.shingle = with_text_key(docs), shingle
+        schema = "doc_id long, th long, node long, " + ", ".join(f"f{w} long" for w in range(n_words))
+        self.names = written(self.texts.mapInArrow(_set_prints(shingle, n_words), schema), "sets")
+
+    def all(self, where=None) -> DataFrame:
+        """node, shingles of every text, or of those that satisfy a condition on doc_id and th."""
+        texts = self.texts if where is None else self.texts.where(where)
+        return texts.mapInArrow(_shingle_sets(self.shingle), "node long, shingles array<long>")
+
+    def of_pairs(self, pairs: DataFrame) -> DataFrame:
+        """node, shingles of the sets that pairs (a, b) name, once each."""
+        need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        first = self.names.join(need, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("r"))
+        first = written(first.select("r.doc_id", "r.th").distinct(), "first")
+        n = F.broadcast(first).alias("n") if first.count() <= MAX_NEEDED else first.alias("n")
+        t = self.texts.alias("t")
+        texts = t.join(n, F.col("t.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("t.th") == F.col("n.th")), "left_semi")
+        return texts.mapInArrow(_shingle_sets(self.shingle), "node long, shingles array<long>").dropDuplicates(["node"])
+
+
 def _prefixes(hot: np.ndarray, as_lists: bool):
-    """Of each set the first n - ceil(0.8 n) + 1 shingles, those in ``hot`` (sorted) last: as one list, or a row each with its place."""
+    """Of each set the first n - ceil(0.8 n) + 1 shingles, those in ``hot`` (sorted) last: as one list, or a row each with its place.
+
+    A list comes with the size of its set and the place of its last shingle in
+    the order of all shingles (``late``, ``least``).
+    """
 
     def run(batches):
         for batch in batches:
             found = []
             for node, h in zip(batch.column("node").to_pylist(), batch.column("shingles")):
                 h = h.values.to_numpy(zero_copy_only=False)
-                n = len(h)
+                n, early = len(h), len(h)
                 if len(hot) and n:
                     late = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
-                    h = np.r_[h[~late], h[late]]
+                    h, early = np.r_[h[~late], h[late]], n - int(late.sum())
                 h = h[: n - (4 * n + 4) // 5 + 1]
-                found.append((node, h) if as_lists else (h, np.full(len(h), node), np.full(len(h), n, dtype=np.int32), np.arange(len(h), dtype=np.int32)))
+                if as_lists and n:
+                    found.append((node, h, n, len(h) > early, int((h[-1:].view(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)[0])))
+                elif n:
+                    found.append((h, np.full(len(h), node), np.full(len(h), n, dtype=np.int32), np.arange(len(h), dtype=np.int32)))
             if found and as_lists:
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], names=["node", "prefix"])
+                kinds = (pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.bool_(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*found), kinds)], names=["node", "prefix", "n", "late", "least"])
             elif found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["h", "node", "n", "i"])
 
@@ -372,54 +413,44 @@ def _shared(batches):
         yield pack(last)
 
 
-def _common_shingles(sets: DataFrame) -> np.ndarray:
-    """The most frequent shingles of a sample of the sets, sorted. They only put the prefixes into a better order; any order is right."""
-    sample = sets.where(F.pmod("node", F.lit(SAMPLE)) == 0).select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("c"))
+def _common_shingles(sets: _Sets) -> np.ndarray:
+    """The most frequent shingles of a sample of the texts, sorted. They only put the prefixes into a better order; any order is right."""
+    sample = sets.all(F.pmod("th", F.lit(SAMPLE)) == 0).select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("c"))
     common = sample.where(F.col("c") > HOT_SETS).orderBy(F.desc("c"), "h").limit(MAX_COMMON).collect()
     return np.array(sorted(r["h"] for r in common), dtype=np.int64)
 
 
-def _prefix_rows(sets: DataFrame, hot: np.ndarray) -> DataFrame:
+def _prefix_rows(sets: _Sets, hot: np.ndarray) -> DataFrame:
     """h, node, n, i: two sets of Jaccard similarity 0.8 or more share an h; those of one set only are left out.
 
     That holds for any order of the shingles that all sets follow. They are
     sorted by hash, those in ``hot`` after all others.
     """
-    rows = sets.select("node", "shingles").mapInArrow(_prefixes(hot, False), "h long, node long, n int, i int")
+    rows = sets.all().mapInArrow(_prefixes(hot, False), "h long, node long, n int, i int")
     return rows.repartition("h").sortWithinPartitions("h", "node").mapInArrow(_shared, "h long, node long, n int, i int")
 
 
-def _of_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows of ``sets`` (node, ...) that pairs (a, b) need, once each."""
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    need = F.broadcast(need) if need.count() <= MAX_NEEDED else need
-    return sets.join(need, "node", "left_semi").dropDuplicates(["node"])
-
-
-def _beside(pairs: DataFrame, used: DataFrame, column: str) -> DataFrame:
-    """The pairs with the lists of both as x and y."""
-    x, y = used.select(F.col("node").alias("a"), F.col(column).alias("x")), used.select(F.col("node").alias("b"), F.col(column).alias("y"))
-    return pairs.join(x, "a").join(y, "b")
-
-
-def _within_reach(pairs: DataFrame, sets: DataFrame, hot: np.ndarray) -> DataFrame:
-    """The pairs (a, b, n, m) that may still be similar by what their prefixes share.
+def _within_reach(pairs: DataFrame, sets: _Sets, hot: np.ndarray) -> DataFrame:
+    """The pairs (a, b) that may still be similar by what their prefixes share.
 
-    Behind the last shared place of the prefixes no more can be shared than
-    what is left of the shorter rest.
+    Of the prefix that ends first in the order of all shingles, those that the
+    other prefix doesn't have are not in the other set at all. So no more can be
+    shared than what both prefixes share and what lies behind that one.
     """
-    lists = _of_pairs(pairs, sets.select("node", "shingles")).mapInArrow(_prefixes(hot, True), "node long, prefix array<long>")
-    both = _beside(pairs, written(lists, "lists"), "prefix").withColumn("s", F.array_intersect("x", "y"))
-    last = F.element_at("s", -1)
-    rest = F.least(F.col("n") - F.array_position("x", last), F.col("m") - F.array_position("y", last))
-    return both.where(9 * (F.size("s") + rest) >= 4 * (F.col("n") + F.col("m"))).select("a", "b")
+    lists = written(sets.of_pairs(pairs).mapInArrow(_prefixes(hot, True), "node long, prefix array<long>, n int, late boolean, least long"), "lists")
+    side = lambda node: lists.select(F.col("node").alias(node), F.struct("prefix", "n", F.struct("late", "least").alias("end"), (F.col("n") - F.size("prefix")).alias("behind")).alias(f"_{node}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    behind = F.when(F.col("_a.end") <= F.col("_b.end"), F.col("_a.behind")).otherwise(F.col("_b.behind"))
+    shared = F.size(F.array_intersect("_a.prefix", "_b.prefix"))
+    return both.where(9 * (shared + behind) >= 4 * (F.col("_a.n") + F.col("_b.n"))).select("a", "b")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _similar(pairs: DataFrame, sets: _Sets) -> DataFrame:
     """The pairs (a, b) whose sets have Jaccard similarity 0.8 or more, by exact counts."""
     pairs = written(pairs.select("a", "b").distinct(), "pairs")
-    used = written(_of_pairs(pairs, sets.select("node", "shingles")), "used")
-    both = _beside(pairs, used, "shingles")
+    used = written(sets.of_pairs(pairs), "used")
+    x, y = used.select(F.col("node").alias("a"), F.col("shingles").alias("x")), used.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    both = pairs.join(x, "a").join(y, "b")
     return written(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "similar")
 
 
@@ -435,9 +466,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, n_words: int = 3, wi
     agree in doc_id and text stay or go together.
     """
     names = [f"f{w}" for w in range(n_words)]
-    schema = "doc_id long, th long, node long, " + ", ".join(f"{n} long" for n in names) + ", shingles array<long>"
-    sets = written(with_text_key(docs).mapInArrow(_shingle_sets(shingle, n_words), schema), "sets")
-    classes = written(sets.select("node", *names).distinct(), "classes")
+    sets = _Sets(docs, shingle, n_words)
+    classes = written(sets.names.select("node", *names).distinct(), "classes")
     sure = _similar(near_links(classes, n_words, widths, t, threshold), sets)
     labels = connected_components(sure)
     hot = _common_shingles(sets)
@@ -449,7 +479,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, n_words: int = 3, wi
     pairs = x.join(y, "h").where("a < b AND c <> d AND 9 * least(n - i, m - j) >= 4 * (n + m)").select("a", "b", "n", "m").distinct()
     pairs = _within_reach(written(pairs, "candidates"), sets, hot)
     found = connected_components(sure.union(_similar(pairs, sets)))
-    members = sets.select("doc_id", "th", "node").join(found, "node", "left").select("doc_id", "th", F.coalesce("component", "node").alias("c"))
+    members = sets.names.select("doc_id", "th", "node").join(found, "node", "left").select("doc_id", "th", F.coalesce("component", "node").alias("c"))
     members = written(members, "members")
     least = members.groupBy("c").agg(F.min("doc_id").alias("least"))
     kept = members.join(least, "c").where(F.col("doc_id").eqNullSafe(F.col("least"))).select("doc_id", "th").distinct().hint("shuffle_hash")
