@@ -311,9 +311,16 @@ def _node(h: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 7)).view(np.int64))
 
 
+def _few(batches, rows: int = 1_000):
+    """Batches of fewer rows, as sets take far more memory than their texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _set_prints(shingle: int, n_words: int):
     def run(batches):
-        for batch in batches:
+        for batch in _few(batches):
             sets = [np.unique(_shingles(x, shingle)) for x in raw_texts(batch.column("text"))]
             prints = np.array([_bits(h, n_words) for h in sets], dtype=np.uint64).reshape(-1, n_words)
             columns = [batch.column("doc_id"), batch.column("th"), pa.array(list(map(_node, sets)), pa.int64()), *[pa.array(np.ascontiguousarray(prints[:, w]).view(np.int64)) for w in range(n_words)]]
@@ -324,7 +331,7 @@ def _set_prints(shingle: int, n_words: int):
 
 def _shingle_sets(shingle: int):
     def run(batches):
-        for batch in batches:
+        for batch in _few(batches):
             sets = [np.unique(_shingles(x, shingle)) for x in raw_texts(batch.column("text"))]
             values = pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *sets]).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(h) for h in sets])].astype(np.int32)), values)
@@ -346,6 +353,11 @@ class _Sets:
         texts = self.texts if where is None else self.texts.where(where)
         return texts.mapInArrow(_shingle_sets(self.shingle), "node long, shingles array<long>")
 
+    def prefixes(self, hot: np.ndarray) -> DataFrame:
+        """h, node, n, i of every text; one worker of a task does both steps."""
+        sets, rows = _shingle_sets(self.shingle), _prefixes(hot, False)
+        return self.texts.mapInArrow(lambda batches: rows(sets(batches)), "h long, node long, n int, i int")
+
     def of_pairs(self, pairs: DataFrame) -> DataFrame:
         """node, shingles of the sets that pairs (a, b) name, once each."""
         need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
@@ -426,8 +438,7 @@ def _prefix_rows(sets: _Sets, hot: np.ndarray) -> DataFrame:
     That holds for any order of the shingles that all sets follow. They are
     sorted by hash, those in ``hot`` after all others.
     """
-    rows = sets.all().mapInArrow(_prefixes(hot, False), "h long, node long, n int, i int")
-    return rows.repartition("h").sortWithinPartitions("h", "node").mapInArrow(_shared, "h long, node long, n int, i int")
+    return sets.prefixes(hot).repartition("h").sortWithinPartitions("h", "node").mapInArrow(_shared, "h long, node long, n int, i int")
 
 
 def _within_reach(pairs: DataFrame, sets: _Sets, hot: np.ndarray) -> DataFrame:
