@@ -370,11 +370,13 @@ class _Sets:
 
 
 def _prefixes(hot: np.ndarray, as_lists: bool):
-    """Of each set the first n - ceil(0.8 n) + 1 shingles, those in ``hot`` (sorted) last: as one list, or a row each with its place.
+    """Of each set the first n - ceil(0.8 n) + 1 shingles, those in ``hot`` last: as one list, or a row each with its place.
 
+    ``hot`` has two rows: shingles, sorted, and the place of each among them.
     A list comes with the size of its set and the place of its last shingle in
     the order of all shingles (``late``, ``least``).
     """
+    hot, rank = hot
 
     def run(batches):
         for batch in batches:
@@ -382,12 +384,15 @@ def _prefixes(hot: np.ndarray, as_lists: bool):
             for node, h in zip(batch.column("node").to_pylist(), batch.column("shingles")):
                 h = h.values.to_numpy(zero_copy_only=False)
                 n, early = len(h), len(h)
+                places = (h.view(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
                 if len(hot) and n:
-                    late = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
-                    h, early = np.r_[h[~late], h[late]], n - int(late.sum())
+                    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+                    late = hot[at] == h
+                    order = np.lexsort((np.where(late, rank[at], places), late))
+                    h, places, early = h[order], np.where(late, rank[at], places)[order], n - int(late.sum())
                 h = h[: n - (4 * n + 4) // 5 + 1]
                 if as_lists and n:
-                    found.append((node, h, n, len(h) > early, int((h[-1:].view(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)[0])))
+                    found.append((node, h, n, len(h) > early, int(places[len(h) - 1])))
                 elif n:
                     found.append((h, np.full(len(h), node), np.full(len(h), n, dtype=np.int32), np.arange(len(h), dtype=np.int32)))
             if found and as_lists:
@@ -426,17 +431,21 @@ def _shared(batches):
 
 
 def _common_shingles(sets: _Sets) -> np.ndarray:
-    """The most frequent shingles of a sample of the texts, sorted. They only put the prefixes into a better order; any order is right."""
+    """The most frequent shingles of a sample of the texts, sorted, and their places by frequency, the rarest first.
+
+    They only put the prefixes into a better order; any order is right.
+    """
     sample = sets.all(F.pmod("th", F.lit(SAMPLE)) == 0).select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("c"))
     common = sample.where(F.col("c") > HOT_SETS).orderBy(F.desc("c"), "h").limit(MAX_COMMON).collect()
-    return np.array(sorted(r["h"] for r in common), dtype=np.int64)
+    rows = np.array([(r["h"], i) for i, r in enumerate(reversed(common))], dtype=np.int64).reshape(-1, 2)
+    return rows[np.argsort(rows[:, 0], kind="stable")].T.copy()
 
 
 def _prefix_rows(sets: _Sets, hot: np.ndarray) -> DataFrame:
     """h, node, n, i: two sets of Jaccard similarity 0.8 or more share an h; those of one set only are left out.
 
     That holds for any order of the shingles that all sets follow. They are
-    sorted by hash, those in ``hot`` after all others.
+    sorted by hash, those in ``hot`` after all others and by frequency.
     """
     return sets.prefixes(hot).repartition("h").sortWithinPartitions("h", "node").mapInArrow(_shared, "h long, node long, n int, i int")
 
@@ -479,7 +488,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, n_words: int = 3, wi
     names = [f"f{w}" for w in range(n_words)]
     sets = _Sets(docs, shingle, n_words)
     classes = written(sets.names.select("node", *names).distinct(), "classes")
-    sure = _similar(near_links(classes, n_words, widths, t, threshold), sets)
+    tried = written(near_links(classes, n_words, widths, t, threshold).distinct(), "tried")
+    sure = _similar(tried, sets)
     labels = connected_components(sure)
     hot = _common_shingles(sets)
     rows = written(_prefix_rows(sets, hot).join(labels, "node", "left").select("h", "node", "n", "i", F.coalesce("component", "node").alias("c")), "prefixes")
@@ -487,7 +497,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, n_words: int = 3, wi
     rows = written(rows.join(shared, "h", "left_semi"), "shared")
     x, y = rows.toDF("h", "a", "n", "i", "c"), rows.toDF("h", "b", "m", "j", "d")
     # what two sets share lies at or behind the first shared place of each, and must be 4 / 9 of their sizes
-    pairs = x.join(y, "h").where("a < b AND c <> d AND 9 * least(n - i, m - j) >= 4 * (n + m)").select("a", "b", "n", "m").distinct()
+    pairs = x.join(y, "h").where("a < b AND c <> d AND 9 * least(n - i, m - j) >= 4 * (n + m)").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     pairs = _within_reach(written(pairs, "candidates"), sets, hot)
     found = connected_components(sure.union(_similar(pairs, sets)))
     members = sets.names.select("doc_id", "th", "node").join(found, "node", "left").select("doc_id", "th", F.coalesce("component", "node").alias("c"))
