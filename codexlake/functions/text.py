@@ -72,6 +72,11 @@ def collapse(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def normalise_tokens(text: Column) -> Column:
     """Lower case, single blanks, punctuation stripped from both ends of each token."""
     return F.array_join(F.transform(F.split(collapse(F.lower(text)), " "), lambda t: F.btrim(t, F.lit(string.punctuation))), " ")
@@ -155,6 +160,18 @@ def script_share(text: Column, script: str) -> Column:
     return F.coalesce(F.try_divide(F.regexp_count(text, F.lit(rf"\p{{Is{script}}}")), F.regexp_count(text, F.lit(r"\p{L}"))), F.lit(1.0))
 
 
+#: Scripts told apart by dominant_script, in the order that decides ties; the last three are one answer.
+SCRIPTS = ("Latin", "Greek", "Cyrillic", "Hebrew", "Arabic", "Syriac", "Coptic", "Devanagari", "Hangul", "Han", "Hiragana", "Katakana")
+
+
+def dominant_script(text: Column) -> Column:
+    """The script that most letters belong to (CJK for Han and Japanese syllables); empty without a letter of a known script."""
+    n = lambda *names: F.regexp_count(text, F.lit("[" + "".join(rf"\p{{Is{x}}}" for x in names) + "]"))
+    counts = [F.struct(n(x).alias("n"), F.lit(-i).alias("i"), F.lit(x).alias("s")) for i, x in enumerate(SCRIPTS[:-3])]
+    best = F.array_max(F.array(*counts, F.struct(n(*SCRIPTS[-3:]).alias("n"), F.lit(-len(SCRIPTS)).alias("i"), F.lit("CJK").alias("s"))))
+    return F.when(best["n"] > 0, best["s"]).otherwise("")
+
+
 def script_implausible(text: Column, lang: Column, least: float = 0.5) -> Column:
     """True if under half the letters belong to the script that the language is written in; false for other languages."""
     out = F.lit(False)

@@ -70,6 +70,13 @@ def search_index(docs: DataFrame, doc: str = "doc_id", text: str = "text", snipp
     return docs.select(doc, F.substring(F.coalesce(F.col(text), F.lit("")), 1, snippet).alias("snippet"), *[c.alias(n) for n, c in columns.items()])
 
 
+def entity_names(entities: Column) -> Column:
+    """Distinct names of a document's entities (text, normalised) in order: the normalised form, else the text."""
+    filled = lambda c: F.nullif(T.strip(c), F.lit(""))
+    names = F.transform(F.coalesce(entities, F.array()), lambda e: F.coalesce(filled(e["normalised"]), filled(e["text"])))
+    return F.array_distinct(F.array_compact(names))
+
+
 def catalogue_search(index: DataFrame, query: str, fields: list[str]) -> DataFrame:
     """Rows in which every folded term of the query is found inside the folded fields; an empty query finds all."""
     hay = T.fold(F.concat_ws(" ", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]))

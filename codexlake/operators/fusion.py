@@ -144,6 +144,22 @@ def reconcile(pairs: DataFrame, first: str, second: str, agree: float = 0.95) ->
     return out.withColumn("method", method).withColumn("reconciled", text).withColumn("agreement", F.col("_m.agreement")).withColumn("first_only", only(a, b)).withColumn("second_only", only(b, a)).drop("_m")
 
 
+def both_passes(first: DataFrame, second: DataFrame, by: list[str]) -> DataFrame:
+    """Readings of two passes as a set over ``by``: those of the second that the first has too are left out. Adds ``pass_no``."""
+    both = first.withColumn("pass_no", F.lit(1)).unionByName(second.withColumn("pass_no", F.lit(2)), allowMissingColumns=True)
+    rest = [c for c in both.columns if c not in by]
+    kept = both.groupBy(*by).agg(F.min_by(F.struct(*rest), "pass_no").alias("_r"))
+    return kept.select(*by, "_r.*").select(*both.columns)
+
+
+def stacked_lines(readings: DataFrame, page: list[str], order: str, text: str = "text", n_lines: int = 100) -> DataFrame:
+    """Three and more readings without a judge: the first ``n_lines`` trimmed lines with text of all readings in order, as page, reconciled, method."""
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\R"), M.T.strip), lambda x: x != "")
+    few = readings.select(*page, F.col(order).alias("o"), F.slice(lines, 1, n_lines).alias("lines"))
+    stacked = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("o", "lines"))), lambda x: x["lines"]))
+    return few.groupBy(*page).agg(F.array_join(F.slice(stacked, 1, n_lines), "\n").alias("reconciled"), F.lit("merge_fallback").alias("method"))
+
+
 def join_pages(pages: DataFrame, doc: str, name: Column, text: str = "text") -> DataFrame:
     """Pages in natural order as one text with a header per page."""
     from codexlake.functions.rules import natural_key
@@ -168,3 +184,13 @@ def closest_names(names: DataFrame, query: str, n: int = 3, cutoff: float = 0.5)
 
     return names.withColumn("ratio", ratio("name")).where(F.col("ratio") >= cutoff).orderBy(F.desc("ratio"), F.desc("name")).limit(n)
 
+
+
+def suggest_ids(names: DataFrame, query: str, n: int = 5, cutoff: float = 0.6) -> DataFrame:
+    """The ids most like the query; if none is, the first in order that hold it or lie in it, upper and lower case alike."""
+    alike = closest_names(names, query, n, cutoff).withColumn("way", F.lit(1))
+    q, own = F.lit(query.lower()), F.lower("name")
+    inside = names.where(F.contains(own, q) | F.contains(q, own)).orderBy("name").limit(n)
+    both = alike.unionByName(inside.withColumn("ratio", F.lit(0.0)).withColumn("way", F.lit(2)), allowMissingColumns=True)  # 2n rows
+    first = both.agg(F.min("way").alias("way"))
+    return both.join(first, "way").drop("way").orderBy(F.desc("ratio"), "name")

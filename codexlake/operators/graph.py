@@ -1,4 +1,4 @@
-"""Provenance graph as a table of triples: s, p, o, kind (iri or literal)."""
+"""Provenance graph as a table of triples: s, p, o, kind (iri, literal, literal@language or literal^^type)."""
 
 from __future__ import annotations
 
@@ -32,12 +32,22 @@ def reading_iri(doc: Column, key: Column) -> Column:
     return F.concat(F.lit("reading:"), doc.cast("string"), F.lit("/"), key.cast("string"))
 
 
-def readings_of(readings: DataFrame, doc: str, engine: str, order: str) -> DataFrame:
-    """Reading keys per document: the engine, numbered where it occurs again."""
+def readings_of(readings: DataFrame, doc: str, engine: str, order: str, working: DataFrame | None = None) -> DataFrame:
+    """Reading keys per document: the engine, numbered where it occurs again.
+
+    ``working`` holds the texts that documents are worked on with; each is a
+    reading like the others, under the key ``working``, or ``working-fused``
+    where an engine has that name. It has no number.
+    """
     from pyspark.sql import Window
 
     nth = F.row_number().over(Window.partitionBy(doc, engine).orderBy(order))
-    return readings.withColumn("nth", nth).withColumn("key", F.when(F.col("nth") > 1, F.concat_ws("-", engine, "nth")).otherwise(F.col(engine).cast("string")))
+    keyed = readings.withColumn("nth", nth).withColumn("key", F.when(F.col("nth") > 1, F.concat_ws("-", engine, "nth")).otherwise(F.col(engine).cast("string")))
+    if working is None:
+        return keyed
+    taken = keyed.where("key = 'working'").select(doc, F.lit("working-fused").alias("_taken"))
+    own = working.join(taken, doc, "left").withColumn("key", F.coalesce("_taken", F.lit("working"))).drop("_taken")
+    return keyed.unionByName(own, allowMissingColumns=True)
 
 
 def document_triples(docs: DataFrame, doc: str = "doc_id", **about: Column) -> DataFrame:
@@ -71,16 +81,51 @@ def selection_triples(selections: DataFrame, doc: str = "doc_id") -> DataFrame:
     )
 
 
-def entity_triples(entities: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Entity nodes by slug with type, label, authority links, and mentions; entities: doc, slug, name, type, gnd, hls, wikidata."""
+def entity_triples(entities: DataFrame, doc: str = "doc_id", local: tuple[str, ...] = ()) -> DataFrame:
+    """Entity nodes by slug with type, label, authority links, and mentions; entities: doc, slug, name, type, gnd, hls, wikidata.
+
+    Sources without public addresses (the columns ``local``) give identifier
+    nodes that carry the value; no address is made up for them.
+    """
     iri = F.concat(F.lit("entity:"), F.col("slug"))
     known = [(SAME_AS, R.authority_uri(F.lit(a), F.col(a)), "iri") for a in R.AUTHORITIES]
+    ids = []
+    for source in local:
+        value = F.nullif(F.trim(F.col(source).cast("string")), F.lit(""))
+        node = F.concat(F.lit(f"identifier:{source}/"), value)
+        ids.append(triples(entities, iri, ("crm:P1_is_identified_by", node, "iri")))
+        ids.append(triples(entities, node, (TYPE, F.lit("crm:E42_Identifier"), "iri"), (LABEL, value, "literal"), ("crm:P2_has_type", F.lit(source), "literal")))
     return union(
+        *ids,
         triples(entities, iri, (TYPE, F.concat(F.lit("ex:"), F.col("type")), "iri"), (LABEL, F.col("name"), "literal"), *known),
         triples(entities, document_iri(F.col(doc)), ("schema:mentions", iri, "iri")),
     )
 
 
+def fusion_triples(decisions: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """How readings were blended, or why not: doc, strategy, cer, arbitrated, judge_skipped; no triples where strategy and cer are both null."""
+    d = decisions.where("strategy IS NOT NULL OR cer IS NOT NULL")
+    iri = F.concat(F.lit("fusion:"), F.col(doc).cast("string"))
+    merged = ~F.contains(F.coalesce("strategy", F.lit("")), F.lit("no-merge"))
+    flag = "literal^^xsd:boolean"
+    return union(
+        triples(d, document_iri(F.col(doc)), ("ex:hasFusionDecision", iri, "iri")),
+        triples(
+            d,
+            iri,
+            (TYPE, F.lit(RUN), "iri"),
+            (TYPE, F.lit("ex:FusionDecision"), "iri"),
+            (LABEL, F.when(merged, "Fusion decision").otherwise("No-merge decision"), "literal"),
+            ("ex:fusionStrategy", F.col("strategy"), "literal"),
+            ("ex:merged", merged, flag),
+            ("ex:agreementCer", F.col("cer"), "literal^^xsd:double"),
+            ("ex:decisionReason", F.when(~merged, "readings differ beyond the band in which they may be blended"), "literal"),
+            ("ex:arbitrated", F.col("arbitrated"), flag),
+            ("ex:judgeSkipped", F.col("judge_skipped"), flag),
+        ),
+    )
+
+
 def publication_scope(entities: DataFrame, flagged: Column, drop_persons: bool = False, need_authority: bool = True) -> tuple[DataFrame, DataFrame]:
     """(entities that may be published, withheld counts by reason)."""
     has_id = F.greatest(*[F.length(F.coalesce(F.col(a).cast("string"), F.lit(""))) for a in R.AUTHORITIES]) > 0
@@ -124,5 +169,7 @@ def match(graph: DataFrame, *patterns: tuple[str, str, str], optional: tuple[tup
 def n_triples(graph: DataFrame) -> DataFrame:
     """Sorted lines of N-Triples text, the same for the same graph."""
     escaped = F.regexp_replace(F.regexp_replace(F.replace("o", F.lit("\\"), F.lit("\\\\")), '"', '\\\\"'), "\n", "\\\\n")
-    o = F.when(F.col("kind") == "iri", F.concat(F.lit("<"), "o", F.lit(">"))).otherwise(F.concat(F.lit('"'), escaped, F.lit('"')))
+    mark = F.substring("kind", len("literal") + 1, 100)
+    suffix = F.when(F.startswith(mark, F.lit("^^")), F.concat(F.lit("^^<"), F.substring(mark, 3, 100), F.lit(">"))).otherwise(mark)
+    o = F.when(F.col("kind") == "iri", F.concat(F.lit("<"), "o", F.lit(">"))).otherwise(F.concat(F.lit('"'), escaped, F.lit('"'), suffix))
     return graph.select(F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), o, F.lit(" .")).alias("value")).orderBy("value")

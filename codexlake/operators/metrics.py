@@ -28,6 +28,11 @@ def cer(reference: Column, hypothesis: Column, **options: bool) -> Column:
     return F.when(F.length(ref) == 0, F.when(F.length(hyp) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(ref, hyp) / F.length(ref))
 
 
+def edit_distance(reference: Column, hypothesis: Column, **options: bool) -> Column:
+    """Edits between prepared texts; null texts are empty."""
+    return F.levenshtein(*[prepare(F.coalesce(c, F.lit("")), **options) for c in (reference, hypothesis)])
+
+
 RAW = {"ignore_case": False, "ignore_whitespace": False, "ignore_punctuation": False}
 
 
@@ -102,6 +107,13 @@ def engine_means(table: DataFrame, key: list[str]) -> DataFrame:
     return table.groupBy("engine").agg((F.sum("cer") / F.lit(n_docs)).alias("mean_cer"))
 
 
+def mean_rates(rows: DataFrame, group: list[str], reference: str = "reference", text: str = "text", **options: bool) -> DataFrame:
+    """Mean CER and WER per group over its rows, and their number."""
+    ref, hyp = (prepare(F.coalesce(F.col(c), F.lit("")), **options) for c in (reference, text))
+    rated = rows.select(*group, cer(F.coalesce(F.col(reference), F.lit("")), F.coalesce(F.col(text), F.lit("")), **options).alias("cer"), wer(ref, hyp).alias("wer"))
+    return rated.groupBy(*group).agg(F.avg("cer").alias("mean_cer"), F.avg("wer").alias("mean_wer"), F.count("*").alias("n"))
+
+
 def fusion_gain(table: DataFrame, fused: DataFrame, key: list[str], text: str = "fused", reference: str = "reference", **options: bool) -> DataFrame:
     """key, best_cer, fused_cer, fusion_beats_best: whether the fused text is nearer to the reference than any engine's; null without one."""
     own = fused.select(*key, F.when(F.coalesce(F.col(text), F.lit("")) != "", cer(F.col(reference), F.col(text), **options)).alias("fused_cer"))

@@ -85,10 +85,11 @@ def expired(posted: Column, now: Column, minutes: int = 30) -> Column:
 
 
 def plan_engines(models: DataFrame, key: list[str], engine: str, rank: str) -> DataFrame:
-    """Order in which to run engines: the general one, the best of each line engine, then the rest in turns."""
-    front = F.when(F.col(engine) == "vlm", 0).when(F.col(rank) == 1, F.when(F.col(engine) == "kraken", 1).otherwise(2)).otherwise(3)
-    w = Window.partitionBy(*key).orderBy("front", rank, engine)
-    return models.withColumn("front", front).withColumn("step", F.row_number().over(w)).drop("front")
+    """Order in which to run engines: the general one, the best of each line engine, then the second of each in turn, and so on."""
+    nth = F.row_number().over(Window.partitionBy(*key, engine).orderBy(rank))
+    front = F.when(F.col(engine) == "vlm", 0).otherwise(F.col("nth"))
+    w = Window.partitionBy(*key).orderBy("front", engine, rank)
+    return models.withColumn("nth", nth).withColumn("front", front).withColumn("step", F.row_number().over(w)).drop("front", "nth")
 
 
 def rank_candidates(readings: DataFrame, key: list[str], implausible: Column, match: Column, confidence: Column, order: str) -> DataFrame:

@@ -233,3 +233,66 @@ SQL: dict[str, str] = {
     "new_orders": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')",
     "streaming_replay": f"WITH {_LATEST} SELECT * FROM latest",
 }
+
+_HUB_SQL = """records AS (
+        SELECT CASE WHEN p_partkey % 2 = 0 THEN 'PERSON' ELSE 'PLACE' END AS kind, 'hub_' || p_partkey AS id, p_name AS name, p_partkey % 4 < 2 AS known, 'wd:Q' || p_partkey AS item,
+               CASE WHEN p_partkey % 3 = 0 THEN 'gnd:' || p_size END AS gnd, CASE WHEN p_size > 25 THEN p_type END AS notes, p_size, p_partkey FROM part),
+    nodes AS (SELECT *, CASE WHEN known THEN item ELSE 'hub:' || lower(kind) || '/' || md5(id) END AS node FROM records),
+    terms AS (SELECT DISTINCT p_type AS term, 'hub:vocabulary/' || md5(p_type) AS node FROM part)"""
+_HUB_GRAPH = """
+    SELECT node AS s, 'rdf:type' AS p, CASE kind WHEN 'PERSON' THEN 'crm:E21_Person' ELSE 'crm:E53_Place' END AS o, 'iri' AS kind FROM nodes
+    UNION SELECT node, 'rdfs:label', name, 'literal@de' FROM nodes
+    UNION SELECT node, 'crm:P1_is_identified_by', node || '/name', 'iri' FROM nodes
+    UNION SELECT node || '/name', 'rdf:type', CASE kind WHEN 'PERSON' THEN 'crm:E82_Actor_Appellation' ELSE 'crm:E48_Place_Name' END, 'iri' FROM nodes
+    UNION SELECT node || '/name', 'rdfs:label', name, 'literal@de' FROM nodes
+    UNION SELECT node, 'rdf:type', item, 'iri' FROM nodes WHERE known
+    UNION SELECT node, 'schema:sameAs', item, 'iri' FROM nodes WHERE known AND kind = 'PERSON'
+    UNION SELECT node, 'schema:sameAs', gnd, 'iri' FROM nodes WHERE gnd IS NOT NULL
+    UNION SELECT node, 'geo:lat', p_size || '.0', 'literal^^xsd:double' FROM nodes WHERE kind = 'PLACE'
+    UNION SELECT node, 'geo:long', p_partkey || '.0', 'literal^^xsd:double' FROM nodes WHERE kind = 'PLACE'
+    UNION SELECT node, 'rdfs:comment', notes, 'literal@de' FROM nodes WHERE notes IS NOT NULL
+    UNION SELECT node, 'rdf:type', 'sdhss:Concept', 'iri' FROM terms
+    UNION SELECT node, 'rdfs:label', term, 'literal@de' FROM terms
+    UNION SELECT node, 'sdhss:canonicalForm', term, 'literal@de' FROM terms
+    UNION SELECT node, 'sdhss:category', '', 'literal@de' FROM terms"""
+
+SQL |= {
+    "search_entities": """SELECT doc_id, string_agg(name, ';' ORDER BY ord) AS entities FROM (
+        SELECT p_partkey // 8 AS doc_id, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE lower(p_type) END AS name, min(p_partkey) AS ord FROM part GROUP BY 1, 2) GROUP BY 1""",
+    "edit_distances": f"WITH {_ALL_READINGS} SELECT r.conv_id, r.turn, CAST(levenshtein(f.text, r.text) AS INTEGER) AS edits FROM readings r JOIN readings f ON f.conv_id = r.conv_id AND f.turn = 0",
+    "engine_plan": """WITH models AS (SELECT p_partkey // 16 AS doc_id, p_partkey, p_size, CASE p_partkey % 5 WHEN 0 THEN 'kraken' WHEN 1 THEN 'trocr' ELSE 'vlm' END AS engine FROM part),
+        n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, engine ORDER BY p_size, p_partkey) AS nth FROM models)
+        SELECT CAST(doc_id AS BIGINT) AS doc_id, p_partkey, engine, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE engine WHEN 'vlm' THEN 0 ELSE nth END, engine, p_size, p_partkey) AS INTEGER) AS step FROM n""",
+    "both_passes": "SELECT conv_id, turn, CAST(min(n) AS INTEGER) AS pass_no FROM (SELECT conv_id, turn, text, 1 AS n FROM conversations WHERE turn % 2 = 0 UNION ALL SELECT conv_id, turn, text, 2 FROM conversations WHERE turn % 3 > 0) GROUP BY conv_id, turn, text",
+    "stacked_lines": r"""WITH lines AS (SELECT conv_id, turn, regexp_replace(unnest(string_split_regex(coalesce(text, ''), '\r\n|[\n\r\x0B\x0C]')), '^\s+|\s+$', '', 'g') AS line,
+               generate_subscripts(string_split_regex(coalesce(text, ''), '\r\n|[\n\r\x0B\x0C]'), 1) AS i FROM conversations),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS nth FROM lines WHERE line <> '')
+        SELECT conv_id, sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (WHERE nth <= 100), '')) AS reconciled_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN numbered USING (conv_id) GROUP BY 1""",
+    "hub_summary": """SELECT 'persons' AS kind, count(*) AS n FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'places', count(*) FROM part WHERE p_partkey % 2 = 1
+        UNION ALL SELECT 'controlled_vocabulary', count(DISTINCT p_type) FROM part""",
+    "hub_graph": f"WITH {_HUB_SQL} {_HUB_GRAPH}",
+    "fusion_decisions": f"""WITH {_JUDGED}, d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'no-merge (CER)' WHEN 1 THEN 'vote' END AS strategy, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 8) / 8 END AS cer,
+            toxic = 1 AS arbitrated, CASE WHEN quality = 1 THEN true END AS skipped, 'fusion:' || doc_id AS s FROM judged WHERE doc_id % 3 < 2 OR doc_id % 2 = 0)
+        SELECT 'doc:' || doc_id AS s, 'ex:hasFusionDecision' AS p, s AS o, 'iri' AS kind FROM d
+        UNION SELECT s, 'rdf:type', unnest(['prov:Activity', 'ex:FusionDecision']), 'iri' FROM d
+        UNION SELECT s, 'rdfs:label', CASE WHEN doc_id % 3 = 0 THEN 'No-merge decision' ELSE 'Fusion decision' END, 'literal' FROM d
+        UNION SELECT s, 'ex:fusionStrategy', strategy, 'literal' FROM d WHERE strategy IS NOT NULL
+        UNION SELECT s, 'ex:merged', CAST(doc_id % 3 <> 0 AS VARCHAR), 'literal^^xsd:boolean' FROM d
+        UNION SELECT s, 'ex:agreementCer', CAST(cer AS VARCHAR), 'literal^^xsd:double' FROM d WHERE cer IS NOT NULL
+        UNION SELECT s, 'ex:decisionReason', 'readings differ beyond the band in which they may be blended', 'literal' FROM d WHERE doc_id % 3 = 0
+        UNION SELECT s, 'ex:arbitrated', CAST(arbitrated AS VARCHAR), 'literal^^xsd:boolean' FROM d WHERE arbitrated IS NOT NULL
+        UNION SELECT s, 'ex:judgeSkipped', 'true', 'literal^^xsd:boolean' FROM d WHERE skipped""",
+    "entity_identifiers": f"""WITH e AS (SELECT p_brand AS doc, 'entity:' || {_SLUG.format('p_type')} AS s, p_type AS name, p_size, 'identifier:hub/h' || p_size AS node FROM part)
+        SELECT s, 'crm:P1_is_identified_by' AS p, node AS o, 'iri' AS kind FROM e UNION SELECT node, 'rdf:type', 'crm:E42_Identifier', 'iri' FROM e
+        UNION SELECT node, 'rdfs:label', 'h' || p_size, 'literal' FROM e UNION SELECT node, 'crm:P2_has_type', 'hub', 'literal' FROM e
+        UNION SELECT s, 'rdf:type', 'ex:PLACE', 'iri' FROM e UNION SELECT s, 'rdfs:label', name, 'literal' FROM e
+        UNION SELECT s, 'owl:sameAs', '{R.AUTHORITIES['gnd']}g1', 'iri' FROM e WHERE p_size = 1 UNION SELECT 'doc:' || doc, 'schema:mentions', s, 'iri' FROM e""",
+    "working_readings": f"""WITH {_JUDGED} SELECT doc_id, CASE WHEN lang = 'de' THEN 'working' ELSE source END AS key FROM judged
+        UNION ALL SELECT doc_id, CASE WHEN lang = 'de' THEN 'working-fused' ELSE 'working' END FROM judged""",
+    "stage_outcomes": f"""WITH stages(nth, stage) AS (VALUES {_STAGES}), docs AS (SELECT DISTINCT user_id AS doc_id FROM events),
+        log AS (SELECT user_id AS doc_id, event_id % {len(state.STAGES)} AS nth, CASE (event_id // 7) % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'error' ELSE 'dirty' END AS status, event_id AS ord FROM events),
+        d AS (SELECT doc_id, nth, max(ord) FILTER (WHERE status = 'dirty') AS dirty FROM log GROUP BY 1, 2),
+        o AS (SELECT doc_id, nth, arg_min(status, ord) AS status, min(ord) AS ord FROM log JOIN d USING (doc_id, nth) WHERE status <> 'dirty' AND ord > coalesce(dirty, -1) GROUP BY 1, 2)
+        SELECT doc_id, CAST(nth AS INTEGER) AS nth, stage, coalesce(o.status, CASE WHEN dirty IS NOT NULL THEN 'dirty' END, 'pending') AS status, false AS stale, coalesce(o.ord, dirty, 0) AS version
+        FROM docs CROSS JOIN stages LEFT JOIN d USING (doc_id, nth) LEFT JOIN o USING (doc_id, nth)""",
+}

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from codexlake.functions import json_text as J, rules as R, text as T
-from codexlake.operators import corpus, entities, feedback, fusion, graph, metrics, resolve, selection, strengths, vectors
+from codexlake.operators import corpus, entities, feedback, fusion, graph, hub, metrics, resolve, selection, strengths, vectors
 from codexlake.operators.components import connected_components
 from codexlake.sources.parallel import spread_small
 from codexlake.sources.scratch import new_path
@@ -58,6 +58,13 @@ def catalogue_search(spark, d):
     return corpus.catalogue_search(search_index(spark, d), "The src1 EN", ["lang", "source", "snippet"]).select("doc_id", "source")
 
 
+def search_entities(spark, d):
+    """A document per eight parts, its entities the parts' types (one in three normalised), in order of their keys."""
+    e = F.struct(F.col("p_partkey").alias("o"), F.concat(F.lit(" "), F.lower("p_type")).alias("text"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).alias("normalised"))
+    docs = table(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 8).alias("doc_id")).agg(F.array_sort(F.collect_list(e)).alias("entities"))
+    return docs.select("doc_id", F.array_join(corpus.entity_names(F.col("entities")), ";").alias("entities"))
+
+
 def storage_overview(spark, d):
     return corpus.storage_overview(table(spark, d, "documents"), F.col("source"), F.length("text"))
 
@@ -136,6 +143,13 @@ def token_offsets(spark, d):
     return metrics.char_offsets(tokens, ["conv_id", "turn"], "pos", "token")
 
 
+def edit_distances(spark, d):
+    """Edits between each turn and the first one."""
+    r = _readings(spark, d)
+    first = r.where("turn = 0").select("conv_id", F.col("text").alias("reference"))
+    return r.join(first, "conv_id").select("conv_id", "turn", metrics.edit_distance(F.col("reference"), F.col("text")).alias("edits"))
+
+
 # feedback
 
 
@@ -277,6 +291,15 @@ def ranked_candidates(spark, d):
     return ranked.select("conv_id", "turn", "auto_rank")
 
 
+def engine_plan(spark, d):
+    """A document per sixteen parts; its engines' models are its parts, ranked by size over all engines."""
+    p = table(spark, d, "part").withColumn("doc_id", F.floor(F.col("p_partkey") / 16))
+    engine = F.element_at(F.array(*map(F.lit, ("kraken", "trocr", "vlm"))), F.least(F.lit(3), F.col("p_partkey") % 5 + 1).cast("int"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("p_size", "p_partkey"))
+    planned = selection.plan_engines(p.select("doc_id", "p_partkey", engine.alias("engine"), rank.alias("rank")), ["doc_id"], "engine", "rank")
+    return planned.select("doc_id", "p_partkey", "engine", "step")
+
+
 # entities
 
 
@@ -405,9 +428,62 @@ def reconciled_pairs(spark, d):
     return out.select("conv_id", "turn", "method", F.length("reconciled").alias("n_chars"), "agreement")
 
 
+def both_passes(spark, d):
+    """The first pass has the even turns, the second those not divisible by three."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return fusion.both_passes(c.where("turn % 2 = 0"), c.where("turn % 3 > 0"), ["conv_id", "turn", "text"]).select("conv_id", "turn", "pass_no")
+
+
+def stacked_lines(spark, d):
+    out = fusion.stacked_lines(_pages(spark, d), ["conv_id"], "turn")
+    return out.select("conv_id", F.sha2("reconciled", 256).alias("reconciled_sha256"))
+
+
 # graph
 
 
+def _hub(spark, d):
+    p = table(spark, d, "part")
+    id_ = F.concat(F.lit("hub_"), "p_partkey")
+    wikidata = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("Q"), "p_partkey")).when(F.col("p_partkey") % 4 == 1, F.col("p_partkey").cast("string")).otherwise("")
+    gnd = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("gnd: "), "p_size"))
+    notes = F.when(F.col("p_size") > 25, F.col("p_type"))
+    entries = p.select("p_partkey", id_.alias("id"), F.col("p_name").alias("name"), wikidata.alias("wikidata"), gnd.alias("gnd"), notes.alias("notes"), F.array("p_size", F.col("p_partkey")).alias("coordinates"))
+    terms = p.select(F.col("p_type").alias("term")).distinct()
+    return hub.persons(entries.where("p_partkey % 2 = 0")), hub.places(entries.where("p_partkey % 2 = 1")), hub.vocabulary(terms)
+
+
+def hub_summary(spark, d):
+    persons, places, terms = _hub(spark, d)
+    return hub.summary(persons=persons, places=places, controlled_vocabulary=terms)
+
+
+def hub_graph(spark, d):
+    return hub.record_triples(reduce(DataFrame.unionByName, _hub(spark, d)))
+
+
+def fusion_decisions(spark, d):
+    j = _judged(spark, d)
+    strategy = F.when(F.col("doc_id") % 3 == 0, "no-merge (CER)").when(F.col("doc_id") % 3 == 1, "vote")
+    cer = F.when(F.col("doc_id") % 2 == 0, (F.col("doc_id") % 8) / 8)
+    return graph.fusion_triples(j.select("doc_id", strategy.alias("strategy"), cer.alias("cer"), (F.col("toxic") == 1).alias("arbitrated"), F.when(F.col("quality") == 1, True).alias("judge_skipped")))
+
+
+def entity_identifiers(spark, d):
+    """Nodes of the register with local numbers beside the authorities' addresses."""
+    p = table(spark, d, "part")
+    e = p.select(F.col("p_brand").alias("doc_id"), T.slug(F.col("p_type")).alias("slug"), F.col("p_type").alias("name"), F.lit("PLACE").alias("type"), F.when(F.col("p_size") == 1, "g1").alias("gnd"), F.lit(None).cast("string").alias("hls"), F.lit(None).cast("string").alias("wikidata"), F.concat(F.lit(" h"), "p_size").alias("hub"))
+    return graph.entity_triples(e, local=("hub",))
+
+
+def working_readings(spark, d):
+    """Every document's text as its working reading beside the source's; where the language is de, an engine has that name."""
+    j = _judged(spark, d)
+    engine = F.when(F.col("lang") == "de", "working").otherwise(F.col("source"))
+    readings = j.select("doc_id", engine.alias("engine"), F.col("doc_id").alias("ord"))
+    return graph.readings_of(readings, "doc_id", "engine", "ord", j.select("doc_id")).select("doc_id", "key")
+
+
 def _graph(spark, d):
     j = _judged(spark, d)
     r = graph.readings_of(j.select("doc_id", F.col("source").alias("engine"), F.concat(F.lit("model-"), "source").alias("model_id"), F.col("doc_id").alias("ord")), "doc_id", "engine", "ord")
@@ -451,6 +527,14 @@ def pinned_criteria(spark, d):
     return state.pinned_criteria(_inputs(spark, d))
 
 
+def stage_outcomes(spark, d):
+    """Every event is the outcome of one stage of its user's document."""
+    e = table(spark, d, "events")
+    pick = lambda values, c: F.element_at(F.array(*map(F.lit, values)), (c % len(values) + 1).cast("int"))
+    logged = e.select(F.col("user_id").alias("doc_id"), pick(state.STAGES, F.col("event_id")).alias("stage"), pick((state.DONE, state.ERROR, state.DIRTY), F.floor(F.col("event_id") / 7)).alias("status"), F.col("event_id").alias("ord"))
+    return state.advance(state.new_states(e.select(F.col("user_id").alias("doc_id"))), logged)
+
+
 def new_orders(spark, d):
     """The ledger holds the open orders."""
     o = table(spark, d, "orders").where("o_orderstatus = 'O'")
@@ -469,11 +553,11 @@ def streaming_replay(spark, d):
 
 
 def _all() -> dict:
-    names = """corpus_term_stats corpus_top_terms doc_quality_flags doc_chunks search_index catalogue_search storage_overview run_totals text_functions language_scripts
-    years_and_centuries tolerant_json pairwise_cer max_pairwise_cer max_symmetric_cer gate_blocked cer_best_engine cer_engine_means page_quality token_offsets votes_latest votes_tally votes_winner
+    names = """corpus_term_stats corpus_top_terms doc_quality_flags doc_chunks search_index search_entities catalogue_search storage_overview run_totals text_functions language_scripts
+    years_and_centuries tolerant_json pairwise_cer max_pairwise_cer max_symmetric_cer gate_blocked cer_best_engine cer_engine_means page_quality edit_distances token_offsets votes_latest votes_tally votes_winner
     override_rates selection_agreement coverage_rollup regret_percentiles text_regret fusion_gain routing_prior model_winrates path_preferences preference_pairs bradley_terry strength_priors pseudonymise
-    model_topk routing_gate ranked_candidates entity_index entity_register entity_lookup entity_by_gnd entity_by_name_type dump_search review_list review_items vocabulary_match link_cascade resolve_edges resolve_components resolve_merged
-    cosine_topk kmeans_labels fuse_votes disagreement_spans reconciled_pairs triples triple_counts provenance_bgp publication_scope stage_states pinned_criteria new_orders streaming_replay"""
+    model_topk routing_gate engine_plan ranked_candidates entity_index entity_register entity_lookup entity_by_gnd entity_by_name_type dump_search review_list review_items vocabulary_match link_cascade resolve_edges resolve_components resolve_merged
+    cosine_topk kmeans_labels fuse_votes disagreement_spans reconciled_pairs both_passes stacked_lines hub_summary hub_graph fusion_decisions entity_identifiers working_readings triples triple_counts provenance_bgp publication_scope stage_states stage_outcomes pinned_criteria new_orders streaming_replay"""
     return reduce(lambda out, n: out | {n: globals()[n]}, names.split(), {})
 
 

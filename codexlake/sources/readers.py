@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ENTITY = "struct<text:string,type:string,normalised:string,context:string,page:string,gnd:string,gnd_id:string,hls:string,hls_id:string,wikidata:string,wikidata_id:string,link_method:string,confidence:string>"
@@ -108,6 +109,29 @@ def authority_dump(spark: SparkSession, path: str) -> DataFrame:
     return out.where("coalesce(id, '') <> ''")
 
 
+HUB_ENTRY = "struct<id:string,name:string,variants:array<string>,modern_name:string,region:string,wikidata:string,gnd:string,hls:string,coordinates:array<string>,notes:string>"
+
+
+def hub(spark: SparkSession, path: str, seed: str) -> dict[str, DataFrame]:
+    """persons, places, organisations (entries), controlled_vocabulary, document_types (ord, term) of a hub file.
+
+    A list that the file lacks is empty; without a readable file the JSON
+    text ``seed`` stands in for it.
+    """
+    own = spark.range(1).select(F.lit(1).alias("way"), F.lit(seed).alias("value"))
+    try:
+        own = own.unionByName(spark.read.text(path, wholetext=True).select(F.lit(0).alias("way"), "value"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    record = own.withColumn("record", F.try_parse_json("value")).where("record IS NOT NULL").agg(F.min_by("record", "way").alias("record"))
+    part = lambda name, t: F.try_variant_get("record", f"$.{name}", f"array<{t}>")
+    entries = {k: record.select(F.posexplode(part(k, "variant")).alias("ord", "e")) for k in ("persons", "places", "organisations")}
+    entry = F.from_json(F.to_json("e"), HUB_ENTRY)
+    terms = {k: record.select(F.posexplode(part(k, "string")).alias("ord", "term")).where("term <> ''") for k in ("controlled_vocabulary", "document_types")}
+    return {k: d.select("ord", entry.alias("e")).select("ord", "e.*") for k, d in entries.items()} | terms
+
+
 def images(spark: SparkSession, path: str) -> DataFrame:
     """Paths of images and scans with their order (the folder below ``path``); the bytes are read only if selected."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from codexlake.operators.feedback import latest
 
@@ -89,6 +91,29 @@ def resume(states: DataFrame, runners: dict[str, Callable[[DataFrame], DataFrame
     return after.select(*states.columns), artifacts
 
 
+def advance(states: DataFrame, events: DataFrame) -> DataFrame:
+    """States after logged outcomes (doc_id, stage, status, ord), taken in order.
+
+    A stage may be made dirty at any time; only a pending or dirty one can end
+    in done or error, so what counts is the first outcome after the last time
+    it was made dirty. The version is the ``ord`` of the last step taken; a
+    stage that ends done isn't stale. Rows with nulls, other statuses or stages
+    that the table doesn't have are left out. Logs of any length combine
+    before they are shuffled.
+    """
+    logged = events.where("doc_id IS NOT NULL AND ord IS NOT NULL").where(F.col("status").isin(DONE, ERROR, DIRTY)).select("doc_id", "stage", "status", F.col("ord").cast("long").alias("ord"))
+    dirty = logged.where(F.col("status") == DIRTY).groupBy("doc_id", "stage").agg(F.max("ord").alias("_d"))
+    begun = states.join(dirty, ["doc_id", "stage"], "left")
+    open_ = F.col("_d").isNotNull() | F.col("status").isin(PENDING, DIRTY)
+    begins = begun.where(open_).select("doc_id", "stage", "_d")
+    after = logged.where(F.col("status") != DIRTY).withColumnRenamed("status", "_s").join(begins, ["doc_id", "stage"]).where("_d IS NULL OR ord > _d")
+    first = after.groupBy("doc_id", "stage").agg(F.min_by("_s", "ord").alias("_s"), F.min("ord").alias("_o"))
+    status = F.coalesce(F.col("_s"), F.when(F.col("_d").isNotNull(), DIRTY), F.col("status"))
+    out = begun.join(first, ["doc_id", "stage"], "left").withColumn("status", status)
+    out = out.withColumn("version", F.coalesce("_o", "_d", "version")).withColumn("stale", F.col("stale") & ~(F.col("_s").eqNullSafe(DONE)))
+    return out.select(*states.columns)
+
+
 def new_orders(found: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
     """Orders that the ledger doesn't have yet."""
     return found.join(ledger.select(key).distinct(), key, "left_anti")
@@ -103,6 +128,67 @@ def debounced(events: DataFrame, stem: str, time: str, quiet_seconds: int = 2) -
     return events.withColumn("_after", after).where(F.col("_after").isNull() | (F.col("_after") - F.col(time) > F.make_dt_interval(secs=F.lit(quiet_seconds)))).drop("_after")
 
 
+def settled(stream: DataFrame, stem: str, value: str, time: str, quiet_ms: int = 2000) -> DataFrame:
+    """The last event of each burst of a stream, once its stem was quiet: stem, value, n_events.
+
+    Keyed state holds the latest event only (the one of the highest ``time``);
+    each new event puts the timer back, and the timer's end gives the row.
+    """
+    schema = f"{stem} string, {value} string, n_events long"
+
+    def run(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            at, last, n = state.get
+            state.remove()
+            yield pd.DataFrame({stem: [key[0]], value: [last], "n_events": [n]})
+            return
+        at, last, n = state.get if state.exists else (None, None, 0)
+        for rows in batches:
+            best = rows.sort_values("_t", kind="stable").iloc[-1]
+            n += len(rows)
+            if at is None or best["_t"] >= at:
+                at, last = int(best["_t"]), best[value]
+        state.update((at, last, n))
+        state.setTimeoutDuration(quiet_ms)
+
+    rows = stream.where(F.col(stem).isNotNull() & F.col(time).isNotNull()).select(F.col(stem).cast("string").alias(stem), F.col(value).cast("string").alias(value), F.unix_micros(F.col(time).cast("timestamp")).alias("_t"))
+    return rows.groupBy(stem).applyInPandasWithState(run, schema, "at long, last string, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def gate_outcomes(stream: DataFrame, gate: str, decision: str, time: str, minutes: float = 30) -> DataFrame:
+    """gate, decision, decided_by for a stream of posted gates (null decision) and answers to them.
+
+    The first answer by ``time`` counts, by ``human``; a gate without one
+    closes by ``timeout`` when its minutes are over, however often it is
+    posted meanwhile. A closed gate leaves no state: answers to gates that
+    are not open give nothing, and posting one again opens it anew.
+    """
+    schema = f"{gate} string, {decision} string, decided_by string"
+
+    def run(key, batches, state: GroupState):
+        outcome = None
+        if state.hasTimedOut:
+            outcome = (None, "timeout")
+        else:
+            deadline = state.get[0] if state.exists else None
+            rows = pd.concat(list(batches)).sort_values("_t", kind="stable")
+            answers = rows[decision].dropna()
+            if deadline is None and len(answers) < len(rows):
+                deadline = state.getCurrentProcessingTimeMs() + int(minutes * 60_000)
+            if deadline is not None and len(answers):
+                outcome = (answers.iloc[0], "human")
+            elif deadline is not None:
+                state.update((deadline,))
+                state.setTimeoutDuration(max(1, deadline - state.getCurrentProcessingTimeMs()))
+        if outcome:
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({gate: [key[0]], decision: [outcome[0]], "decided_by": [outcome[1]]})
+
+    rows = stream.where(F.col(gate).isNotNull()).select(F.col(gate).cast("string").alias(gate), F.col(decision).cast("string").alias(decision), F.unix_micros(F.col(time).cast("timestamp")).alias("_t"))
+    return rows.groupBy(gate).applyInPandasWithState(run, schema, "deadline long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def merge_log(path: str, key: list[str], order: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that keeps the last row of each key of a batch and appends it once per batch id.
 
