@@ -95,7 +95,7 @@ def spans(votes: DataFrame, page: list[str]) -> DataFrame:
 
 
 def fuse(readings: DataFrame, page: list[str], label: str, order: str, text: str = "text", confidence: Column | None = None, no_merge_cer: float = 0.35) -> DataFrame:
-    """page, n_candidates, strategy, fused, contested.
+    """page, n_candidates, strategy, fused, contested, max_cer (null for one reading).
 
     One reading is taken as it is. Above ``no_merge_cer`` nothing is blended:
     the reading of highest confidence (the first of equals) is taken whole.
@@ -109,7 +109,7 @@ def fuse(readings: DataFrame, page: list[str], label: str, order: str, text: str
     voted = vote(align(r.join(pages.where("strategy = 'vote'").select(*page), page, "left_semi"), page, label, order, text))
     words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "choice"))), lambda x: F.when(x["choice"] != "", x["choice"])), " ")
     fused = voted.groupBy(*page).agg(words.alias("voted"), F.count_if("contested").alias("contested"))
-    return pages.join(fused, page, "left").select(*page, "n_candidates", "strategy", F.coalesce("voted", "best").alias("fused"), F.coalesce("contested", F.lit(0)).alias("contested"))
+    return pages.join(fused, page, "left").select(*page, "n_candidates", "strategy", F.coalesce("voted", "best").alias("fused"), F.coalesce("contested", F.lit(0)).alias("contested"), "max_cer")
 
 
 def disagreements(readings: DataFrame, page: list[str], label: str, order: str, text: str = "text") -> DataFrame:

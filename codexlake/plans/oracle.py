@@ -268,6 +268,8 @@ SQL |= {
                generate_subscripts(string_split_regex(coalesce(text, ''), '\r\n|[\n\r\x0B\x0C]'), 1) AS i FROM conversations),
         numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS nth FROM lines WHERE line <> '')
         SELECT conv_id, sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (WHERE nth <= 100), '')) AS reconciled_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN numbered USING (conv_id) GROUP BY 1""",
+    "page_documents": r"""SELECT conv_id AS doc_id, count(*) AS n_pages, count(*) FILTER (WHERE regexp_matches(text, '[A-Z]')) AS n_unmerged,
+        sha256(string_agg('--- p' || turn || ' ---' || chr(10) || CASE WHEN regexp_matches(text, '\S') THEN text ELSE '' END, chr(10) || chr(10) ORDER BY turn)) AS text_sha256 FROM conversations GROUP BY 1""",
     "hub_summary": """SELECT 'persons' AS kind, count(*) AS n FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'places', count(*) FROM part WHERE p_partkey % 2 = 1
         UNION ALL SELECT 'controlled_vocabulary', count(DISTINCT p_type) FROM part""",
     "hub_graph": f"WITH {_HUB_SQL} {_HUB_GRAPH}",

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from codexlake.functions import json_text as J, rules as R, text as T
 from codexlake.operators import corpus, entities, feedback, fusion, graph, hub, metrics, resolve, selection, strengths, vectors
 from codexlake.operators.components import connected_components
+from codexlake.plans import jobs
 from codexlake.sources.parallel import spread_small
 from codexlake.sources.scratch import new_path
 from codexlake.streaming import state
@@ -439,6 +440,14 @@ def stacked_lines(spark, d):
     return out.select("conv_id", F.sha2("reconciled", 256).alias("reconciled_sha256"))
 
 
+def page_documents(spark, d):
+    """A document per conversation, a page per turn, its readings the text and its small letters; pages that differ keep the first."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("p"), "turn").alias("page"), "text")
+    readings = c.select("*", F.lit(1).alias("ord"), F.lit("a").alias("engine")).unionByName(c.where("text RLIKE '[A-Z]'").select("doc_id", "page", F.lower("text").alias("text"), F.lit(2).alias("ord"), F.lit("b").alias("engine")))
+    out = jobs.documents(readings, no_merge_cer=-1.0)
+    return out.select("doc_id", "n_pages", "n_unmerged", F.sha2("text", 256).alias("text_sha256"))
+
+
 # graph
 
 
@@ -557,7 +566,7 @@ def _all() -> dict:
     years_and_centuries tolerant_json pairwise_cer max_pairwise_cer max_symmetric_cer gate_blocked cer_best_engine cer_engine_means page_quality edit_distances token_offsets votes_latest votes_tally votes_winner
     override_rates selection_agreement coverage_rollup regret_percentiles text_regret fusion_gain routing_prior model_winrates path_preferences preference_pairs bradley_terry strength_priors pseudonymise
     model_topk routing_gate engine_plan ranked_candidates entity_index entity_register entity_lookup entity_by_gnd entity_by_name_type dump_search review_list review_items vocabulary_match link_cascade resolve_edges resolve_components resolve_merged
-    cosine_topk kmeans_labels fuse_votes disagreement_spans reconciled_pairs both_passes stacked_lines hub_summary hub_graph fusion_decisions entity_identifiers working_readings triples triple_counts provenance_bgp publication_scope stage_states stage_outcomes pinned_criteria new_orders streaming_replay"""
+    cosine_topk kmeans_labels fuse_votes disagreement_spans reconciled_pairs both_passes stacked_lines page_documents hub_summary hub_graph fusion_decisions entity_identifiers working_readings triples triple_counts provenance_bgp publication_scope stage_states stage_outcomes pinned_criteria new_orders streaming_replay"""
     return reduce(lambda out, n: out | {n: globals()[n]}, names.split(), {})
 
 
