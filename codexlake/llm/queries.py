@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codexlake.llm import chat, decontaminate, html_text, line_dedup, packing, quality, secrets, simhash, substring_dedup, token_files
+from codexlake.llm import byte_bpe, chat, decontaminate, html_text, line_dedup, packing, quality, secrets, simhash, substring_dedup, token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -61,6 +62,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = byte_bpe.encode(_table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+    return byte_bpe.digests(byte_bpe.decode(ids, BYTE_RANKS, public_tokenizers.PATTERN))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -74,6 +80,7 @@ QUERIES = {
         op8_decontamination,
         op9_substring_dedup,
         op10_secret_scan,
+        op13_byte_bpe,
     )
 }
 
