@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codexlake.llm import byte_bpe, chat, decontaminate, html_text, line_dedup, packing, quality, secrets, simhash, substring_dedup, token_files
+from codexlake.llm import byte_bpe, chat, decontaminate, hadamard_clusters, html_text, line_dedup, packing, periodic_runs, quality, secrets, simhash, substring_dedup, token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -62,6 +62,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hadamard_clusters.cluster_vectors(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, scale=1024, seed=3, width=64)
+    return found.drop("centroid")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.periodic_runs(periodic_runs.with_repeats(_table(spark, sf_dir, "documents"))))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = byte_bpe.encode(_table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
     return byte_bpe.digests(byte_bpe.decode(ids, BYTE_RANKS, public_tokenizers.PATTERN))
@@ -80,6 +89,8 @@ QUERIES = {
         op8_decontamination,
         op9_substring_dedup,
         op10_secret_scan,
+        op11_centroid_clustering,
+        op12_periodic_runs,
         op13_byte_bpe,
     )
 }
@@ -128,6 +139,20 @@ _DRAWN = ", ".join(
 )
 _INSIDE = " AND ".join(f"f.{m} {_SIDE[side][1]} q.{m}_{side}" for m, side, _ in _LIMITS)
 
+def _nearest(centroids: str, columns: str = "r, v") -> str:
+    """Each vector of kept with its centroid, the smaller number of equals."""
+    far = "list_sum(list_transform(list_zip(k.v, m.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    return f"SELECT {columns}, b.c AS c, CAST(b.d AS BIGINT) AS d FROM (SELECT k.*, min({{'d': {far}, 'c': m.c}}) OVER (PARTITION BY k.r) AS b, m.c AS mc FROM kept k, {centroids} m) WHERE mc = 0"
+
+
+_ROUNDS = ", ".join(
+    f"""
+        a{i} AS ({_nearest(f"c{i}")}),
+        m{i} AS (SELECT c, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY j) AS v FROM (SELECT c, j, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{i}) GROUP BY c, j) GROUP BY c),
+        c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.v, o.v) AS v FROM c{i} o LEFT JOIN m{i} m ON m.c = o.c)"""
+    for i in range(10)
+)
+
 ORACLE_SQL = {
     "op1_line_dedup": r"""
         WITH lines AS (
@@ -188,4 +213,32 @@ ORACLE_SQL = {
         q AS (SELECT k.lang, k.source, {_DRAWN} FROM (SELECT DISTINCT lang, source FROM f) k LEFT JOIN (FROM o WHERE level = 0) s ON s.lang IS NOT DISTINCT FROM k.lang AND s.source IS NOT DISTINCT FROM k.source
               LEFT JOIN (FROM o WHERE level = 1) l ON l.lang IS NOT DISTINCT FROM k.lang CROSS JOIN (FROM o WHERE level = 3) a)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_INSIDE} AS kept FROM f JOIN q ON q.lang IS NOT DISTINCT FROM f.lang AND q.source IS NOT DISTINCT FROM f.source""",
+    "op11_centroid_clustering": f"""
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('3:' || vec_id) AS h, v FROM kept) ORDER BY h NULLS LAST, v LIMIT 8),{_ROUNDS},
+        last AS MATERIALIZED ({_nearest('c10', 'vec_id')}),
+        inertia AS (SELECT c, sum(d) AS own, sum(sum(d)) OVER () AS every FROM last GROUP BY c)
+        SELECT vec_id, CAST(l.c AS INTEGER) AS "cluster", d AS distance, CAST(own AS BIGINT) AS cluster_inertia, CAST(every AS BIGINT) AS inertia, sha256(array_to_string(c10.v, ',')) AS centroid_sha256
+        FROM last l JOIN inertia USING (c) JOIN c10 USING (c)""",
+    "op12_periodic_runs": f"""
+        WITH crc AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS c FROM range(256) r(b))),
+        d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w, xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) AS h FROM documents, crc),
+        e AS (SELECT *, (h // 10) % len(w) AS a, 1 + (len(w) - (h // 10) % len(w)) // (3 + (h // 10) % 8) AS p FROM d),
+        f AS MATERIALIZED (SELECT r, doc_id, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN list_transform(range(len(w)), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM e),
+        words AS MATERIALIZED (SELECT r, generate_subscripts(w, 1) - 1 AS i, unnest(w) AS word FROM f),
+        lags AS (SELECT r, n, unnest(range(1, n // 4 + 1)) AS q FROM (SELECT r, len(w) AS n FROM f)),
+        places AS (SELECT r, q, unnest(range(0, n - q, q)) AS i FROM lags),
+        same AS (SELECT p.r, p.q, p.i FROM places p JOIN words x ON x.r = p.r AND x.i = p.i JOIN words y ON y.r = p.r AND y.i = p.i + p.q AND y.word = x.word),
+        hit AS (SELECT DISTINCT r, q FROM (SELECT r, q, lead(i, 2) OVER (PARTITION BY r, q ORDER BY i) - i AS three FROM same) WHERE three = 2 * q),
+        equal AS (SELECT h.r, h.q, x.i FROM hit h JOIN words x ON x.r = h.r JOIN words y ON y.r = h.r AND y.i = x.i + h.q AND y.word = x.word),
+        stretch AS (SELECT r, q, min(i) AS start, max(i) + 1 + q AS fin FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM equal) GROUP BY r, q, g),
+        runs AS (SELECT r, start, fin - start AS n, min(q) AS q FROM stretch WHERE fin - start >= greatest(6, 4 * q) GROUP BY r, start, fin),
+        gone AS (SELECT DISTINCT r, unnest(range(start + q, start + n)) AS i FROM runs),
+        kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (r, i) GROUP BY r),
+        best AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || n || ',' || q || chr(10), '' ORDER BY start, q) AS lines, max({{'n': n, 's': -start, 'q': -q}}) AS b FROM runs GROUP BY r)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(-b.s AS BIGINT) AS start, CAST(b.n AS BIGINT) AS length, CAST(-b.q AS BIGINT) AS period, CAST(1000 * b.n // -b.q AS BIGINT) AS exponent_milli,
+               sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+        FROM f LEFT JOIN best USING (r) LEFT JOIN kept USING (r)""",
 }
