@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
@@ -37,7 +38,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Elements of a matrix; length from which a piece is laid out alone.
 MATRIX, LONG = 1 << 20, 1024
 #: Pieces that a worker keeps, and the longest of them in bytes; bytes of text that are cut at once.
-MAX_PIECES, MAX_KEPT, GROUP_BYTES = 400_000, 48, 4 << 20
+MAX_PIECES, MAX_KEPT, GROUP_BYTES = 150_000, 48, 1 << 20
 
 
 class ByteBPE:
@@ -222,9 +223,8 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     def run(batches):
         bpe = coder(path, pattern)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in _groups([len(t) for t in texts], GROUP_BYTES):
-                ids = bpe.encode(texts[a:b])
+            for a, b in _groups(pc.binary_length(batch.column(1)).fill_null(0).to_pylist(), GROUP_BYTES):
+                ids = bpe.encode([t or "" for t in batch.column(1)[a:b].to_pylist()])
                 offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))], names=["key", "ids"])
 
