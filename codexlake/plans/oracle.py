@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from codexlake.functions import rules as R
 from codexlake.operators import corpus
+from codexlake.plans import incremental
 from codexlake.plans.queries import SALT
 from codexlake.streaming import state
 
@@ -298,3 +299,5 @@ SQL |= {
         SELECT doc_id, CAST(nth AS INTEGER) AS nth, stage, coalesce(o.status, CASE WHEN dirty IS NOT NULL THEN 'dirty' END, 'pending') AS status, false AS stale, coalesce(o.ord, dirty, 0) AS version
         FROM docs CROSS JOIN stages LEFT JOIN d USING (doc_id, nth) LEFT JOIN o USING (doc_id, nth)""",
 }
+
+SQL |= incremental.SQL

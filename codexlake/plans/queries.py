@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from codexlake.functions import json_text as J, rules as R, text as T
 from codexlake.operators import corpus, entities, feedback, fusion, graph, hub, metrics, resolve, selection, strengths, vectors
 from codexlake.operators.components import connected_components
-from codexlake.plans import jobs
+from codexlake.plans import incremental, jobs
 from codexlake.sources.parallel import spread_small
 from codexlake.sources.scratch import new_path
 from codexlake.streaming import state
@@ -570,4 +570,4 @@ def _all() -> dict:
     return reduce(lambda out, n: out | {n: globals()[n]}, names.split(), {})
 
 
-QUERIES = _all()
+QUERIES = _all() | incremental.QUERIES
