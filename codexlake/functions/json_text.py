@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 from codexlake.functions import rules as R, text as T
 
 #: Fixed element names of a source description, by the criterion they give.
-ELEMENTS = {"script": "Schrift", "lang": "Sprache", "date": "Datierung", "document_type": "Dokumenttyp"}
+ELEMENTS = {"script": "Schrift", "lang": "Sprache", "date": "Datierung", "document_type": "Dokumenttyp", "content": "Inhalt"}
 
 
 def strip_fences(text: Column) -> Column:
@@ -37,14 +37,34 @@ def element(description: Column, name: str) -> Column:
 
 
 def criteria(description: Column) -> Column:
-    """script, lang, century, document_type of a source description, normalised; empty texts give null."""
-    get = lambda k: F.nullif(F.trim(element(description, ELEMENTS[k])), F.lit(""))
+    """script, lang, century, document_type of a source description, normalised; empty texts give null.
+
+    The kind of document is named, or follows from a word of the content.
+    """
+    get = lambda k, f: T.let(F.nullif(F.trim(element(description, ELEMENTS[k])), F.lit("")), f)
     return F.struct(
-        R.normalise_script(get("script")).alias("script"),
-        F.nullif(R.normalise_lang(get("lang")), F.lit("")).alias("lang"),
-        R.parse_century(get("date")).alias("century"),
-        get("document_type").alias("document_type"),
+        get("script", R.normalise_script).alias("script"),
+        get("lang", lambda s: F.nullif(R.normalise_lang(s), F.lit(""))).alias("lang"),
+        get("date", R.parse_century).alias("century"),
+        F.coalesce(get("document_type", lambda s: s), get("content", lambda s: R.first_spelling(s, R.DOCUMENT_TYPES))).alias("document_type"),
+    )
+
+
+def mentioned_criteria(text: Column) -> Column:
+    """The same from a description in prose, by the first word of each list that it holds; null where it holds none."""
+    found = lambda t: F.struct(
+        R.first_spelling(t, {name: name for name in R.SCRIPTS}).alias("script"),
+        R.first_spelling(t, R.LANGUAGES).alias("lang"),
+        R.mentioned_century(t).alias("century"),
+        R.first_spelling(t, R.DOCUMENT_TYPES).alias("document_type"),
     )
+    return T.let(text, found)
+
+
+def criteria_with_prose(description: Column, text: Column) -> Column:
+    """criteria() of a structured description, each one that is missing from the prose."""
+    both = lambda x: F.struct(*[F.coalesce(x["own"][c], x["prose"][c]).alias(c) for c in ("script", "lang", "century", "document_type")])
+    return T.let(F.struct(T.let(description, criteria).alias("own"), mentioned_criteria(text).alias("prose")), both)
 
 
 def marked_uncertain(description: Column) -> Column:

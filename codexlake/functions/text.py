@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import string
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -33,6 +34,11 @@ def fold(text: pd.Series) -> pd.Series:
     return text.map(one, na_action="ignore")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it: long CASE chains neither repeat it nor grow with it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def transliterate(text: Column) -> Column:
     """Umlauts by their two-letter spellings."""
     for a, b in UMLAUTS.items():

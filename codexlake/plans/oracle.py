@@ -91,7 +91,7 @@ _FIELDS = ", ".join(f"'{f}'" for f in state.INVALIDATION)
 _INPUTS = f"inputs AS (SELECT user_id AS doc_id, [{_FIELDS}][event_id % {len(state.INVALIDATION)} + 1] AS field, event_type AS value, event_id AS ord FROM events)"
 _MATRIX = ", ".join(f"('{f}', '{s}', '{m}')" for f, (dirty, stale) in state.INVALIDATION.items() for m, stages in (("dirty", dirty), ("stale", stale)) for s in stages)
 _STAGES = ", ".join(f"({i}, '{s}')" for i, s in enumerate(state.STAGES))
-_LANGUAGE = " ".join(f"WHEN contains(s, '{x}') THEN '{R.LANGUAGES and next(c for c, xs in R.LANGUAGES.items() if x in xs)}'" for x in sorted((x for xs in R.LANGUAGES.values() for x in xs), key=lambda x: (-len(x), x)))
+_LANGUAGE = " ".join(f"WHEN contains(s, '{x}') THEN '{R.LANGUAGES[x]}'" for x in sorted(R.LANGUAGES, key=len, reverse=True))
 
 
 def _rate(hits: str) -> str:
@@ -300,4 +300,24 @@ SQL |= {
         FROM docs CROSS JOIN stages LEFT JOIN d USING (doc_id, nth) LEFT JOIN o USING (doc_id, nth)""",
 }
 
+
+
+def _first(spellings: dict, text: str) -> str:
+    """The value of the first spelling that the text holds."""
+    return "CASE " + " ".join(f"WHEN contains(lower({text}), '{k}') THEN {v!r}" for k, v in spellings.items()) + " END"
+
+
+#: The stand-in descriptions of documents: prose, and for a third each a full and a partial structured one.
+_DESCRIBED = """SELECT doc_id, 'Eine ' || ['Urkunde', 'Chronik', 'Karte', 'Handschrift'][1 + doc_id % 4] || ' in ' || CASE lang WHEN 'de' THEN 'Mittelhochdeutsch' WHEN 'fr' THEN 'Altfranzösisch' ELSE 'einer Sprache' END
+                || ', ' || ['kursive', 'bastarda', 'Schrift'][1 + doc_id % 3] || CASE doc_id % 5 WHEN 0 THEN ', ' || (doc_id % 11 + 10) || '. Jahrhundert' WHEN 1 THEN ', 1250 - 1399' WHEN 2 THEN ', um 1' || (doc_id % 90 + 10) || '7' ELSE '' END AS prose,
+            CASE WHEN doc_id % 3 = 0 THEN 'gotische textura' END AS schrift, CASE WHEN doc_id % 3 = 0 THEN 'Latein' END AS sprache, CASE WHEN doc_id % 3 < 2 THEN (doc_id % 7 + 12) || '. Jh.' END AS datierung FROM documents"""
+
+SQL |= {
+    "described_criteria": f"""WITH d AS ({_DESCRIBED}),
+        m AS (SELECT *, regexp_extract(prose, '(\\d{{4}}) - (\\d{{4}})', 1) AS y1, regexp_extract(prose, '(\\d{{4}}) - (\\d{{4}})', 2) AS y2, regexp_extract(prose, '\\b(1\\d)\\d{{2}}\\b', 1) AS y FROM d)
+        SELECT doc_id, CASE WHEN schrift IS NOT NULL THEN 'textura' ELSE {_first({x: x for x in R.SCRIPTS}, "prose")} END AS script, CASE WHEN sprache IS NOT NULL THEN 'la' ELSE {_first(R.LANGUAGES, "prose")} END AS lang,
+               CAST(coalesce({_first(R.CENTURIES, "datierung")}, {_first(R.CENTURIES, "prose")}, CASE WHEN y1 <> '' THEN round_even((CAST(y1 AS INTEGER) / 100 + CAST(y2 AS INTEGER) / 100) / 2, 0) END, CASE WHEN y <> '' THEN CAST(y AS INTEGER) + 1 END) AS INTEGER) AS century,
+               {_first(R.DOCUMENT_TYPES, "prose")} AS document_type FROM m""",
+    "spelled_centuries": f"SELECT doc_id, CAST({_first(R.CENTURIES, 't')} AS INTEGER) AS century FROM (SELECT doc_id, (doc_id % 14 + 9) || CASE doc_id % 4 WHEN 0 THEN '. Jh.' WHEN 1 THEN '. JAHRHUNDERT' WHEN 2 THEN '. Jahrhunderts' ELSE ' Jh' END || CASE WHEN doc_id % 9 = 0 THEN ' (Mittelalter)' ELSE '' END AS t FROM documents)",
+}
 SQL |= incremental.SQL

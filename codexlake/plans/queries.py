@@ -90,6 +90,27 @@ def years_and_centuries(spark, d):
     return o.select("o_orderkey", R.parse_years(F.col("span"))["lo"].alias("lo"), R.parse_years(F.col("span"))["hi"].alias("hi"), R.parse_century(F.col("span")).cast("int").alias("century"))
 
 
+def spelled_centuries(spark, d):
+    doc = table(spark, d, "documents")
+    n, form = F.col("doc_id") % 14 + 9, F.element_at(F.array(*map(F.lit, (". Jh.", ". JAHRHUNDERT", ". Jahrhunderts", " Jh"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    text = F.concat(n.cast("string"), form, F.when(F.col("doc_id") % 9 == 0, " (Mittelalter)").otherwise(""))
+    return doc.select("doc_id", R.parse_century(text).alias("century"))
+
+
+def described_criteria(spark, d):
+    """Criteria from descriptions: prose for all documents, structured ones for two thirds, half of these with the date only."""
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("doc_id") % len(xs) + 1).cast("int"))
+    lang = F.when(F.col("lang") == "de", "Mittelhochdeutsch").when(F.col("lang") == "fr", "Altfranzösisch").otherwise("einer Sprache")
+    fifth, text = F.col("doc_id") % 5, lambda c: c.cast("string")
+    date = F.when(fifth == 0, F.concat(F.lit(", "), text(F.col("doc_id") % 11 + 10), F.lit(". Jahrhundert"))).when(fifth == 1, ", 1250 - 1399").when(fifth == 2, F.concat(F.lit(", um 1"), text(F.col("doc_id") % 90 + 10), F.lit("7"))).otherwise("")
+    prose = F.concat(F.lit("Eine "), pick(("Urkunde", "Chronik", "Karte", "Handschrift")), F.lit(" in "), lang, F.lit(", "), pick(("kursive", "bastarda", "Schrift")), date)
+    full = F.col("doc_id") % 3 == 0
+    wert = lambda c: F.struct(c.alias("wert"), F.lit(False).alias("unsicher"))
+    structured = F.to_json(F.struct(F.when(full, wert(F.lit("gotische textura"))).alias("Schrift"), F.when(full, wert(F.lit("Latein"))).alias("Sprache"), wert(F.concat(text(F.col("doc_id") % 7 + 12), F.lit(". Jh."))).alias("Datierung")))
+    description = F.when(F.col("doc_id") % 3 < 2, F.parse_json(structured))
+    return table(spark, d, "documents").select("doc_id", J.criteria_with_prose(description, prose).alias("c")).select("doc_id", "c.*")
+
+
 def tolerant_json(spark, d):
     """Event properties as a model would write them: fenced, in prose, with a trailing comma."""
     e = table(spark, d, "events")
@@ -563,7 +584,7 @@ def streaming_replay(spark, d):
 
 def _all() -> dict:
     names = """corpus_term_stats corpus_top_terms doc_quality_flags doc_chunks search_index search_entities catalogue_search storage_overview run_totals text_functions language_scripts
-    years_and_centuries tolerant_json pairwise_cer max_pairwise_cer max_symmetric_cer gate_blocked cer_best_engine cer_engine_means page_quality edit_distances token_offsets votes_latest votes_tally votes_winner
+    years_and_centuries spelled_centuries described_criteria tolerant_json pairwise_cer max_pairwise_cer max_symmetric_cer gate_blocked cer_best_engine cer_engine_means page_quality edit_distances token_offsets votes_latest votes_tally votes_winner
     override_rates selection_agreement coverage_rollup regret_percentiles text_regret fusion_gain routing_prior model_winrates path_preferences preference_pairs bradley_terry strength_priors pseudonymise
     model_topk routing_gate engine_plan ranked_candidates entity_index entity_register entity_lookup entity_by_gnd entity_by_name_type dump_search review_list review_items vocabulary_match link_cascade resolve_edges resolve_components resolve_merged
     cosine_topk kmeans_labels fuse_votes disagreement_spans reconciled_pairs both_passes stacked_lines page_documents hub_summary hub_graph fusion_decisions entity_identifiers working_readings triples triple_counts provenance_bgp publication_scope stage_states stage_outcomes pinned_criteria new_orders streaming_replay"""

@@ -12,12 +12,11 @@ from codexlake.operators.feedback import latest
 
 #: Fixed stages in order, and which of them a human input makes dirty or stale.
 STAGES = ("vlm", "agent_b", "model_select", "kraken", "reconcile", "agent_c", "agent_d")
-_RECOGNISE = ("model_select", "kraken", "reconcile", "agent_b")
 INVALIDATION = {
-    "century": ((*_RECOGNISE, "agent_c"), ("agent_d",)),
-    "lang": ((*_RECOGNISE, "agent_c"), ("agent_d",)),
-    "script": (_RECOGNISE, ()),
-    "document_type": (_RECOGNISE, ()),
+    "century": (("model_select", "kraken", "reconcile", "agent_b", "agent_c"), ("agent_d",)),
+    "lang": (("model_select", "kraken", "reconcile", "agent_b", "agent_c"), ("agent_d",)),
+    "script": (("model_select", "kraken", "reconcile", "agent_b"), ()),
+    "document_type": (("model_select", "kraken", "reconcile", "agent_b"), ()),
     "path_preference": (("reconcile", "agent_b", "agent_c"), ("agent_d",)),
     "entity_link": ((), ()),
 }

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from codexlake.functions import rules as R, text as T
+from codexlake.functions import json_text as J, rules as R, text as T
 from codexlake.operators import metrics as M
 
 
@@ -36,7 +36,7 @@ def test_chunks(spark):
     assert [c.chunk for c in values(spark, lambda t: T.chunks(t, 4, 1), "abc")] == ["abc"]
 
 
-@pytest.mark.parametrize("text, want", [("14. Jh.", 14), ("1200-1250", 13), ("ca. 1350", 14), ("1803", 19), ("Mittelalter", 14), ("o. D.", None)])
+@pytest.mark.parametrize("text, want", [("14. Jh.", 14), ("1200-1250", 13), ("ca. 1350", 14), ("1803", 19), ("Mittelalter", 14), ("o. D.", None), ("14. Jahrhundert", 14), ("Ende des 9. Jahrhunderts", None), ("19. JAHRHUNDERT, 1350", 19)])
 def test_century(spark, text, want):
     assert values(spark, R.parse_century, text) == want
 
@@ -77,3 +77,9 @@ def test_model_answers(spark):
     assert values(spark, lambda t: J.choice(t, "pick", ["a", "b"]), '{"pick": "B"}') == "b" and values(spark, lambda t: J.choice(t, "pick", ["a"]), '{"pick": "x"}') is None
     assert tuple(values(spark, lambda t: J.coordinates(F.parse_json(t)), "[46.9, 7.4]")) == (46.9, 7.4) and values(spark, lambda t: J.coordinates(F.parse_json(t)), "[1]") is None
     assert values(spark, lambda t: J.source_url("http://x/", t), "a b") == "http://x/a+b"
+
+
+def test_criteria_from_prose(spark):
+    rows = [("Urbar in kursive, 15. Jahrhundert, deutsch", '{"Schrift": {"wert": "Blackletter"}}'), ("Brief, 1250-1399, Latein", None), ("um 1450", '{"Sprache": "Klingonisch", "Datierung": "", "Inhalt": "Ein Testament"}'), (None, None), ("nichts", "{}")]
+    df = spark.createDataFrame(rows, "t string, j string").select(J.criteria_with_prose(F.try_parse_json("j"), F.col("t")).alias("c"))
+    assert [tuple(r.c) for r in df.collect()] == [("fraktur", "de", 15, "urbarium"), (None, "la", 13, "letter"), (None, None, 15, "testament"), (None,) * 4, (None,) * 4]
