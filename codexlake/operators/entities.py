@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codexlake.functions import rules as R, text as T
+from codexlake.operators import similar
 
 
 def dedup_extracted(entities: DataFrame, key: list[str], order: str, context: str = "context") -> DataFrame:
@@ -67,25 +68,17 @@ def review_list(entities: DataFrame, doc: str, order: str, limit: int = 5) -> Da
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy(doc).orderBy(order))).where(F.col("nth") <= limit)
 
 
-def _grams(text: Column, lengths: list[int]) -> Column:
-    """The distinct stretches of the lengths given."""
-    of = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(*map(of, lengths)))
-
-
 def contained(terms: DataFrame, entries: DataFrame, least: int = 4) -> DataFrame:
     """t, low of all pairs where one holds the other and ``low`` has ``least`` letters or more, equal ones included.
 
-    ``terms`` (t) and ``entries`` (low) are distinct and not empty. Whatever
-    holds the other holds its first ``least`` letters, so pairs come from joins
-    on those; a shorter term is met whole.
+    ``terms`` (t) and ``entries`` (low) are distinct and not empty. Pairs come
+    from joins on the rarest stretch of ``least`` letters of whatever lies in
+    the other; a shorter term is met whole.
     """
-    head = lambda c: F.substring(F.col(c), 1, least)
     long = entries.where(F.length("low") >= least)
-    inside = terms.select("t", F.explode(_grams(F.col("t"), [least])).alias("g")).join(long.select("low", head("low").alias("g")), "g")
-    around = terms.select("t", head("t").alias("g")).join(long.select("low", F.explode(_grams(F.col("low"), list(range(1, least + 1)))).alias("g")), "g")
-    both = inside.where(F.contains("t", F.col("low"))).select("t", "low").unionByName(around.where(F.contains("low", F.col("t"))).select("t", "low"))
-    return both.distinct()
+    inside = similar.holders(long, terms, least, "low", "t").select(F.col("text").alias("t"), F.col("needle").alias("low"))
+    around = similar.holders(terms, long, least, "t", "low").select(F.col("needle").alias("t"), F.col("text").alias("low"))
+    return inside.unionByName(around).distinct()
 
 
 def match_vocabulary(mentions: DataFrame, vocabulary: DataFrame, term: str = "term", least: int = 4) -> DataFrame:

@@ -36,22 +36,63 @@ def edit_distance(reference: Column, hypothesis: Column, **options: bool) -> Col
 RAW = {"ignore_case": False, "ignore_whitespace": False, "ignore_punctuation": False}
 
 
-@F.pandas_udf(DoubleType())
-def wer(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-    """Word edit distance over the reference's words; texts come prepared."""
+def word_edits(a: list[str], b: list[str], limit: int | None = None) -> int:
+    """Edits between two lists of words; limit + 1 as soon as they are known to be more than ``limit``.
 
-    def one(ref, hyp):
-        a, b = (ref or "").split(), (hyp or "").split()
-        if not a:
-            return 0.0 if not b else 1.0
-        row = list(range(len(a) + 1))
-        for i, y in enumerate(b, 1):
-            last, row[0] = row[0], i
-            for j, x in enumerate(a, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1] / len(a)
+    The column of the table that belongs to a word of ``b`` is two bit vectors
+    over ``a``, its steps up and down, so a step is a few operations on integers
+    of len(a) bits. What both lists begin or end with is left out first.
+    """
+    begin, end = 0, 0
+    most = min(len(a), len(b))
+    while begin < most and a[begin] == b[begin]:
+        begin += 1
+    while end < most - begin and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[begin : len(a) - end], b[begin : len(b) - end]
+    if limit is not None and abs(len(a) - len(b)) > limit:
+        return limit + 1
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, edits = full, 0, len(a)
+    for left, y in zip(range(len(b) - 1, -1, -1), b):
+        same = places.get(y, 0)
+        kept = same | down
+        crossed = (((same & up) + up) ^ up) | same
+        rise, fall = down | full & ~(crossed | up), up & crossed
+        edits += 1 if rise & top else -1 if fall & top else 0
+        if limit is not None and edits - left > limit:
+            return limit + 1
+        rise, fall = rise << 1 | 1, fall << 1
+        up, down = (fall | ~(kept | rise)) & full, rise & kept & full
+    return edits
+
+
+def word_error_rate(reference: Column, hypothesis: Column, limit: float | None = None) -> Column:
+    """Word edits over the reference's words; an empty reference gives 0 or 1, null texts are empty; texts come prepared.
+
+    With a ``limit`` rates beyond it are null, and such texts are left as soon
+    as their edits pass it.
+    """
+
+    @F.pandas_udf(DoubleType())
+    def rate(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+        def one(r, h):
+            a, b = (r or "").split(), (h or "").split()
+            if not a:
+                found = 0.0 if not b else 1.0
+                return found if limit is None or found <= limit else None
+            most = None if limit is None else int(limit * len(a) + 1e-9)
+            edits = word_edits(a, b, most)
+            return edits / len(a) if most is None or edits <= most else None
+
+        return pd.Series([one(r, h) for r, h in zip(ref, hyp)], dtype="float64")
 
-    return pd.Series([one(r, h) for r, h in zip(reference, hypothesis)])
+    return rate(reference, hypothesis)
 
 
 def usable(readings: DataFrame, text: str = "text", error: str | None = None) -> DataFrame:
@@ -110,7 +151,7 @@ def engine_means(table: DataFrame, key: list[str]) -> DataFrame:
 def mean_rates(rows: DataFrame, group: list[str], reference: str = "reference", text: str = "text", **options: bool) -> DataFrame:
     """Mean CER and WER per group over its rows, and their number."""
     ref, hyp = (prepare(F.coalesce(F.col(c), F.lit("")), **options) for c in (reference, text))
-    rated = rows.select(*group, cer(F.coalesce(F.col(reference), F.lit("")), F.coalesce(F.col(text), F.lit("")), **options).alias("cer"), wer(ref, hyp).alias("wer"))
+    rated = rows.select(*group, cer(F.coalesce(F.col(reference), F.lit("")), F.coalesce(F.col(text), F.lit("")), **options).alias("cer"), word_error_rate(ref, hyp).alias("wer"))
     return rated.groupBy(*group).agg(F.avg("cer").alias("mean_cer"), F.avg("wer").alias("mean_wer"), F.count("*").alias("n"))
 
 

@@ -313,6 +313,15 @@ _DESCRIBED = """SELECT doc_id, 'Eine ' || ['Urkunde', 'Chronik', 'Karte', 'Hands
             CASE WHEN doc_id % 3 = 0 THEN 'gotische textura' END AS schrift, CASE WHEN doc_id % 3 = 0 THEN 'Latein' END AS sprache, CASE WHEN doc_id % 3 < 2 THEN (doc_id % 7 + 12) || '. Jh.' END AS datierung FROM documents"""
 
 SQL |= {
+    "word_error_rates": f"""WITH RECURSIVE r AS (SELECT conv_id, turn, list_filter(string_split({_ASCII}, ' '), lambda w: w <> '') AS w FROM conversations),
+        p AS (SELECT r.conv_id, r.turn, f.w AS a, r.w AS b, row_number() OVER () AS id FROM r JOIN r f ON f.conv_id = r.conv_id AND f.turn = 0),
+        cells AS (SELECT id, a, b, 0 AS j, unnest(range(len(a) + 1)) AS i, unnest(range(len(a) + 1)) AS e FROM p),
+        t AS (SELECT id, j, i, e FROM cells
+              UNION ALL
+              SELECT id, j, i, i + min(best - i) OVER (PARTITION BY id ORDER BY i) FROM (
+                  SELECT t.id, t.j + 1 AS j, t.i, CASE WHEN t.i = 0 THEN t.e + 1 ELSE least(t.e + 1, lag(t.e) OVER (PARTITION BY t.id ORDER BY t.i) + CASE WHEN p.a[t.i] = p.b[t.j + 1] THEN 0 ELSE 1 END) END AS best
+                  FROM t JOIN p ON p.id = t.id WHERE t.j < len(p.b)))
+        SELECT conv_id, turn, round(CASE WHEN len(a) = 0 THEN CASE WHEN len(b) = 0 THEN 0.0 ELSE 1.0 END ELSE e / len(a) END, 9) AS wer FROM p JOIN t ON t.id = p.id AND t.j = len(b) AND t.i = len(a)""",
     "described_criteria": f"""WITH d AS ({_DESCRIBED}),
         m AS (SELECT *, regexp_extract(prose, '(\\d{{4}}) - (\\d{{4}})', 1) AS y1, regexp_extract(prose, '(\\d{{4}}) - (\\d{{4}})', 2) AS y2, regexp_extract(prose, '\\b(1\\d)\\d{{2}}\\b', 1) AS y FROM d)
         SELECT doc_id, CASE WHEN schrift IS NOT NULL THEN 'textura' ELSE {_first({x: x for x in R.SCRIPTS}, "prose")} END AS script, CASE WHEN sprache IS NOT NULL THEN 'la' ELSE {_first(R.LANGUAGES, "prose")} END AS lang,

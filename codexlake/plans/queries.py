@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from codexlake.functions import json_text as J, rules as R, text as T
-from codexlake.operators import corpus, entities, feedback, fusion, graph, hub, metrics, resolve, selection, strengths, vectors
+from codexlake.operators import corpus, entities, feedback, fusion, graph, hub, metrics, resolve, selection, similar, strengths, vectors
 from codexlake.operators.components import connected_components
 from codexlake.plans import incremental, jobs
 from codexlake.sources.parallel import spread_small
@@ -172,6 +172,13 @@ def edit_distances(spark, d):
     return r.join(first, "conv_id").select("conv_id", "turn", metrics.edit_distance(F.col("reference"), F.col("text")).alias("edits"))
 
 
+def word_error_rates(spark, d):
+    """Of each turn against the first one."""
+    r = _readings(spark, d)
+    first = r.where("turn = 0").select("conv_id", F.col("text").alias("reference"))
+    return spread_small(r.join(first, "conv_id")).select("conv_id", "turn", F.round(metrics.word_error_rate(F.col("reference"), F.col("text")), 9).alias("wer"))
+
+
 # feedback
 
 
@@ -376,6 +383,13 @@ def review_items(spark, d):
     return found.select("doc_id", "ord", "name", F.array_join(F.transform("candidates", lambda x: x["id"]), ",").alias("candidates"))
 
 
+def similar_names(spark, d):
+    """Every fiftieth part's name with a slip in it, against all names."""
+    p = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type", (F.col("p_partkey") % 97).cast("string")).alias("name"))
+    slip = F.concat(F.substring("name", 1, 3), F.expr("substring(name, 5)"))
+    return similar.closest_of_each(p.where("p_partkey % 50 = 0").select(slip.alias("query")), p, 5, 0.8).select("query", "rank", "name", F.round("ratio", 9).alias("ratio"))
+
+
 def vocabulary_match(spark, d):
     p = table(spark, d, "part")
     vocabulary = p.groupBy(F.element_at(F.split("p_name", " "), 1).alias("entry")).agg(F.min("p_partkey").alias("ord"))
@@ -584,9 +598,9 @@ def streaming_replay(spark, d):
 
 def _all() -> dict:
     names = """corpus_term_stats corpus_top_terms doc_quality_flags doc_chunks search_index search_entities catalogue_search storage_overview run_totals text_functions language_scripts
-    years_and_centuries spelled_centuries described_criteria tolerant_json pairwise_cer max_pairwise_cer max_symmetric_cer gate_blocked cer_best_engine cer_engine_means page_quality edit_distances token_offsets votes_latest votes_tally votes_winner
+    years_and_centuries spelled_centuries described_criteria tolerant_json pairwise_cer max_pairwise_cer max_symmetric_cer gate_blocked cer_best_engine cer_engine_means page_quality edit_distances word_error_rates token_offsets votes_latest votes_tally votes_winner
     override_rates selection_agreement coverage_rollup regret_percentiles text_regret fusion_gain routing_prior model_winrates path_preferences preference_pairs bradley_terry strength_priors pseudonymise
-    model_topk routing_gate engine_plan ranked_candidates entity_index entity_register entity_lookup entity_by_gnd entity_by_name_type dump_search review_list review_items vocabulary_match link_cascade resolve_edges resolve_components resolve_merged
+    model_topk routing_gate engine_plan ranked_candidates entity_index entity_register entity_lookup entity_by_gnd entity_by_name_type dump_search review_list review_items similar_names vocabulary_match link_cascade resolve_edges resolve_components resolve_merged
     cosine_topk kmeans_labels fuse_votes disagreement_spans reconciled_pairs both_passes stacked_lines page_documents hub_summary hub_graph fusion_decisions entity_identifiers working_readings triples triple_counts provenance_bgp publication_scope stage_states stage_outcomes pinned_criteria new_orders streaming_replay"""
     return reduce(lambda out, n: out | {n: globals()[n]}, names.split(), {})
 
