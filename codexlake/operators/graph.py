@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codexlake.functions import rules as R
+from codexlake.operators import paths
 
 #: Fixed terms of the vocabularies used.
 TYPE, LABEL, SAME_AS = "rdf:type", "rdfs:label", "owl:sameAs"
@@ -145,24 +146,90 @@ def graph_counts(graph: DataFrame) -> DataFrame:
     return graph.groupBy("p", what.alias("what")).agg(F.count("*").alias("triples"), F.count_distinct("s").alias("subjects"))
 
 
-def match(graph: DataFrame, *patterns: tuple[str, str, str], optional: tuple[tuple[str, str, str], ...] = ()) -> DataFrame:
-    """Joins of triple patterns; terms that begin with ? are variables. Optional patterns keep rows without a match."""
+def _variables(pattern: tuple) -> list[str]:
+    return [t[1:] for t in pattern if isinstance(t, str) and t.startswith("?")]
+
+
+def _estimates(graph: DataFrame, patterns: tuple) -> list[float]:
+    """Rows that each pattern gives, from counts of its predicates' triples, subjects and objects (one pass, a row per predicate named)."""
+    named = set().union(*[p.predicates() if isinstance(p, paths.Path) else set() if p.startswith("?") else {p} for _, p, _ in patterns])
+    rows = graph.where(F.col("p").isin(*named)).groupBy("p").agg(F.count("*").alias("n"), F.approx_count_distinct("s").alias("s"), F.approx_count_distinct("o").alias("o")).collect() if named else []
+    known = {r.p: r for r in rows}
+    out = []
+    for s, p, o in patterns:
+        if isinstance(p, str) and p.startswith("?"):
+            out.append(float("inf"))
+            continue
+        hits = [known[x] for x in (p.predicates() if isinstance(p, paths.Path) else {p}) if x in known]
+        n = float(sum(r.n for r in hits))
+        if n and not s.startswith("?"):
+            n /= max(r.s for r in hits)
+        if n and not o.startswith("?"):
+            n /= max(r.o for r in hits)
+        out.append(n * (1000 if isinstance(p, paths.Path) and s.startswith("?") and o.startswith("?") else 1))
+    return out
+
+
+def ordered(graph: DataFrame, patterns: tuple) -> list[tuple]:
+    """The patterns from the most selective one on, each sharing a variable with those before it; an error if one can't."""
+    if not all(map(_variables, patterns)):
+        raise ValueError("a pattern needs a variable")
+    if len(patterns) < 2:
+        return list(patterns)
+    left, out, bound = dict(enumerate(_estimates(graph, patterns))), [], set()
+    while left:
+        linked = [i for i in left if not out or bound & set(_variables(patterns[i]))]
+        if not linked:
+            raise ValueError("patterns that share no variable would be multiplied")
+        i = min(linked, key=lambda i: (left[i], i))
+        del left[i]
+        out.append(patterns[i])
+        bound |= set(_variables(patterns[i]))
+    return out
+
+
+def _rows(graph: DataFrame, pattern: tuple, out: DataFrame | None) -> DataFrame:
+    """The bindings of one pattern."""
+    s, p, o = pattern
+    if isinstance(p, paths.Path):
+        ends = {"s": None, "o": None}
+        for column, term in (("s", s), ("o", o)):
+            if not term.startswith("?"):
+                ends[column] = graph.sparkSession.createDataFrame([(term,)], f"{column} string")
+            elif out is not None and term[1:] in out.columns:
+                ends[column] = out.select(F.col(term[1:]).alias(column)).where(F.col(column).isNotNull()).distinct()
+        rows, terms = paths.pairs(graph, p, ends["s"], ends["o"]), (("s", s), ("o", o))
+    else:
+        rows, terms = graph, tuple(zip("spo", pattern))
+    names: dict[str, list[str]] = {}
+    for column, term in terms:
+        if term.startswith("?"):
+            names.setdefault(term[1:], []).append(column)
+        else:
+            rows = rows.where(F.col(column) == term)
+    for same in names.values():
+        if len(same) > 1:
+            rows = rows.where(F.col(same[0]) == F.col(same[1]))
+    return rows.select(*[F.col(c[0]).alias(v) for v, c in names.items()])
+
+
+def match(graph: DataFrame, *patterns: tuple, optional: tuple = ()) -> DataFrame:
+    """Joins of triple patterns; terms that begin with ? are variables, predicates can be paths. Optional patterns keep rows without a match.
+
+    The order of the patterns doesn't matter: they are joined from the most
+    selective one on. A repetition grows from the nodes that are bound already.
+    """
     out = None
-    for i, pattern in enumerate([*patterns, *optional]):
-        rows, names = graph, {}
-        for column, term in zip("spo", pattern):
-            if term.startswith("?"):
-                names.setdefault(term[1:], []).append(column)
+    for kind, todo in (("inner", ordered(graph, patterns)), ("left", list(optional))):
+        for pattern in todo:
+            rows = _rows(graph, pattern, out)
+            if out is None:
+                out = rows
             else:
-                rows = rows.where(F.col(column) == term)
-        for same in names.values():
-            if len(same) > 1:
-                rows = rows.where(F.col(same[0]) == F.col(same[1]))
-        rows = rows.select(*[F.col(c[0]).alias(v) for v, c in names.items()])
-        if out is None:
-            out = rows
-        else:
-            out = out.join(rows, [v for v in names if v in out.columns], "left" if i >= len(patterns) else "inner")
+                shared = [v for v in rows.columns if v in out.columns]
+                if not shared:
+                    raise ValueError("patterns that share no variable would be multiplied")
+                out = out.join(rows, shared, kind)
     return out
 
 

@@ -313,6 +313,10 @@ _DESCRIBED = """SELECT doc_id, 'Eine ' || ['Urkunde', 'Chronik', 'Karte', 'Hands
             CASE WHEN doc_id % 3 = 0 THEN 'gotische textura' END AS schrift, CASE WHEN doc_id % 3 = 0 THEN 'Latein' END AS sprache, CASE WHEN doc_id % 3 < 2 THEN (doc_id % 7 + 12) || '. Jh.' END AS datierung FROM documents"""
 
 SQL |= {
+    "provenance_paths": f"""WITH {_GRAPH} SELECT a.s AS doc, c.o AS model, d.o AS selection FROM graph a JOIN graph b ON b.s = a.o AND b.p = 'prov:wasGeneratedBy'
+        JOIN graph c ON c.s = b.o AND c.p = 'prov:wasAssociatedWith' JOIN graph d ON d.s = a.s AND d.p = 'ex:closestReading' WHERE a.p = 'crm:P128_carries'""",
+    "broader_terms": """WITH RECURSIVE e AS (SELECT p_partkey AS s, p_partkey // 3 AS o FROM part WHERE p_partkey > 0), up AS (SELECT s, o FROM e UNION SELECT up.s, e.o FROM up JOIN e ON e.s = up.o)
+        SELECT 'part:' || s AS part, 'part:' || o AS above FROM up JOIN part ON p_partkey = o AND p_size = 1""",
     "word_error_rates": f"""WITH RECURSIVE r AS (SELECT conv_id, turn, list_filter(string_split({_ASCII}, ' '), lambda w: w <> '') AS w FROM conversations),
         p AS (SELECT r.conv_id, r.turn, f.w AS a, r.w AS b, row_number() OVER () AS id FROM r JOIN r f ON f.conv_id = r.conv_id AND f.turn = 0),
         cells AS (SELECT id, a, b, 0 AS j, unnest(range(len(a) + 1)) AS i, unnest(range(len(a) + 1)) AS e FROM p),

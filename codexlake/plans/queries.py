@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from codexlake.functions import json_text as J, rules as R, text as T
-from codexlake.operators import corpus, entities, feedback, fusion, graph, hub, metrics, resolve, selection, similar, strengths, vectors
+from codexlake.operators import corpus, entities, feedback, fusion, graph, hub, metrics, paths, resolve, selection, similar, strengths, vectors
 from codexlake.operators.components import connected_components
 from codexlake.plans import incremental, jobs
 from codexlake.sources.parallel import spread_small
@@ -549,6 +549,21 @@ def provenance_bgp(spark, d):
     return found.select("doc", "reading", "run", "model", "selection")
 
 
+def provenance_paths(spark, d):
+    """The model behind each reading of a document, over one path."""
+    way = paths.seq("crm:P128_carries", "prov:wasGeneratedBy", "prov:wasAssociatedWith")
+    return graph.match(_graph(spark, d), ("?doc", way, "?model"), ("?doc", "ex:closestReading", "?selection")).select("doc", "model", "selection")
+
+
+def broader_terms(spark, d):
+    """A part lies below the part of a third of its number; all parts above it that are of size 1."""
+    p = table(spark, d, "part")
+    node = lambda k: F.concat(F.lit("part:"), k.cast("string"))
+    below = p.where("p_partkey > 0").select(node(F.col("p_partkey")).alias("s"), F.lit("skos:broader").alias("p"), node(F.floor(F.col("p_partkey") / 3)).alias("o"), F.lit("iri").alias("kind"))
+    sized = p.select(node(F.col("p_partkey")), F.lit("ex:size"), F.col("p_size").cast("string"), F.lit("literal"))
+    return graph.match(below.union(sized), ("?part", paths.plus("skos:broader"), "?above"), ("?above", "ex:size", "1")).select("part", "above")
+
+
 def publication_scope(spark, d):
     j = _judged(spark, d).select("doc_id", F.when(F.col("quality") == 1, "PERSON").otherwise("PLACE").alias("type"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("gnd"), F.lit("").alias("hls"), F.lit("").alias("wikidata"), "toxic")
     return graph.publication_scope(j, F.col("toxic") == 1)[1]
@@ -601,7 +616,7 @@ def _all() -> dict:
     years_and_centuries spelled_centuries described_criteria tolerant_json pairwise_cer max_pairwise_cer max_symmetric_cer gate_blocked cer_best_engine cer_engine_means page_quality edit_distances word_error_rates token_offsets votes_latest votes_tally votes_winner
     override_rates selection_agreement coverage_rollup regret_percentiles text_regret fusion_gain routing_prior model_winrates path_preferences preference_pairs bradley_terry strength_priors pseudonymise
     model_topk routing_gate engine_plan ranked_candidates entity_index entity_register entity_lookup entity_by_gnd entity_by_name_type dump_search review_list review_items similar_names vocabulary_match link_cascade resolve_edges resolve_components resolve_merged
-    cosine_topk kmeans_labels fuse_votes disagreement_spans reconciled_pairs both_passes stacked_lines page_documents hub_summary hub_graph fusion_decisions entity_identifiers working_readings triples triple_counts provenance_bgp publication_scope stage_states stage_outcomes pinned_criteria new_orders streaming_replay"""
+    cosine_topk kmeans_labels fuse_votes disagreement_spans reconciled_pairs both_passes stacked_lines page_documents hub_summary hub_graph fusion_decisions entity_identifiers working_readings triples triple_counts provenance_bgp provenance_paths broader_terms publication_scope stage_states stage_outcomes pinned_criteria new_orders streaming_replay"""
     return reduce(lambda out, n: out | {n: globals()[n]}, names.split(), {})
 
 
