@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codexlake.sources.scratch import written
@@ -74,31 +75,66 @@ def _scored(rows, k: int, key: str, vector: str, digits: int):
     return run
 
 
-def kmeans(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", seed: int = 0, iterations: int = 100) -> DataFrame:
+def _labels(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each row, the first of equals."""
+    apart = np.stack([((x - c) ** 2).sum(axis=1) for c in centroids], axis=1)
+    return apart.argmin(axis=1)
+
+
+def _matrix(column, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+
+
+def kmeans(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", seed: int = 0, iterations: int = 100, draw: Column | None = None) -> DataFrame:
     """key, cluster by Lloyd's iteration.
 
-    Starts from k rows drawn by a seeded hash of the key. A round assigns each
-    row to the nearest centroid (the first of equals) and averages per cluster
-    and dimension with map-side sums; only the k centroids go to the driver.
-    An empty cluster keeps its centroid. Stops when no row changes its cluster.
+    Starts from the first k rows by ``draw`` (a seeded hash of the key if none
+    is given), then by key. A round is
+    one scan: a task labels its Arrow batches against the matrix of centroids
+    and sends one row of sums per centroid, which Spark adds up, so k rows reach
+    the driver. An empty cluster keeps its centroid. Stops when no centroid
+    moves, as then no row changes its cluster. Vectors that are null, shorter or
+    longer than the first centroid, or hold nulls, are left out.
     """
-    start = vectors.orderBy(F.xxhash64(F.lit(seed), key), key).limit(k).select(vector).collect()
-    centroids = [[float(x) for x in r[0]] for r in start]
-    assigned, before = vectors.select(key, F.lit(0).alias("cluster")), F.lit(-1)
+    drawn = F.xxhash64(F.lit(seed), key) if draw is None else draw
+    whole = vectors.select(key, vector).where(F.forall(vector, lambda x: x.isNotNull()))
+    start = whole.orderBy(drawn.asc_nulls_last(), key).limit(k).select(vector).collect()
+    kind = vectors.schema[key].dataType.simpleString()
+    if not start:
+        return vectors.select(key, F.lit(0).alias("cluster")).limit(0)
+    width = len(start[0][0])
+    usable = whole.where(F.size(vector) == width)
+    centroids = np.array([r[0] for r in start if len(r[0]) == width], dtype=np.float64)
+
+    def sums(now: np.ndarray):
+        def run(batches):
+            n, total = np.zeros(len(now), dtype=np.int64), np.zeros_like(now)
+            for batch in batches:
+                x = _matrix(batch.column(0), width)
+                label = _labels(x, now)
+                n += np.bincount(label, minlength=len(now))
+                np.add.at(total, label, x)
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(total[at].tolist(), pa.list_(pa.float64()))], names=["cluster", "n", "total"])
+
+        return run
+
+    def assign(now: np.ndarray):
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_labels(_matrix(batch.column(1), width), now).astype(np.int32))], names=[key, "cluster"])
+
+        return run
+
     for _ in range(iterations):
-        c = F.array(*[F.array(*map(F.lit, x)) for x in centroids])
-        apart = F.transform(c, lambda m: F.aggregate(F.zip_with(m, F.col(vector), lambda x, y: (x - y.cast("double")) * (x - y.cast("double"))), F.lit(0.0), lambda a, x: a + x))
-        label = (F.array_position(apart, F.array_min(apart)) - 1).cast("int")
-        assigned = vectors.select(key, vector, label.alias("cluster"), before.alias("before"))
-        means = assigned.select("cluster", "before", F.posexplode(vector).alias("d", "x")).groupBy("cluster", "d")
-        sums = means.agg(F.avg("x").alias("m"), F.count_if(F.col("cluster") != F.col("before")).alias("changed")).collect()
-        if not any(r["changed"] for r in sums):
+        parts = usable.select(vector).mapInArrow(sums(centroids), "cluster int, n long, total array<double>")
+        new = centroids.copy()
+        for r in parts.groupBy("cluster").agg(F.sum("n").alias("n"), *[F.sum(F.col("total")[i]).alias(f"t{i}") for i in range(width)]).collect():
+            new[r.cluster] = np.array(r[2:]) / r.n
+        if (new == centroids).all():
             break
-        new = [list(x) for x in centroids]
-        for r in sums:
-            new[r["cluster"]][r["d"]] = r["m"]
-        centroids, before = new, label
-    return assigned.select(key, "cluster")
+        centroids = new
+    return usable.mapInArrow(assign(centroids), f"{key} {kind}, cluster int")
 
 
 def embed(docs: DataFrame, provider, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -312,7 +312,45 @@ _DESCRIBED = """SELECT doc_id, 'Eine ' || ['Urkunde', 'Chronik', 'Karte', 'Hands
                 || ', ' || ['kursive', 'bastarda', 'Schrift'][1 + doc_id % 3] || CASE doc_id % 5 WHEN 0 THEN ', ' || (doc_id % 11 + 10) || '. Jahrhundert' WHEN 1 THEN ', 1250 - 1399' WHEN 2 THEN ', um 1' || (doc_id % 90 + 10) || '7' ELSE '' END AS prose,
             CASE WHEN doc_id % 3 = 0 THEN 'gotische textura' END AS schrift, CASE WHEN doc_id % 3 = 0 THEN 'Latein' END AS sprache, CASE WHEN doc_id % 3 < 2 THEN (doc_id % 7 + 12) || '. Jh.' END AS datierung FROM documents"""
 
+#: Minorisation-maximisation on one row per bucket that holds its models, wins and matrix as lists.
+_STRENGTHS = f"""RECURSIVE {_OFFERED},
+    won AS (SELECT bucket, winner, loser, sum(weight) AS w FROM compared GROUP BY 1, 2, 3),
+    models AS (SELECT bucket, list(model ORDER BY model) AS models FROM (SELECT bucket, winner AS model FROM won UNION SELECT bucket, loser FROM won) GROUP BY 1),
+    cells AS (SELECT m.bucket, m.models, a, b, coalesce(x.w, 0) AS w, coalesce(x.w, 0) + coalesce(y.w, 0) AS met
+              FROM (SELECT bucket, models, a, unnest(models) AS b FROM (SELECT bucket, models, unnest(models) AS a FROM models)) m
+              LEFT JOIN won x ON x.bucket = m.bucket AND x.winner = a AND x.loser = b LEFT JOIN won y ON y.bucket = m.bucket AND y.winner = b AND y.loser = a),
+    lines AS (SELECT bucket, models, a, CAST(sum(w) AS DOUBLE) AS wins, list(CAST(met AS DOUBLE) ORDER BY b) AS met FROM cells GROUP BY 1, 2, 3),
+    base AS MATERIALIZED (SELECT bucket, models, list(wins ORDER BY a) AS wins, list(met ORDER BY a) AS met, len(models) AS n FROM lines GROUP BY 1, 2),
+    steps AS (
+        SELECT bucket, 0 AS i, list_transform(models, lambda m: CAST(1 AS DOUBLE)) AS p, CAST(1 AS DOUBLE) AS moved FROM base
+        UNION ALL
+        SELECT bucket, i, new, list_max(list_transform(list_zip(new, p), lambda z: abs(z[1] - z[2]))) FROM (
+            SELECT bucket, i, p, CASE WHEN list_avg(raw) > 0 THEN list_transform(raw, lambda x: greatest(x / list_avg(raw), 1e-9)) ELSE raw END AS new FROM (
+                SELECT s.bucket, s.i + 1 AS i, s.p, list_transform(list_zip(b.wins, list_transform(list_zip(b.met, s.p), lambda r: list_sum(list_transform(list_zip(r[1], s.p), lambda z: z[1] / greatest(r[2] + z[2], 1e-9))))), lambda z: CASE WHEN z[2] > 0 THEN z[1] / z[2] ELSE 1e-9 END) AS raw
+                FROM steps s JOIN base b ON b.bucket = s.bucket WHERE s.moved >= 1e-9 AND s.i < 200))),
+    ends AS (SELECT bucket, arg_max(p, i) AS p FROM steps GROUP BY 1),
+    strengths AS (
+        SELECT bucket, unnest(models) AS model, unnest(p) AS strength, unnest(wins) AS wins, unnest(list_transform(met, lambda r: list_sum(r))) AS comparisons, list_sum(p) AS s, n FROM base JOIN ends USING (bucket)),
+    totals AS (SELECT bucket, CAST(sum(w) AS DOUBLE) AS total FROM won GROUP BY 1),
+    rated AS (
+        SELECT t.bucket, total, total >= 10 AS sufficient, model, strength, wins, comparisons, strength / greatest(strength + CASE WHEN n > 1 THEN (s - strength) / (n - 1) ELSE 1 END, 1e-9) AS win_prob_vs_field
+        FROM totals t LEFT JOIN strengths x ON x.bucket = t.bucket AND total >= 10)"""
+
 SQL |= {
+    "bradley_terry": f"WITH {_STRENGTHS} SELECT bucket, total, sufficient, model, round(strength, 6) AS strength, round(wins, 6) AS wins, round(comparisons, 6) AS comparisons, round(win_prob_vs_field, 6) AS win_prob_vs_field FROM rated",
+    "strength_priors": f"WITH {_STRENGTHS} SELECT bucket, model, round(least(greatest(win_prob_vs_field - 0.5, 0), 0.15), 4) AS prior_score FROM rated WHERE sufficient AND round(least(greatest(win_prob_vs_field - 0.5, 0), 0.15), 4) > 0",
+    "kmeans_labels": """WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+        it AS (
+            SELECT 0 AS i, list(x ORDER BY h) AS c, true AS go FROM (SELECT x, sha256('0:' || vec_id) AS h FROM v ORDER BY h LIMIT 8)
+            UNION ALL
+            SELECT i + 1, list(coalesce(m, old) ORDER BY k), bool_or(m IS NOT NULL AND m <> old) FROM (
+                SELECT i, k, any_value(old) AS old, list(s ORDER BY d) FILTER (WHERE s IS NOT NULL) AS m FROM (
+                    SELECT o.i, o.k, o.old, d, s FROM (SELECT i, unnest(range(8)) AS k, unnest(c) AS old FROM it WHERE go) o LEFT JOIN (
+                        SELECT k, d, avg(x) AS s FROM (
+                            SELECT list_position(f, list_min(f)) - 1 AS k, unnest(x) AS x, generate_subscripts(x, 1) AS d FROM (
+                                SELECT x, list_transform(c, lambda m: list_sum(list_transform(list_zip(m, x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS f FROM it, v WHERE go)) GROUP BY k, d) n ON n.k = o.k) GROUP BY i, k) GROUP BY i)
+        SELECT vec_id, CAST(list_position(f, list_min(f)) - 1 AS INTEGER) AS "cluster" FROM (
+            SELECT vec_id, list_transform(c, lambda m: list_sum(list_transform(list_zip(m, x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS f FROM v, (SELECT c FROM it ORDER BY i DESC LIMIT 1))""",
     "provenance_paths": f"""WITH {_GRAPH} SELECT a.s AS doc, c.o AS model, d.o AS selection FROM graph a JOIN graph b ON b.s = a.o AND b.p = 'prov:wasGeneratedBy'
         JOIN graph c ON c.s = b.o AND c.p = 'prov:wasAssociatedWith' JOIN graph d ON d.s = a.s AND d.p = 'ex:closestReading' WHERE a.p = 'crm:P128_carries'""",
     "broader_terms": """WITH RECURSIVE e AS (SELECT p_partkey AS s, p_partkey // 3 AS o FROM part WHERE p_partkey > 0), up AS (SELECT s, o FROM e UNION SELECT up.s, e.o FROM up JOIN e ON e.s = up.o)

@@ -274,12 +274,16 @@ def preference_pairs(spark, d):
     return feedback.comparisons(_preference_events(spark, d), ["conv_id", "bucket"])
 
 
-def bradley_terry(spark, d):
+def _strengths(spark, d):
     return strengths.bradley_terry(feedback.comparisons(_preference_events(spark, d), ["bucket"]), ["bucket"])
 
 
+def bradley_terry(spark, d):
+    return _strengths(spark, d).select("bucket", "total", "sufficient", "model", *[F.round(c, 6).alias(c) for c in ("strength", "wins", "comparisons", "win_prob_vs_field")])
+
+
 def strength_priors(spark, d):
-    return strengths.prior_scores(bradley_terry(spark, d), ["bucket"])
+    return strengths.prior_scores(_strengths(spark, d), ["bucket"])
 
 
 def pseudonymise(spark, d):
@@ -438,7 +442,8 @@ def cosine_topk(spark, d):
 
 
 def kmeans_labels(spark, d):
-    return vectors.kmeans(table(spark, d, "embeddings"), 8)
+    """Starts from the rows with the smallest digests of their numbers."""
+    return vectors.kmeans(table(spark, d, "embeddings"), 8, draw=F.sha2(F.concat(F.lit("0:"), F.col("vec_id").cast("string")).cast("binary"), 256))
 
 
 # fusion

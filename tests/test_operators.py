@@ -38,6 +38,30 @@ def test_bradley_terry(spark):
     assert {r.model: r.prior_score for r in strengths.prior_scores(strengths.bradley_terry(df, ["bucket"]), ["bucket"]).collect()} == {"x": 0.15}
 
 
+def test_bradley_terry_over_rows_agrees_with_the_matrix(spark):
+    import random
+
+    limits = {"iterations": 6, "tolerance": 1e-3}  # both forms agree after any number of rounds; some buckets settle before
+    draw = random.Random(2)
+    rows = [(b, draw.choice("abcdefghij"), draw.choice("klmnaefg"), float(draw.randrange(1, 4)) / 2) for b in ("x", "y", None) for _ in range(60)]
+    rows = [r for r in rows if r[1] != r[2]] + [("settled", "a", "b", 5.0), ("settled", "b", "a", 5.0), ("thin", "a", "b", 1.0), ("small", "a", "b", 20.0), ("small", "b", "a", 1.0)]
+    df = spark.createDataFrame(rows, "bucket string, winner string, loser string, weight double")
+    value = lambda df: {(r.bucket, r.model): tuple(r)[1:] for r in df.collect()}
+    dense, mixed = value(strengths.bradley_terry(df, ["bucket"], **limits)), value(strengths.bradley_terry(df, ["bucket"], dense_models=1, **limits))
+    assert dense.keys() == mixed.keys()
+    for k, row in dense.items():
+        for a, b in zip(row, mixed[k]):
+            assert (a is None or a != a) == (b is None or b != b) and (not isinstance(a, float) or a != a or b == pytest.approx(a, abs=1e-7)), k
+
+
+def test_kmeans_leaves_out_what_is_no_vector(spark):
+    rows = [(i, [float(i % 2) * 10 + i * 0.01, 1.0]) for i in range(40)] + [(100, None), (101, [1.0]), (102, [None, 1.0]), (103, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.cluster for r in vectors.kmeans(df, 2).collect()}
+    assert set(got) == set(range(40)) and len({(i % 2, c) for i, c in got.items()}) == 2
+    assert vectors.kmeans(df.limit(0), 2).collect() == []
+
+
 def test_comparisons(spark):
     schema = "offered array<struct<engine:string,model_id:string>>, chosen array<string>, combined boolean, rejected boolean, k int"
     offered = [("kraken", "m1"), ("vlm", ""), ("trocr", "m2")]
