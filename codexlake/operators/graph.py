@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codexlake.functions import rules as R
 from codexlake.operators import paths
+from codexlake.sources.telemetry import observed
 
 #: Fixed terms of the vocabularies used.
 TYPE, LABEL, SAME_AS = "rdf:type", "rdfs:label", "owl:sameAs"
+MENTIONS = "schema:mentions"
 DOCUMENT, READING, RUN, MODEL, SELECTION = "crm:E31_Document", "crm:E33_Linguistic_Object", "prov:Activity", "prov:SoftwareAgent", "prov:Entity"
 
 
@@ -99,7 +101,7 @@ def entity_triples(entities: DataFrame, doc: str = "doc_id", local: tuple[str, .
     return union(
         *ids,
         triples(entities, iri, (TYPE, F.concat(F.lit("ex:"), F.col("type")), "iri"), (LABEL, F.col("name"), "literal"), *known),
-        triples(entities, document_iri(F.col(doc)), ("schema:mentions", iri, "iri")),
+        triples(entities, document_iri(F.col(doc)), (MENTIONS, iri, "iri")),
     )
 
 
@@ -127,16 +129,31 @@ def fusion_triples(decisions: DataFrame, doc: str = "doc_id") -> DataFrame:
     )
 
 
-def publication_scope(entities: DataFrame, flagged: Column, drop_persons: bool = False, need_authority: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(entities that may be published, withheld counts by reason)."""
+#: Why an entity isn't published, with a short name each.
+REASONS = {"flagged": "flagged document", "persons": "person", "without_authority": "person without authority"}
+
+
+def _marked(entities: DataFrame, flagged: Column, drop_persons: bool, need_authority: bool) -> DataFrame:
     has_id = F.greatest(*[F.length(F.coalesce(F.col(a).cast("string"), F.lit(""))) for a in R.AUTHORITIES]) > 0
     person = F.col("type") == "PERSON"
-    reason = F.when(flagged, "flagged document").when(person & F.lit(drop_persons), "person").when(person & ~has_id & F.lit(need_authority), "person without authority")
-    marked = entities.withColumn("_reason", reason)
+    reason = F.when(flagged, REASONS["flagged"]).when(person & F.lit(drop_persons), REASONS["persons"]).when(person & ~has_id & F.lit(need_authority), REASONS["without_authority"])
+    return entities.withColumn("_reason", reason)
+
+
+def publication_scope(entities: DataFrame, flagged: Column, drop_persons: bool = False, need_authority: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(entities that may be published, withheld counts by reason)."""
+    marked = _marked(entities, flagged, drop_persons, need_authority)
     kept = marked.where("_reason IS NULL").drop("_reason")
     return kept, marked.where("_reason IS NOT NULL").groupBy(F.col("_reason").alias("reason")).agg(F.count("*").alias("withheld"))
 
 
+def observed_scope(entities: DataFrame, flagged: Column, drop_persons: bool = False, need_authority: bool = True):
+    """(entities that may be published, Observation): the first action on them also counts all, kept, and withheld by the names of REASONS."""
+    counts = {name: F.count_if(F.col("_reason") == reason) for name, reason in REASONS.items()}
+    marked, seen = observed(_marked(entities, flagged, drop_persons, need_authority), all=F.count("*"), kept=F.count_if(F.col("_reason").isNull()), **counts)
+    return marked.where("_reason IS NULL").drop("_reason"), seen
+
+
 def graph_counts(graph: DataFrame) -> DataFrame:
     """Triples and distinct subjects per predicate and class; links by authority for owl:sameAs."""
     authority = F.when(F.lit(False), "")

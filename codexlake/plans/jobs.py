@@ -5,13 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codexlake.functions import json_text as J, text as T
-from codexlake.operators import corpus, entities, fusion, metrics, providers
+from codexlake.operators import corpus, entities, fusion, graph, metrics, providers
+from codexlake.sources import versions
 from codexlake.sources.scratch import written
 from codexlake.sources.sinks import same_content
+from codexlake.sources.telemetry import observed
 
 
 def read_with_retry(pages: DataFrame, engines: list[Callable[[dict], str]], columns: list[str], least: float = 0.75) -> tuple[DataFrame, DataFrame]:
@@ -81,12 +82,12 @@ def evaluate(fixtures: DataFrame, fold_abbreviations: bool = False) -> dict[str,
     }
 
 
-def release(lines: DataFrame, root: str, column: Column | None = None) -> bool:
+def release(lines: DataFrame, root: str, column: Column | None = None, about: dict | None = None) -> bool:
     """Write a build of lines below ``root`` and make it the current one; False if it says what the current one says.
 
-    An empty build is refused. Builds have folders of their own, and a
-    one-line file names the current one, so readers of the old build aren't
-    disturbed and a failed build leaves it in place.
+    An empty build is refused. Builds have folders of their own, and a version
+    file that is added names the current one and what is said ``about`` it, so
+    readers always find a whole build, the old one or the new one.
     """
     spark = lines.sparkSession
     path = f"builds/{uuid.uuid4().hex}"
@@ -94,19 +95,55 @@ def release(lines: DataFrame, root: str, column: Column | None = None) -> bool:
     new = spark.read.text(f"{root}/{path}")
     if new.isEmpty():
         raise ValueError("refusing to release an empty build")
+    number, _ = versions.newest(spark, root)
     old = released(spark, root)
     if old is not None and same_content(old, new):
+        versions.delete(spark, f"{root}/{path}")
         return False
-    spark.range(1).select(F.lit(path).alias("value")).coalesce(1).write.mode("overwrite").text(f"{root}/current")
+    versions.add(spark, root, number + 1, {"build": path, "about": about or {}})
     return True
 
 
 def released(spark: SparkSession, root: str) -> DataFrame | None:
     """The lines of the current build; None before the first."""
-    try:
-        name = spark.read.text(f"{root}/current").first()
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return spark.read.text(f"{root}/{name.value}") if name else None
+    build = versions.newest(spark, root)[1].get("build")
+    return spark.read.text(f"{root}/{build}") if build else None
+
+
+def release_notes(spark: SparkSession, root: str) -> dict:
+    """What was said about the current build; empty before the first."""
+    return versions.newest(spark, root)[1].get("about", {})
+
+
+def build_graph(docs: DataFrame, readings: DataFrame, selections: DataFrame, entities: DataFrame, flagged: DataFrame, root: str, drop_persons: bool = False, need_authority: bool = True) -> tuple[bool, dict]:
+    """(released, notes): the corpus graph within the publication scope, as sorted N-Triples below ``root``.
+
+    docs (doc_id), readings (doc_id, engine, model_id, ord), selections (doc_id,
+    chosen, combined, editor, ts), entities (doc_id, slug, name, type and
+    authorities), flagged (doc_id). Flagged documents are left out with all that
+    belongs to them; what is withheld is counted while the entities are
+    written. Notes: triples, documents, readings, mentions, and the counts by
+    reason; release_notes() reads them back.
+    """
+    shown = written(docs.join(flagged.select("doc_id").distinct(), "doc_id", "left_anti"), "docs")
+    within = lambda rows: rows.join(shown.select("doc_id"), "doc_id", "left_semi")
+    marked = entities.join(flagged.select("doc_id").distinct().withColumn("_f", F.lit(True)), "doc_id", "left")
+    kept, seen = graph.observed_scope(marked, F.coalesce("_f", F.lit(False)), drop_persons, need_authority)
+    kept = written(kept.drop("_f"), "entities")
+    withheld = {k: v for k, v in seen.get.items() if k in graph.REASONS}
+    made = graph.union(
+        graph.document_triples(shown),
+        graph.reading_triples(graph.readings_of(within(readings), "doc_id", "engine", "ord")),
+        graph.selection_triples(within(selections)),
+        graph.entity_triples(kept),
+    )
+    made, counted = observed(
+        made,
+        triples=F.count("*"),
+        documents=F.count_if((F.col("p") == graph.TYPE) & (F.col("o") == graph.DOCUMENT)),
+        readings=F.count_if((F.col("p") == graph.TYPE) & (F.col("o") == graph.READING)),
+        mentions=F.count_if(F.col("p") == graph.MENTIONS),
+    )
+    made = written(made, "graph")  # counts once; sorting would run what stands before it twice
+    notes = {**counted.get, **withheld}
+    return release(graph.n_triples(made), root, about=notes), notes

@@ -351,6 +351,14 @@ SQL |= {
                                 SELECT x, list_transform(c, lambda m: list_sum(list_transform(list_zip(m, x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS f FROM it, v WHERE go)) GROUP BY k, d) n ON n.k = o.k) GROUP BY i, k) GROUP BY i)
         SELECT vec_id, CAST(list_position(f, list_min(f)) - 1 AS INTEGER) AS "cluster" FROM (
             SELECT vec_id, list_transform(c, lambda m: list_sum(list_transform(list_zip(m, x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS f FROM v, (SELECT c FROM it ORDER BY i DESC LIMIT 1))""",
+    "scope_metrics": f"""WITH {_JUDGED}, r AS (SELECT CASE WHEN toxic = 1 THEN 'flagged' WHEN quality = 1 AND doc_id % 3 <> 0 THEN 'without_authority' ELSE 'kept' END AS m FROM judged)
+        SELECT metric, CASE metric WHEN 'all' THEN (SELECT count(*) FROM r) ELSE (SELECT count(*) FROM r WHERE m = metric) END AS value FROM (VALUES ('all'), ('kept'), ('flagged'), ('persons'), ('without_authority')) t(metric)""",
+    "released_graph": f"""WITH {_JUDGED}, shown AS (SELECT * FROM judged WHERE toxic <> 1), kept AS (SELECT DISTINCT doc_id, source, quality, doc_id % 3 = 0 AS known FROM shown WHERE NOT (quality = 1 AND doc_id % 3 <> 0)),
+        docs AS (SELECT DISTINCT doc_id, source, quality, lang FROM shown), runs AS (SELECT count(*) AS n FROM docs), models AS (SELECT count(DISTINCT source) AS n FROM docs),
+        picked AS (SELECT count(*) AS n FROM docs WHERE quality = 1), slugs AS (SELECT count(DISTINCT (source, quality)) AS n, count(DISTINCT (source, quality)) FILTER (WHERE known) AS linked FROM kept), mentioned AS (SELECT count(DISTINCT (doc_id, source, quality)) AS n FROM kept)
+        SELECT what, CAST(CASE what WHEN 'documents' THEN (SELECT n FROM runs) WHEN 'readings' THEN (SELECT n FROM runs) WHEN 'mentions' THEN (SELECT n FROM mentioned)
+            WHEN 'triples' THEN (SELECT 7 * runs.n + 2 * models.n + 5 * picked.n + 2 * slugs.n + linked + mentioned.n FROM runs, models, picked, slugs, mentioned) WHEN 'flagged' THEN (SELECT count(*) FROM judged WHERE toxic = 1) WHEN 'without_authority' THEN (SELECT count(*) FROM judged WHERE toxic <> 1 AND quality = 1 AND doc_id % 3 <> 0) ELSE 0 END AS BIGINT) AS n
+        FROM (VALUES ('documents'), ('readings'), ('mentions'), ('triples'), ('flagged'), ('persons'), ('without_authority')) t(what)""",
     "provenance_paths": f"""WITH {_GRAPH} SELECT a.s AS doc, c.o AS model, d.o AS selection FROM graph a JOIN graph b ON b.s = a.o AND b.p = 'prov:wasGeneratedBy'
         JOIN graph c ON c.s = b.o AND c.p = 'prov:wasAssociatedWith' JOIN graph d ON d.s = a.s AND d.p = 'ex:closestReading' WHERE a.p = 'crm:P128_carries'""",
     "broader_terms": """WITH RECURSIVE e AS (SELECT p_partkey AS s, p_partkey // 3 AS o FROM part WHERE p_partkey > 0), up AS (SELECT s, o FROM e UNION SELECT up.s, e.o FROM up JOIN e ON e.s = up.o)

@@ -16,7 +16,7 @@ from codexlake.operators import corpus, entities, feedback, fusion, graph, hub,
 from codexlake.operators.components import connected_components
 from codexlake.plans import incremental, jobs
 from codexlake.sources.parallel import spread_small
-from codexlake.sources.scratch import new_path
+from codexlake.sources.scratch import new_path, written
 from codexlake.streaming import state
 
 SALT = "stand-in salt"
@@ -574,6 +574,25 @@ def publication_scope(spark, d):
     return graph.publication_scope(j, F.col("toxic") == 1)[1]
 
 
+def scope_metrics(spark, d):
+    """What the scope withholds, counted while the entities that stay are written."""
+    j = _judged(spark, d).select("doc_id", F.when(F.col("quality") == 1, "PERSON").otherwise("PLACE").alias("type"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("gnd"), F.lit("").alias("hls"), F.lit("").alias("wikidata"), "toxic")
+    kept, seen = graph.observed_scope(j, F.col("toxic") == 1)
+    written(kept, "kept")
+    return spark.createDataFrame(list(seen.get.items()), "metric string, value long")
+
+
+def released_graph(spark, d):
+    """The judged documents' graph as it is released: toxic documents are flagged, the others' sources are persons and places."""
+    j = _judged(spark, d)
+    e = j.select("doc_id", F.concat_ws("-", "source", "quality").alias("slug"), F.col("source").alias("name"), F.when(F.col("quality") == 1, "PERSON").otherwise("PLACE").alias("type"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("gnd"), F.lit(None).cast("string").alias("hls"), F.lit(None).cast("string").alias("wikidata"))
+    readings = j.select("doc_id", F.col("source").alias("engine"), F.concat(F.lit("model-"), "source").alias("model_id"), F.col("doc_id").alias("ord"))
+    picked = j.where("quality = 1").select("doc_id", F.array("source").alias("chosen"), F.lit(False).alias("combined"), F.col("lang").alias("editor"), F.lit("2024-01-01").alias("ts"))
+    root = new_path(spark, "release")
+    jobs.build_graph(j.select("doc_id"), readings, picked, e, j.where("toxic = 1").select("doc_id"), root)
+    return spark.createDataFrame(sorted(jobs.release_notes(spark, root).items()), "what string, n long")
+
+
 # state
 
 
@@ -621,7 +640,7 @@ def _all() -> dict:
     years_and_centuries spelled_centuries described_criteria tolerant_json pairwise_cer max_pairwise_cer max_symmetric_cer gate_blocked cer_best_engine cer_engine_means page_quality edit_distances word_error_rates token_offsets votes_latest votes_tally votes_winner
     override_rates selection_agreement coverage_rollup regret_percentiles text_regret fusion_gain routing_prior model_winrates path_preferences preference_pairs bradley_terry strength_priors pseudonymise
     model_topk routing_gate engine_plan ranked_candidates entity_index entity_register entity_lookup entity_by_gnd entity_by_name_type dump_search review_list review_items similar_names vocabulary_match link_cascade resolve_edges resolve_components resolve_merged
-    cosine_topk kmeans_labels fuse_votes disagreement_spans reconciled_pairs both_passes stacked_lines page_documents hub_summary hub_graph fusion_decisions entity_identifiers working_readings triples triple_counts provenance_bgp provenance_paths broader_terms publication_scope stage_states stage_outcomes pinned_criteria new_orders streaming_replay"""
+    cosine_topk kmeans_labels fuse_votes disagreement_spans reconciled_pairs both_passes stacked_lines page_documents hub_summary hub_graph fusion_decisions entity_identifiers working_readings triples triple_counts provenance_bgp provenance_paths broader_terms publication_scope scope_metrics released_graph stage_states stage_outcomes pinned_criteria new_orders streaming_replay"""
     return reduce(lambda out, n: out | {n: globals()[n]}, names.split(), {})
 
 

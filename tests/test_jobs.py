@@ -59,3 +59,48 @@ def test_release(spark, tmp_path):
         jobs.release(lines.limit(0), str(tmp_path))
     assert jobs.release(lines.withColumn("value", F.upper("value")), str(tmp_path))
     assert sorted(r.value for r in jobs.released(spark, str(tmp_path)).collect()) == ["A", "B"]
+
+
+def test_release_is_never_half_there(spark, tmp_path):
+    root = str(tmp_path)
+    jobs.release(spark.createDataFrame([("a",)], "value string"), root, about={"n": 1})
+    assert jobs.release_notes(spark, root) == {"n": 1}
+    (tmp_path / "_versions" / "000000000002").write_text("")  # a writer that died
+    assert [r.value for r in jobs.released(spark, root).collect()] == ["a"] and jobs.release_notes(spark, root) == {"n": 1}
+
+
+def test_scope_is_counted_in_passing(spark, tmp_path):
+    from codexlake.operators import graph
+    from codexlake.sources import telemetry
+
+    rows = [("d1", "PERSON", "g1", False), ("d1", "PERSON", None, False), ("d2", "PLACE", None, True), ("d3", "PLACE", "", False)]
+    e = spark.createDataFrame(rows, "doc_id string, type string, gnd string, f boolean").withColumns({"hls": F.lit(""), "wikidata": F.lit(None).cast("string")})
+    kept, seen = graph.observed_scope(e, F.col("f"))
+    assert kept.count() == 2
+    assert seen.get == {"all": 4, "kept": 2, "flagged": 1, "persons": 0, "without_authority": 1}
+    assert {r.reason: r.withheld for r in graph.publication_scope(e, F.col("f"))[1].collect()} == {"flagged document": 1, "person without authority": 1}
+
+    log = str(tmp_path / "runs")
+    with telemetry.recorded(spark, log, "d1", "C") as run:
+        run["tokens"] = 7
+    with pytest.raises(ValueError), telemetry.recorded(spark, log, "d2", "C"):
+        raise ValueError("no text")
+    assert {(r.doc_id, r.agent, r.tokens, r.error) for r in spark.read.parquet(log).collect()} == {("d1", "C", 7, None), ("d2", "C", None, "no text")}
+
+    metrics = telemetry.BatchMetrics(spark, str(tmp_path / "batches"))
+    spark.streams.addListener(metrics)
+    try:
+        e.coalesce(1).write.json(str(tmp_path / "in"))
+        stream = spark.readStream.schema(e.schema).json(str(tmp_path / "in")).observe("scope", F.count_if("f").alias("flagged"))
+        q = stream.writeStream.format("noop").queryName("watched").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        for _ in range(50):
+            if metrics._rows:
+                break
+            import time
+
+            time.sleep(0.2)
+        got = {(r.stream, r.metric): r.value for r in metrics.rows().where("metric <> 'seconds' AND batch = 0").collect()}
+        assert got == {("watched", "input_rows"): 4.0, ("watched", "scope.flagged"): 1.0}
+    finally:
+        spark.streams.removeListener(metrics)
