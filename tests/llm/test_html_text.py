@@ -42,6 +42,40 @@ def test_shapes(html, text):
     assert op.extract(html) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<article><h2 id='Social_history'>History</h2><section class='discussion'><p>Own</p></section><p class='notice'>Note</p><div class='share-price'>12</div></article>", "History\nOwn\nNote\n12"),
+        ("<h2 id='comments'>On comments</h2><div class='share-price'>12</div><p>a</p>", "On comments\n12\na"),
+        ("<p>a <label>name</label> b</p><form><label>no</label></form>", "a name b"),
+        ("<p>a<svg/>b</p><p>c<math />d</p>", "ab\ncd"),
+        ("<p>a<svg><g><svg><text>x</text></svg><text>y</text></g></svg>b</p>", "ab"),
+        ("<p>a<script>if (1 < 2) '<script>'</script>b</p>", "ab"),
+        ("<p>a<svg><path/>never closed", "a"),
+        ("<article><p>a</p><div class='comments'><p>no</p></div><div class='ad-container'>no</div><footer>no</footer></article>", "a"),
+        ("<body><div class='cookie-bar'>no</div><div class='site-footer'>no</div><div id='navBar'>no</div><p>yes</p></body>", "yes"),
+    ],
+)
+def test_names_and_foreign_elements(spark, html, text):
+    assert op.extract(html) == text
+    assert op.main_text(frame(spark, [(1, "http://h.example/", html)])).first().text == text
+
+
+def test_entropy_decides_what_names_only_hint_at(spark):
+    """Inside the article, hinting names are drawn at random over blocks that all pages share and blocks of the page's own."""
+    rng = random.Random(6)
+    names = ["notice", "discussion", "share", "banner", "x7", "q2"]
+    for _ in range(3):
+        shared, own = rng.sample(names, 3), rng.sample(names, 3)
+        page = lambda i: "".join(f"<div class='{n}'>All the same {n}</div>" for n in shared) + "".join(f"<div class='{n} w{k}'>Own {n} of {i}</div>" for k, n in enumerate(own))
+        pages = frame(spark, [(i, f"http://h.example/{i}", f"<body><article><p>Text {i}</p>{page(i)}</article></body>") for i in range(30)])
+        kept = [n for n in shared if n in ("x7", "q2")]  # 30 pages don't tell a shared block without a hint from a common heading
+        want = [(i, "\n".join([f"Text {i}", *(f"All the same {n}" for n in kept), *(f"Own {n} of {i}" for n in own)])) for i in range(30)]
+        assert rows_of(op.main_text(pages), "page_id", "text") == sorted(want, key=repr)
+        found = {(r.told, r.in_article): (r.low, r.by_entropy) for r in op.decisions(op.node_importance(pages)).collect()}
+        assert found[op.HINTED, True][0] == 3 - len(kept) and found.get((op.PLAIN, True), (0, 0))[0] == 0
+
+
 @given(st.text(alphabet="<>/pabdiv nav=\"'!-&;article", max_size=80))
 def test_never_fails(html):
     op.extract(html)
