@@ -37,12 +37,10 @@ def _laid_beside(pivot: pd.Series, other: pd.Series, with_inserts: pd.Series) ->
     return pd.Series(out)
 
 
-def align(readings: DataFrame, page: list[str], label: str, order: str, text: str = "text", with_inserts: bool = True) -> DataFrame:
-    """page, idx, token, chars_start, readings (label -> token) per place of the longest reading (the first of equals).
+def _places(readings: DataFrame, page: list[str], label: str, order: str, text: str, with_inserts: bool) -> DataFrame:
+    """page, _label, _order, _own, idx, token: what each usable reading has at each place of the longest one, which is ``_own``.
 
-    Each other reading is laid beside the longest one on its own; a place's
-    readings meet by grouping, the longest one's first, then in order. Of
-    several readings with one label the first counts.
+    Partitioned by page, so what groups by page and place needs no shuffle.
     """
     r = spread(M.usable(readings, text).select(*page, F.col(label).cast("string").alias("_label"), F.col(order).alias("_order"), F.col(text).alias("_text")), *page)
     r = r.groupBy(*page, "_label").agg(F.min("_order").alias("_order"), F.min_by("_text", "_order").alias("_text"))
@@ -50,12 +48,35 @@ def align(readings: DataFrame, page: list[str], label: str, order: str, text: st
     longest = r.groupBy(*page).agg(F.min_by(F.struct("_label", "_order", "_text"), F.struct(-n_words, "_order")).alias("_p"))
     both = r.join(longest, page).withColumn("_own", F.col("_order") == F.col("_p._order"))
     beside = both.select(*page, "_label", "_order", "_own", F.pandas_udf(_laid_beside, "array<string>")("_p._text", "_text", F.lit(with_inserts)).alias("_t"))
-    places = beside.select(*page, "_label", "_order", "_own", F.posexplode("_t").alias("idx", "token"))
+    return beside.select(*page, "_label", "_order", "_own", F.posexplode("_t").alias("idx", "token"))
+
+
+def align(readings: DataFrame, page: list[str], label: str, order: str, text: str = "text", with_inserts: bool = True) -> DataFrame:
+    """page, idx, token, chars_start, readings (label -> token) per place of the longest reading (the first of equals).
+
+    Each other reading is laid beside the longest one on its own; a place's
+    readings meet by grouping, the longest one's first, then in order. Of
+    several readings with one label the first counts.
+    """
+    places = _places(readings, page, label, order, text, with_inserts)
     met = F.array_sort(F.collect_list(F.struct((~F.col("_own")).alias("later"), F.col("_order").alias("o"), F.col("_label").alias("l"), F.col("token").alias("t"))))
     columns = places.groupBy(*page, "idx").agg(F.map_from_entries(F.transform(met, lambda x: F.struct(x["l"], x["t"]))).alias("readings"), F.max(F.when(F.col("_own"), F.col("token"))).alias("token"))
     return M.char_offsets(columns, page, "idx", "token").select(*page, "idx", "token", "chars_start", "readings")
 
 
+def voted_words(readings: DataFrame, page: list[str], label: str, order: str, text: str = "text") -> DataFrame:
+    """page, voted, contested: what vote() chooses at all places of align(), as a text, and how many places have no majority.
+
+    Words are counted per place before anything is collected, so a page may
+    have any number of readings; a group holds the words of one text.
+    """
+    places = _places(readings, page, label, order, text, True)
+    counted = places.groupBy(*page, "idx", "token").agg(F.count("*").alias("n"), F.min(F.struct(~F.col("_own"), "_order")).alias("first"))
+    chosen = counted.groupBy(*page, "idx").agg(F.min_by("token", F.struct(-F.col("n"), "first")).alias("choice"), (2 * F.max("n") <= F.sum("n")).alias("contested"))
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("choice") != "", F.struct("idx", "choice")))), lambda x: x["choice"]), " ")
+    return chosen.groupBy(*page).agg(words.alias("voted"), F.count_if("contested").alias("contested"))
+
+
 def vote(columns: DataFrame) -> DataFrame:
     """token chosen, n_backers, n_present, contested: a strict majority of the readings present wins.
 
@@ -106,9 +127,7 @@ def fuse(readings: DataFrame, page: list[str], label: str, order: str, text: str
     best = r.groupBy(*page).agg(F.count("*").alias("n_candidates"), F.max_by(text, F.struct(conf, -F.col(order))).alias("best"))
     worst = M.max_cer(M.pairwise_cer(readings, page, order, text), page).select(*page, "max_cer")
     pages = best.join(worst, page, "left").withColumn("strategy", F.when(F.col("n_candidates") == 1, "single").when(F.col("max_cer") > no_merge_cer, "no-merge").otherwise("vote"))
-    voted = vote(align(r.join(pages.where("strategy = 'vote'").select(*page), page, "left_semi"), page, label, order, text))
-    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "choice"))), lambda x: F.when(x["choice"] != "", x["choice"])), " ")
-    fused = voted.groupBy(*page).agg(words.alias("voted"), F.count_if("contested").alias("contested"))
+    fused = voted_words(r.join(pages.where("strategy = 'vote'").select(*page), page, "left_semi"), page, label, order, text)
     return pages.join(fused, page, "left").select(*page, "n_candidates", "strategy", F.coalesce("voted", "best").alias("fused"), F.coalesce("contested", F.lit(0)).alias("contested"), "max_cer")
 
 
@@ -119,18 +138,17 @@ def disagreements(readings: DataFrame, page: list[str], label: str, order: str,
 
 
 def _merge_lines(first: pd.Series, second: pd.Series) -> pd.DataFrame:
+    """The first text, with the lines that only the second has more of between two runs of equal lines, after a mark with their number."""
     rows = []
     for a, b in zip(first, second):
-        x, y = (a or "").split("\n"), (b or "").split("\n")
+        own, other = (a or "").split("\n"), (b or "").split("\n")
         out: list[str] = []
-        equal = 0
-        for kind, lo, hi, at, to in difflib.SequenceMatcher(None, x, y).get_opcodes():
-            out += x[lo:hi]
-            equal += (hi - lo) * (kind == "equal")
-            if kind in ("insert", "replace") and to - at > (hi - lo) * (kind == "replace"):
-                out.append(f"[+{to - at - (hi - lo) * (kind == 'replace')}]")
-                out += y[at + (hi - lo) * (kind == "replace") : to]
-        rows.append({"merged": "\n".join(out), "agreement": equal / max(len(x), 1), "equal_lines": equal})
+        equal = done = seen = 0
+        for run in difflib.SequenceMatcher(None, own, other).get_matching_blocks():
+            surplus = other[seen + run.a - done : run.b]
+            out += own[done : run.a] + ([f"[+{len(surplus)}]", *surplus] if surplus else []) + own[run.a : run.a + run.size]
+            equal, done, seen = equal + run.size, run.a + run.size, run.b + run.size
+        rows.append({"merged": "\n".join(out), "agreement": equal / max(len(own), 1), "equal_lines": equal})
     return pd.DataFrame(rows)
 
 
