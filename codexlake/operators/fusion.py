@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codexlake.operators import metrics as M
 from codexlake.sources.parallel import spread
+from codexlake.sources.scratch import written
 
 
 _MERGED = "struct<merged:string,agreement:double,equal_lines:int>"
@@ -48,7 +49,8 @@ def _places(readings: DataFrame, page: list[str], label: str, order: str, text:
     longest = r.groupBy(*page).agg(F.min_by(F.struct("_label", "_order", "_text"), F.struct(-n_words, "_order")).alias("_p"))
     both = r.join(longest, page).withColumn("_own", F.col("_order") == F.col("_p._order"))
     beside = both.select(*page, "_label", "_order", "_own", F.pandas_udf(_laid_beside, "array<string>")("_p._text", "_text", F.lit(with_inserts)).alias("_t"))
-    return beside.select(*page, "_label", "_order", "_own", F.posexplode("_t").alias("idx", "token"))
+    # outer: else a filter on the array's size is inferred, which lays the readings beside each other a second time
+    return beside.select(*page, "_label", "_order", "_own", F.posexplode_outer("_t").alias("idx", "token")).where("idx IS NOT NULL")
 
 
 def align(readings: DataFrame, page: list[str], label: str, order: str, text: str = "text", with_inserts: bool = True) -> DataFrame:
@@ -127,6 +129,7 @@ def fuse(readings: DataFrame, page: list[str], label: str, order: str, text: str
     best = r.groupBy(*page).agg(F.count("*").alias("n_candidates"), F.max_by(text, F.struct(conf, -F.col(order))).alias("best"))
     worst = M.max_cer(M.pairwise_cer(readings, page, order, text), page).select(*page, "max_cer")
     pages = best.join(worst, page, "left").withColumn("strategy", F.when(F.col("n_candidates") == 1, "single").when(F.col("max_cer") > no_merge_cer, "no-merge").otherwise("vote"))
+    pages = written(pages, "pages")  # what follows names it twice, and the error rates are the dear part
     fused = voted_words(r.join(pages.where("strategy = 'vote'").select(*page), page, "left_semi"), page, label, order, text)
     return pages.join(fused, page, "left").select(*page, "n_candidates", "strategy", F.coalesce("voted", "best").alias("fused"), F.coalesce("contested", F.lit(0)).alias("contested"), "max_cer")
 
