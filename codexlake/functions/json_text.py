@@ -78,6 +78,28 @@ def missing_elements(description: Column, names: list[str]) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(F.trim(element(description, n)), F.lit("")) == "", F.lit(n)) for n in names]))
 
 
+def care_flag(text: Column) -> Column:
+    """is_care_related, care_context, care_types, beteiligte of a model's answer; what is missing, of another kind or unreadable is false or empty."""
+
+    def typed(v: Column) -> Column:
+        get = lambda k, kind: F.try_variant_get(v, f"$.{k}", kind)
+        names = lambda k: F.coalesce(F.array_compact(get(k, "array<string>")), F.array().cast("array<string>")).alias(k)
+        return F.struct(
+            F.coalesce(get("is_care_related", "boolean"), F.lit(False)).alias("is_care_related"),
+            F.coalesce(get("care_context", "string"), F.lit("")).alias("care_context"),
+            names("care_types"),
+            names("beteiligte"),
+        )
+
+    return T.let(tolerant(text), typed)
+
+
+def both_ends(text: Column, size: int = 2000) -> Column:
+    """A text, or its first and last ``size`` characters around a mark if it is longer than both."""
+    cut = F.concat(F.substring(text, 1, size), F.lit("\n\n[...]\n\n"), F.substring(text, -size, size))
+    return F.when(F.length(text) > 2 * size, cut).otherwise(text)
+
+
 def choice(text: Column, key: str, allowed: list[str]) -> Column:
     """A field of a model's answer, if it is one of the allowed values."""
     value = F.lower(F.trim(F.try_variant_get(tolerant(text), f"$.{key}", "string")))

@@ -34,6 +34,16 @@ def fold(text: pd.Series) -> pd.Series:
     return text.map(one, na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def fold_marks(text: pd.Series) -> pd.Series:
+    """As search fields are folded: canonical decomposition without the combining diacritical marks, lower case; ligatures and the like stay."""
+
+    def one(s):
+        return s.lower() if s.isascii() else "".join(c for c in unicodedata.normalize("NFD", s) if not "\u0300" <= c <= "\u036f").lower()
+
+    return text.map(one, na_action="ignore")
+
+
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """f of a value that is computed once, however often f names it: long CASE chains neither repeat it nor grow with it."""
     return F.get(F.transform(F.array(value), f), F.lit(0))

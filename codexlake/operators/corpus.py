@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codexlake.functions import text as T
+from codexlake.functions import json_text as J, text as T
 
 #: Fixed list: German function words and formula words left out of term lists.
 STOPWORDS = tuple(
@@ -70,6 +70,26 @@ def search_index(docs: DataFrame, doc: str = "doc_id", text: str = "text", snipp
     return docs.select(doc, F.substring(F.coalesce(F.col(text), F.lit("")), 1, snippet).alias("snippet"), *[c.alias(n) for n, c in columns.items()])
 
 
+def search_records(docs: DataFrame, limit: int = 300) -> DataFrame:
+    """Records of the search page, one per document: doc_id, date, lang, script, entities, snippet, url.
+
+    docs: doc_id, description (VARIANT of elements), transcription, entities
+    (array of text, normalised). Elements are taken as they are written, plain
+    or wrapped; what is missing or null is empty. A snippet is the text with its
+    white space collapsed, cut after ``limit`` characters with an ellipsis.
+    """
+    get = lambda k: F.coalesce(J.element(F.col("description"), J.ELEMENTS[k]), F.lit("")).alias(k)
+    cut = lambda s: F.when(F.length(s) > limit, F.concat(F.substring(s, 1, limit), F.lit("…"))).otherwise(s)
+    snippet = T.let(T.collapse(F.coalesce("transcription", F.lit(""))), cut).alias("snippet")
+    return docs.select("doc_id", get("date"), get("lang"), get("script"), entity_names(F.col("entities")).alias("entities"), snippet, F.concat(F.col("doc_id").cast("string"), F.lit("/")).alias("url"))
+
+
+def index_lines(records: DataFrame) -> DataFrame:
+    """doc_id, line: the rows of the search page's table."""
+    cell = F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("]("), "url", F.lit(")"))
+    return records.select("doc_id", F.concat(F.lit("| "), F.concat_ws(" | ", cell, "date", "lang", "script", F.size("entities").cast("string")), F.lit(" |")).alias("line"))
+
+
 def entity_names(entities: Column) -> Column:
     """Distinct names of a document's entities (text, normalised) in order: the normalised form, else the text."""
     filled = lambda c: F.nullif(T.strip(c), F.lit(""))
@@ -79,7 +99,7 @@ def entity_names(entities: Column) -> Column:
 
 def catalogue_search(index: DataFrame, query: str, fields: list[str]) -> DataFrame:
     """Rows in which every folded term of the query is found inside the folded fields; an empty query finds all."""
-    hay = T.fold(F.concat_ws(" ", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]))
+    hay = T.fold_marks(F.concat_ws(" ", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]))
     marked = index.withColumn("_hay", hay)
-    wanted = T.fold(F.lit(query))
+    wanted = T.fold_marks(F.lit(query))
     return marked.where(F.forall(F.filter(F.split(wanted, r"\s+"), lambda t: t != ""), lambda t: F.contains(F.col("_hay"), t))).drop("_hay")

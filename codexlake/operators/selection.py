@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from codexlake.functions import rules as R
+from codexlake.functions import rules as R, text as T
 
 SCRIPT_EXACT, SCRIPT_FUZZY, SCRIPT_MISMATCH = 0.6, 0.3, -0.35
 SCORE_BLOCK, TOP2_GAP = 0.4, 0.15
@@ -65,6 +65,48 @@ def rank_models(criteria: DataFrame, models: DataFrame, key: list[str], top_k: i
     return c.alias("c").join(best.alias("b"), on).select(*[f"c.{k}" for k in key], "b.rank", "b.model_id", "b.score")
 
 
+def rank_line_models(criteria: DataFrame, models: DataFrame, key: list[str], top_k: int = 3, require_above: float = 0.0) -> DataFrame:
+    """The same for line-level models (model_id, lang, task, name, notes, ordinal): those for lines, by language and century."""
+    if models.count() > 10_000:
+        raise ValueError("the model registry is too large to be a registry")
+    c = criteria.select(*key, R.normalise_lang(F.col("lang")).alias("lang"), F.col("century").cast("int").alias("century"))
+    lines = models.where(F.col("task").isin("line-ocr", "htr")).select("model_id", "ordinal", F.col("lang").alias("m_lang"), "task", "name", F.coalesce("notes", F.lit("")).alias("notes"))
+    every = F.broadcast(lines.agg(F.collect_list(F.struct("*")).alias("m")).withColumn("one", F.lit(1)))
+    pairs = c.select("lang", "century").distinct().withColumn("one", F.lit(1)).join(every, "one").withColumn("m", F.explode("m")).select("lang", "century", "m.*")
+    score = F.round(line_model_score(*map(F.col, ("lang", "century", "m_lang", "task", "name", "notes"))), 9)
+    w = Window.partitionBy("lang", "century").orderBy(F.desc("score"), "ordinal")
+    best = pairs.withColumn("score", score).where(F.col("score") >= require_above).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
+    b = best.select("lang", "century", "rank", "model_id", "score").alias("b")
+    on = F.col("c.lang").eqNullSafe(F.col("b.lang")) & F.col("c.century").eqNullSafe(F.col("b.century"))
+    return c.alias("c").join(b, on).select(*[f"c.{k}" for k in key], "b.rank", "b.model_id", "b.score")
+
+
+#: How many models a request to an engine gets.
+TOP_K = {"kraken": 3, "trocr": 3, "party": 1}
+
+
+def select_best(requests: DataFrame, key: list[str], models: DataFrame, line_models: DataFrame, party: str, top_k: dict[str, int] = TOP_K, require_above: float = 0.0) -> DataFrame:
+    """key, rank, model_id, score of the models for each request (key, engine, script, lang, century, document_type).
+
+    ``kraken`` takes from the page models, ``trocr`` from the line models,
+    ``party`` the first page model whose id holds that number; other engines
+    have no models.
+    """
+    single = models.where(F.contains("model_id", F.lit(party))).orderBy("ordinal").limit(1)
+    of = lambda engine: requests.where(F.col("engine") == engine)
+    out = rank_models(of("kraken"), models, key, top_k["kraken"], require_above)
+    out = out.unionByName(rank_models(of("party"), single, key, top_k["party"], require_above))
+    return out.unionByName(rank_line_models(of("trocr"), line_models, key, top_k["trocr"], require_above))
+
+
+def eligible_pairs(pages: DataFrame, key: list[str], readings: str, picks: str) -> DataFrame:
+    """key, pos, reading, pick: readings (array of structs with text and error) with the pick at the same place, as far as both go; blank and failed ones are left out."""
+    n = F.least(F.size(readings), F.size(picks))
+    zipped = F.slice(F.arrays_zip(F.col(readings).alias("reading"), F.col(picks).alias("pick")), 1, n)
+    rows = pages.where(n > 0).select(*key, F.posexplode(zipped).alias("pos", "z")).select(*key, "pos", "z.reading", "z.pick")
+    return rows.where((T.collapse(F.coalesce(F.col("reading.text"), F.lit(""))) != "") & (F.coalesce(F.col("reading.error"), F.lit("")) == ""))
+
+
 def top2_gap(ranked: DataFrame, key: list[str]) -> DataFrame:
     """key, top, gap: the best score and its lead (1 if nothing follows)."""
     w = Window.partitionBy(*key).orderBy("rank")

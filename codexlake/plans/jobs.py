@@ -65,6 +65,54 @@ def extract_entities(docs: DataFrame, extract: Callable[[dict], str], size: int
     return found, answers.where("error IS NOT NULL").select("doc_id", "nth", "error")
 
 
+#: Elements of a source description, in order.
+ELEMENTS = tuple(J.ELEMENTS.values())
+
+
+def describe(docs: DataFrame, describe_text: Callable[[dict], str], describe_image: Callable[[dict], str], care: Callable[[dict], str], elements: tuple[str, ...] = ELEMENTS) -> DataFrame:
+    """doc_id, description (VARIANT), missing, care (struct), low_confidence, errors: one row per document (doc_id, text, image).
+
+    A text that is degenerate or missing is never described from itself: its
+    image is, if it has one, and else the description is empty and no model is
+    asked. Such rows are of low confidence. Models see both ends of long texts
+    (column ``text``); their answers are read tolerantly, and a failed call or
+    unreadable answer gives an empty description or care flag.
+    """
+    flagged = docs.select("doc_id", "text", "image", (T.is_degenerate(F.coalesce("text", F.lit(""))) | (F.trim(F.coalesce("text", F.lit(""))) == "")).alias("low"))
+    flagged = written(flagged.select("doc_id", J.both_ends(F.col("text")).alias("text"), "image", "low"), "to-describe")
+    readable, pictured = flagged.where("NOT low"), flagged.where("low AND coalesce(image, '') <> ''")
+    told = providers.call(readable, describe_text, ["doc_id", "text"]).select("doc_id", "answer", "error")
+    seen = providers.call(pictured, describe_image, ["doc_id", "image"]).select("doc_id", "answer", "error")
+    about = written(told.unionByName(seen), "described")
+    flags = written(providers.call(readable, care, ["doc_id", "text"]).select("doc_id", F.col("answer").alias("flag"), F.col("error").alias("care_error")), "care")
+    rows = flagged.join(about, "doc_id", "left").join(flags, "doc_id", "left").withColumn("description", F.coalesce(J.tolerant(F.col("answer")), F.parse_json(F.lit("{}"))))
+    return rows.select("doc_id", "description", J.missing_elements(F.col("description"), list(elements)).alias("missing"), J.care_flag(F.coalesce("flag", F.lit(""))).alias("care"), F.col("low").alias("low_confidence"), F.array_compact(F.array("error", "care_error")).alias("errors"))
+
+
+def analyse_corpus(docs: DataFrame, name: str, ask: dict[str, Callable[[dict], str]], size: int = 30_000) -> dict[str, DataFrame]:
+    """Reports on a corpus (doc_id, text): totals, stats, and one of each kind that ``ask`` has a model for.
+
+    Every chunk of every text goes to each model. An answer is an object with
+    ``items`` (an array of texts) and ``fields`` (texts by name); a kind's
+    report has kind, items (distinct, in order of document and chunk) and
+    fields (the last answer's value of a name counts), and the number of chunks
+    that failed. Blank texts are left out; without any the reports are empty.
+    """
+    known = docs.where("trim(coalesce(text, '')) <> ''").select("doc_id", "text")
+    chunks = written(corpus.explode_chunks(known, size, 0), "chunks")
+    totals = known.agg(F.count("*").alias("doc_count"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("total_chars")).where("doc_count > 0").select(F.lit(name).alias("corpus_name"), "doc_count", "total_chars")
+    reports = {"totals": totals, "stats": corpus.corpus_stats(known)}
+    for kind, model in ask.items():
+        answers = written(providers.call(chunks, model, ["doc_id", "nth", "chunk"]), "asked").withColumn("v", J.tolerant(F.col("answer")))
+        at = F.struct("doc_id", "nth")
+        items = answers.select(at.alias("at"), F.posexplode(F.try_variant_get("v", "$.items", "array<string>")).alias("pos", "item")).where("item IS NOT NULL")
+        first = items.groupBy("item").agg(F.min(F.struct("at", "pos")).alias("first"))
+        fields = answers.select(at.alias("at"), F.explode(F.try_variant_get("v", "$.fields", "map<string,string>")).alias("name", "value")).groupBy("name").agg(F.max_by("value", "at").alias("value"))
+        failed = answers.agg(F.count_if(F.col("v").isNull()).alias("failed"))
+        reports[kind] = {"items": first.select("item", "first").orderBy("first").select("item"), "fields": fields, "failed": failed}
+    return reports
+
+
 def evaluate(fixtures: DataFrame, fold_abbreviations: bool = False) -> dict[str, DataFrame]:
     """Reports on fixtures (doc_id, reference, recognitions: engine -> text, fused): cers, best, engines, gain.
 

@@ -337,6 +337,17 @@ _STRENGTHS = f"""RECURSIVE {_OFFERED},
         FROM totals t LEFT JOIN strengths x ON x.bucket = t.bucket AND total >= 10)"""
 
 SQL |= {
+    "engine_models": f"""WITH {_RANKED}, lines AS (SELECT 'l' || s_suppkey AS model_id, s_suppkey AS ordinal, ['de', 'mul', 'fr'][1 + s_suppkey % 3] AS m_lang, ['htr', 'layout', 'line-ocr', 'htr'][1 + s_suppkey % 4] AS task, lower(s_name) || ' of century ' || (s_suppkey % 6 + 12) AS about FROM supplier),
+        l AS (SELECT doc_id, model_id, CASE WHEN c.lang = m_lang THEN 0.6 WHEN m_lang = 'mul' AND c.lang <> '' THEN 0.3 ELSE 0 END + 0.2 + CASE WHEN contains(about, CAST(century AS VARCHAR)) THEN 0.2 ELSE 0 END AS score, ordinal FROM criteria c, lines WHERE task <> 'layout' AND doc_id % 4 = 1),
+        party AS (SELECT arg_min(model_id, ordinal) AS model_id FROM models WHERE contains(model_id, 'm1'))
+        SELECT doc_id, CAST(rank AS INTEGER) AS rank, model_id, round(score / 100, 6) AS score FROM ranked WHERE doc_id % 4 = 0 AND rank <= 3
+        UNION ALL SELECT doc_id, 1, model_id, round(score / 100, 6) FROM scored SEMI JOIN party USING (model_id) WHERE doc_id % 4 = 2
+        UNION ALL SELECT doc_id, CAST(rank AS INTEGER), model_id, round(CAST(score AS DOUBLE), 6) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ordinal) AS rank FROM l) WHERE rank <= 3""",
+    "eligible_pairs": """SELECT conv_id, turn, CAST(pos - 1 AS INTEGER) AS pick FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+        WHERE pos < n AND turn % 3 <> 2 AND (conv_id + turn) % 5 <> 0 AND regexp_replace(coalesce(text, ''), '\\s', '', 'g') <> ''""",
+    "search_records": """WITH d AS (SELECT *, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^A-Za-z .,]', '', 'g'), ' +', ' ', 'g')) AS t FROM documents)
+        SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id % 700 + 1200 AS VARCHAR) ELSE '' END AS date, CASE WHEN doc_id % 3 < 2 THEN lang ELSE '' END AS lang, '' AS script, source AS entities,
+               CASE WHEN length(t) > 300 THEN substr(t, 1, 300) || '…' ELSE t END AS snippet, doc_id || '/' AS url FROM d""",
     "bradley_terry": f"WITH {_STRENGTHS} SELECT bucket, total, sufficient, model, round(strength, 6) AS strength, round(wins, 6) AS wins, round(comparisons, 6) AS comparisons, round(win_prob_vs_field, 6) AS win_prob_vs_field FROM rated",
     "strength_priors": f"WITH {_STRENGTHS} SELECT bucket, model, round(least(greatest(win_prob_vs_field - 0.5, 0), 0.15), 4) AS prior_score FROM rated WHERE sufficient AND round(least(greatest(win_prob_vs_field - 0.5, 0), 0.15), 4) > 0",
     "kmeans_labels": """WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),

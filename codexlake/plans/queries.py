@@ -66,6 +66,18 @@ def search_entities(spark, d):
     return docs.select("doc_id", F.array_join(corpus.entity_names(F.col("entities")), ";").alias("entities"))
 
 
+def search_records(spark, d):
+    """Every document with a description of its language and date, a third of them wrapped, a third without one."""
+    doc = table(spark, d, "documents")
+    wert = F.concat(F.lit('{"Sprache": {"wert": "'), "lang", F.lit('"}, "Datierung": "'), (F.col("doc_id") % 700 + 1200).cast("string"), F.lit('"}'))
+    plain = F.concat(F.lit('{"Sprache": "'), "lang", F.lit('", "Schrift": null}'))
+    description = F.when(F.col("doc_id") % 3 == 0, F.parse_json(wert)).when(F.col("doc_id") % 3 == 1, F.parse_json(plain))
+    e = F.array(F.struct(F.col("source").alias("text"), F.lit("").alias("normalised")), F.struct(F.lit("x").alias("text"), F.col("source").alias("normalised")))
+    ascii_ = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z .,]", "")
+    found = corpus.search_records(doc.select("doc_id", description.alias("description"), ascii_.alias("transcription"), e.alias("entities")))
+    return found.withColumn("entities", F.array_join("entities", ";"))
+
+
 def storage_overview(spark, d):
     return corpus.storage_overview(table(spark, d, "documents"), F.col("source"), F.length("text"))
 
@@ -324,6 +336,27 @@ def ranked_candidates(spark, d):
     return ranked.select("conv_id", "turn", "auto_rank")
 
 
+def _line_models(spark, d):
+    """A line model for each supplier."""
+    s = table(spark, d, "supplier")
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("s_suppkey") % len(xs) + 1).cast("int"))
+    return s.select(F.concat(F.lit("l"), "s_suppkey").alias("model_id"), F.col("s_suppkey").alias("ordinal"), pick(("de", "mul", "fr")).alias("lang"), pick(("htr", "layout", "line-ocr", "htr")).alias("task"), F.col("s_name").alias("name"), F.concat(F.lit("of century "), (F.col("s_suppkey") % 6 + 12).cast("string")).alias("notes"))
+
+
+def engine_models(spark, d):
+    """Each document asks one engine; every fourth asks one that doesn't exist."""
+    asked = _criteria(spark, d).withColumn("engine", F.element_at(F.array(*map(F.lit, ("kraken", "trocr", "party", "none"))), (F.col("doc_id") % 4 + 1).cast("int")))
+    return selection.select_best(asked, ["doc_id"], _models(spark, d), _line_models(spark, d), "m1").select("doc_id", "rank", "model_id", F.round("score", 6).alias("score"))
+
+
+def eligible_pairs(spark, d):
+    """A conversation's turns are its readings, every fifth failed; its picks are the numbers from 0, one less than there are readings."""
+    reading = F.struct("turn", F.when(F.col("turn") % 3 != 2, F.col("text")).alias("text"), F.when((F.col("conv_id") + F.col("turn")) % 5 == 0, "timeout").alias("error"))
+    g = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(reading)).alias("readings"), F.count("*").alias("n"))
+    g = g.withColumn("picks", F.when(F.col("n") > 1, F.sequence(F.lit(0), (F.col("n") - 2).cast("int"))).otherwise(F.array().cast("array<int>")))
+    return selection.eligible_pairs(g, ["conv_id"], "readings", "picks").select("conv_id", F.col("reading.turn").alias("turn"), "pick")
+
+
 def engine_plan(spark, d):
     """A document per sixteen parts; its engines' models are its parts, ranked by size over all engines."""
     p = table(spark, d, "part").withColumn("doc_id", F.floor(F.col("p_partkey") / 16))
@@ -636,10 +669,10 @@ def streaming_replay(spark, d):
 
 
 def _all() -> dict:
-    names = """corpus_term_stats corpus_top_terms doc_quality_flags doc_chunks search_index search_entities catalogue_search storage_overview run_totals text_functions language_scripts
+    names = """corpus_term_stats corpus_top_terms doc_quality_flags doc_chunks search_index search_entities catalogue_search search_records storage_overview run_totals text_functions language_scripts
     years_and_centuries spelled_centuries described_criteria tolerant_json pairwise_cer max_pairwise_cer max_symmetric_cer gate_blocked cer_best_engine cer_engine_means page_quality edit_distances word_error_rates token_offsets votes_latest votes_tally votes_winner
     override_rates selection_agreement coverage_rollup regret_percentiles text_regret fusion_gain routing_prior model_winrates path_preferences preference_pairs bradley_terry strength_priors pseudonymise
-    model_topk routing_gate engine_plan ranked_candidates entity_index entity_register entity_lookup entity_by_gnd entity_by_name_type dump_search review_list review_items similar_names vocabulary_match link_cascade resolve_edges resolve_components resolve_merged
+    model_topk routing_gate engine_models eligible_pairs engine_plan ranked_candidates entity_index entity_register entity_lookup entity_by_gnd entity_by_name_type dump_search review_list review_items similar_names vocabulary_match link_cascade resolve_edges resolve_components resolve_merged
     cosine_topk kmeans_labels fuse_votes disagreement_spans reconciled_pairs both_passes stacked_lines page_documents hub_summary hub_graph fusion_decisions entity_identifiers working_readings triples triple_counts provenance_bgp provenance_paths broader_terms publication_scope scope_metrics released_graph stage_states stage_outcomes pinned_criteria new_orders streaming_replay"""
     return reduce(lambda out, n: out | {n: globals()[n]}, names.split(), {})
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from codexlake.operators.corpus import index_lines
 from codexlake.operators.graph import graph_counts, n_triples
 
 
@@ -27,6 +28,12 @@ def write_index(index: DataFrame, path: str) -> None:
     index.orderBy("slug").write.mode("overwrite").json(path)
 
 
+def write_search(records: DataFrame, path: str) -> None:
+    """The search page's records as JSON lines under ``path``/search and its table's rows under ``path``/index, both sorted by document; the same input gives the same lines."""
+    records.orderBy("doc_id").write.mode("overwrite").json(f"{path}/search")
+    index_lines(records).orderBy("doc_id").select("line").write.mode("overwrite").text(f"{path}/index")
+
+
 def entity_pages(index: DataFrame, mentions: DataFrame) -> DataFrame:
     """slug, path, content: one page per entity with its documents."""
     docs = mentions.groupBy("slug").agg(F.array_join(F.transform(F.array_sort(F.collect_set("doc_id")), lambda d: F.concat(F.lit("* "), d.cast("string"))), "\n").alias("docs"))

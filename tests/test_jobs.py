@@ -104,3 +104,61 @@ def test_scope_is_counted_in_passing(spark, tmp_path):
         assert got == {("watched", "input_rows"): 4.0, ("watched", "scope.flagged"): 1.0}
     finally:
         spark.streams.removeListener(metrics)
+
+
+def test_descriptions(spark):
+    docs = spark.createDataFrame([("a", "Ein guter alter Text ueber den Spital und die Armen der Stadt Bern", None), ("b", "u" * 80, "page.jpg"), ("c", "", None), ("d", None, "broken.jpg"), ("long", "wort " * 2000, None)], "doc_id string, text string, image string")
+    seen = []
+
+    def from_text(row):
+        assert len(row["text"]) < 4100
+        return '```json\n{"Sprache": {"wert": "Deutsch"}, "Schrift": "Kurrent",}\n```'
+
+    def from_image(row):
+        if row["image"] == "broken.jpg":
+            raise ValueError("no image")
+        return '{"Schrift": "Kurrent"}'
+
+    def care(row):
+        return '{"is_care_related": true, "care_types": ["alms"], "beteiligte": "nobody"}' if "Spital" in row["text"] else "thinking ..."
+
+    got = {r.doc_id: r for r in jobs.describe(docs, from_text, from_image, care).withColumn("d", F.to_json("description")).drop("description").collect()}
+    assert set(got) == {"a", "b", "c", "d", "long"}
+    assert got["a"].missing == ["Datierung", "Dokumenttyp", "Inhalt"] and not got["a"].low_confidence
+    assert tuple(got["a"].care) == (True, "", ["alms"], []) and tuple(got["c"].care) == (False, "", [], [])
+    assert got["b"].low_confidence and got["b"].d == '{"Schrift":"Kurrent"}' and got["b"].errors == []
+    assert got["c"].d == "{}" and got["c"].low_confidence and len(got["c"].missing) == 5
+    assert got["d"].errors == ["no image"] and not seen
+    assert jobs.describe(docs.limit(0), from_text, from_image, care).collect() == []
+
+
+def test_corpus_analysis(spark):
+    docs = spark.createDataFrame([(1, "abcdef"), (2, " "), (3, "ghi"), (4, None)], "doc_id long, text string")
+
+    def topics(row):
+        if row["chunk"] == "def":
+            return "no answer"
+        return '{"items": ["t%d", "all", null], "fields": {"last": "%s"}}' % (row["nth"], row["chunk"])
+
+    got = jobs.analyse_corpus(docs, "c", {"topics": topics}, size=3)
+    assert [tuple(r) for r in got["totals"].collect()] == [("c", 2, 9)]
+    assert [r.item for r in got["topics"]["items"].collect()] == ["t0", "all"]
+    assert [tuple(r) for r in got["topics"]["fields"].collect()] == [("last", "ghi")] and got["topics"]["failed"].first().failed == 1
+    empty = jobs.analyse_corpus(docs.where("doc_id > 3"), "c", {"topics": topics})
+    assert empty["totals"].collect() == [] and empty["topics"]["items"].collect() == []
+
+
+def test_search_page(spark, tmp_path):
+    from codexlake.operators import corpus
+    from codexlake.sources import sinks
+
+    docs = spark.createDataFrame([("b", None, "x  y\n" * 200, [("Bern", None)]), ("a", '{"Sprache": {"wert": "de"}, "Datierung": 1450}', None, None)], "doc_id string, j string, transcription string, entities array<struct<text:string,normalised:string>>")
+    records = corpus.search_records(docs.withColumn("description", F.try_parse_json("j")))
+    got = {r.doc_id: r for r in records.collect()}
+    assert tuple(got["a"]) == ("a", "1450", "de", "", [], "", "a/") and got["b"].snippet == ("x y " * 200)[:300] + "…" and got["b"].entities == ["Bern"]
+    sinks.write_search(records, str(tmp_path))
+    assert [r.value for r in spark.read.text(str(tmp_path / "index")).collect()] == ["| [a](a/) | 1450 | de |  | 0 |", "| [b](b/) |  |  |  | 1 |"]
+    assert [r.doc_id for r in spark.read.json(str(tmp_path / "search")).collect()] == ["a", "b"]
+    index = spark.createDataFrame([("1", "Müller ﬁnden"), ("2", "muller")], "doc_id string, snippet string")
+    assert {r.doc_id for r in corpus.catalogue_search(index, "MULLER", ["snippet"]).collect()} == {"1", "2"}
+    assert corpus.catalogue_search(index, "finden", ["snippet"]).collect() == []  # a ligature is no diacritic
