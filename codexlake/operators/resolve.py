@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codexlake.functions import rules as R, text as T
 from codexlake.operators.components import connected_components
@@ -53,6 +53,42 @@ def match_edges(persons: DataFrame) -> DataFrame:
     return written(found.distinct(), "edges")
 
 
+def match_links(persons: DataFrame, tolerance: int = 25) -> DataFrame:
+    """a, b (a < b), confidence: few of the edges of match_edges(), with the same components and the same strongest edge in each.
+
+    Every person has at most a few links for each of its keys, however many
+    share one. Where a key is enough (an authority id) all link to the smallest
+    pid. Of one name, all link to the smallest pid of those without years, as
+    these match everyone. Those with years link to the smallest pid among those
+    with the same first year, whose years meet; per key and first year one row
+    is left, at most as many as there are years, and each links back to the one
+    before it that lasts longest, if their years meet.
+    """
+    p = written(prepare(persons), "prepared")
+    filled = lambda c: F.col(c).cast("string") != ""
+    key = lambda kind, rank, cond, *values: F.when(cond, F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), F.concat_ws("\t", F.lit(kind), *values).alias("key")))
+    keys = [key("id", 3, filled(c), F.lit(c), F.col(c).cast("string")) for c in IDS]
+    keys += [key("name", 3, filled("norm"), F.col("norm")), key("surname", 2, filled("sur") & filled("fore"), F.lit("fore"), F.col("sur"), F.col("fore"))]
+    variant = lambda n: F.struct(F.lit("surname").alias("kind"), F.lit(2).alias("rank"), F.concat_ws("\t", F.lit("surname"), F.lit("variant"), F.col("sur"), n).alias("key"))
+    variants = F.when(filled("sur"), F.transform(F.filter("names", lambda n: n.isNotNull()), variant))
+    every = F.array_compact(F.concat(F.array(*keys), F.coalesce(variants, F.filter(F.array(variant(F.lit(""))), lambda x: F.lit(False)))))
+    rows = written(p.select("pid", F.col("years.lo").alias("lo"), F.col("years.hi").alias("hi"), F.explode(every).alias("k")).select("pid", "lo", "hi", "k.*").distinct(), "keys")
+
+    def star(members: DataFrame, centre: DataFrame, on: list[str], rank: Column) -> DataFrame:
+        return members.join(centre, on).where("pid <> _c").select(F.col("pid").alias("x"), F.col("_c").alias("y"), rank.alias("rank"))
+
+    ids, names = rows.where("kind = 'id'"), rows.where("kind = 'name'")
+    dated = rows.where("kind <> 'id' AND lo IS NOT NULL")
+    links = star(ids, ids.groupBy("key").agg(F.min("pid").alias("_c")), ["key"], F.lit(3))
+    links = links.union(star(names, names.where("lo IS NULL").groupBy("key").agg(F.min("pid").alias("_c")), ["key"], F.lit(2)))
+    first = written(dated.groupBy("key", "lo").agg(F.min("pid").alias("_c"), F.max("hi").alias("hi"), F.first("rank").alias("rank")), "years")
+    links = links.union(star(dated.select("key", "lo", "pid", F.col("rank").alias("r")), first.select("key", "lo", "_c"), ["key", "lo"], F.col("r")))
+    before = F.max(F.struct("hi", "_c")).over(Window.partitionBy("key").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1))
+    chain = first.withColumn("b", before).where(F.col("lo") - tolerance <= F.col("b.hi")).select(F.col("_c").alias("x"), F.col("b._c").alias("y"), "rank")
+    pairs = links.union(chain).where("x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("rank").alias("rank"))
+    return written(pairs.select("a", "b", F.when(F.col("rank") == 3, "high").otherwise("medium").alias("confidence")), "links")
+
+
 def clusters(persons: DataFrame, edges: DataFrame) -> DataFrame:
     """pid, cluster (smallest pid), confidence (the strongest edge of the cluster; high for single records)."""
     comp = connected_components(edges)

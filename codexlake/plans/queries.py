@@ -18,6 +18,7 @@ from codexlake.plans import incremental, jobs
 from codexlake.sources.parallel import spread_small
 from codexlake.sources.scratch import new_path, written
 from codexlake.streaming import state
+from codexlake.streaming.tables import StateTable, merging
 
 SALT = "stand-in salt"
 
@@ -456,12 +457,12 @@ def resolve_edges(spark, d):
 
 
 def resolve_components(spark, d):
-    return connected_components(resolve_edges(spark, d))
+    return connected_components(resolve.match_links(_persons(spark, d)))
 
 
 def resolve_merged(spark, d):
     p = _persons(spark, d)
-    merged = resolve.merge(p, resolve.clusters(p, resolve.match_edges(p)))
+    merged = resolve.merge(p, resolve.clusters(p, resolve.match_links(p)))
     return merged.select("cluster", "name", F.array_join("sources", ",").alias("sources"), "confidence", "gnd_id", "life_dates", F.size("variants").alias("n_variants"), "n_members", "needs_review")
 
 
@@ -658,14 +659,14 @@ def new_orders(spark, d):
 
 
 def streaming_replay(spark, d):
-    """The latest vote per document and voter, by a stream over the events' file that appends each batch's last rows."""
+    """The latest vote per document and voter, by a stream over the events' files that merges each batch into a state table."""
     source = table(spark, d, "events")
-    path, done = new_path(spark, "replay"), new_path(spark, "replay-offsets")
+    votes = StateTable(spark, new_path(spark, "replay"), "doc string, voter long, candidate string, ord long", ["doc", "voter"], "ord")
     stream = spark.readStream.schema(source.schema).parquet(f"{d}/events*.parquet")
     rows = stream.select(F.get_json_object("props", "$.k").alias("doc"), F.col("user_id").alias("voter"), F.col("event_type").alias("candidate"), F.col("event_id").alias("ord"))
-    query = rows.writeStream.foreachBatch(state.merge_log(path, ["doc", "voter"], "ord")).option("checkpointLocation", done).trigger(availableNow=True).start()
+    query = rows.writeStream.foreachBatch(merging(votes)).option("checkpointLocation", new_path(spark, "replay-offsets")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return state.current(spark, path, ["doc", "voter"], "ord").select("doc", "voter", "candidate", "ord")
+    return votes.read().select("doc", "voter", "candidate", "ord")
 
 
 def _all() -> dict:

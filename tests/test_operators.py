@@ -62,6 +62,28 @@ def test_kmeans_leaves_out_what_is_no_vector(spark):
     assert vectors.kmeans(df.limit(0), 2).collect() == []
 
 
+def test_few_links_give_the_components_of_all_edges(spark):
+    import random
+
+    draw = random.Random(11)
+    pick = lambda *x: draw.choice(x)
+    schema = "pid long, source string, name string, forename string, surname string, life_dates string, gnd_id string, hls_id string, wikidata_id string, variants array<string>"
+    for _ in range(4):
+        rows = []
+        for i in range(120):
+            first, last = pick("Anna", "Bert", "Cäsar"), pick("Egli", "Frey", "Gut", "")
+            dates = None if draw.random() < 0.3 else f"{(y := draw.randrange(1200, 1500))}-{y + draw.randrange(0, 60)}"
+            rows.append((i, pick("x", "y"), pick(f"{first} {last}", first, "", f"{first} von {last}"), pick(first, ""), pick(last, ""), dates, pick(None, "", "", "", f"g{draw.randrange(60)}"), None, "", pick(None, [], [last, None], [f"{first} {last}"])))
+        df = spark.createDataFrame(rows, schema)
+        all_, few = resolve.match_edges(df), resolve.match_links(df)
+        value = lambda e: {tuple(r) for r in resolve.clusters(df, e).collect()}
+        assert value(few) == value(all_)
+        assert len({r.cluster for r in resolve.clusters(df, few).collect()}) > 5
+    same = spark.createDataFrame([(i, "x", "Anna Egli", "", "", f"{1200 + i % 3}", None, None, None, None) for i in range(500)], schema)
+    assert resolve.match_links(same).count() < 1000  # all edges would be 124,750
+    assert resolve.match_links(df.limit(0)).collect() == []
+
+
 def test_comparisons(spark):
     schema = "offered array<struct<engine:string,model_id:string>>, chosen array<string>, combined boolean, rejected boolean, k int"
     offered = [("kraken", "m1"), ("vlm", ""), ("trocr", "m2")]
