@@ -46,6 +46,23 @@ def federated(queries: DataFrame, sources: list[str], search: Callable[[str, str
     return found.where("error IS NULL").select("query", "source", "hit.*"), found.where("error IS NOT NULL").select("query", "source", "error")
 
 
+def lookup(requests: DataFrame, get: Callable[[str, str], dict | None], fields: str) -> DataFrame:
+    """source, pid, found (struct of ``fields``), error: one call for each distinct request; found is null where the source has nothing or failed."""
+    asked = requests.select("source", "pid").where("source IS NOT NULL AND pid IS NOT NULL").distinct()
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for source, pid in zip(b["source"], b["pid"]):
+                try:
+                    rows.append((source, pid, get(source, pid), None))
+                except Exception as e:
+                    rows.append((source, pid, None, str(e)))
+            yield pd.DataFrame(rows, columns=["source", "pid", "found", "error"])
+
+    return asked.mapInPandas(run, f"source string, pid string, found struct<{fields}>, error string")
+
+
 def first_usable(rows: DataFrame, text_columns: list[str], out: str = "text") -> DataFrame:
     """A cascade: the first reading that is not blank, and which one it was."""
     usable = [F.when(F.trim(F.col(c)) != "", F.col(c)) for c in text_columns]

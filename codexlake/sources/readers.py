@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -139,6 +141,20 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     return df.where(ext.isin(*IMAGES)).withColumn("folder", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)).withColumn("stem", F.regexp_extract("path", r"([^/]+)\.[^.]+$", 1))
 
 
+def orders(files: DataFrame, root: str) -> DataFrame:
+    """Files (path) with their order: the folder right below ``root`` that holds them, at any depth.
+
+    If no folder below ``root`` holds any, its own files are one order with its
+    name; else files that lie right in ``root`` belong to none and are left out.
+    """
+    base = root.rstrip("/")
+    inside = F.regexp_extract("path", "^(?:[a-z0-9]+:(?://[^/]*)?)?" + re.escape(re.sub(r"^[a-z0-9]+:(//[^/]*)?", "", base)) + "/(.+)$", 1)
+    known = files.withColumn("_in", inside).where("_in <> ''").withColumn("order_id", F.regexp_extract("_in", "^([^/]+)/", 1))
+    below = known.where("order_id <> ''")
+    found = below if not below.isEmpty() else known.withColumn("order_id", F.lit(base.rsplit("/", 1)[-1]))
+    return found.drop("_in")
+
+
 #: Aliases of person fields per source: first non-empty one counts.
 ALIASES = {"pid": ("pid", "id", "person_id"), "name": ("name", "n", "headword", "label"), "life_dates": ("life_dates", "y", "dates"), "gnd_id": ("gnd_id", "gnd"), "hls_id": ("hls_id", "hls"), "wikidata_id": ("wikidata_id", "wikidata"), "snippet": ("snippet", "article_text")}
 
@@ -165,3 +181,29 @@ def model_registry(raw: DataFrame, record: str = "record") -> DataFrame:
 def sources_for(catalogue: DataFrame, kind: str) -> DataFrame:
     """Sources (name, kinds, external, ...) that serve a kind and are not external."""
     return catalogue.where(F.array_contains("kinds", kind) & ~F.coalesce("external", F.lit(False)))
+
+
+#: Fixed kinds of entities that sources serve.
+KINDS = ("person", "place", "org", "fulltext")
+
+
+def catalogue_faults(catalogue: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """name, fault: what a catalogue of sources (name, kinds, tools, url, external) gets wrong; empty for a sound one.
+
+    Names are unique and not empty, kinds and tools are not empty, kinds are
+    known, and sources that aren't external have an https address.
+    """
+    empty = lambda c: F.coalesce(F.size(c) == 0, F.lit(True))
+    named = F.coalesce(F.col("name"), F.lit("")) != ""
+    strange = F.exists(F.coalesce("kinds", F.array().cast("array<string>")), lambda k: ~F.coalesce(k.isin(*kinds), F.lit(False)))
+    rules = {
+        "no name": ~named,
+        "name is used twice": named & (F.col("_n") > 1),
+        "no kind": empty("kinds"),
+        "unknown kind": strange,
+        "no tool": empty("tools"),
+        "no https address": ~F.coalesce("external", F.lit(False)) & ~F.coalesce(F.startswith("url", F.lit("https://")), F.lit(False)),
+    }
+    counts = catalogue.groupBy("name").agg(F.count("*").alias("_n"))
+    marked = catalogue.join(counts, "name", "left")
+    return marked.select("name", F.explode(F.array_compact(F.array(*[F.when(rule, fault) for fault, rule in rules.items()]))).alias("fault")).distinct()
