@@ -42,9 +42,9 @@ def test_all_pairs(spark):
 
 
 def test_suggestions_fall_back_to_what_holds_the_query(spark):
-    own = ["prefs-test-BAT664", "a-very-long-identifier-BAT-of-a-document", "other"]
-    got = {(r.query, r["rank"], r.name) for r in similar.suggest_of_each(frame(spark, ["prefs-test-BAT66", "bat-", "nothing", ""], "query"), frame(spark, own, "name")).collect()}
-    assert got == {("prefs-test-BAT66", 1, own[0]), ("bat-", 1, own[1])}
+    own = ["order-thun-1450b", "a-very-long-identifier-MAP-of-a-document", "other"]
+    got = {(r.query, r["rank"], r.name) for r in similar.suggest_of_each(frame(spark, ["order-thun-145b", "map-", "nothing", ""], "query"), frame(spark, own, "name")).collect()}
+    assert got == {("order-thun-145b", 1, own[0]), ("map-", 1, own[1])}
     assert similar.suggest_of_each(frame(spark, [], "query"), frame(spark, own, "name")).collect() == []
 
 
