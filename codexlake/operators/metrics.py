@@ -72,7 +72,7 @@ def word_edits(a: list[str], b: list[str], limit: int | None = None) -> int:
     return edits
 
 
-def word_error_rate(reference: Column, hypothesis: Column, limit: float | None = None) -> Column:
+def wer(reference: Column, hypothesis: Column, limit: float | None = None) -> Column:
     """Word edits over the reference's words; an empty reference gives 0 or 1, null texts are empty; texts come prepared.
 
     With a ``limit`` rates beyond it are null, and such texts are left as soon
@@ -151,7 +151,7 @@ def engine_means(table: DataFrame, key: list[str]) -> DataFrame:
 def mean_rates(rows: DataFrame, group: list[str], reference: str = "reference", text: str = "text", **options: bool) -> DataFrame:
     """Mean CER and WER per group over its rows, and their number."""
     ref, hyp = (prepare(F.coalesce(F.col(c), F.lit("")), **options) for c in (reference, text))
-    rated = rows.select(*group, cer(F.coalesce(F.col(reference), F.lit("")), F.coalesce(F.col(text), F.lit("")), **options).alias("cer"), word_error_rate(ref, hyp).alias("wer"))
+    rated = rows.select(*group, cer(F.coalesce(F.col(reference), F.lit("")), F.coalesce(F.col(text), F.lit("")), **options).alias("cer"), wer(ref, hyp).alias("wer"))
     return rated.groupBy(*group).agg(F.avg("cer").alias("mean_cer"), F.avg("wer").alias("mean_wer"), F.count("*").alias("n"))
 
 

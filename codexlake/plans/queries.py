@@ -189,7 +189,7 @@ def word_error_rates(spark, d):
     """Of each turn against the first one."""
     r = _readings(spark, d)
     first = r.where("turn = 0").select("conv_id", F.col("text").alias("reference"))
-    return spread_small(r.join(first, "conv_id")).select("conv_id", "turn", F.round(metrics.word_error_rate(F.col("reference"), F.col("text")), 9).alias("wer"))
+    return spread_small(r.join(first, "conv_id")).select("conv_id", "turn", F.round(metrics.wer(F.col("reference"), F.col("text")), 9).alias("wer"))
 
 
 # feedback

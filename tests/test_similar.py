@@ -79,6 +79,6 @@ def test_word_error_rate(spark):
     other = [w for w in long if draw.random() > 0.1] + ["x"] * 50
     rows = [("a b c d", "a b x d"), (None, None), ("", "a"), ("a", None), (" ".join(long), " ".join(other))]
     df = spark.createDataFrame(rows, "r string, h string")
-    got = [r.w for r in df.select(metrics.word_error_rate(F.col("r"), F.col("h")).alias("w")).collect()]
+    got = [r.w for r in df.select(metrics.wer(F.col("r"), F.col("h")).alias("w")).collect()]
     assert got[:4] == [0.25, 0.0, 1.0, 1.0] and 0.1 < got[4] < 0.13
-    assert [r.w for r in df.select(metrics.word_error_rate(F.col("r"), F.col("h"), 0.1).alias("w")).collect()] == [None, 0.0, None, None, None]
+    assert [r.w for r in df.select(metrics.wer(F.col("r"), F.col("h"), 0.1).alias("w")).collect()] == [None, 0.0, None, None, None]
