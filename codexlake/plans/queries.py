@@ -583,7 +583,7 @@ def triple_counts(spark, d):
 
 
 def provenance_bgp(spark, d):
-    g = _graph(spark, d)
+    g = written(_graph(spark, d), "graph")  # patterns read a table of triples
     found = graph.match(g, ("?doc", "crm:P128_carries", "?reading"), ("?reading", "prov:wasGeneratedBy", "?run"), ("?run", "prov:wasAssociatedWith", "?model"), optional=(("?doc", "ex:closestReading", "?selection"),))
     return found.select("doc", "reading", "run", "model", "selection")
 
@@ -591,7 +591,7 @@ def provenance_bgp(spark, d):
 def provenance_paths(spark, d):
     """The model behind each reading of a document, over one path."""
     way = paths.seq("crm:P128_carries", "prov:wasGeneratedBy", "prov:wasAssociatedWith")
-    return graph.match(_graph(spark, d), ("?doc", way, "?model"), ("?doc", "ex:closestReading", "?selection")).select("doc", "model", "selection")
+    return graph.match(written(_graph(spark, d), "graph"), ("?doc", way, "?model"), ("?doc", "ex:closestReading", "?selection")).select("doc", "model", "selection")
 
 
 def broader_terms(spark, d):
