@@ -3,6 +3,7 @@
 import difflib
 import random
 
+import pandas as pd
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -82,3 +83,28 @@ def test_word_error_rate(spark):
     got = [r.w for r in df.select(metrics.wer(F.col("r"), F.col("h")).alias("w")).collect()]
     assert got[:4] == [0.25, 0.0, 1.0, 1.0] and 0.1 < got[4] < 0.13
     assert [r.w for r in df.select(metrics.wer(F.col("r"), F.col("h"), 0.1).alias("w")).collect()] == [None, 0.0, None, None, None]
+
+
+def test_closest_compares_few_of_many_alike(spark, monkeypatch):
+    """Names that are all alike: the n best are those of brute force, and letters rule most pairs out before a comparison."""
+    draw = random.Random(7)
+    own = sorted({f"{draw.choice(['large', 'hot', 'blue'])} {draw.choice(['ring', 'bolt'])} Brand#{draw.randrange(25)} {draw.choice(['PROMO', 'SMALL'])} {draw.randrange(97)}" for _ in range(900)}) + ["", "ä" * 300, "ä" * 250 + "b" * 50]
+    asked = [x[:3] + x[4:] for x in own[::30]] + ["", "ä" * 299]
+    compared, real = spark.sparkContext.accumulator(0), similar._ratio
+
+    def counted(cutoff):
+        plain_ratio = real(cutoff).func
+
+        def each(queries: pd.Series, names: pd.Series) -> pd.Series:
+            compared.add(len(queries))
+            return plain_ratio(queries, names)
+
+        return F.pandas_udf(each, "double")
+
+    monkeypatch.setattr(similar, "_ratio", counted)
+    got = {}
+    for r in similar.closest_of_each(frame(spark, asked, "query"), frame(spark, own, "name"), 5, 0.5).collect():
+        got[r.query, r["rank"]] = (r.name, r.ratio)
+    want = {(q, i + 1): (x, ratio(q, x)) for q in asked for i, x in enumerate(difflib.get_close_matches(q, own, 5, 0.5))}
+    assert got == want
+    assert compared.value < len(asked) * len(own) / 4, compared.value
