@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codexlake.functions import rules as R, text as T
+from codexlake.sources.parallel import spread
+from codexlake.sources.scratch import written
 
 SCRIPT_EXACT, SCRIPT_FUZZY, SCRIPT_MISMATCH = 0.6, 0.3, -0.35
 SCORE_BLOCK, TOP2_GAP = 0.4, 0.15
@@ -37,21 +39,23 @@ def line_model_score(lang: Column, century: Column, m_lang: Column, m_task: Colu
     return lang_part + F.when(m_task.isin("line-ocr", "htr"), 0.2).otherwise(0.0) + F.when(named, 0.2).otherwise(0.0)
 
 
+def _with_all(criteria: DataFrame, facets: list[str], registry: DataFrame) -> DataFrame:
+    """Each distinct combination of the facets with each model; written first, so that its size is known and the smaller side is sent to the other."""
+    return spread(registry).crossJoin(written(criteria.select(*facets).distinct(), "criteria"))
+
+
 def rank_models(criteria: DataFrame, models: DataFrame, key: list[str], top_k: int = 3, require_above: float = 0.0, priors: DataFrame | None = None) -> DataFrame:
     """The ``top_k`` models per row of criteria, best first, ties in registry order.
 
-    criteria: key, script, lang, century, document_type. models (a small
-    registry; it is broadcast after its size is checked): model_id, script,
-    lang, centuries, notes, ordinal. Scores are worked out once per distinct
-    combination of criteria, however many documents share it.
+    criteria: key, script, lang, century, document_type. models (a registry of
+    any size): model_id, script, lang, centuries, notes, ordinal. Scores are
+    worked out once per distinct combination of criteria, however many
+    documents share it, and a task keeps ``top_k`` models for each.
     """
-    if models.count() > 10_000:
-        raise ValueError("the model registry is too large to be a registry")
     c = criteria.select(*key, R.normalise_script(F.col("script")).alias("script"), R.normalise_lang(F.col("lang")).alias("lang"), F.col("century").cast("int").alias("century"), F.col("document_type"))
     facets = ["script", "lang", "century", "document_type"]
     registry = models.select("model_id", "ordinal", R.normalise_script(F.col("script")).alias("m_script"), F.col("lang").alias("m_lang"), "centuries", "notes")
-    every = F.broadcast(registry.agg(F.collect_list(F.struct("*")).alias("m")).withColumn("one", F.lit(1)))
-    pairs = c.select(*facets).distinct().withColumn("one", F.lit(1)).join(every, "one").withColumn("m", F.explode("m")).select(*facets, "m.*")
+    pairs = _with_all(c, facets, registry)
     score = model_score(*map(F.col, facets), F.col("m_script"), F.col("m_lang"), F.col("centuries"), F.col("notes"), F.col("model_id"))
     scored = pairs.withColumn("score", F.round(score, 9)).where(F.col("score") >= require_above)  # binary fractions must not decide ties
     if priors is not None:
@@ -67,12 +71,9 @@ def rank_models(criteria: DataFrame, models: DataFrame, key: list[str], top_k: i
 
 def rank_line_models(criteria: DataFrame, models: DataFrame, key: list[str], top_k: int = 3, require_above: float = 0.0) -> DataFrame:
     """The same for line-level models (model_id, lang, task, name, notes, ordinal): those for lines, by language and century."""
-    if models.count() > 10_000:
-        raise ValueError("the model registry is too large to be a registry")
     c = criteria.select(*key, R.normalise_lang(F.col("lang")).alias("lang"), F.col("century").cast("int").alias("century"))
     lines = models.where(F.col("task").isin("line-ocr", "htr")).select("model_id", "ordinal", F.col("lang").alias("m_lang"), "task", "name", F.coalesce("notes", F.lit("")).alias("notes"))
-    every = F.broadcast(lines.agg(F.collect_list(F.struct("*")).alias("m")).withColumn("one", F.lit(1)))
-    pairs = c.select("lang", "century").distinct().withColumn("one", F.lit(1)).join(every, "one").withColumn("m", F.explode("m")).select("lang", "century", "m.*")
+    pairs = _with_all(c, ["lang", "century"], lines)
     score = F.round(line_model_score(*map(F.col, ("lang", "century", "m_lang", "task", "name", "notes"))), 9)
     w = Window.partitionBy("lang", "century").orderBy(F.desc("score"), "ordinal")
     best = pairs.withColumn("score", score).where(F.col("score") >= require_above).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
