@@ -108,14 +108,17 @@ def kmeans(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embed
 
     def sums(now: np.ndarray):
         def run(batches):
-            n, total = np.zeros(len(now), dtype=np.int64), np.zeros_like(now)
+            n, total = np.zeros(len(now), dtype=np.int64), np.zeros((2, *now.shape), dtype=np.int64)
             for batch in batches:
                 x = _matrix(batch.column(0), width)
                 label = _labels(x, now)
                 n += np.bincount(label, minlength=len(now))
-                np.add.at(total, label, x)
+                high = np.floor(x * 2.0**8)
+                digits = np.stack([high, np.floor((x * 2.0**8 - high) * 2.0**32)]).astype(np.int64)  # two digits, so that no sum overflows
+                for c in range(len(now)):
+                    total[:, c] += digits[:, label == c].sum(axis=1)
             at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(total[at].tolist(), pa.list_(pa.float64()))], names=["cluster", "n", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), *[pa.array(t[at].tolist(), pa.list_(pa.int64())) for t in total]], names=["cluster", "n", "high", "low"])
 
         return run
 
@@ -127,10 +130,10 @@ def kmeans(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embed
         return run
 
     for _ in range(iterations):
-        parts = usable.select(vector).mapInArrow(sums(centroids), "cluster int, n long, total array<double>")
-        new = centroids.copy()
-        for r in parts.groupBy("cluster").agg(F.sum("n").alias("n"), *[F.sum(F.col("total")[i]).alias(f"t{i}") for i in range(width)]).collect():
-            new[r.cluster] = np.array(r[2:]) / r.n
+        parts = usable.select(vector).mapInArrow(sums(centroids), "cluster int, n long, high array<long>, low array<long>")
+        new, places = centroids.copy(), parts.select("cluster", "n", F.posexplode(F.arrays_zip("high", "low")).alias("i", "t"))
+        for r in places.groupBy("cluster", "i").agg(F.sum("n").alias("n"), F.sum("t.high").alias("high"), F.sum("t.low").alias("low")).collect():
+            new[r.cluster, r.i] = float((r.high << 32) + r.low) / r.n / 2.0**40
         if (new == centroids).all():
             break
         centroids = new

@@ -1,9 +1,14 @@
 """Steps that once held only for small tables."""
 
+import hashlib
+
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 from codexlake.operators import selection, vectors
+from codexlake.plans import queries
+from codexlake.plans.oracle import SQL
 
 
 def test_a_registry_of_any_size(spark):
@@ -15,3 +20,16 @@ def test_a_registry_of_any_size(spark):
     pages = lines.select("model_id", "ordinal", F.lit("textura").alias("script"), "lang", F.array(F.lit(15)).alias("centuries"), "notes")
     got = sorted((r.doc_id, r["rank"], r.model_id) for r in selection.rank_models(asked, pages, ["doc_id"], 1).collect())
     assert got == [(1, 1, f"l{n - 5}"), (2, 1, "l0"), (3, 1, f"l{n - 5}")]
+
+
+def test_kmeans_stops_where_its_sql_stops(spark, tmp_path):
+    """Starts at one end of a line and creeps along it for more than 100 rounds; 0.1 and its like make sums depend on their order unless they are exact."""
+    ids = sorted(range(10_000), key=lambda i: hashlib.sha256(f"0:{i}".encode()).hexdigest())
+    x = np.sort(np.random.default_rng(3).random(10_000) ** 2).astype(np.float32)
+    spark.createDataFrame([(i, [float(v), 0.1]) for i, v in zip(ids, x)], "vec_id long, embedding array<float>").repartition(5).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.cluster for r in queries.kmeans_labels(spark, str(tmp_path)).collect()}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == dict(db.execute(SQL["kmeans_labels"]).fetchall())
+    start = {i: vectors.kmeans(spark.read.parquet(f"{tmp_path}/embeddings.parquet"), 8, draw=F.sha2(F.concat(F.lit("0:"), F.col("vec_id").cast("string")).cast("binary"), 256), iterations=i) for i in (90, 100)}
+    assert start[90].exceptAll(start[100]).count() > 0  # still creeping
