@@ -26,8 +26,8 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 5, key: str = "vec_
     return vectors.select(key, cosine(F.col(vector), q).alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
 
 
-#: Query vectors that every task holds at once.
-QUERY_BLOCK = 4096
+#: Query vectors that every task holds at once, and similarities of them that it works out at once.
+QUERY_BLOCK, CELLS = 4096, 1 << 20
 
 
 def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", digits: int = 9) -> DataFrame:
@@ -68,9 +68,12 @@ def _scored(rows, k: int, key: str, vector: str, digits: int):
         for b in batches:
             own = b[key].to_numpy()
             order = np.argsort(own, kind="stable")
-            similar = np.round(q @ _unit(b[vector].to_numpy()[order], width).T, digits)
-            best = np.argsort(-similar, axis=1, kind="stable")[:, :k]  # of equals the smallest key
-            yield pd.DataFrame({"query": np.repeat(ids, best.shape[1]), key: own[order][best].ravel(), "similarity": np.take_along_axis(similar, best, axis=1).ravel()})
+            rows = _unit(b[vector].to_numpy()[order], width).T
+            step = max(1, CELLS // max(1, len(own)))  # queries at a time
+            for i in range(0, len(q), step):
+                similar = np.round(q[i : i + step] @ rows, digits)
+                best = np.argsort(-similar, axis=1, kind="stable")[:, :k]  # of equals the smallest key
+                yield pd.DataFrame({"query": np.repeat(ids[i : i + step], best.shape[1]), key: own[order][best].ravel(), "similarity": np.take_along_axis(similar, best, axis=1).ravel()})
 
     return run
 
