@@ -104,14 +104,18 @@ def usable(readings: DataFrame, text: str = "text", error: str | None = None) ->
 def pairwise_cer(readings: DataFrame, page: list[str], order: str, text: str = "text", **options: bool) -> DataFrame:
     """CER of each pair of a page's usable readings, the earlier one as reference: page, a, b, cer.
 
-    A page has few readings; pages are the join key, so the pairs of a page
-    stay together. Readings are few bytes but long work, so the pages are dealt
-    to all slots first; both sides of the join use that partitioning.
+    Pairs are few bytes but long work, so they are dealt to all slots one by
+    one: a page with many readings doesn't wait for one task.
     """
-    r = spread(usable(readings, text).select(*page, order, text), *page)
-    left = r.select(*page, F.col(order).alias("a"), F.col(text).alias("ta"))
-    right = r.select(*page, F.col(order).alias("b"), F.col(text).alias("tb"))
-    return left.join(right, page).where("a < b").select(*page, "a", "b", cer(F.col("ta"), F.col("tb"), **(options or RAW)).alias("cer"))
+    pairs = _pairs(usable(readings, text).select(*page, F.col(order).alias("_o"), F.col(text).alias("_t")), page)
+    return pairs.select(*page, "a", "b", cer(F.col("ta"), F.col("tb"), **(options or RAW)).alias("cer"))
+
+
+def _pairs(readings: DataFrame, page: list[str]) -> DataFrame:
+    """page, a, b, ta, tb: each pair of a page's readings (page, _o, _t), dealt out by page and order."""
+    r = spread(readings, *page)  # both sides of the join use that partitioning
+    left, right = (r.select(*page, F.col("_o").alias(x), F.col("_t").alias(f"t{x}")) for x in "ab")
+    return spread(left.join(right, page).where("a < b"), *page, "a", "b")
 
 
 def max_cer(pairs: DataFrame, page: list[str]) -> DataFrame:
@@ -119,11 +123,11 @@ def max_cer(pairs: DataFrame, page: list[str]) -> DataFrame:
 
 
 def max_cer_symmetric(readings: DataFrame, page: list[str], order: str, text: str = "text") -> DataFrame:
-    """The largest normalised CER in either direction."""
-    r = spread(usable(readings, text).select(*page, order, text), *page)
-    left, right = r.select(*page, F.col(order).alias("a"), F.col(text).alias("ta")), r.select(*page, F.col(order).alias("b"), F.col(text).alias("tb"))
-    both = left.join(right, page).where("a <> b").select(*page, cer(F.col("ta"), F.col("tb")).alias("cer"))
-    return both.groupBy(*page).agg(F.max("cer").alias("max_cer"))
+    """The largest normalised CER in either direction: edits are the same both ways, so they are counted once and the shorter text is the reference."""
+    pairs = _pairs(usable(readings, text).select(*page, F.col(order).alias("_o"), prepare(F.col(text)).alias("_t")), page)
+    short, long = F.least(F.length("ta"), F.length("tb")), F.greatest(F.length("ta"), F.length("tb"))
+    rate = F.when(short == 0, F.when(long == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein("ta", "tb") / short)
+    return pairs.select(*page, rate.alias("cer")).groupBy(*page).agg(F.max("cer").alias("max_cer"))
 
 
 def gate(pages: DataFrame, threshold: float = 0.15) -> DataFrame:

@@ -4,9 +4,10 @@ import hashlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from codexlake.operators import selection, vectors
+from codexlake.operators import metrics, selection, vectors
 from codexlake.plans import queries
 from codexlake.plans.oracle import SQL
 
@@ -33,3 +34,19 @@ def test_kmeans_stops_where_its_sql_stops(spark, tmp_path):
     assert got == dict(db.execute(SQL["kmeans_labels"]).fetchall())
     start = {i: vectors.kmeans(spark.read.parquet(f"{tmp_path}/embeddings.parquet"), 8, draw=F.sha2(F.concat(F.lit("0:"), F.col("vec_id").cast("string")).cast("binary"), 256), iterations=i) for i in (90, 100)}
     assert start[90].exceptAll(start[100]).count() > 0  # still creeping
+
+
+def test_pairs_of_one_page_are_dealt_out(spark):
+    readings = spark.createDataFrame([(1, i, "abc" * (i + 1)) for i in range(30)], "page int, ord int, text string")
+    pairs = metrics.pairwise_cer(readings, ["page"], "ord")
+    assert pairs.select(F.spark_partition_id().alias("p")).distinct().count() > 1 and pairs.count() == 435
+    assert [r.max_cer for r in metrics.max_cer_symmetric(readings, ["page"], "ord").collect()] == [29.0]
+
+
+def test_search_holds_few_similarities_at_once(monkeypatch):
+    monkeypatch.setattr(vectors, "CELLS", 100)
+    rows = [{"query": i, "q": [1.0, float(i)]} for i in range(60)]
+    batch = pd.DataFrame({"vec_id": range(20), "embedding": [[1.0, float(i)] for i in range(20)]})
+    parts = list(vectors._scored(rows, 3, "vec_id", "embedding", 9)([batch]))
+    assert max(map(len, parts)) == 15 and sum(map(len, parts)) == 180
+    assert [tuple(x) for x in pd.concat(parts).groupby("query").vec_id.first().items()] == [(i, min(i, 19)) for i in range(60)]
