@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from codexlake.functions import text as T
 from codexlake.operators import metrics, selection, vectors
 from codexlake.plans import queries
 from codexlake.plans.oracle import SQL
@@ -50,3 +51,11 @@ def test_search_holds_few_similarities_at_once(monkeypatch):
     parts = list(vectors._scored(rows, 3, "vec_id", "embedding", 9)([batch]))
     assert max(map(len, parts)) == 15 and sum(map(len, parts)) == 180
     assert [tuple(x) for x in pd.concat(parts).groupby("query").vec_id.first().items()] == [(i, min(i, 19)) for i in range(60)]
+
+
+def test_letters_are_counted_by_runs(spark):
+    df = spark.createDataFrame([("abc αβ 1",), ("",), (None,), ("\U0001d54f\U00010400é-ж",), ("12 !",)], "t string")
+    for script in ("Latin", "Greek"):
+        share = T.script_share(F.col("t"), script)
+        want = F.coalesce(F.try_divide(F.regexp_count("t", F.lit(rf"\p{{Is{script}}}")), F.regexp_count("t", F.lit(r"\p{L}"))), F.lit(1.0))
+        assert df.where(~share.eqNullSafe(want)).count() == 0 and "regexp_count" not in str(share)
