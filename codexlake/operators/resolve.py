@@ -8,15 +8,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codexlake.functions import rules as R, text as T
 from codexlake.operators.components import connected_components
+from codexlake.sources.parallel import paired, spread_small
 from codexlake.sources.scratch import written
 
+#: Persons of one key that are compared with as many others at a time.
+BLOCK = 500
+
 IDS = ("gnd_id", "hls_id", "wikidata_id")
 
 
 def prepare(persons: DataFrame) -> DataFrame:
     """persons: pid (orderable, unique), source, name, forename, surname, life_dates, the ids, variants."""
     names = F.filter(F.concat(F.array("name"), F.coalesce("variants", F.array().cast("array<string>"))), lambda v: v.isNotNull() & (v != ""))
-    keyed = persons.select("pid", *IDS, "life_dates", T.fold(F.coalesce("surname", F.lit(""))).alias("sur"), T.fold(F.coalesce("forename", F.lit(""))).alias("fore"), T.person_name(F.coalesce("name", F.lit(""))).alias("norm"), F.explode_outer(names).alias("v"))
+    keyed = spread_small(persons).select("pid", *IDS, "life_dates", T.fold(F.coalesce("surname", F.lit(""))).alias("sur"), T.fold(F.coalesce("forename", F.lit(""))).alias("fore"), T.person_name(F.coalesce("name", F.lit(""))).alias("norm"), F.explode_outer(names).alias("v"))
     keyed = keyed.withColumn("vn", T.person_name(F.col("v")))
     rest = [*IDS, "sur", "fore", "norm", "life_dates"]
     out = keyed.groupBy("pid").agg(*[F.first(c).alias(c) for c in rest], F.collect_set("vn").alias("names"))
@@ -32,14 +36,17 @@ def match_edges(persons: DataFrame) -> DataFrame:
     shared variant match with medium confidence if the years meet. A pair found
     by several keys takes the first of these rules. The keys are the ids, the
     name, and the surname with the forename or with each variant, so a common
-    surname is no block by itself.
+    surname is no block by itself. A pair is kept at the first key of a that b
+    has too, so all pairs are never held or sorted to find those met twice, and
+    a key's persons meet block by block.
     """
     p = written(prepare(persons), "prepared")
     key = lambda kind, *values: F.when(reduce(lambda x, v: x & (v.cast("string") != ""), values[1:], values[0].cast("string") != ""), F.concat_ws("\t", F.lit(kind), *values))
     keys = [*[key(c, F.col(c)) for c in IDS], key("norm", F.col("norm")), key("fore", F.col("sur"), F.col("fore"))]
     variants = F.when(F.col("sur") != "", F.transform("names", lambda n: F.concat_ws("\t", F.lit("variant"), F.col("sur"), n)))
     all_keys = F.array_distinct(F.array_compact(F.concat(F.array(*keys), F.coalesce(variants, F.array().cast("array<string>")))))
-    side = lambda x: p.select(F.explode(all_keys).alias("key"), *[F.col(c).alias(f"{x}_{c}") for c in p.columns])
+    keyed = p.withColumn("keys", all_keys)
+    keyed = keyed.select(*keyed.columns, F.posexplode("keys").alias("nth", "key")).withColumn("before", F.slice("keys", 1, F.col("nth")))
     overlap = R.years_overlap(F.col("a_years"), F.col("b_years"))
     shared = F.lit(False)
     for c in IDS:
@@ -48,9 +55,9 @@ def match_edges(persons: DataFrame) -> DataFrame:
     fore = ((F.col("a_fore") != "") & (F.col("a_fore") == F.col("b_fore"))) | F.arrays_overlap("a_names", "b_names")
     by_surname = F.when((F.col("a_sur") != "") & (F.col("a_sur") == F.col("b_sur")) & fore & F.coalesce(overlap, F.lit(False)), "medium")
     label = F.when(shared, "high").when((F.col("a_norm") != "") & (F.col("a_norm") == F.col("b_norm")), by_name).otherwise(by_surname)
-    pairs = side("a").join(side("b"), "key").where("a_pid < b_pid")
+    pairs = paired(keyed.drop("nth"), ["key"], "pid", BLOCK).where(~F.arrays_overlap("a_before", "b_keys"))
     found = pairs.select(F.col("a_pid").alias("a"), F.col("b_pid").alias("b"), label.alias("confidence")).where("confidence IS NOT NULL")
-    return written(found.distinct(), "edges")
+    return written(found, "edges")
 
 
 def match_links(persons: DataFrame, tolerance: int = 25) -> DataFrame:

@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from codexlake.functions import text as T
-from codexlake.operators import metrics, selection, vectors
+from codexlake.operators import metrics, resolve, selection, vectors
 from codexlake.plans import queries
 from codexlake.plans.oracle import SQL
+from codexlake.sources.parallel import paired
 
 
 def test_a_registry_of_any_size(spark):
@@ -59,3 +60,24 @@ def test_letters_are_counted_by_runs(spark):
         share = T.script_share(F.col("t"), script)
         want = F.coalesce(F.try_divide(F.regexp_count("t", F.lit(rf"\p{{Is{script}}}")), F.regexp_count("t", F.lit(r"\p{L}"))), F.lit(1.0))
         assert df.where(~share.eqNullSafe(want)).count() == 0 and "regexp_count" not in str(share)
+
+
+def test_each_pair_of_a_group_meets_once_in_some_cell(spark):
+    rows = [("x", i // 2, i) for i in range(41)] + [("y", 1, 50), ("z", None, 60), ("z", 3, 61), ("z", 4, 62), (None, 1, 70), (None, 2, 71)]
+    got = [(r.g, r.a_i, r.b_i) for r in paired(spark.createDataFrame(rows, "g string, o int, i int").repartition(3), ["g"], "o", 4).collect()]
+    want = [(g, i, j) for g, o, i in rows for h, q, j in rows if g and g == h and o is not None and q is not None and o < q]
+    assert sorted(got) == sorted(want)
+
+
+def test_persons_of_one_key_are_compared_in_many_places(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "BLOCK", 10, raising=False)
+    schema = "pid int, source string, name string, forename string, surname string, life_dates string, gnd_id string, hls_id string, wikidata_id string, variants array<string>"
+    rows = [(i, "s", "Anna Egli", "Anna", "Egli", f"{1200 + i % 9 * 20}", "g1" if i % 2 else "", "h1" if i % 3 else None, None, ["Anna E."]) for i in range(95)]
+    edges = resolve.match_edges(spark.createDataFrame(rows, schema))
+    want = {}
+    for a in range(95):
+        for b in range(a + 1, 95):
+            if a % 2 and b % 2 or a % 3 and b % 3 or abs(a % 9 - b % 9) <= 1:
+                want[a, b] = "high"
+    assert sorted(tuple(r) for r in edges.collect()) == sorted((*k, v) for k, v in want.items())
+    assert edges.select(F.input_file_name().alias("f")).distinct().count() > 1  # one key, several tasks
