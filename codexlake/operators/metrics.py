@@ -9,7 +9,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 from codexlake.functions import text as T
-from codexlake.sources.parallel import spread
+from codexlake.functions.edits import edits
+from codexlake.sources.parallel import paired
+
+#: Readings of a page that meet as many others at a time.
+BLOCK = 16
 
 
 def prepare(text: Column, ignore_case: bool = True, ignore_whitespace: bool = True, ignore_punctuation: bool = True, fold_abbreviations: bool = False) -> Column:
@@ -25,12 +29,12 @@ def prepare(text: Column, ignore_case: bool = True, ignore_whitespace: bool = Tr
 def cer(reference: Column, hypothesis: Column, **options: bool) -> Column:
     """Edit distance in code points over the reference's length; an empty reference gives 0 or 1."""
     ref, hyp = prepare(reference, **options), prepare(hypothesis, **options)
-    return F.when(F.length(ref) == 0, F.when(F.length(hyp) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(ref, hyp) / F.length(ref))
+    return F.when(F.length(ref) == 0, F.when(F.length(hyp) == 0, 0.0).otherwise(1.0)).otherwise(edits(ref, hyp) / F.length(ref))
 
 
 def edit_distance(reference: Column, hypothesis: Column, **options: bool) -> Column:
     """Edits between prepared texts; null texts are empty."""
-    return F.levenshtein(*[prepare(F.coalesce(c, F.lit("")), **options) for c in (reference, hypothesis)])
+    return edits(*[prepare(F.coalesce(c, F.lit("")), **options) for c in (reference, hypothesis)])
 
 
 RAW = {"ignore_case": False, "ignore_whitespace": False, "ignore_punctuation": False}
@@ -104,18 +108,17 @@ def usable(readings: DataFrame, text: str = "text", error: str | None = None) ->
 def pairwise_cer(readings: DataFrame, page: list[str], order: str, text: str = "text", **options: bool) -> DataFrame:
     """CER of each pair of a page's usable readings, the earlier one as reference: page, a, b, cer.
 
-    Pairs are few bytes but long work, so they are dealt to all slots one by
-    one: a page with many readings doesn't wait for one task.
+    Pairs are few bytes but long work, so a page's readings meet block by block
+    in all slots: one with many readings doesn't wait for one task, and a
+    reading is sent once per block.
     """
-    pairs = _pairs(usable(readings, text).select(*page, F.col(order).alias("_o"), F.col(text).alias("_t")), page)
-    return pairs.select(*page, "a", "b", cer(F.col("ta"), F.col("tb"), **(options or RAW)).alias("cer"))
+    pairs = _pairs(usable(readings, text).select(*page, F.col(order).alias("o"), F.col(text).alias("t")), page)
+    return pairs.select(*page, F.col("a_o").alias("a"), F.col("b_o").alias("b"), cer(F.col("a_t"), F.col("b_t"), **(options or RAW)).alias("cer"))
 
 
 def _pairs(readings: DataFrame, page: list[str]) -> DataFrame:
-    """page, a, b, ta, tb: each pair of a page's readings (page, _o, _t), dealt out by page and order."""
-    r = spread(readings, *page)  # both sides of the join use that partitioning
-    left, right = (r.select(*page, F.col("_o").alias(x), F.col("_t").alias(f"t{x}")) for x in "ab")
-    return spread(left.join(right, page).where("a < b"), *page, "a", "b")
+    """page, a_o, b_o, a_t, b_t: each pair of a page's readings (page, o, t)."""
+    return paired(readings, page, "o", BLOCK)
 
 
 def max_cer(pairs: DataFrame, page: list[str]) -> DataFrame:
@@ -124,9 +127,9 @@ def max_cer(pairs: DataFrame, page: list[str]) -> DataFrame:
 
 def max_cer_symmetric(readings: DataFrame, page: list[str], order: str, text: str = "text") -> DataFrame:
     """The largest normalised CER in either direction: edits are the same both ways, so they are counted once and the shorter text is the reference."""
-    pairs = _pairs(usable(readings, text).select(*page, F.col(order).alias("_o"), prepare(F.col(text)).alias("_t")), page)
-    short, long = F.least(F.length("ta"), F.length("tb")), F.greatest(F.length("ta"), F.length("tb"))
-    rate = F.when(short == 0, F.when(long == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein("ta", "tb") / short)
+    pairs = _pairs(usable(readings, text).select(*page, F.col(order).alias("o"), prepare(F.col(text)).alias("t")), page)
+    short, long = F.least(F.length("a_t"), F.length("b_t")), F.greatest(F.length("a_t"), F.length("b_t"))
+    rate = F.when(short == 0, F.when(long == 0, 0.0).otherwise(1.0)).otherwise(edits("a_t", "b_t") / short)
     return pairs.select(*page, rate.alias("cer")).groupBy(*page).agg(F.max("cer").alias("max_cer"))
 
 

@@ -1,13 +1,14 @@
 """Steps that once held only for small tables."""
 
 import hashlib
+import random
 
 import duckdb
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from codexlake.functions import text as T
+from codexlake.functions import edits, text as T
 from codexlake.operators import metrics, resolve, selection, vectors
 from codexlake.plans import queries
 from codexlake.plans.oracle import SQL
@@ -81,3 +82,22 @@ def test_persons_of_one_key_are_compared_in_many_places(spark, monkeypatch):
                 want[a, b] = "high"
     assert sorted(tuple(r) for r in edges.collect()) == sorted((*k, v) for k, v in want.items())
     assert edges.select(F.input_file_name().alias("f")).distinct().count() > 1  # one key, several tasks
+
+
+def _texts(n):
+    draw = random.Random(5)
+    for _ in range(n):
+        letters = draw.choice(["ab", "abcdefghij ", "aäß€\U0001f600中", "".join(map(chr, range(0x4E00, 0x4F00)))])
+        a = "".join(draw.choices(letters, k=draw.choice([0, 1, 2, 5, 63, 64, 65, 127, 128, 129, draw.randrange(400)])))
+        near = "".join(c for c in a if draw.random() < 0.9) + draw.choice(["", "x"])
+        yield a, draw.choice([near, near, a, "".join(draw.choices(letters, k=draw.randrange(300)))])
+
+
+def test_edits_of_many_pairs_at_a_time(spark, monkeypatch):
+    rows = [*_texts(300), (None, "a"), ("a", None)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert df.where(~edits.edits("a", "b").eqNullSafe(F.levenshtein("a", "b"))).count() == 0
+    want = edits.edit_counts(*map(list, zip(*rows[:300]))).tolist()
+    monkeypatch.setattr(edits, "WORDS", 1)
+    monkeypatch.setattr(edits, "TABLE", 1)
+    assert edits.edit_counts(*map(list, zip(*rows[:300]))).tolist() == want and edits.edit_counts([], []).tolist() == []
