@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 from codexlake.functions import text as T
 from codexlake.functions.edits import edits
 from codexlake.sources.parallel import paired
+from codexlake.sources.scratch import written
 
 #: Readings of a page that meet as many others at a time.
 BLOCK = 16
@@ -138,6 +139,26 @@ def gate(pages: DataFrame, threshold: float = 0.15) -> DataFrame:
     return pages.withColumn("block", F.coalesce(F.col("max_cer"), F.lit(0.0)) > threshold)
 
 
+def gate_readings(readings: DataFrame, page: list[str], order: str, text: str = "text", threshold: float = 0.15, **options: bool) -> DataFrame:
+    """page, block: gate() on the largest pairwise_cer() of pages with a pair, without rating all pairs.
+
+    A text takes at least as many edits as it is longer than an earlier one, so
+    lengths alone block pages with readings of unlike lengths, however many
+    they have; only the other pages' pairs are rated.
+    """
+    options = options or RAW
+    r = written(usable(readings, text).dropna(subset=[*page, order]).select(*page, F.col(order).alias("o"), F.col(text).alias("t")), "readings")
+    sizes = r.groupBy(*page, "o").agg(*[f(F.length(prepare(F.col("t"), **options))).alias(n) for f, n in ((F.min, "short"), (F.max, "long"))])
+    before = F.min("short").over(Window.partitionBy(*page).orderBy("o").rowsBetween(Window.unboundedPreceding, -1))
+    least = F.when(F.col("before") == 0, F.when(F.col("long") == 0, 0.0).otherwise(1.0)).otherwise((F.col("long") - F.col("before")) / F.col("before"))
+    known = sizes.withColumn("before", before).where("before IS NOT NULL").groupBy(*page).agg(F.max(least).alias("max_cer"))
+    known = written(known, "bounds")  # small; both kinds of pages need it
+    unlike = known.where(F.col("max_cer") > threshold)
+    rest = r.join(known.where(F.col("max_cer") <= threshold).select(*page), page, "left_semi")
+    rated = max_cer(pairwise_cer(rest, page, "o", "t", **options), page)
+    return gate(unlike.unionByName(rated.select(*page, "max_cer")), threshold).select(*page, "block")
+
+
 def cer_table(readings: DataFrame, references: DataFrame, key: list[str], engine: str, order: str, text: str = "text", reference: str = "reference", **options: bool) -> DataFrame:
     """key, engine, ord, cer of each reading against its document's reference."""
     joined = readings.join(references, key)

@@ -101,3 +101,18 @@ def test_edits_of_many_pairs_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(edits, "WORDS", 1)
     monkeypatch.setattr(edits, "TABLE", 1)
     assert edits.edit_counts(*map(list, zip(*rows[:300]))).tolist() == want and edits.edit_counts([], []).tolist() == []
+
+
+def test_gate_rates_only_pages_that_lengths_leave_open(spark, monkeypatch):
+    rows = [(d, o, t) for d in range(60) for o, (t, _) in enumerate(_texts(d % 7 + 20))][::3]
+    rows += [(100, 1, "a" * 10), (100, 2, "a" * 18), (101, 1, "a" * 10), (101, 2, "a" * 19), (102, 2, "ab"), (102, 1, "abcd"), (103, 1, "x"), (104, 1, "a"), (104, 1, "abcde"), (105, None, "a"), (105, 1, "abcde"), (None, 1, "a"), (None, 2, "abcde"), (106, 1, "!"), (106, 2, "abc"), (107, 1, "ab"), (107, 2, "cd"), (108, 1, "  "), (108, 2, "a")]
+    df = spark.createDataFrame(rows, "page int, ord int, text string")
+    for threshold, options in ((0.8, {}), (0.3, {}), (1.0, {"ignore_case": True}), (0.8, {"ignore_punctuation": True})):
+        want = metrics.gate(metrics.max_cer(metrics.pairwise_cer(df, ["page"], "ord", **options), ["page"]), threshold)
+        got = metrics.gate_readings(df, ["page"], "ord", threshold=threshold, **options)
+        assert sorted(map(tuple, got.collect())) == sorted((r.page, r.block) for r in want.collect())
+    seen, rate = [], metrics.pairwise_cer
+    monkeypatch.setattr(metrics, "pairwise_cer", lambda r, *a, **k: seen.append(r) or rate(r, *a, **k))
+    many = spark.createDataFrame([(1, i, "ab" * (i + 1)) for i in range(50)] + [(2, 1, "ab"), (2, 2, "ac")], "page int, ord int, text string")
+    assert sorted(map(tuple, metrics.gate_readings(many, ["page"], "ord", threshold=0.8).collect())) == [(1, True), (2, False)]
+    assert [r.page for r in seen[0].select("page").distinct().collect()] == [2]
