@@ -55,8 +55,10 @@ def _group(longs: list[str], shorts: list[str], m: np.ndarray, n: np.ndarray) ->
     """Edits of pairs ordered by the falling length ``n`` of the shorter texts, which are its columns.
 
     Columns end together: a pair joins when its first one comes. Word w is one
-    column behind word w - 1, so all words make a step at once, and what goes
-    over from word to word is there when it is asked for.
+    column behind word w - 1, so all words of all pairs make a step at once, in
+    one row of numbers, where what goes over is wanted one place further on.
+    Before their first column words stand still; after the last they run on, so
+    they are copied there.
     """
     pairs, width, w = len(longs), int(n[0]), int((m.max() + 63) // 64)
     rows, columns = _codes(longs), _codes(shorts)
@@ -67,42 +69,51 @@ def _group(longs: list[str], shorts: list[str], m: np.ndarray, n: np.ndarray) ->
     places = np.zeros(pairs * letters * w, np.uint64)
     row = _within(m)
     np.add.at(places, (np.repeat(np.arange(pairs), m) * letters + letter[rows]) * w + row // 64, ONE << (row % 64).astype(np.uint64))
-    # columns backwards, so that the words' columns of a step lie in their order; with the word's number to begin with
+    # columns backwards, so that the words' columns of a step lie in their order; letter 0 before and after them
     own = np.repeat(np.arange(pairs), n)
-    asked = np.tile(np.arange(pairs) * letters * w, (width, 1))
-    asked[np.repeat(n, n) - 1 - _within(n), own] += letter[columns] * w
+    asked = np.tile((np.arange(pairs) * letters * w)[:, None], (1, width + 2 * w - 2))
+    asked[own, w - 1 + np.repeat(n, n) - 1 - _within(n)] += letter[columns] * w
     begins = np.searchsorted(width - n, np.arange(width), side="right")
-    word = np.arange(w)[:, None]
-    up, down = np.full((w, pairs), FULL), np.zeros((w, pairs), np.uint64)
-    more, less = np.zeros((w + 1, pairs), np.uint64), np.zeros((w + 1, pairs), np.uint64)
-    more[0] = 1
+    word = np.arange(w)
+    up, down, more, less, found, kept, crossed, low = (np.zeros(pairs * w + 1, np.uint64) for _ in range(8))
+    up[:] = FULL
+    last_up, last_down = np.empty((pairs, w), np.uint64), np.empty((pairs, w), np.uint64)
+    cells = np.empty((pairs, w), np.int64)
     for t in range(width + w - 1):
-        lo, hi, k = max(0, t - width + 1), min(w, t + 1), begins[min(t, width - 1)]
-        same = places[asked[width - 1 - t + lo : width - 1 - t + hi, :k] + word[lo:hi]]
-        u, d, carry, borrow = up[lo:hi, :k], down[lo:hi, :k], more[lo:hi, :k], less[lo:hi, :k]
-        kept = same | d
+        k = begins[min(t, width - 1)]
+        u, d, carry, borrow, same, keep, cross, fall = (x[: k * w] for x in (up, down, more, less, found, kept, crossed, low))
+        carry[::w] = 1
+        borrow[::w] = 0
+        begin = width + w - 2 - t
+        np.add(asked[:k, begin : begin + w], word, out=cells[:k])
+        places.take(cells[:k].ravel(), out=same, mode="wrap")  # all are inside; the mode that raises copies
+        np.bitwise_or(same, d, out=keep)
         same |= borrow
-        crossed = same & u
-        crossed += u
-        crossed ^= u
-        crossed |= same
-        fall = crossed & u
-        crossed |= u
-        rise = np.invert(crossed, out=crossed)
+        np.bitwise_and(same, u, out=cross)
+        cross += u
+        cross ^= u
+        cross |= same
+        np.bitwise_and(cross, u, out=fall)
+        cross |= u
+        rise = np.invert(cross, out=cross)
         rise |= d
-        low, high = fall << ONE, rise << ONE
-        low |= borrow
-        high |= carry
-        np.right_shift(rise, TOP, out=more[lo + 1 : hi + 1, :k])
-        np.right_shift(fall, TOP, out=less[lo + 1 : hi + 1, :k])
-        np.bitwise_and(high, kept, out=d)
-        kept |= high
-        np.invert(kept, out=kept)
-        np.bitwise_or(low, kept, out=u)
-    left = np.clip(m - word * 64, 0, 64)
+        np.left_shift(rise, ONE, out=d)
+        d |= carry
+        np.left_shift(fall, ONE, out=u)
+        u |= borrow
+        np.right_shift(rise, TOP, out=more[1 : k * w + 1])
+        np.right_shift(fall, TOP, out=less[1 : k * w + 1])
+        np.bitwise_or(keep, d, out=same)
+        np.invert(same, out=same)
+        u |= same
+        d &= keep
+        if t >= width - 1:
+            at = t - width + 1
+            last_up[:, at], last_down[:, at] = u[at::w], d[at::w]
+    left = np.clip(m[:, None] - word * 64, 0, 64)
     mask = np.where(left == 0, np.uint64(0), FULL >> (64 - np.maximum(left, 1)).astype(np.uint64))
-    count = lambda bits: np.bitwise_count(bits & mask).sum(axis=0, dtype=np.int64)
-    return n + count(up) - count(down)
+    count = lambda bits: np.bitwise_count(bits & mask).sum(axis=1, dtype=np.int64)
+    return n + count(last_up) - count(last_down)
 
 
 @F.pandas_udf(IntegerType())

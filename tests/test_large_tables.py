@@ -116,3 +116,14 @@ def test_gate_rates_only_pages_that_lengths_leave_open(spark, monkeypatch):
     many = spark.createDataFrame([(1, i, "ab" * (i + 1)) for i in range(50)] + [(2, 1, "ab"), (2, 2, "ac")], "page int, ord int, text string")
     assert sorted(map(tuple, metrics.gate_readings(many, ["page"], "ord", threshold=0.8).collect())) == [(1, True), (2, False)]
     assert [r.page for r in seen[0].select("page").distinct().collect()] == [2]
+
+
+def test_pairs_are_made_and_rated_in_one_step(spark):
+    readings = spark.createDataFrame([(1, i, f"{i:b}") for i in range(100)], "page int, ord int, text string")
+    pairs = metrics.pairwise_cer(readings, ["page"], "ord")
+    plan = pairs._jdf.queryExecution().sparkPlan().toString()
+    assert "levenshtein" not in plan and "ArrowEvalPython" in plan
+    assert "Exchange" not in plan[: plan.index("Join")] and "REPARTITION" not in plan[: plan.index("Join")]  # texts aren't sent pair by pair
+    want = {(1, i, j): r for i, j, r in pairs.select("a", "b", "cer").collect()}
+    texts = spark.createDataFrame([(i, j, f"{i:b}", f"{j:b}") for i in range(100) for j in range(i + 1, 100)], "i int, j int, x string, y string")
+    assert want == {(1, i, j): r for i, j, r in texts.select("i", "j", F.levenshtein("x", "y") / F.length("x")).collect()}
