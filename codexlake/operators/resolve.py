@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codexlake.functions import rules as R, text as T
 from codexlake.operators.components import connected_components
-from codexlake.sources.parallel import paired, spread_small
+from codexlake.sources.parallel import spread, spread_small
 from codexlake.sources.scratch import written
 
 #: Persons of one key that are compared with as many others at a time.
 BLOCK = 500
 
+#: Persons whose pairs with a block are made at a time; Spark holds the rows of one step of a loop until it ends.
+PIECE = 50
+
 IDS = ("gnd_id", "hls_id", "wikidata_id")
 
 
@@ -28,7 +29,7 @@ def prepare(persons: DataFrame) -> DataFrame:
 
 
 def match_edges(persons: DataFrame) -> DataFrame:
-    """a, b (a < b), confidence of all matching pairs, from one equi-join on blocking keys.
+    """a, b (a < b), confidence of all matching pairs, by blocking keys.
 
     A shared authority id matches with high confidence. Equal normalised names
     match with high confidence if the years meet, medium if they are unknown,
@@ -36,28 +37,46 @@ def match_edges(persons: DataFrame) -> DataFrame:
     shared variant match with medium confidence if the years meet. A pair found
     by several keys takes the first of these rules. The keys are the ids, the
     name, and the surname with the forename or with each variant, so a common
-    surname is no block by itself. A pair is kept at the first key of a that b
-    has too, so all pairs are never held or sorted to find those met twice, and
-    a key's persons meet block by block.
+    surname is no block by itself, and the first key that two persons share
+    names their rule.
+
+    Persons of a key with the same years and the same keys before it, of those
+    that others have too, are one run: runs, not persons, are compared, and a match is all pairs of their
+    persons. A key's persons meet block by block, in tasks of their own. What
+    is written are the matching runs; their pairs are made when the result is
+    read, so they are never held, sorted or stored.
     """
     p = written(prepare(persons), "prepared")
-    key = lambda kind, *values: F.when(reduce(lambda x, v: x & (v.cast("string") != ""), values[1:], values[0].cast("string") != ""), F.concat_ws("\t", F.lit(kind), *values))
-    keys = [*[key(c, F.col(c)) for c in IDS], key("norm", F.col("norm")), key("fore", F.col("sur"), F.col("fore"))]
-    variants = F.when(F.col("sur") != "", F.transform("names", lambda n: F.concat_ws("\t", F.lit("variant"), F.col("sur"), n)))
-    all_keys = F.array_distinct(F.array_compact(F.concat(F.array(*keys), F.coalesce(variants, F.array().cast("array<string>")))))
-    keyed = p.withColumn("keys", all_keys)
-    keyed = keyed.select(*keyed.columns, F.posexplode("keys").alias("nth", "key")).withColumn("before", F.slice("keys", 1, F.col("nth")))
+    key = lambda rule, kind, cond, *values: F.when(cond, F.struct(F.lit(rule).alias("rule"), F.concat_ws("\t", F.lit(kind), *values).alias("key")))
+    filled = lambda c: F.col(c).cast("string") != ""
+    sur = [F.length("sur").cast("string"), F.col("sur")]  # the length keeps a tab inside a surname apart from the one behind it
+    keys = [*[key("id", c, filled(c), F.col(c).cast("string")) for c in IDS], key("name", "norm", filled("norm"), F.col("norm")), key("surname", "fore", filled("sur") & filled("fore"), *sur, F.col("fore"))]
+    variants = F.transform(F.array_sort("names"), lambda n: key("surname", "variant", filled("sur"), *sur, n))
+    p = p.where("pid IS NOT NULL").select("pid", "years", F.posexplode(F.array_compact(F.concat(F.array(*keys), variants))).alias("nth", "k"))
+    w = Window.partitionBy("rule", "key")
+    shared = p.select("pid", "years", "nth", "k.*").where("rule <> 'surname' OR years IS NOT NULL").withColumn("n", F.count("*").over(w)).where("n > 1")
+    p = shared.groupBy("pid").agg(F.first("years").alias("years"), F.array_sort(F.collect_list(F.struct("nth", "rule", "key", "n"))).alias("keys"))
+    before = F.transform(F.slice("keys", 1, F.col("at")), lambda k: k["key"])
+    rows = p.select("pid", "years", "keys", F.posexplode("keys").alias("at", "k"))
+    rows = rows.select("k.*", F.when(F.col("k.rule") != "id", F.col("years")).alias("years"), before.alias("before"), "pid")
+    placed = rows.withColumn("at", F.row_number().over(w.orderBy("years", "before", "pid")) - 1)
+    block, last = F.floor(F.col("at") / BLOCK).cast("int").alias("block"), F.floor((F.col("n") - 1) / BLOCK).cast("int").alias("last")
+    runs = written(placed.groupBy("rule", "key", block, last, "years", "before").agg(F.array_sort(F.collect_list("pid")).alias("pids")), "runs")
+    cell = ["rule", "key", "i", "j"]
+    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("years", "before", "pids")]
+    left = runs.select("rule", "key", F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"), *side("a"))
+    right = runs.select("rule", "key", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), *side("b"))
+    met = spread(left, *cell).join(spread(right, *cell), cell).where("i < j OR a_pids[0] <= b_pids[0]").where(~F.arrays_overlap("a_before", "b_before"))
+    same = (F.col("i") == F.col("j")) & (F.col("a_pids")[0] == F.col("b_pids")[0])
     overlap = R.years_overlap(F.col("a_years"), F.col("b_years"))
-    shared = F.lit(False)
-    for c in IDS:
-        shared = shared | F.coalesce((F.col(f"a_{c}").cast("string") != "") & (F.col(f"a_{c}") == F.col(f"b_{c}")), F.lit(False))
     by_name = F.when(overlap.isNull(), "medium").when(overlap, "high")
-    fore = ((F.col("a_fore") != "") & (F.col("a_fore") == F.col("b_fore"))) | F.arrays_overlap("a_names", "b_names")
-    by_surname = F.when((F.col("a_sur") != "") & (F.col("a_sur") == F.col("b_sur")) & fore & F.coalesce(overlap, F.lit(False)), "medium")
-    label = F.when(shared, "high").when((F.col("a_norm") != "") & (F.col("a_norm") == F.col("b_norm")), by_name).otherwise(by_surname)
-    pairs = paired(keyed.drop("nth"), ["key"], "pid", BLOCK).where(~F.arrays_overlap("a_before", "b_keys"))
-    found = pairs.select(F.col("a_pid").alias("a"), F.col("b_pid").alias("b"), label.alias("confidence")).where("confidence IS NOT NULL")
-    return written(found, "edges")
+    label = F.when(F.col("rule") == "id", "high").when(F.col("rule") == "name", by_name).when(overlap, "medium")
+    found = met.select("a_pids", "b_pids", same.alias("same"), label.alias("confidence")).where("confidence IS NOT NULL AND (NOT same OR size(a_pids) > 1)")
+    pieces = F.transform(F.sequence(F.lit(0), F.size("a_pids") - 1, F.lit(PIECE)), lambda at: F.struct(at.alias("at"), F.slice("a_pids", at + 1, PIECE).alias("a_pids")))
+    found = written(found.select(F.explode(pieces).alias("p"), "b_pids", "same", "confidence").select("p.*", "b_pids", "same", "confidence"), "matches")
+    found = found.select("at", "b_pids", "same", "confidence", F.posexplode("a_pids").alias("nth", "x"))
+    others = F.when(F.col("same"), F.slice("b_pids", F.col("at") + F.col("nth") + 2, F.size("b_pids"))).otherwise(F.col("b_pids"))
+    return found.select("confidence", "x", F.explode(others).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "confidence")
 
 
 def match_links(persons: DataFrame, tolerance: int = 25) -> DataFrame:

@@ -84,6 +84,48 @@ def test_persons_of_one_key_are_compared_in_many_places(spark, monkeypatch):
     assert edges.select(F.input_file_name().alias("f")).distinct().count() > 1  # one key, several tasks
 
 
+PERSON = "pid long, source string, name string, forename string, surname string, life_dates string, gnd_id string, hls_id string, wikidata_id string, variants array<string>"
+
+
+def test_pairs_of_persons_are_not_stored(spark):
+    """What the result reads grows with blocks of persons, not with their pairs."""
+    rows = [(i, "s", "Anna Egli", "", "", None, f"g{i}", None, "Q1", None) for i in range(2000)]  # an id of its own separates nobody
+    edges = resolve.match_edges(spark.createDataFrame(rows, PERSON))
+    assert edges.count() == edges.distinct().count() == 1_999_000
+    assert spark.read.parquet(*edges.inputFiles()).count() <= 100
+
+
+def test_runs_of_persons_give_the_pairs_of_the_rules(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "BLOCK", 7)
+    monkeypatch.setattr(resolve, "PIECE", 3)
+    draw = random.Random(4)
+    rows = []
+    for i in draw.sample(range(1000), 160):
+        dates = None if draw.random() < 0.2 else f"{(y := draw.randrange(1200, 1500, 10))}-{y + draw.choice([0, 40])}"
+        ids = [draw.choice([None, "", "", f"{c}{draw.randrange(5)}"]) for c in "ghw"]
+        rows.append((i, "s", draw.choice([None, "", "anna egli", "bert frey", "cas gut"]), draw.choice([None, "", "a", "b", "b\tc"]), draw.choice([None, "", "x", "a", "a\tb"]), dates, *ids, draw.choice([None, [], ["!", "c"], ["c", "d"], ["d", None, "e"]])))
+
+    def years(r):
+        return tuple(map(int, r[5].split("-"))) if r[5] else None
+
+    def names(r):
+        return {" ".join(n.replace("!", "").split()) for n in [r[2], *(r[9] or [])] if n}
+
+    def rule(p, q):
+        if any(p[k] and p[k] == q[k] for k in (6, 7, 8)):
+            return "high"
+        x, y = years(p), years(q)
+        meet = None if not x or not y else x[0] - 25 <= y[1] and y[0] - 25 <= x[1]
+        if p[2] and p[2] == q[2]:
+            return {None: "medium", True: "high", False: None}[meet]
+        if p[4] and p[4] == q[4] and (p[3] and p[3] == q[3] or names(p) & names(q)) and meet:
+            return "medium"
+
+    want = sorted((p[0], q[0], label) for p in rows for q in rows if p[0] < q[0] and (label := rule(p, q)))
+    got = resolve.match_edges(spark.createDataFrame([*rows, (None, "s", "anna egli", "", "", None, "g1", None, None, None)], PERSON)).collect()
+    assert sorted(tuple(r) for r in got) == want and len({r.confidence for r in got}) == 2
+
+
 def _texts(n):
     draw = random.Random(5)
     for _ in range(n):
